@@ -1,0 +1,5 @@
+"""Deliberately empty: every operator this library offers is a batch job.
+
+The only incremental behaviour is the staleness check of materialized views,
+which lives in :mod:`placebook.sinks.views`.
+"""
