@@ -19,8 +19,7 @@ SUBDIVISION_LABEL = "Subdivision (ISO 3166-2)"
 
 def percent(part: Column, whole: Column) -> Column:
     """Share in percent to one decimal, ties to even; 0.0 of nothing."""
-    share = F.bround(F.lit(100.0) * part / F.nullif(whole, F.lit(0)), 1)
-    return F.coalesce(share, F.lit(0.0))
+    return F.when(whole > 0, F.bround(F.lit(100.0) * part / whole, 1)).otherwise(F.lit(0.0))
 
 
 def level_label(level: int, has_codes: Column) -> Column:

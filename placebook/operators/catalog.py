@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from placebook.functions.scalars import base_name, whole_number
 from placebook.operators.ranking import earliest
-from placebook.schema import FILE_ENTRY, GROUP, entry_type
+from placebook.schema import FILE_ENTRY, GROUP, LEVEL_ENTRY, entry_type
 
 COVERED, NO_DATA = "covered", "delivered_no_data"
 
@@ -168,6 +168,21 @@ def raw_entries(entries: DataFrame, source_profiles: DataFrame, files: DataFrame
     )
 
 
+def undescribed(entries: DataFrame) -> DataFrame:
+    """Groups without rows whose source files nobody has profiled."""
+    described = ["rows", "admin_depth", "admin_levels"]
+    return entries.where(F.col("status") == NO_DATA).drop(*described).withColumns(
+        {
+            "rows": F.lit(0),
+            "admin_depth": F.lit(0),
+            "admin_levels": F.array().cast(f"array<{LEVEL_ENTRY}>"),
+            "files": F.lit(None).cast(f"map<string,{FILE_ENTRY}>"),
+            "files_are_source": F.lit(True),
+            "note": F.lit(NOTE),
+        }
+    )
+
+
 def all_entries(covered: DataFrame, raw: DataFrame, samples: DataFrame) -> DataFrame:
     """Both kinds in one table. Fields one kind lacks are null there."""
     sample = samples.select("iso2", F.struct("bytes", "rows").alias("sample_csv"))

@@ -54,8 +54,8 @@ def build_entries(
     written = spark.read.parquet(f"{folder}/views")
     stored = settle(view_files(spark, f"{folder}/views"), "files")
 
-    samples = settle(sample_rows(master, order, COLUMNS, group), "samples")
-    write_samples(samples, f"{folder}/samples", group)
+    samples = settle(sample_rows(master, order, [*COLUMNS, *order], group), "samples")
+    write_samples(samples, f"{folder}/samples", order, COLUMNS, group)
 
     none = F.lit(None)
     tables = stored.where(F.col(VIEW_FOLDER) == ALL_ROWS).select(
@@ -74,9 +74,7 @@ def build_entries(
     )
     sizes = sample_sizes(samples, COLUMNS, group).withColumnRenamed(group, "iso2")
     if raw is None:
-        bare = entries.where(F.col("status") == C.NO_DATA).drop("rows")
-        uncovered = bare.withColumns({"rows": F.lit(0), "files_are_source": F.lit(True), "note": F.lit(C.NOTE)})
-        return settle(C.all_entries(covered, uncovered, sizes), "catalog")
+        return settle(C.all_entries(covered, C.undescribed(entries), sizes), "catalog")
     raw_files = C.file_map(raw.files.withColumn("raw", F.lit(True)), "fmt", "iso2")
     uncovered = C.raw_entries(entries, source_profile(raw.source), raw_files)
     sizes = sizes.unionByName(raw.samples)

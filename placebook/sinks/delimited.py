@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placebook.functions.scalars import number_text
+from placebook.session import settle
 
-LINE_SEP = "\x01"
+ROWS_PER_FILE = 50_000
 
 
 def _quoted(c: Column) -> Column:
@@ -38,24 +39,48 @@ def csv_header(columns: Sequence[str]) -> str:
     return ",".join('"' + c.replace('"', '""') + '"' for c in columns)
 
 
-def write_csv(df: DataFrame, path: str, group: str | None = None, mode: str = "error") -> None:
-    """CSV with every text value in quotes, as one folder per group if asked.
+def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
+    """CSV with text in quotes and numbers bare; every part file has the header.
 
-    Each part file carries the header. Lines are complete before they reach the
-    writer, which must then neither quote nor trim them.
+    A task writes one file, so the header goes in front of its first row.
     """
-    header = csv_header(df.columns)
-    line = csv_line(df).alias(header)
-    out = df.select(line) if group is None else df.select(line, F.col(group).alias("group"))
-    writer = out.write.mode(mode).options(
-        header=True,
-        sep=LINE_SEP,
-        quote="\x00",
-        escape="\x00",
-        escapeQuotes=False,
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
+    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    line = csv_line(df)
+    head = F.concat(F.lit(csv_header(df.columns) + "\n"), line)
+    df.select(F.when(in_task == 0, head).otherwise(line).alias("value")).write.mode(mode).text(path)
+
+
+def write_csv_groups(
+    df: DataFrame,
+    path: str,
+    group: str,
+    order: Sequence[str] = (),
+    columns: Sequence[str] | None = None,
+    mode: str = "error",
+    rows_per_file: int = ROWS_PER_FILE,
+    sized_by: DataFrame | None = None,
+) -> None:
+    """The same, with files of their own for every group.
+
+    A group's rows are cut into slices of about ``rows_per_file``, so a group that
+    holds much of the table is many files written by many tasks. ``sized_by`` names
+    a cheaper table with at least as many rows per group to count instead. A group
+    that fits one file keeps its rows in ``order``, also by columns not written.
+    """
+    columns = list(columns or df.columns)
+    sizes = settle((sized_by or df).groupBy(group).agg(F.count("*").alias("_rows")), "sizes")
+    sizes = sizes.select(
+        F.col(group).alias("_group"), F.ceil(F.col("_rows") / F.lit(rows_per_file)).alias("_slices")
+    )
+    rows = df.withColumn("_line", csv_line(df, columns)).join(sizes, F.col(group) == F.col("_group"))
+    # The task number keeps copies of one and the same row from meeting in one slice.
+    spot = F.pmod(F.xxhash64("_line", F.spark_partition_id()), F.col("_slices"))
+    entry = F.struct(*order, F.col("_line").alias("_line"))
+    files = rows.groupBy(F.col(group).alias("group"), spot.alias("slice")).agg(
+        F.array_sort(F.collect_list(entry)).alias("_entries")
     )
-    if group is not None:
-        writer = writer.partitionBy("group")
-    writer.csv(path)
+    body = F.array_join(F.transform("_entries", lambda x: x["_line"]), "\n")
+    text = F.concat(F.lit(csv_header(columns) + "\n"), body)
+    files.select(text.alias("value"), "group", "slice").write.mode(mode).partitionBy(
+        "group", "slice"
+    ).text(path)

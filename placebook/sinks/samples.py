@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from placebook.operators.ranking import first_per_group
 from placebook.schema import COLUMNS, GROUP, SAMPLE_ROWS
-from placebook.sinks.delimited import csv_header, csv_line, write_csv
+from placebook.sinks.delimited import csv_header, csv_line, write_csv_groups
 
 
 def sample_rows(
@@ -34,7 +34,12 @@ def sample_sizes(samples: DataFrame, columns: Sequence[str], group: str = GROUP)
 
 
 def write_samples(
-    samples: DataFrame, path: str, group: str = GROUP, mode: str = "error"
+    samples: DataFrame,
+    path: str,
+    order: Sequence[str] = (),
+    columns: Sequence[str] = tuple(COLUMNS),
+    group: str = GROUP,
+    mode: str = "error",
 ) -> None:
-    """One file per group: a sample is small by definition, so it fits one task."""
-    write_csv(samples.repartition(group), path, group, mode)
+    """One file per group, rows in ``order``."""
+    write_csv_groups(samples, path, group, order, columns, mode)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from placebook.operators.consensus import view
 from placebook.schema import ALL_ROWS, FORMATS, GROUP, SHEET_ROW_LIMIT, VIEW_KEYS, VIEWS
 from placebook.session import settle
-from placebook.sinks.delimited import write_csv
+from placebook.sinks.delimited import write_csv_groups
 from placebook.sources.tables import GROUP_FOLDER, VIEW_FOLDER, read_files
 
 
@@ -155,5 +155,5 @@ def export_csv(
 ) -> None:
     """A view as text-safe CSV, one folder per group."""
     _check(name, "csv")
-    out = view(df, name, group).where(F.col(group).isNotNull()).hint("rebalance", group)
-    write_csv(out, path, group, mode)
+    out = view(df, name, group).where(F.col(group).isNotNull())
+    write_csv_groups(out, path, group, mode=mode, sized_by=df)

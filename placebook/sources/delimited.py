@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
@@ -34,6 +35,9 @@ def _reader(spark: SparkSession, sep: str, encoding: str, multi_line: bool):
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
         maxCharsPerColumn=-1,
+        recursiveFileLookup=True,
+        # Whether a row fits is told by its field count, so all fields must be parsed.
+        columnPruning=False,
     )
 
 
@@ -86,9 +90,9 @@ def read_dialect_csv(
         .schema(schema)
         .csv(path)
     )
-    fits = F.col(CORRUPT).isNotNull() & (field_count(F.col(CORRUPT), sep or ",") <= len(columns))
     # An empty field is '', one that the row does not have is null.
     present = field_count(F.col(CORRUPT), sep or ",")
+    fits = F.col(CORRUPT).isNotNull() & F.col(surplus).isNull() & (present <= len(columns))
     values = [
         F.when(present > i, F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c)
         for i, c in enumerate(columns)
@@ -108,9 +112,13 @@ def read_source_files(
     dialects: dict[tuple[str, str], list[str]],
     width: int = 256,
     multi_line: bool = True,
+    source_of: Callable[[Column], Column] | None = None,
 ) -> SourceFiles:
     """Many files with different headers, as headers and records.
 
+    ``source_of`` turns a file path into the name of the source it belongs to, for
+    sources stored as several part files under one header.
+
     ``dialects`` maps (encoding, separator) to the paths written that way; each
     dialect is one scan, whatever the number of files or templates in it. Records
     with more fields than their header are dropped, short ones are left short.
@@ -119,14 +127,18 @@ def read_source_files(
     heads = settle(_heads(records), "headers")
     widest = heads.agg(F.max("_size")).first()[0]
     if widest and widest > width:
-        return read_source_files(spark, dialects, widest, multi_line)
+        return read_source_files(spark, dialects, widest, multi_line, source_of)
     kept = records.join(heads.drop("_headers"), F.col("file") == F.col("_file")).where(
         (F.col("size") <= F.col("_size")) & (F.col("row") > F.col("_row"))
     )
+    named = source_of or (lambda path: path)
     headers = heads.select(
-        F.col("_file").alias("file"), F.posexplode("_headers").alias("ordinal", "header")
+        named(F.col("_file")).alias("file"), F.posexplode("_headers").alias("ordinal", "header")
     ).withColumn("header", F.ltrim("header", F.lit(BOM)))
-    return SourceFiles(headers, kept.select("file", (F.col("row") - F.col("_row")).alias("row"), "fields"))
+    numbered = kept.select(
+        named(F.col("file")).alias("file"), (F.col("row") - F.col("_row")).alias("row"), "fields"
+    )
+    return SourceFiles(headers.distinct() if source_of else headers, numbered)
 
 
 def cells(source: SourceFiles) -> DataFrame:
@@ -161,7 +173,7 @@ def _records(spark, paths, encoding, sep, width, multi_line) -> DataFrame:
         F.monotonically_increasing_id().alias("row"),
         size.alias("size"),
         F.slice(fields, 1, F.least(size, F.lit(width))).alias("fields"),
-    )
+    ).where(F.size("fields") > 0)
 
 
 def _heads(records: DataFrame) -> DataFrame:

@@ -64,27 +64,33 @@ def read_catalog_header(spark: SparkSession, path: str) -> DataFrame:
     return documents.select("generated_at", "totals.*")
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """(id, name) of every feature of a topology document; shapes are skipped."""
+def read_features(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(id, name) of every feature of topology documents; shapes are skipped."""
     schema = T.StructType.fromDDL(
         "objects struct<countries:struct<geometries:array<"
         "struct<id:string,properties:struct<name:string>>>>>"
     )
-    features = spark.read.schema(schema).json(path, multiLine=True)
+    features = spark.read.schema(schema).json(path, multiLine=multi_line)
     return features.select(F.explode("objects.countries.geometries").alias("f")).select(
         "f.id", F.col("f.properties.name").alias("name")
     )
 
 
-def read_listing(spark: SparkSession, path: str) -> DataFrame:
+def read_listing(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """(id, name, position) from saved pages of a folder listing.
 
-    Each page is a document ``{"files": [{"id", "name"}, …]}``. Pages follow one
-    another by file name; ``position`` keeps that order.
+    Each page is a document ``{"files": [{"id", "name"}, …]}``, one per file or, with
+    ``multi_line`` off, one per line. ``position`` orders entries by file, then by
+    their place in it.
     """
     schema = "files array<struct<id:string,name:string>>"
-    pages = spark.read.schema(schema).json(path, multiLine=True)
-    pages = pages.withColumn("page", F.col("_metadata.file_name"))
+    pages = spark.read.schema(schema).json(path, multiLine=multi_line)
+    page = F.struct(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    pages = pages.select(page.alias("page"), "files")
     return pages.select("page", F.posexplode("files").alias("entry", "f")).select(
-        "f.id", "f.name", F.struct("page", "entry").alias("position")
+        "f.id", "f.name", F.struct("page.*", "entry").alias("position")
     )
