@@ -161,10 +161,11 @@ def raw_entries(entries: DataFrame, source_profiles: DataFrame, files: DataFrame
         "status", "last_updated", "source_file", "source_batch", "source_rows",
     )
     profiles = source_profiles.withColumn("source_file", base_name("file")).drop("file")
+    described = {"rows": F.coalesce("rows", F.lit(0)), "admin_depth": F.coalesce("admin_depth", F.lit(0))}
     return (
         kept.join(profiles, "source_file", "left")
         .join(files, "iso2", "left")
-        .withColumns({"files_are_source": F.lit(True), "note": F.lit(NOTE)})
+        .withColumns({**described, "files_are_source": F.lit(True), "note": F.lit(NOTE)})
     )
 
 

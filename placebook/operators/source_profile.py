@@ -102,7 +102,7 @@ def _shape(headers: DataFrame) -> DataFrame:
 
 
 def _fill_counts(source: SourceFiles, shape: DataFrame) -> DataFrame:
-    """(file, rows, located, filled): counts per file, ``filled`` by level.
+    """(file, records, located, filled): counts per file, ``filled`` by level.
 
     Each record is judged where it lies. What moves is one counter per file and
     level from each task, so a file holding much of the data is no hot spot.
@@ -118,7 +118,7 @@ def _fill_counts(source: SourceFiles, shape: DataFrame) -> DataFrame:
             ),
         ).alias("marks"),
     )
-    totals = judged.groupBy("file").agg(F.count("*").alias("rows"), F.sum("located").alias("located"))
+    totals = judged.groupBy("file").agg(F.count("*").alias("records"), F.sum("located").alias("located"))
     by_level = (
         judged.select("file", F.inline("marks"))
         .groupBy("file", "level")
@@ -138,7 +138,7 @@ def source_levels(source: SourceFiles) -> DataFrame:
         .join(counts, "file", "left")
         .select(
             "file",
-            F.coalesce("rows", F.lit(0)).alias("rows"),
+            F.coalesce("records", F.lit(0)).alias("rows"),
             "level",
             F.coalesce(F.element_at("filled", F.col("level")), F.lit(0)).alias("filled"),
             "has_en",
@@ -154,14 +154,14 @@ def source_profile(source: SourceFiles) -> DataFrame:
     level number. ``rows`` is 0: these files add no rows to the canonical table.
     """
     shape = settle(_shape(source.headers), "shape")
-    rows = F.coalesce("rows", F.lit(0))
+    records = F.coalesce("records", F.lit(0))
     filled = lambda x: F.coalesce(F.element_at("filled", x.level), F.lit(0))
     entries = F.transform(
         "levels",
         lambda x: F.struct(
             x.level.alias("level"),
             F.concat(F.lit("Level "), x.level.cast("string")).alias("label"),
-            percent(filled(x), rows).alias("filled_pct"),
+            percent(filled(x), records).alias("filled_pct"),
             x.has_en.alias("has_en"),
             x.has_lc.alias("has_lc"),
         ),
@@ -177,7 +177,7 @@ def source_profile(source: SourceFiles) -> DataFrame:
             F.lit(0).cast("bigint").alias("rows"),
             "admin_depth",
             first_entries(F.coalesce(entries, none), F.col("admin_depth")).alias("admin_levels"),
-            percent(F.coalesce("located", F.lit(0)), rows).alias("coord_coverage_pct"),
+            percent(F.coalesce("located", F.lit(0)), records).alias("coord_coverage_pct"),
             "has_place_name",
             F.lit(None).cast("string").alias("postal_code_example"),
             F.lit(0.0).alias("region_1_iso_coverage_pct"),

@@ -8,12 +8,20 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from placebook.functions.scalars import base_name
 from placebook.operators import catalog as C
 from placebook.operators.profile import profile
 from placebook.operators.source_profile import source_profile
 from placebook.schema import ALL_ROWS, COLUMNS, GROUP, VIEW_KEYS, VIEWS
 from placebook.session import settle
-from placebook.sinks.samples import sample_rows, sample_sizes, write_samples
+from placebook.sinks.samples import (
+    sample_rows,
+    sample_sizes,
+    source_sample_sizes,
+    source_samples,
+    write_samples,
+    write_source_samples,
+)
 from placebook.sinks.views import view_files, write_views
 from placebook.sources.delimited import SourceFiles
 from placebook.sources.tables import GROUP_FOLDER, VIEW_FOLDER
@@ -23,8 +31,7 @@ class RawFiles(NamedTuple):
     """Source files of groups without rows, and what is known about them."""
 
     source: SourceFiles
-    files: DataFrame  # iso2, fmt, bytes, name
-    samples: DataFrame  # iso2, bytes, rows
+    listing: DataFrame  # the files themselves, as read_files lists them
 
 
 def view_row_counts(written: DataFrame) -> DataFrame:
@@ -75,7 +82,12 @@ def build_entries(
     sizes = sample_sizes(samples, COLUMNS, group).withColumnRenamed(group, "iso2")
     if raw is None:
         return settle(C.all_entries(covered, C.undescribed(entries), sizes), "catalog")
-    raw_files = C.file_map(raw.files.withColumn("raw", F.lit(True)), "fmt", "iso2")
-    uncovered = C.raw_entries(entries, source_profile(raw.source), raw_files)
-    sizes = sizes.unionByName(raw.samples)
+    first = settle(source_samples(raw.source), "samples")
+    write_source_samples(first, f"{folder}/source_samples")
+    by_source = source_sample_sizes(first).withColumn("source_file", base_name("file"))
+    named = entries.where(F.col("status") == C.NO_DATA).select("iso2", "source_file")
+    sizes = sizes.unionByName(named.join(by_source, "source_file").select("iso2", "bytes", "rows"))
+
+    files = C.raw_file_table(entries, raw.listing).withColumn("raw", F.lit(True))
+    uncovered = C.raw_entries(entries, source_profile(raw.source), C.file_map(files, "fmt", "iso2"))
     return settle(C.all_entries(covered, uncovered, sizes), "catalog")

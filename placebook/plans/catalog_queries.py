@@ -33,6 +33,9 @@ def entries(spark, folder, views: bool = True, samples: bool = True):
     """Catalog entries without writing any views; parts nobody asks for are left out."""
     dims = dimensions(spark, folder)
     rows = master(spark, folder)
+    if views or samples:
+        # Several passes follow; the joins behind the table are worth doing once.
+        rows = settle(rows, "master")
     base = settle(C.base_entries(dims, P.profile(rows, ORDER)), "entries")
     none = F.lit(None)
     files = base.where(F.col("status") == C.COVERED).select(

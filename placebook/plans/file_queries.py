@@ -23,7 +23,7 @@ from placebook.plans.places import CODE, ORDER, delivered, places, spread, table
 from placebook.plans.registry import query, says
 from placebook.plans.table_queries import consensus_sql, percent_sql
 from placebook.schema import COLUMNS, GROUP, NUMERIC_COLUMNS, TEXT_COLUMNS, VIEW_KEYS, VIEWS
-from placebook.session import fresh_path
+from placebook.session import fresh_path, settle
 from placebook.sinks import views as V
 from placebook.sinks.catalog import write_document, write_records
 from placebook.sinks.delimited import csv_line, write_csv
@@ -197,6 +197,17 @@ def profile_of_sources(spark, folder):
     )
 
 
+@query(
+    "source_level_list",
+    f"""SELECT file, level, concat('Level ', CAST(level AS VARCHAR)) AS label,
+    round_even(CAST(100.0 AS DOUBLE) * filled / rows, 1) AS filled_pct, has_en, has_lc
+    FROM ({SOURCE_LEVELS_SQL}) l WHERE level <=
+    (SELECT coalesce(max(d.level), 0) FROM ({SOURCE_LEVELS_SQL}) d WHERE d.file = l.file AND d.filled > 0)""",
+)
+def level_list_of_sources(spark, folder):
+    return source_profile(source_files(spark, folder)).select("file", F.inline("admin_levels"))
+
+
 @query(
     "source_cells",
     " UNION ALL ".join(
@@ -330,9 +341,8 @@ def catalog_records(spark, folder):
 
 @query("catalog_build", ENTRIES_SQL)
 def catalog_build(spark, folder):
-    built = build_entries(
-        master(spark, folder), dimensions(spark, folder), ORDER, fresh_path(spark, "build")
-    )
+    stored = settle(master(spark, folder), "master")
+    built = build_entries(stored, dimensions(spark, folder), ORDER, fresh_path(spark, "build"))
     return flat(built)
 
 

@@ -14,7 +14,7 @@ from placebook.session import settle
 ROWS_PER_FILE = 50_000
 
 
-def _quoted(c: Column) -> Column:
+def quoted(c: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
@@ -26,7 +26,7 @@ def field_text(field: T.StructField) -> Column:
     elif isinstance(field.dataType, T.NumericType):
         text = c.cast("string")
     else:
-        text = _quoted(c.cast("string"))
+        text = quoted(c.cast("string"))
     return F.coalesce(text, F.lit('""'))
 
 
@@ -47,7 +47,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     line = csv_line(df)
     head = F.concat(F.lit(csv_header(df.columns) + "\n"), line)
-    df.select(F.when(in_task == 0, head).otherwise(line).alias("value")).write.mode(mode).text(path)
+    lines = df.select(F.when(in_task == 0, head).otherwise(line).alias("value"))
+    lines.write.mode(mode).option("maxRecordsPerFile", 0).text(path)
 
 
 def write_csv_groups(
@@ -81,6 +82,7 @@ def write_csv_groups(
     )
     body = F.array_join(F.transform("_entries", lambda x: x["_line"]), "\n")
     text = F.concat(F.lit(csv_header(columns) + "\n"), body)
-    files.select(text.alias("value"), "group", "slice").write.mode(mode).partitionBy(
-        "group", "slice"
-    ).text(path)
+    # One slice, one row, one file. Overwriting replaces the whole folder of a group,
+    # also when it has fewer slices than before.
+    writer = files.select(text.alias("value"), "group").write.mode(mode)
+    writer.options(maxRecordsPerFile=1, partitionOverwriteMode="dynamic").partitionBy("group").text(path)

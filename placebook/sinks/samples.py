@@ -7,9 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from placebook.functions.scalars import base_name
 from placebook.operators.ranking import first_per_group
+from placebook.operators.source_profile import unique_headers
 from placebook.schema import COLUMNS, GROUP, SAMPLE_ROWS
-from placebook.sinks.delimited import csv_header, csv_line, write_csv_groups
+from placebook.sinks.delimited import csv_header, csv_line, quoted, write_csv_groups
+from placebook.sources.delimited import SourceFiles
 
 
 def sample_rows(
@@ -43,3 +46,35 @@ def write_samples(
 ) -> None:
     """One file per group, rows in ``order``."""
     write_csv_groups(samples, path, group, order, columns, mode)
+
+
+def source_samples(source: SourceFiles, n: int = SAMPLE_ROWS) -> DataFrame:
+    """(file, position, header, line): the first rows of source files as CSV lines.
+
+    Everything is text there. Short rows are filled up to the length of the header.
+    """
+    names = F.transform(
+        F.array_sort(F.collect_list(F.struct("ordinal", "header"))), lambda x: x.header
+    )
+    heads = unique_headers(source.headers).groupBy("file").agg(names.alias("names"))
+    first = first_per_group(source.records, ["file"], ["block", "row"], n, rank="position")
+    joined = lambda values: F.array_join(F.transform(values, quoted), ",")
+    fields = F.transform("names", lambda _, i: F.coalesce(F.get("fields", i), F.lit("")))
+    return first.join(heads, "file").select(
+        "file", "position", joined(F.col("names")).alias("header"), joined(fields).alias("line")
+    )
+
+
+def source_sample_sizes(samples: DataFrame) -> DataFrame:
+    """(file, bytes, rows) of the files :func:`write_source_samples` makes."""
+    size = F.sum(F.octet_length("line") + 1) + F.max(F.octet_length("header")) + 1
+    return samples.groupBy("file").agg(size.alias("bytes"), F.count("*").alias("rows"))
+
+
+def write_source_samples(samples: DataFrame, path: str, mode: str = "error") -> None:
+    """One file per source, in a folder named after the source file."""
+    ordered = F.array_sort(F.collect_list(F.struct("position", "line")))
+    body = F.array_join(F.transform(ordered, lambda x: x.line), "\n")
+    files = samples.groupBy(base_name("file").alias("group"), "header").agg(body.alias("body"))
+    text = F.concat("header", F.lit("\n"), "body")
+    files.select(text.alias("value"), "group").write.mode(mode).partitionBy("group").text(path)

@@ -57,13 +57,11 @@ def _check(view_name: str, fmt: str = "parquet") -> None:
 
 def view_files(spark: SparkSession, path: str) -> DataFrame:
     """(view, group, bytes, modified) of a materialized folder, from its listing."""
-    files = read_files(spark, path, "*.parquet")
+    files = read_files(spark, path, "part-*")
+    part = lambda name: F.url_decode(F.regexp_extract("path", rf"/{name}=([^/]*)/", 1))
     return (
         files.select(
-            F.url_decode(F.regexp_extract("path", rf"/{VIEW_FOLDER}=([^/]*)/", 1)).alias(VIEW_FOLDER),
-            F.url_decode(F.regexp_extract("path", rf"/{GROUP_FOLDER}=([^/]*)/", 1)).alias(GROUP_FOLDER),
-            "bytes",
-            "modified",
+            part(VIEW_FOLDER).alias(VIEW_FOLDER), part(GROUP_FOLDER).alias(GROUP_FOLDER), "bytes", "modified"
         )
         .groupBy(VIEW_FOLDER, GROUP_FOLDER)
         .agg(F.sum("bytes").alias("bytes"), F.min("modified").alias("modified"))
@@ -94,31 +92,40 @@ def refresh_views(
     source: str,
     path: str,
     views: Sequence[str] = tuple(VIEWS),
+    fmt: str = "parquet",
     group: str = GROUP,
 ) -> DataFrame:
     """Bring a materialized folder up to date and return what was stale.
 
+    ``fmt`` is parquet or csv; sheets have no writer here, see :func:`sheet_rows`.
     Only stale groups are read and only their folders are replaced; the commit of
     each write is atomic for its reader. Pairs already up to date stay untouched.
     """
     for name in views:
-        _check(name)
+        _check(name, fmt)
+    if fmt == "xlsx":
+        raise ValueError("sheets are not written; see sheet_rows")
     df = spark.read.parquet(source)
     modified = read_files(spark, source, "*.parquet").agg(F.max("modified")).first()[0]
     groups = df.select(group).where(F.col(group).isNotNull()).distinct()
     outputs = view_files(spark, path) if _exists(spark, path) else None
     report = settle(staleness(groups, outputs, modified, views), "staleness")
     due = report.where("stale")
+    # At most one round per view; all groups of a view are one job.
     for name in [r[0] for r in due.select(VIEW_FOLDER).distinct().collect()]:
         behind = due.where(F.col(VIEW_FOLDER) == name).select(F.col(GROUP_FOLDER).alias(group))
-        write_views(df.join(behind, group, "left_semi").select(*df.columns), path, [name], group, "overwrite")
+        rows = df.join(behind, group, "left_semi").select(*df.columns)
+        if fmt == "csv":
+            export_csv(rows, path, name, group, "overwrite")
+        else:
+            write_views(rows, path, [name], group, "overwrite")
     return report
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     try:
-        return not files.option("pathGlobFilter", "*.parquet").load(path).select("path").isEmpty()
+        return not files.option("pathGlobFilter", "part-*").load(path).select("path").isEmpty()
     except Exception as error:  # the folder itself may be missing
         if "PATH_NOT_FOUND" in str(error):
             return False
@@ -153,7 +160,7 @@ def sheet_rows(
 def export_csv(
     df: DataFrame, path: str, name: str = ALL_ROWS, group: str = GROUP, mode: str = "error"
 ) -> None:
-    """A view as text-safe CSV, one folder per group."""
+    """A view as text-safe CSV, with folders per view and group as for Parquet."""
     _check(name, "csv")
     out = view(df, name, group).where(F.col(group).isNotNull())
-    write_csv_groups(out, path, group, mode=mode, sized_by=df)
+    write_csv_groups(out, f"{path}/{VIEW_FOLDER}={name}", group, mode=mode, sized_by=df)

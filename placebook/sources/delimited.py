@@ -42,8 +42,24 @@ def _reader(spark: SparkSession, sep: str, encoding: str, multi_line: bool):
 
 
 def header_of(spark: SparkSession, path, sep=",", encoding="UTF-8", multi_line=True) -> list[str]:
-    names = _reader(spark, sep, encoding, multi_line).option("header", True).csv(path).columns
-    return [names[0].lstrip(BOM), *names[1:]] if names else names
+    """The header of files of one template. A name repeated letter by letter gets
+    ``.1``, ``.2`` … on its later copies."""
+    first = _reader(spark, sep, encoding, multi_line).csv(path).first()
+    names = [n or "" for n in first] if first else []
+    if names:
+        names[0] = names[0].lstrip(BOM)
+    seen: dict[str, int] = {}
+    out = []
+    for n in names:
+        out.append(f"{n}.{seen[n]}" if n in seen else n)
+        seen[n] = seen.get(n, 0) + 1
+    return out
+
+
+def _positions(count: int, *extra: str) -> T.StructType:
+    """Columns by position: names out of a header may differ in case only."""
+    names = [*(f"_{i}" for i in range(count)), *extra]
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
 def read_text_csv(
@@ -55,9 +71,8 @@ def read_text_csv(
     split large files that are known to hold no line breaks inside quotes.
     """
     columns = columns or header_of(spark, path, multi_line=multi_line)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    rows = _reader(spark, ",", "UTF-8", multi_line).option("header", True).schema(schema).csv(path)
-    return rows.fillna("")
+    reader = _reader(spark, ",", "UTF-8", multi_line).option("header", True)
+    return reader.schema(_positions(len(columns))).csv(path).fillna("").toDF(*columns)
 
 
 def field_count(record: Column, sep: str) -> Column:
@@ -83,34 +98,30 @@ def read_dialect_csv(
     """
     columns = columns or header_of(spark, path, sep, encoding, multi_line)
     surplus = "_surplus"
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, surplus, CORRUPT]])
     rows = (
         _reader(spark, sep, encoding, multi_line)
         .options(header=True, enforceSchema=True, columnNameOfCorruptRecord=CORRUPT)
-        .schema(schema)
+        .schema(_positions(len(columns), surplus, CORRUPT))
         .csv(path)
     )
     # An empty field is '', one that the row does not have is null.
     present = field_count(F.col(CORRUPT), sep or ",")
     fits = F.col(CORRUPT).isNotNull() & F.col(surplus).isNull() & (present <= len(columns))
-    values = [
-        F.when(present > i, F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c)
-        for i, c in enumerate(columns)
-    ]
-    return rows.where(fits).select(*values)
+    values = [F.when(present > i, F.coalesce(f"_{i}", F.lit(""))) for i in range(len(columns))]
+    return rows.where(fits).select(*values).toDF(*columns)
 
 
 class SourceFiles(NamedTuple):
     """Files read together although their headers differ."""
 
     headers: DataFrame  # (file, ordinal, header)
-    records: DataFrame  # (file, row, fields), rows counted up within a file
+    records: DataFrame  # (file, block, row, fields), in file order by block and row
 
 
 def read_source_files(
     spark: SparkSession,
     dialects: dict[tuple[str, str], list[str]],
-    width: int = 256,
+    width: int = 64,
     multi_line: bool = True,
     source_of: Callable[[Column], Column] | None = None,
 ) -> SourceFiles:
@@ -128,24 +139,27 @@ def read_source_files(
     widest = heads.agg(F.max("_size")).first()[0]
     if widest and widest > width:
         return read_source_files(spark, dialects, widest, multi_line, source_of)
+    is_header = (F.col("block") == 0) & (F.col("row") == F.col("_row"))
     kept = records.join(heads.drop("_headers"), F.col("file") == F.col("_file")).where(
-        (F.col("size") <= F.col("_size")) & (F.col("row") > F.col("_row"))
+        (F.col("size") <= F.col("_size")) & ~is_header
     )
     named = source_of or (lambda path: path)
     headers = heads.select(
         named(F.col("_file")).alias("file"), F.posexplode("_headers").alias("ordinal", "header")
     ).withColumn("header", F.ltrim("header", F.lit(BOM)))
     numbered = kept.select(
-        named(F.col("file")).alias("file"), (F.col("row") - F.col("_row")).alias("row"), "fields"
+        named(F.col("file")).alias("file"), "block", "row", "fields"
     )
     return SourceFiles(headers.distinct() if source_of else headers, numbered)
 
 
 def cells(source: SourceFiles) -> DataFrame:
-    """Long form: (file, row, ordinal, header, value)."""
-    values = source.records.select("file", "row", F.posexplode("fields").alias("ordinal", "value"))
+    """Long form: (file, block, row, ordinal, header, value)."""
+    values = source.records.select(
+        "file", "block", "row", F.posexplode("fields").alias("ordinal", "value")
+    )
     return values.join(source.headers, ["file", "ordinal"]).select(
-        "file", "row", "ordinal", "header", "value"
+        "file", "block", "row", "ordinal", "header", "value"
     )
 
 
@@ -159,17 +173,17 @@ def _scan_all(spark, dialects, width, multi_line) -> DataFrame:
 
 def _records(spark, paths, encoding, sep, width, multi_line) -> DataFrame:
     names = [f"_{i}" for i in range(width)]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
     rows = (
         _reader(spark, sep, encoding, multi_line)
         .options(header=False, columnNameOfCorruptRecord=CORRUPT)
-        .schema(schema)
+        .schema(_positions(width, CORRUPT))
         .csv(paths)
     )
     size = F.coalesce(field_count(F.col(CORRUPT), sep or ","), F.lit(width))
     fields = F.array(*(F.coalesce(F.col(c), F.lit("")) for c in names))
     return rows.select(
         F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
         size.alias("size"),
         F.slice(fields, 1, F.least(size, F.lit(width))).alias("fields"),
@@ -177,8 +191,11 @@ def _records(spark, paths, encoding, sep, width, multi_line) -> DataFrame:
 
 
 def _heads(records: DataFrame) -> DataFrame:
-    """A file's header is its first record; row numbers rise with the position."""
-    first = records.groupBy("file").agg(
+    """A file's header is its first record; row numbers rise with the position.
+
+    Only the block a file begins with is looked at.
+    """
+    first = records.where(F.col("block") == 0).groupBy("file").agg(
         F.min_by(F.struct("row", "size", "fields"), "row").alias("head")
     )
     return first.select(

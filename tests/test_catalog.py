@@ -42,12 +42,7 @@ def built(spark, tmp_path_factory):
         table(spark, "country_iso2 string, language string, name_lc string", ("QA", "ar", "Q-lc"), ("FR", "fr", "F-lc")),
     )
     listing = read_files(spark, str(folder), "SRC_*")
-    statuses = C.base_entries(dims, table(spark, "country_iso2 string, rows bigint, admin_depth int, admin_levels string, coord_coverage_pct double, has_place_name boolean, postal_code_example string, region_1_iso_coverage_pct double, country_iso3 string, country_en string, country_lc string, continent_code string, continent_name string", *[(g, 1, 0, "", 0.0, False, "", 0.0, "", "", "", "", "") for g in ("FR", "MX")]))
-    raw = RawFiles(
-        read_source_files(spark, {("UTF-8", ","): [str(raw_path)]}),
-        C.raw_file_table(statuses, listing),
-        table(spark, "iso2 string, bytes bigint, rows bigint", ("QA", 37, 1)),
-    )
+    raw = RawFiles(read_source_files(spark, {("UTF-8", ","): [str(raw_path)]}), listing)
     entries = build_entries(master, dims, ["n"], str(folder / "out"), raw)
     return folder, dims, entries
 
@@ -64,6 +59,9 @@ def test_entries_choose_by_status(built):
     qa = e["QA"]
     assert (qa.status, qa.name_en, qa.name_lc, qa.rows, qa.admin_depth) == ("delivered_no_data", "Qatar", "Q-lc", 0, 1)
     assert qa.files_are_source and set(qa.files) == {"csv", "xlsx"} and qa.files["csv"].name == "SRC_QA.csv" and qa.files["csv"].raw
+    assert (qa.sample_csv.rows, qa.sample_csv.bytes) == (1, len('"place_name","latitude","region_1"\n"p","1","x"\n'))
+    sample = next((built[0] / "out" / "source_samples").rglob("part-*")).read_text()
+    assert sample == '"place_name","latitude","region_1"\n"p","1","x"\n'
     assert qa.source_columns == ["place_name", "latitude", "region_1"] and qa.coord_coverage_pct == 100.0
     assert e["XX"].name_en == "XX"
 

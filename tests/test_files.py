@@ -43,11 +43,13 @@ def test_grouped_csv_splits_hot_groups_and_repeats_the_header(spark, tmp_path):
     df = spark.createDataFrame(rows, "g string, v string").repartition(8)
     path = str(tmp_path / "out")
     write_csv_groups(df, path, "g", rows_per_file=100)
-    files = glob.glob(f"{path}/group=hot/*/part-*")
+    files = glob.glob(f"{path}/group=hot/part-*")
     assert len(files) > 1
     assert all(open(f).readline() == '"g","v"\n' for f in files)
     found = sorted(tuple(r) for r in read_text_csv(spark, path, ["g", "v"]).collect())
     assert found == sorted(rows)
+    write_csv_groups(df.where("g = 'hot'").limit(50), path, "g", mode="overwrite", rows_per_file=100)
+    assert len(glob.glob(f"{path}/group=hot/part-*")) == 1 and len(glob.glob(f"{path}/group=small/part-*")) == 1
 
 
 RAGGED = "id;name;seg\n1;a;x\n2;b\n3;c;x;extra\n4;d;x;;\n5;\"q;\"\"r\"\"\";\n6;é;NA\n\n7;e;x;\n"
@@ -188,3 +190,22 @@ def test_documents(spark, tmp_path):
     listing = read_listing(spark, str(tmp_path / "p")).orderBy("position")
     assert [r.id for r in listing.collect()] == ["x", "y", "z"]
     assert listing.where(F.col("name") == "FR.csv").count() == 2
+
+
+def test_csv_views_refresh_too(spark, tmp_path):
+    source, out = str(tmp_path / "master"), str(tmp_path / "csv")
+    canonical(spark, ROWS).write.parquet(source)
+    assert {r.stale for r in V.refresh_views(spark, source, out, fmt="csv").collect()} == {True}
+    assert {r.stale for r in V.refresh_views(spark, source, out, fmt="csv").collect()} == {False}
+    rows = read_text_csv(spark, f"{out}/view=postal_codes/group=NA", COLUMNS).collect()
+    assert [(r.country_iso2, r.postal_code, r.place_name) for r in rows] == [("NA", "01067", "")]
+    with pytest.raises(ValueError):
+        V.refresh_views(spark, source, out, fmt="pdf")
+
+
+def test_headers_that_differ_in_case_only(spark, tmp_path):
+    path = tmp_path / "f.csv"
+    path.write_text("\ufeffA,a,A\n1,2,3\n4\n", encoding="utf-8")
+    df = read_dialect_csv(spark, str(path))
+    assert df.columns == ["A", "a", "A.1"]
+    assert sorted(tuple(r) for r in df.collect()) == [("1", "2", "3"), ("4", None, None)]
