@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placebook.functions.scalars import base_name, whole_number
-from placebook.operators.ranking import earliest
 from placebook.schema import FILE_ENTRY, GROUP, LEVEL_ENTRY, entry_type
 
 COVERED, NO_DATA = "covered", "delivered_no_data"
@@ -197,13 +196,13 @@ def all_entries(covered: DataFrame, raw: DataFrame, samples: DataFrame) -> DataF
     )
 
 
-def catalog_totals(entries: DataFrame) -> DataFrame:
-    """One row of grand totals. Continents count covered groups only, dates count all."""
+def total_aggregates() -> list[Column]:
+    """Grand totals. Continents count covered groups only, dates count all."""
     covered = F.col("status") == COVERED
     continent = F.when(covered & (F.coalesce("continent_name", F.lit("")) != ""), F.col("continent_name"))
     parquet = F.coalesce(F.element_at("files", "parquet")["bytes"], F.lit(0))
     sample = F.coalesce("sample_csv.bytes", F.lit(0))
-    return entries.agg(
+    return [
         F.count_if(covered).alias("countries"),
         F.count("*").alias("countries_with_files"),
         F.count_if(~covered).alias("delivered_no_data"),
@@ -214,7 +213,12 @@ def catalog_totals(entries: DataFrame) -> DataFrame:
             F.coalesce(F.sum(F.when(covered, parquet)), F.lit(0)).alias("parquet"),
             F.coalesce(F.sum(sample), F.lit(0)).alias("sample_csv"),
         ).alias("download_bytes"),
-    )
+    ]
+
+
+def catalog_totals(entries: DataFrame) -> DataFrame:
+    """One row of grand totals."""
+    return entries.agg(*total_aggregates())
 
 
 def by_name(entries: DataFrame) -> DataFrame:
@@ -222,13 +226,6 @@ def by_name(entries: DataFrame) -> DataFrame:
     return entries.orderBy("name_en", "iso2")
 
 
-def first_row_attributes(
-    df: DataFrame, order: Sequence[str], attributes: Sequence[str], group: str = GROUP
-) -> DataFrame:
-    """Attributes of each group's first row, nulls included."""
-    return df.groupBy(group).agg(earliest(attributes, order).alias("_first")).select(group, "_first.*")
-
-
 def raw_file_table(entries: DataFrame, listing: DataFrame, formats: Sequence[str] = ("csv", "xlsx")) -> DataFrame:
     """(iso2, fmt, bytes, name): the source file of each group without rows, and its
     siblings of the same name in other formats, out of a file listing."""
@@ -238,4 +235,5 @@ def raw_file_table(entries: DataFrame, listing: DataFrame, formats: Sequence[str
         "name", "bytes", stem("name").alias("_stem"), F.regexp_extract("name", r"\.([^.]*)$", 1).alias("fmt")
     )
     found = wanted.join(files.where(F.col("fmt").isin(list(formats))), "_stem")
-    return found.select("iso2", "fmt", "bytes", "name")
+    one = found.groupBy("iso2", "fmt").agg(F.max(F.struct("name", "bytes")).alias("file"))
+    return one.select("iso2", "fmt", "file.bytes", "file.name")

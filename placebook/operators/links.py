@@ -81,4 +81,5 @@ def link_summary(covered: DataFrame, links: DataFrame, classified: DataFrame) ->
         F.count_if(F.col("bucket") == UNMATCHED).alias("ignored_name"),
         F.count_if(F.col("bucket") == UNKNOWN).alias("ignored_group"),
     )
-    return groups.crossJoin(files)
+    both = groups.unionByName(files, allowMissingColumns=True)
+    return both.agg(*(F.sum(c).alias(c) for c in both.columns))

@@ -135,6 +135,42 @@ def coverage(
     )
 
 
+def _opening(
+    candidates: DataFrame, order: Sequence[str], group: str, attributes: Sequence[str], example: str
+) -> DataFrame:
+    found = candidates.groupBy(group).agg(
+        earliest(attributes, order).alias("_first"),
+        earliest([example], order, F.col(example).isNotNull()).alias("_example"),
+    )
+    return found.select(
+        group, "_first.*", F.col(f"_example.{example}").alias(f"{example}_example")
+    )
+
+
+def _bounds(lead: str, example: str) -> list[Column]:
+    return [F.col(lead), F.when(F.col(example).isNotNull(), F.col(lead))]
+
+
+def _within(df: DataFrame, bounds: DataFrame, lead: str, group: str) -> DataFrame:
+    """The rows that carry one of their group's two smallest leading values, or none
+    at all: nulls come first in the order."""
+    wanted = bounds.select(F.col(group).alias("_group"), "_bound_0", "_bound_1")
+    return df.join(
+        wanted,
+        (F.col(group) == F.col("_group"))
+        & (
+            F.col(lead).isNull()
+            | (F.col(lead) == F.col("_bound_0"))
+            | (F.col(lead) == F.col("_bound_1"))
+        ),
+        "left_semi",
+    )
+
+
+def _fixed_width(df: DataFrame, c: str) -> bool:
+    return isinstance(df.schema[c].dataType, (T.NumericType, T.DateType, T.TimestampType))
+
+
 def opening_values(
     df: DataFrame,
     order: Sequence[str],
@@ -144,15 +180,22 @@ def opening_values(
 ) -> DataFrame:
     """Attributes of each group's first row, and its first non-null example.
 
-    One pass with string state, so Spark sorts each task's rows by group.
+    Keeping text as aggregate state would make Spark sort every row by group. So
+    the smallest leading order value per group is found first, which only hashes;
+    the few rows that carry it are then ranked by the full order. A leading column
+    of text has no fixed width and takes the sorting way.
     """
-    found = df.groupBy(group).agg(
-        earliest(attributes, order).alias("_first"),
-        earliest([example], order, F.col(example).isNotNull()).alias("_example"),
-    )
-    return found.select(
-        group, "_first.*", F.col(f"_example.{example}").alias(f"{example}_example")
+    lead = order[0]
+    present = df.where(F.col(group).isNotNull())
+    needed = list(dict.fromkeys([group, *order, *attributes, example]))
+    if not _fixed_width(df, lead):
+        return _opening(present.select(*needed), order, group, attributes, example)
+    first, with_example = _bounds(lead, example)
+    bounds = present.groupBy(group).agg(
+        F.min(first).alias("_bound_0"), F.min(with_example).alias("_bound_1")
     )
+    near = _within(present.select(*needed), settle(bounds, "bounds"), lead, group)
+    return _opening(near, order, group, attributes, example)
 
 
 def profile(
@@ -166,29 +209,18 @@ def profile(
 ) -> DataFrame:
     """:func:`coverage` and :func:`opening_values` together, one row per group.
 
-    Nothing large is sorted. The counting pass also takes the smallest leading
-    order value per group (with and without an example); the settled result then
-    picks out the few rows carrying one of those two values, and only they are
-    ranked by the full order.
+    The counting pass finds the leading order values as well, so two passes do.
     """
     lead = order[0]
-    if isinstance(df.schema[lead].dataType, (T.StringType, T.BinaryType)):
-        return coverage(df, group, levels, **columns).join(
-            opening_values(df, order, group, attributes, example), group
+    present = df.where(F.col(group).isNotNull())
+    if not _fixed_width(df, lead):
+        return coverage(present, group, levels, **columns).join(
+            opening_values(present, order, group, attributes, example), group
         )
-    bounds = [F.col(lead), F.when(F.col(example).isNotNull(), F.col(lead))]
-    counted = settle(
-        coverage(df.where(F.col(group).isNotNull()), group, levels, bounds=bounds, **columns),
-        "profile",
-    )
-    wanted = counted.select(F.col(group).alias("_group"), "_bound_0", "_bound_1")
+    bounds = _bounds(lead, example)
+    counted = settle(coverage(present, group, levels, bounds=bounds, **columns), "profile")
     needed = list(dict.fromkeys([group, *order, *attributes, example]))
-    candidates = df.select(*needed).join(
-        wanted,
-        (F.col(group) == F.col("_group"))
-        & ((F.col(lead) == F.col("_bound_0")) | (F.col(lead) == F.col("_bound_1"))),
-        "left_semi",
-    )
+    near = _within(present.select(*needed), counted, lead, group)
     return counted.drop("_bound_0", "_bound_1").join(
-        opening_values(candidates, order, group, attributes, example), group
+        _opening(near, order, group, attributes, example), group
     )

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placebook.session import settle
+
 RANK = "_rank"
 LANE = "_lane"
+BOUND = "_bound"
 
 
 def first_per_group(
@@ -41,6 +45,25 @@ def first_per_group(
     return out if rank else out.drop(RANK)
 
 
+def first_per_group_wide(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], n: int, lanes: int = 64
+) -> DataFrame:
+    """The same for wide rows: only groups and order columns are sorted.
+
+    They give, per group, the last leading order value still among the first ``n``.
+    Whole rows are then read up to that value, and the few there are get ranked.
+    """
+    lead = order[0]
+    keys = first_per_group(df.select(*group, *order), group, order, n, lanes=lanes)
+    bounds = settle(keys.groupBy(*group).agg(F.max(lead).alias(BOUND)), "bounds")
+    renamed = bounds.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), BOUND)
+    same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
+    # Nulls sort first, so they are always within the bound.
+    within = F.col(lead).isNull() | (F.col(lead) <= F.col(BOUND))
+    near = df.join(renamed, reduce(lambda a, b: a & b, [*same, within]), "left_semi")
+    return first_per_group(near, group, order, n, lanes=1)
+
+
 def earliest(attributes: Sequence[str], order: Sequence[str], where: Column | None = None) -> Column:
     """Aggregate: the attributes of the first row, all taken from that same row."""
     row = F.struct(*attributes)
@@ -54,7 +77,3 @@ def first_occurrences(df: DataFrame, key: Column, position: str, alias: str) ->
     """Each key once, at the place where it first came up."""
     return df.groupBy(key.alias(alias)).agg(F.min(position).alias(position))
 
-
-def distinct_in_order(items: Column) -> Column:
-    """The same rule for an array held in one row."""
-    return F.array_distinct(items)

@@ -123,30 +123,30 @@ def manifest(chosen: DataFrame, fmt: str, view: str = ALL_ROWS) -> DataFrame:
     )
 
 
-def manifest_totals(lines: DataFrame, fmt: str) -> DataFrame:
-    """Header figures of a bundle. At most :data:`BUNDLE_MAX` groups are listed."""
+def _totals(fmt: str) -> list[Column]:
     by_position = F.array_sort(F.collect_list(F.when(F.col("raw"), F.struct("position", "iso2"))))
-    return lines.agg(
+    return [
         F.count("*").alias("groups"),
         F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
         F.array_join(F.transform(by_position, lambda x: x.iso2), ", ").alias("raw_groups"),
         F.lit(fmt == "csv").alias("csv_warning"),
-    )
+    ]
+
+
+def manifest_totals(lines: DataFrame, fmt: str) -> DataFrame:
+    """Header figures of a bundle. At most :data:`BUNDLE_MAX` groups are listed."""
+    return lines.agg(*_totals(fmt))
 
 
 def manifest_text(lines: DataFrame, fmt: str, view: str, generated_at: str) -> DataFrame:
     """The manifest as one text, laid out in fixed columns."""
-    totals = manifest_totals(lines, fmt)
     line = F.concat(
         F.format_string("%-6s%-28s%,10d  %-13s%s", "iso2", "file", "rows", "last_updated", "source_file"),
         F.when(F.col("raw"), F.lit("   [RAW SOURCE]")).otherwise(F.lit("")),
     )
-    body = lines.agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("position", line.alias("line")))), lambda x: x.line
-        ).alias("body")
-    )
+    in_order = F.array_sort(F.collect_list(F.struct("position", line.alias("line"))))
+    body = F.transform(in_order, lambda x: x.line).alias("body")
     shown = fmt if view == ALL_ROWS else f"{fmt} ({view})"
     head = F.array(
         F.lit("Bundle manifest"),
@@ -174,6 +174,6 @@ def manifest_text(lines: DataFrame, fmt: str, view: str, generated_at: str) -> D
             F.lit("CSV: import code columns as text, or a spreadsheet drops their leading zeros."),
         ),
     ).otherwise(F.array().cast("array<string>"))
-    return totals.crossJoin(body).select(
+    return lines.agg(*_totals(fmt), body).select(
         F.concat(F.array_join(F.concat(head, "body", raw_note, csv_note), "\n"), F.lit("\n")).alias("text")
     )

@@ -10,7 +10,6 @@ from placebook.operators import listing as B
 from placebook.operators import profile as P
 from placebook.operators import requests as R
 from placebook.operators.consensus import distinct_counts
-from placebook.operators.ranking import distinct_in_order
 from placebook.operators.upstream import with_code
 from placebook.plans.dimensions import dimension_sql, dimensions
 from placebook.plans.places import CODE, ORDER, delivered, table
@@ -257,13 +256,18 @@ def selected_codes(spark, folder):
     return R.selected_codes(requested(spark, folder))
 
 
-@query("distinct_in_order", """SELECT o_custkey, string_agg(o_orderpriority, '|' ORDER BY seen) AS priorities FROM
-    (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS seen FROM orders GROUP BY 1, 2) GROUP BY 1""")
+@query(
+    "first_occurrences",
+    """SELECT o_custkey, string_agg(o_orderpriority, '|' ORDER BY seen) AS priorities FROM
+    (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS seen FROM orders GROUP BY 1, 2) GROUP BY 1""",
+)
 def priorities_in_order(spark, folder):
-    pairs = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority")))
-    listed = table(spark, folder, "orders").groupBy("o_custkey").agg(pairs.alias("listed"))
-    values = F.transform("listed", lambda x: x.o_orderpriority)
-    return listed.select("o_custkey", F.array_join(distinct_in_order(values), "|").alias("priorities"))
+    orders = table(spark, folder, "orders")
+    # Repeats go before anything is listed, so a list holds each value once.
+    firsts = orders.groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("seen"))
+    listed = F.array_sort(F.collect_list(F.struct("seen", "o_orderpriority")))
+    values = F.transform(listed, lambda x: x.o_orderpriority)
+    return firsts.groupBy("o_custkey").agg(F.array_join(values, "|").alias("priorities"))
 
 
 @query(
@@ -480,9 +484,10 @@ FEATURES = """SELECT CASE WHEN c_custkey % 5 <> 0 THEN lpad(CAST(c_nationkey * 4
 ALIASES = {"N. Alias": "CC"}
 
 
-def features(spark, folder):
+def features(spark, folder, *extra):
+    text = FEATURES.replace("SELECT", f"SELECT {', '.join([*extra, ''])}", 1)
     return spark.sql(
-        FEATURES.replace("FROM customer", "FROM {customer}"), customer=table(spark, folder, "customer")
+        text.replace("FROM customer", "FROM {customer}"), customer=table(spark, folder, "customer")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placebook.operators import upstream as U
-from placebook.operators.consensus import view
+from placebook.operators.consensus import distinct_keys
 from placebook.operators.source_profile import source_levels, source_profile
 from placebook.plans.build import build_entries
 from placebook.plans.catalog_queries import (
@@ -19,10 +19,10 @@ from placebook.plans.catalog_queries import (
     master,
 )
 from placebook.plans.dimensions import dimension_sql, dimensions
-from placebook.plans.places import CODE, ORDER, delivered, places, spread, table
+from placebook.plans.places import CODE, ORDER, delivered, places, table
 from placebook.plans.registry import query, says
 from placebook.plans.table_queries import consensus_sql, percent_sql
-from placebook.schema import COLUMNS, GROUP, NUMERIC_COLUMNS, TEXT_COLUMNS, VIEW_KEYS, VIEWS
+from placebook.schema import COLUMNS, GROUP, NUMERIC_COLUMNS, TEXT_COLUMNS, VIEW_KEYS
 from placebook.session import fresh_path, settle
 from placebook.sinks import views as V
 from placebook.sinks.catalog import write_document, write_records
@@ -350,9 +350,12 @@ def catalog_build(spark, folder):
 def feature_documents(spark, folder):
     path = fresh_path(spark, "features")
     # A thousand features per document, so that no document outgrows a task.
-    page = F.floor(F.xxhash64("name") / F.lit(2**50))
     geometry = F.struct("id", F.struct("name").alias("properties"))
-    documents = features(spark, folder).groupBy(page).agg(F.collect_list(geometry).alias("geometries"))
+    documents = (
+        features(spark, folder, "c_custkey")
+        .groupBy(F.floor(F.col("c_custkey") / 1000))
+        .agg(F.collect_list(geometry).alias("geometries"))
+    )
     documents.select(
         F.struct(F.struct("geometries").alias("countries")).alias("objects")
     ).write.json(path)
@@ -457,16 +460,11 @@ def backfilled_names(spark, folder):
     count(*) AS rows FROM places GROUP BY ALL""",
 )
 def backfilled_region_codes(spark, folder):
-    brands = table(spark, folder, "part").select(F.col("p_brand").alias("region_1_en")).distinct()
-    groups = spark.sql(
-        f"SELECT {CODE} AS country_iso2 FROM {{nation}}", nation=table(spark, folder, "nation")
-    )
-    # Every brand is a region in every group here; both tables are dimensions.
-    regions = groups.withColumn("_one", F.lit(1)).join(brands.withColumn("_one", F.lit(1)), "_one").select(
-        "country_iso2", "region_1_en",
-        F.concat("country_iso2", F.lit("-R"), F.substr("region_1_en", F.lit(7))).alias("region_1_iso_code"),
-    )
-    regions = regions.where(F.col("region_1_en").startswith("Brand#1"))
+    # The dimension: the regions that occur, some of them with a code.
+    named = distinct_keys(places(spark, folder), ["region_1_en"], [GROUP])
+    code = F.concat(GROUP, F.lit("-R"), F.substr("region_1_en", F.lit(7)))
+    regions = named.where(F.col("region_1_en").startswith("Brand#1")).withColumn("region_1_iso_code", code)
+    regions = settle(regions, "regions")
     filled = U.with_region_code(places(spark, folder), regions)
     return filled.groupBy(GROUP, "region_1_en", "region_1_iso_code").agg(F.count("*").alias("rows"))
 

@@ -8,7 +8,6 @@ from placebook.functions.scalars import bin_label, bin_of
 from placebook.operators import consensus as K
 from placebook.operators import profile as P
 from placebook.operators import search as S
-from placebook.operators.catalog import first_row_attributes
 from placebook.operators.ranking import first_per_group
 from placebook.plans.places import ORDER, places, table
 from placebook.plans.registry import query, says, text
@@ -21,7 +20,7 @@ from placebook.schema import (
     SEARCH_COLUMNS,
     VIEW_KEYS,
 )
-from placebook.session import fresh_path, settle
+from placebook.session import settle
 from placebook.sinks.samples import sample_rows
 from placebook.sources.tables import read_columns, read_group
 
@@ -169,7 +168,7 @@ def opening_values(spark, folder):
 
 @query("group_attributes", f"SELECT * EXCLUDE (postal_code_example) FROM ({opening_sql()})")
 def group_attributes(spark, folder):
-    return first_row_attributes(places(spark, folder), ORDER, P.ATTRIBUTES)
+    return P.opening_values(places(spark, folder), ORDER).drop("postal_code_example")
 
 
 @query(

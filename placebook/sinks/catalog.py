@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placebook.operators.catalog import catalog_totals
+from placebook.operators.catalog import total_aggregates
 
 # One document is one row. Beyond this many groups only the record form is written.
 DOCUMENT_LIMIT = 10_000
@@ -28,13 +28,14 @@ def document(entries: DataFrame, generated_at: str) -> DataFrame:
         .when(a.iso2 > b.iso2, 1)
         .otherwise(0)
     )
-    countries = entries.agg(
-        F.array_sort(F.collect_list(F.struct(*entries.columns)), by_name).alias("countries")
-    )
-    totals = catalog_totals(entries)
-    totals = totals.select(F.struct(*totals.columns).alias("totals"))
-    return totals.crossJoin(countries).select(
-        F.lit(generated_at).alias("generated_at"), "totals", "countries"
+    totals = total_aggregates()
+    countries = F.array_sort(F.collect_list(F.struct(*entries.columns)), by_name)
+    whole = entries.agg(*totals, countries.alias("_countries"))
+    names = [c for c in whole.columns if c != "_countries"]
+    return whole.select(
+        F.lit(generated_at).alias("generated_at"),
+        F.struct(*names).alias("totals"),
+        F.col("_countries").alias("countries"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placebook.functions.scalars import base_name
-from placebook.operators.ranking import first_per_group
+from placebook.operators.ranking import first_per_group, first_per_group_wide
 from placebook.operators.source_profile import unique_headers
 from placebook.schema import COLUMNS, GROUP, SAMPLE_ROWS
 from placebook.sinks.delimited import csv_header, csv_line, quoted, write_csv_groups
@@ -24,7 +24,8 @@ def sample_rows(
 ) -> DataFrame:
     """First ``n`` rows per group; groups with fewer give what they have."""
     present = df.where(F.col(group).isNotNull())
-    return first_per_group(present, [group], order, n).select(*columns)
+    needed = list(dict.fromkeys([group, *order, *columns]))
+    return first_per_group_wide(present.select(*needed), [group], order, n).select(*columns)
 
 
 def sample_sizes(samples: DataFrame, columns: Sequence[str], group: str = GROUP) -> DataFrame:

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placebook.operators.consensus import view
-from placebook.schema import ALL_ROWS, FORMATS, GROUP, SHEET_ROW_LIMIT, VIEW_KEYS, VIEWS
+from placebook.schema import ALL_ROWS, FORMATS, GROUP, SHEET_ROW_LIMIT, VIEWS
 from placebook.session import settle
 from placebook.sinks.delimited import write_csv_groups
 from placebook.sources.tables import GROUP_FOLDER, VIEW_FOLDER, read_files

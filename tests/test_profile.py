@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from placebook.functions.scalars import bin_of, like_escape, number_text, percent, whole_number
 from placebook.functions.absence import WHITESPACE, has_text
 from placebook.operators.profile import coverage, level_profile, opening_values, profile
-from placebook.operators.ranking import first_per_group
+from placebook.operators.ranking import first_per_group, first_per_group_wide
 from placebook.schema import COLUMNS, MASTER
 
 
@@ -95,3 +95,17 @@ def test_number_text_reads_as_python_writes(spark):
     values = [0.0, -0.0, 1.0, -113.1506, 0.001, 0.00012, 0.0001, 1e-5, 1.5e-7, 12345678.9, 1e15, 123456789012345.6, 1e16, 1e22, -2.5e-10]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     assert [r[0] for r in df.select(number_text("v")).collect()] == [repr(v) for v in values]
+
+
+def test_null_in_the_leading_order_column_comes_first(spark):
+    df = canonical(spark, ROWS).withColumn("n", F.when(F.col("postal_code") != "01000", F.col("n")))
+    columns = ("country_iso2", "postal_code_example")
+    assert ("AA", "01000") in rows(opening_values(df.withColumn("m", F.col("n")), ["n", "m"]), *columns)
+
+
+def test_wide_first_rows_agree_with_plain_ones(spark):
+    data = [("hot" if i % 3 else None, None if i % 50 == 0 else i % 7, i, "x" * 20) for i in range(2000)]
+    df = spark.createDataFrame(data, "g string, a int, i bigint, w string").repartition(8)
+    plain = rows(first_per_group(df, ["g"], ["a", "i"], 60), "g", "i", "w")
+    assert rows(first_per_group_wide(df, ["g"], ["a", "i"], 60), "g", "i", "w") == plain
+    assert len(plain) == 120
