@@ -24,7 +24,7 @@ from placebook.sinks.samples import (
 )
 from placebook.sinks.views import view_files, write_views
 from placebook.sources.delimited import SourceFiles
-from placebook.sources.tables import GROUP_FOLDER, VIEW_FOLDER
+from placebook.sources.tables import GROUP_FOLDER, VIEW_FOLDER, read_views
 
 
 class RawFiles(NamedTuple):
@@ -58,7 +58,7 @@ def build_entries(
     """
     spark = master.sparkSession
     write_views(master.select(*COLUMNS), f"{folder}/views", VIEWS, group)
-    written = spark.read.parquet(f"{folder}/views")
+    written = read_views(spark, f"{folder}/views")
     stored = settle(view_files(spark, f"{folder}/views"), "files")
 
     samples = settle(sample_rows(master, order, [*COLUMNS, *order], group), "samples")

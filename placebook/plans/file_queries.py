@@ -36,6 +36,7 @@ from placebook.sources.tables import (
     read_files,
     read_listing,
     read_view,
+    read_views,
 )
 
 # Delimited text ----------------------------------------------------------------
@@ -241,8 +242,9 @@ VIEW_COUNTS_SQL = " UNION ALL ".join(
 @query("stored_view_counts", VIEW_COUNTS_SQL)
 def stored_view_counts(spark, folder):
     path = fresh_path(spark, "views")
-    V.write_views(places(spark, folder).select(*COLUMNS), path)
-    return spark.read.parquet(path).groupBy("view", "group").agg(F.count("*").alias("rows"))
+    # Three views follow; the joins behind the table are worth doing once.
+    V.write_views(settle(places(spark, folder).select(*COLUMNS), "places"), path)
+    return read_views(spark, path).groupBy("view", "group").agg(F.count("*").alias("rows"))
 
 
 @query(

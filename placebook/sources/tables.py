@@ -24,11 +24,20 @@ def read_group(spark: SparkSession, path: str, code: str, group: str = GROUP) ->
     return spark.read.parquet(path).where(F.col(group) == code)
 
 
+def read_views(spark: SparkSession, path: str) -> DataFrame:
+    """A materialized folder with its view and group, both always text: a group
+    called ``01`` must not come back as a number, whatever the session infers."""
+    found = spark.read.parquet(path).schema
+    text = {VIEW_FOLDER, GROUP_FOLDER}
+    fields = [T.StructField(f.name, T.StringType()) if f.name in text else f for f in found]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def read_view(
     spark: SparkSession, path: str, view: str = ALL_ROWS, code: str | None = None
 ) -> DataFrame:
     """A materialized view, or one group of it. Other folders are not opened."""
-    rows = spark.read.parquet(path).where(F.col(VIEW_FOLDER) == view)
+    rows = read_views(spark, path).where(F.col(VIEW_FOLDER) == view)
     if code is not None:
         rows = rows.where(F.col(GROUP_FOLDER) == code)
     return rows.drop(VIEW_FOLDER, GROUP_FOLDER)

@@ -209,3 +209,18 @@ def test_headers_that_differ_in_case_only(spark, tmp_path):
     df = read_dialect_csv(spark, str(path))
     assert df.columns == ["A", "a", "A.1"]
     assert sorted(tuple(r) for r in df.collect()) == [("1", "2", "3"), ("4", None, None)]
+
+
+def test_group_names_never_become_numbers(spark, tmp_path):
+    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        rows = [{"country_iso2": g, "postal_code": "1"} for g in ("01", "1", "a/b")]
+        V.write_views(canonical(spark, rows), str(tmp_path / "v"), ["postal_codes"])
+        for g in ("01", "1", "a/b"):
+            found = read_view(spark, str(tmp_path / "v"), "postal_codes", g).collect()
+            assert [r.country_iso2 for r in found] == [g]
+        assert {r["group"] for r in V.view_files(spark, str(tmp_path / "v")).collect()} == {"01", "1", "a/b"}
+    finally:
+        spark.conf.set(key, before)
