@@ -19,6 +19,7 @@ from placebook.schema import (
     SEARCH_COLUMNS,
     VIEW_KEYS,
 )
+from placebook.session import settle
 
 
 def in_group(df: DataFrame, code: str, group: str = GROUP) -> DataFrame:
@@ -70,7 +71,8 @@ def search_via_source(
     """View rows whose source rows match, including by values the view blanks.
 
     With a materialized ``view`` this is a null-safe semi join against the distinct
-    matching keys. Without one, the match is carried through the consensus
+    matching keys, settled first so that a small set of them is broadcast and the
+    view stays where it is. Without one, the match is carried through the consensus
     aggregate itself, so that one shuffle does both.
     """
     clause = matches(needle, columns)
@@ -78,7 +80,8 @@ def search_via_source(
         return consensus(df, keys, scope, hit=clause)
     if clause is None:
         return view
-    return null_safe_semi(view, distinct_keys(df.where(clause), keys, scope), [*scope, *keys])
+    matching = settle(distinct_keys(df.where(clause), keys, scope), "matches")
+    return null_safe_semi(view, matching, [*scope, *keys])
 
 
 def null_safe_semi(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

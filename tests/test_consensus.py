@@ -79,7 +79,12 @@ def test_against_brute_force_with_a_hot_key(spark):
     ]
     columns = ["g", "k", "t", "n", "s"]
     df = spark.createDataFrame(rows, "g string, k string, t string, n double, s string")
-    assert rows_of(consensus(df, ["k"], ["g"])) == brute(rows, columns, ["g", "k"], {"n"})
+    found = consensus(df, ["k"], ["g"])
+    assert rows_of(found) == brute(rows, columns, ["g", "k"], {"n"})
+    # As many rows as there are distinct keys, and the same again from other pieces.
+    counted = distinct_counts(df, {"v": ["k"]}, ["g"]).agg(F.sum("rows")).first()[0]
+    assert found.count() == counted
+    assert rows_of(consensus(df.repartition(9, "s"), ["k"], ["g"])) == rows_of(found)
 
 
 def test_one_code_over_many_places_keeps_what_agrees(spark):
