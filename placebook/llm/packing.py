@@ -28,14 +28,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placebook.llm.common import block_offsets, stored, text_or_empty, within_arrow
-from placebook.llm.token_store import BATCH_BYTES, END_ID, crc32_of, id_lists
+from placebook.llm.common import if_small, stored, text_or_empty, within_arrow
+from placebook.llm.token_store import BATCH_BYTES, END_ID, crc32_of
 from placebook.llm.tokens import default_tokenizer, encoder
 
 WINDOW = 1024
 STEPS = 400
-ENCODED = "doc_id long, block int, line long, n_tokens long, n_full int, local_full long, tail int, local_rank long, ids array<int>"
-PLACED = "block int, line long, start long, length int, sequence_id long, offset long"
+# One row per full window and one per tail; ``k`` counts a document's full windows.
+ENCODED = "doc_id long, block int, k int, n_tokens long, tail int, rank long, ids array<int>"
+PLACED = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
+# Rows of the table of ranks by task up to which it may be broadcast.
+SMALL = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -167,83 +170,88 @@ def place(plan: Plan, length: int, ranks: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
 def _encode(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFrame:
+    """Full windows and tails; ``rank`` counts, within a task, full windows (``tail`` 0)
+    or tails of one length."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, block = encoder(tokenizer).encode, TaskContext.get().partitionId()
-        line, full, seen = 0, 0, np.zeros(window, np.int64)
+        seen = np.zeros(window, np.int64)
         end = np.asarray([end_id], "<u4").tobytes()
 
         def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nonlocal line, full
             data = [x + end for x in encode(batch.column("text").to_pylist())]
             sizes = np.asarray([len(x) // 4 for x in data], np.int64)
-            n_full, tails = sizes // window, sizes % window
+            n = -(-sizes // window)
+            row = np.repeat(np.arange(len(data)), n)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            lengths = np.minimum(sizes[row] - k * window, window)
+            tails = lengths % window
             order = np.argsort(tails, kind="stable")
             ordered = tails[order]
-            ranks = np.empty(len(data), np.int64)
-            ranks[order] = seen[ordered] + np.arange(len(data)) - np.searchsorted(ordered, ordered)
-            np.add.at(seen, tails, 1)
-            before = full + np.cumsum(n_full) - n_full
-            lines = line + np.arange(len(data), dtype=np.int64)
-            line, full = line + len(data), full + int(n_full.sum())
-            columns = [batch.column("doc_id"), np.full(len(data), block, np.int32), lines, sizes, n_full.astype(np.int32), before, tails.astype(np.int32), ranks]
-            arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in columns]
-            return pa.RecordBatch.from_arrays([*arrays, id_lists(data)], [f.split()[0] for f in ENCODED.split(", ")])
+            ranks = np.empty(len(row), np.int64)
+            ranks[order] = seen[ordered] + np.arange(len(row)) - np.searchsorted(ordered, ordered)
+            seen[:] += np.bincount(tails, minlength=window)
+            values = pa.array(np.frombuffer(b"".join(data), "<i4"))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), values)
+            columns = [batch.column("doc_id").take(pa.array(row)), *map(pa.array, (np.full(len(row), block, np.int32), k.astype(np.int32), sizes[row], tails.astype(np.int32), ranks)), ids]
+            return pa.RecordBatch.from_arrays(columns, _names(ENCODED))
 
         yield from within_arrow(batches, make, "text", BATCH_BYTES)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).mapInArrow(run, ENCODED)
 
 
+def _placed(batch: pa.RecordBatch, plan: Plan, full_from: int) -> pa.RecordBatch:
+    """The pieces of a batch of full windows and tails, with their places."""
+    tails, ranks = batch.column("tail").to_numpy(), batch.column("rank").to_numpy()
+    parts = []
+    for v in np.unique(tails):
+        own = np.flatnonzero(tails == v)
+        if v:
+            at, *rest = place(plan, int(v), ranks[own])
+        else:
+            zeros = np.zeros(len(own), np.int64)
+            at, rest = np.arange(len(own)), [zeros, zeros + plan.window, full_from + ranks[own], zeros]
+        parts.append((own[at], *rest))
+    at, start, length, sequence, offset = (np.concatenate(x) for x in zip(*parts, strict=True))
+    ids = batch.column("ids")
+    begin, total = ids.offsets.to_numpy()[at] + start, np.cumsum(length)
+    chosen = np.repeat(begin - (total - length), length) + np.arange(total[-1] if len(total) else 0)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], total]), pa.int32()), ids.values.take(pa.array(chosen)))
+    take = lambda c: batch.column(c).take(pa.array(at))
+    in_doc = take("k").to_numpy().astype(np.int64) * plan.window + start
+    columns = [take("doc_id"), pa.array(in_doc), pa.array(length.astype(np.int64)), lists, take("n_tokens"), pa.array(sequence), pa.array(offset)]
+    return pa.RecordBatch.from_arrays(columns, _names(PLACED))
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """``doc_id, start, length, ids, doc_tokens, sequence_id, offset``: one row per piece."""
+    """``doc_id, start, length, ids, doc_tokens, sequence_id, offset``: one row per piece.
+
+    Ids are written once and, while the ranks by task are few enough to broadcast, are
+    not shuffled at all.
+    """
     rows = stored(_encode(docs, tokenizer or default_tokenizer(), window, end_id), "packed-tokens")
-    tails = rows.where("tail > 0")
-    counts = stored(tails.groupBy("block", "tail").agg(F.count("*").alias("n")), "tail-counts")
+    counts = stored(rows.groupBy("block", "tail").agg(F.count("*").alias("n")), "tail-counts")
     histogram = np.zeros(window + 1, np.int64)
-    for r in counts.groupBy("tail").agg(F.sum("n").alias("n")).collect():  # at most window - 1 rows
+    for r in counts.where("tail > 0").groupBy("tail").agg(F.sum("n").alias("n")).collect():  # below window rows
         histogram[r["tail"]] = r["n"]
     plan = plan_windows(histogram, window)
+    full_from = plan.n_sequences + -(-plan.n_streamed // window)
     earlier = Window.partitionBy("tail").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select("block", "tail", F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("long").alias("rank_before"))
-    ranked = tails.select("block", "line", "tail", "local_rank").join(ranks, ["block", "tail"])
+    before = counts.select("block", "tail", F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("long").alias("before"))
+    ranked = rows.join(if_small(before, SMALL), ["block", "tail"]).withColumn("rank", F.col("rank") + F.col("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths, rank = batch.column("tail").to_numpy(), batch.column("rank").to_numpy()
-            for v in np.unique(lengths):
-                own = np.flatnonzero(lengths == v)
-                at, start, length, sequence, offset = place(plan, int(v), rank[own])
-                chosen = batch.take(pa.array(own[at]))
-                columns = [chosen.column("block"), chosen.column("line"), pa.array(start), pa.array(length.astype(np.int32)), pa.array(sequence), pa.array(offset)]
-                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in PLACED.split(", ")])
-
-    placed = ranked.select("block", "line", "tail", (F.col("rank_before") + F.col("local_rank")).alias("rank")).mapInArrow(run, PLACED)
-    # The join takes the tails' ids only; full windows are cut where they lie.
-    tail_ids = tails.select("doc_id", "block", "line", "n_tokens", (F.col("n_tokens") - F.col("tail")).alias("skip"), F.slice("ids", F.col("n_tokens").cast("int") - F.col("tail") + 1, F.col("tail")).alias("tail_ids"))
-    pieces = placed.join(tail_ids, ["block", "line"]).select(
-        "doc_id",
-        (F.col("skip") + F.col("start")).alias("start"),
-        F.col("length").cast("long").alias("length"),
-        F.slice("tail_ids", F.col("start").cast("int") + 1, F.col("length")).alias("ids"),
-        F.col("n_tokens").alias("doc_tokens"),
-        "sequence_id",
-        "offset",
-    )
-    ahead = plan.n_sequences + -(-plan.n_streamed // window)
-    totals = rows.groupBy("block").agg(F.sum("n_full").alias("total"))
-    full = rows.where("n_full > 0").join(F.broadcast(block_offsets(totals, "block", "total", "full_before")), "block")
-    full = full.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n_full") - 1)))
-    whole = full.select(
-        "doc_id",
-        (F.col("k") * F.lit(window)).cast("long").alias("start"),
-        F.lit(window).cast("long").alias("length"),
-        F.slice("ids", F.col("k") * window + 1, F.lit(window)).alias("ids"),
-        F.col("n_tokens").alias("doc_tokens"),
-        (F.lit(ahead) + F.col("full_before") + F.col("local_full") + F.col("k")).cast("long").alias("sequence_id"),
-        F.lit(0).cast("long").alias("offset"),
-    )
-    return whole.unionByName(pieces)
+            for i in range(0, batch.num_rows, 2000):
+                yield _placed(batch.slice(i, 2000), plan, full_from)
+
+    return ranked.select("doc_id", "k", "n_tokens", "tail", "rank", "ids").mapInArrow(run, PLACED)
 
 
 def packed_pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:

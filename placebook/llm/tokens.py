@@ -16,7 +16,7 @@ import numpy as np
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 # Chunks one worker remembers before it starts anew; a memory bound, results don't depend on it.
-REMEMBERED = 700_000
+REMEMBERED = 350_000
 _LONG_RUN = re.compile(r"\s (?:\s|\Z)")
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -47,6 +47,7 @@ class Encoder:
         for token, at in vocabulary.items():
             self.widths[at] = len(token)  # one character stands for one byte
         self.heads: dict[str, bytes] = {}
+        self.spaced: set[str] = set()  # chunks that go on with white space
         self.chunks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -55,13 +56,18 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Encode chunks (each with its leading blank) many at a time, as one text."""
-        odd = [w for w in words if not w or w[0].isspace() or w[-1].isspace()]
-        for w in odd:
-            self.chunks[w] = self.whole(" " + w)
-        plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        for i in range(0, len(plain), 8000):
-            part = plain[i : i + 8000]
-            ids = np.asarray(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
+        plain = [w for w in words if w and w.strip() is w]
+        if len(plain) < len(words):
+            known = set(plain)
+            for w in words:
+                if w not in known:  # white space at an end
+                    self.chunks[w] = self.whole(" " + w)
+                    if not w or w[0].isspace():
+                        self.spaced.add(w)
+        parts = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        texts = [" " + " ".join(part) for part in parts]
+        for part, coded in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.asarray(coded.ids, "<u4")
             ends = np.cumsum(self.widths[ids])
             bounds = np.cumsum([len(w.encode()) + 1 for w in part])
             cut = np.searchsorted(ends, bounds) + 1
@@ -69,21 +75,20 @@ class Encoder:
                 for w in part:
                     self.chunks[w] = self.whole(" " + w)
                 continue
-            data, begin = ids.tobytes(), 0
-            for w, end in zip(part, (4 * cut).tolist(), strict=True):
-                self.chunks[w] = data[begin:end]
-                begin = end
+            data, stops = ids.tobytes(), (4 * cut).tolist()
+            self.chunks.update(zip(part, [data[i:j] for i, j in zip([0, *stops], stops, strict=False)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.chunks) + len(self.heads) > REMEMBERED:
             self.chunks.clear()
             self.heads.clear()
+            self.spaced.clear()
         pieces = [t.split(" ") for t in texts]
         words: set[str] = set()
         for p in pieces:
             words.update(p[1:])
-        runs = any(not w or w[0].isspace() for w in words)
         self._learn([w for w in words if w not in self.chunks])
+        runs = not words.isdisjoint(self.spaced)
         out, chunk, heads = [], self.chunks.__getitem__, self.heads
         for text, p in zip(texts, pieces, strict=True):
             if runs and _LONG_RUN.search(text):
