@@ -20,6 +20,7 @@ _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each."""
     if len(_POWERS["up"]) < n:
+        n += n // 4
         for name, factor in (("up", BASE), ("down", _INVERSE)):
             steps = np.full(n, factor, np.uint64)
             steps[0] = 1
@@ -56,9 +57,11 @@ class Words:
         return np.diff(self.first)
 
 
-def joined_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All texts as UTF-8, a line feed after each; nulls count as empty. And the begins."""
-    ended = pc.binary_join_element_wise(texts.fill_null("").cast(pa.large_string()), "", "\n")
+def joined_bytes(texts: pa.Array, before: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """All texts as UTF-8, ``before`` and a line feed around each; nulls are empty. And
+    where each begins."""
+    large = pa.large_string()
+    ended = pc.binary_join_element_wise(*(x if isinstance(x, pa.Array) else pa.scalar(x, large) for x in (before, texts.cast(large).fill_null(""), "\n", "")))
     ends = np.frombuffer(ended.buffers()[1], np.int64)[ended.offset : ended.offset + len(ended) + 1]
     if not len(ended) or ended.buffers()[2] is None:
         return np.zeros(0, np.uint8), np.zeros(len(ended) + 1, np.int64)
@@ -90,7 +93,7 @@ def shingles_of(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     room = np.repeat(first[1:], n) - at
     total = np.zeros(len(at), np.uint64)
     for k in range(size):
-        part = padded[at + k] * (BASE * np.uint64(2 * k + 1))
+        part = padded[at + k] * np.uint64(int(BASE) * (2 * k + 1) % 2**64)
         part[room <= k] = 0
         total += mix(part + np.uint64(k))
     return mix(total), borders

@@ -151,7 +151,7 @@ def page_lines(html: str) -> list[tuple]:
 def content_lines(lines: list[tuple]) -> np.ndarray:
     """Which lines are content: smoothed ratio above the cluster threshold."""
     ratio = np.array([0.0 if out else len(text) / max(tags, 1) for text, tags, out, _, _ in lines])
-    reach = min(int(3 * SIGMA), max(len(ratio) - 1, 0))
+    reach = min(int(3 * SIGMA), (len(ratio) - 1) // 2)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
     smooth = np.convolve(ratio, kernel / kernel.sum(), "same") if reach else ratio
     threshold = min(smooth.std(), smooth.max() / 2)

@@ -51,8 +51,7 @@ FOLD = _letters_only()
 
 def text_grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Four-byte grams of the texts, blank at both ends, and their borders."""
-    padded = pc.binary_join_element_wise(" ", pc.utf8_lower(texts.fill_null("")), "")
-    data, begins = joined_bytes(padded)
+    data, begins = joined_bytes(pc.utf8_lower(texts), " ")
     return four_grams(FOLD[data], begins, 8)
 
 
