@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placebook.llm.common import if_small, stored, text_or_empty, within_arrow
-from placebook.llm.token_store import BATCH_BYTES, END_ID, crc32_of
+from placebook.llm.token_store import BATCH_BYTES, END_ID, crc32
 from placebook.llm.tokens import default_tokenizer, encoder
 
 WINDOW = 1024
 STEPS = 400
 # One row per full window and one per tail; ``k`` counts a document's full windows.
 ENCODED = "doc_id long, block int, k int, n_tokens long, tail int, rank long, ids array<int>"
-PLACED = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
+PLACED = "doc_id long, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 # Rows of the table of ranks by task up to which it may be broadcast.
 SMALL = 1_000_000
 
@@ -225,12 +225,13 @@ def _placed(batch: pa.RecordBatch, plan: Plan, full_from: int) -> pa.RecordBatch
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], total]), pa.int32()), ids.values.take(pa.array(chosen)))
     take = lambda c: batch.column(c).take(pa.array(at))
     in_doc = take("k").to_numpy().astype(np.int64) * plan.window + start
-    columns = [take("doc_id"), pa.array(in_doc), pa.array(length.astype(np.int64)), lists, take("n_tokens"), pa.array(sequence), pa.array(offset)]
+    columns = [take("doc_id"), pa.array(in_doc), pa.array(length.astype(np.int64)), lists, crc32(lists), take("n_tokens"), pa.array(sequence), pa.array(offset)]
     return pa.RecordBatch.from_arrays(columns, _names(PLACED))
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """``doc_id, start, length, ids, doc_tokens, sequence_id, offset``: one row per piece.
+    """``doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset``: one row
+    per piece; the checksum is of its ids as little-endian 32-bit integers.
 
     Ids are written once and, while the ranks by task are few enough to broadcast, are
     not shuffled at all.
@@ -255,7 +256,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
 
 
 def packed_pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
-    """The pieces with a checksum of their ids instead of the ids."""
-    return pack(docs, tokenizer, window).select(
-        "doc_id", "start", "length", crc32_of("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
-    )
+    """The pieces without their ids."""
+    return pack(docs, tokenizer, window).drop("ids")

@@ -47,7 +47,7 @@ def id_lists(data: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
-def _crc32(lists: pa.Array) -> pa.Array:
+def crc32(lists: pa.Array) -> pa.Array:
     data = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<i4")).cast("B")
     ends = (4 * lists.offsets.to_numpy()).tolist()
     return pa.array([zlib.crc32(data[i:j]) for i, j in itertools.pairwise(ends)], pa.int64())
@@ -55,7 +55,7 @@ def _crc32(lists: pa.Array) -> pa.Array:
 
 def crc32_of(column: str) -> Column:
     """Unsigned CRC32 of an id list as little-endian 32-bit integers."""
-    return F.arrow_udf(_crc32, "long")(F.col(column))
+    return F.arrow_udf(crc32, "long")(F.col(column))
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:

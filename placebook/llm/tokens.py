@@ -16,7 +16,11 @@ import numpy as np
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 # Chunks one worker remembers before it starts anew; a memory bound, results don't depend on it.
-REMEMBERED = 350_000
+REMEMBERED = 250_000
+# Signs that end a chunk of letters as a piece of their own, where all letters are below
+# the character from which Unicode versions might disagree on what is one.
+SIGNS = (".", ",", ";", ":", "!", "?")
+LAST_SURE = "\u0600"
 _LONG_RUN = re.compile(r"\s (?:\s|\Z)")
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -46,6 +50,8 @@ class Encoder:
         self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, at in vocabulary.items():
             self.widths[at] = len(token)  # one character stands for one byte
+        self.signs = {c: self.whole(c) for c in SIGNS}
+        self.line_feed = self.whole("\n")
         self.heads: dict[str, bytes] = {}
         self.spaced: set[str] = set()  # chunks that go on with white space
         self.chunks: dict[str, bytes] = {}
@@ -54,29 +60,65 @@ class Encoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode chunks (each with its leading blank) many at a time, as one text."""
-        plain = [w for w in words if w and w.strip() is w]
-        if len(plain) < len(words):
-            known = set(plain)
-            for w in words:
-                if w not in known:  # white space at an end
-                    self.chunks[w] = self.whole(" " + w)
-                    if not w or w[0].isspace():
-                        self.spaced.add(w)
-        parts = [plain[i : i + 500] for i in range(0, len(plain), 500)]
-        texts = [" " + " ".join(part) for part in parts]
+    def _batch(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of words without outer white space, many a call. A blank before each is
+        part of its ids; a line feed is a token of its own, left out."""
+        out: list[bytes] = []
+        parts = [words[i : i + 500] for i in range(0, len(words), 500)]
+        texts = [lead + lead.join(part) for part in parts]
         for part, coded in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.asarray(coded.ids, "<u4")
             ends = np.cumsum(self.widths[ids])
             bounds = np.cumsum([len(w.encode()) + 1 for w in part])
             cut = np.searchsorted(ends, bounds) + 1
             if not len(ends) or cut[-1] > len(ends) or (ends[cut - 1] != bounds).any():
-                for w in part:
-                    self.chunks[w] = self.whole(" " + w)
+                out += [self.whole(w if lead == "\n" else lead + w) for w in part]
                 continue
-            data, stops = ids.tobytes(), (4 * cut).tolist()
-            self.chunks.update(zip(part, [data[i:j] for i, j in zip([0, *stops], stops, strict=False)], strict=True))
+            data, stops, skip = ids.tobytes(), (4 * cut).tolist(), 4 * (lead == "\n")
+            out += [data[i + skip : j] for i, j in zip([0, *stops], stops, strict=False)]
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of chunks, each with its leading blank.
+
+        A letter run and the sign after it are separate pieces, and so are a line feed
+        and what is on both sides of it; so these chunks are put together.
+        """
+        plain, signed, broken, rest = [], [], [], []
+        for w in words:
+            if w.isalpha():
+                plain.append(w)
+            elif w[-1:] in SIGNS and w[:-1].isalpha() and max(w) < LAST_SURE:
+                signed.append(w)
+            elif "\n" in w:
+                broken.append(w)
+            else:
+                rest.append(w)
+        lines: list[tuple[str, str, str]] = []
+        for w in broken:
+            a, _, b = w.partition("\n")
+            if a and b and a.strip() is a and b.strip() is b and "\n" not in b:
+                lines.append((w, a, b))
+            else:
+                rest.append(w)
+        ends = [a for _, a, _ in lines if a not in self.chunks]
+        if ends:
+            self._learn(list(set(ends)))
+        stems = {w[:-1] for w in signed}
+        plain += [w for w in stems.difference(plain) if w not in self.chunks]
+        even = [w for w in rest if w and w.strip() is w]
+        self.chunks.update(zip(plain, self._batch(plain, " "), strict=True))
+        self.chunks.update(zip(even, self._batch(even, " "), strict=True))
+        for w in signed:
+            self.chunks[w] = self.chunks[w[:-1]] + self.signs[w[-1]]
+        for w in set(rest).difference(even):  # white space at an end
+            self.chunks[w] = self.whole(" " + w)
+            if not w or w[0].isspace():
+                self.spaced.add(w)
+        starts = list({b for _, _, b in lines if b not in self.heads})
+        self.heads.update(zip(starts, self._batch(starts, "\n"), strict=True))
+        for w, a, b in lines:
+            self.chunks[w] = self.chunks[a] + self.line_feed + self.heads[b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.chunks) + len(self.heads) > REMEMBERED:
