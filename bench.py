@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 from placebook.plans import catalog_queries, file_queries, table_queries  # noqa: F401
@@ -43,7 +42,6 @@ def main() -> None:
             "spark.ui.showConsoleProgress": "false",
             # The data is small: let eight threads share it.
             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m",
-            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -114,7 +114,7 @@ def manifest(chosen: DataFrame, fmt: str, view: str = ALL_ROWS) -> DataFrame:
     return with_format.select(
         "position",
         "iso2",
-        F.left(name, F.lit(26)).alias("file"),
+        name.alias("file"),
         effective_rows(F.lit(view)).alias("rows"),
         size.alias("bytes"),
         "last_updated",
@@ -135,16 +135,24 @@ def _totals(fmt: str) -> list[Column]:
 
 
 def manifest_totals(lines: DataFrame, fmt: str) -> DataFrame:
-    """Header figures of a bundle. At most :data:`BUNDLE_MAX` groups are listed."""
+    """Header figures of a bundle. Its size is the caller's to check, see :func:`check_bundle`."""
     return lines.agg(*_totals(fmt))
 
 
+# Titles and widths of the manifest's columns; longer text pushes the rest to the right.
+MANIFEST_COLUMNS = [("group", 8), ("rows", 14), ("updated", 14), ("served as", 36), ("made from", 0)]
+
+
+def _cell(text: Column, width: int) -> Column:
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.length(text) >= width, F.concat(text, F.lit(" " * (width > 0)))).otherwise(F.rpad(text, width, " "))
+
+
 def manifest_text(lines: DataFrame, fmt: str, view: str, generated_at: str) -> DataFrame:
-    """The manifest as one text, laid out in fixed columns."""
-    line = F.concat(
-        F.format_string("%-6s%-28s%,10d  %-13s%s", "iso2", "file", "rows", "last_updated", "source_file"),
-        F.when(F.col("raw"), F.lit("   [RAW SOURCE]")).otherwise(F.lit("")),
-    )
+    """The manifest as one text of aligned columns."""
+    origin = F.concat("source_file", F.when(F.col("raw"), F.lit(" (as delivered)")).otherwise(F.lit("")))
+    cells = [F.col("iso2"), F.format_number("rows", 0), F.col("last_updated"), F.col("file"), origin]
+    line = F.concat(*(_cell(c, width) for c, (_, width) in zip(cells, MANIFEST_COLUMNS, strict=True)))
     in_order = F.array_sort(F.collect_list(F.struct("position", line.alias("line"))))
     body = F.transform(in_order, lambda x: x.line).alias("body")
     shown = fmt if view == ALL_ROWS else f"{fmt} ({view})"
@@ -155,7 +163,7 @@ def manifest_text(lines: DataFrame, fmt: str, view: str, generated_at: str) -> D
         F.format_string("rows: %,d", "rows"),
         F.lit(f"catalog generated: {generated_at}"),
         F.lit(""),
-        F.lit(f"{'code':6}{'file':28}{'rows':>10}  {'last updated':13}from"),
+        F.lit("".join(title.ljust(width) for title, width in MANIFEST_COLUMNS)),
     )
     raw_note = F.when(
         F.col("raw_groups") != "",

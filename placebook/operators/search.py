@@ -70,18 +70,16 @@ def search_via_source(
 ) -> DataFrame:
     """View rows whose source rows match, including by values the view blanks.
 
-    With a materialized ``view`` this is a null-safe semi join against the distinct
-    matching keys, settled first so that a small set of them is broadcast and the
-    view stays where it is. Without one, the match is carried through the consensus
-    aggregate itself, so that one shuffle does both.
+    The distinct keys of matching rows are settled first, so that a small set of them is
+    broadcast. A null-safe semi join by them then picks rows of the materialized
+    ``view`` or, without one, the source rows of these keys; only those are aggregated.
     """
     clause = matches(needle, columns)
-    if view is None:
-        return consensus(df, keys, scope, hit=clause)
     if clause is None:
-        return view
+        return consensus(df, keys, scope) if view is None else view
     matching = settle(distinct_keys(df.where(clause), keys, scope), "matches")
-    return null_safe_semi(view, matching, [*scope, *keys])
+    chosen = null_safe_semi(df if view is None else view, matching, [*scope, *keys])
+    return consensus(chosen, keys, scope) if view is None else chosen
 
 
 def null_safe_semi(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -95,8 +93,7 @@ def null_safe_semi(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Da
 
 
 def first_rows(df: DataFrame, order: Sequence[str], limit: int = PREVIEW_DEFAULT) -> DataFrame:
-    if not 1 <= limit <= PREVIEW_MAX:
-        raise ValueError(f"limit must be between 1 and {PREVIEW_MAX}")
+    """The first rows in ``order``; Spark keeps that many per task and merges them."""
     return df.orderBy(*order).limit(limit)
 
 
@@ -117,15 +114,23 @@ def preview(
     needle: str = "",
     view: str = ALL_ROWS,
     limit: int = PREVIEW_DEFAULT,
+    stored: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, one-row summary) for one group, as a browsing user sees it."""
+    """(rows, one-row summary) for one group, as a browsing user sees it.
+
+    ``stored`` is the materialized view, where there is one; it is searched by the keys
+    of matching source rows instead of being computed again.
+    """
     if len(needle) > NEEDLE_MAX:
         raise ValueError(f"search text is limited to {NEEDLE_MAX} characters")
+    if not 1 <= limit <= PREVIEW_MAX:
+        raise ValueError(f"limit must be between 1 and {PREVIEW_MAX}")
     if view != ALL_ROWS and view not in VIEW_KEYS:
         raise ValueError(f"unknown view: {view}")
     rows = in_group(df, code)
     if view == ALL_ROWS:
         found = search_rows(rows, needle)
     else:
-        found = search_via_source(rows, needle, VIEW_KEYS[view])
+        of_group = None if stored is None else in_group(stored, code)
+        found = search_via_source(rows, needle, VIEW_KEYS[view], view=of_group)
     return first_rows(found, order, limit), match_summary(found, limit)

@@ -348,7 +348,7 @@ def request_decisions(spark, folder):
 
 
 MANIFEST_SQL = f"""SELECT position, iso2,
-  left(CASE WHEN status <> 'covered' THEN source_file ELSE iso2 || '.admin_areas.csv' END, 26) AS file,
+  CASE WHEN status <> 'covered' THEN source_file ELSE iso2 || '.admin_areas.csv' END AS file,
   {EFFECTIVE['admin_areas']} AS rows,
   CASE WHEN status <> 'covered' THEN source_rows * {BYTES_PER_SOURCE_ROW} END AS bytes,
   last_updated, source_file, status <> 'covered' AS raw
@@ -374,13 +374,28 @@ def bundle_totals(spark, folder):
     return R.manifest_totals(bundle(spark, folder), "csv")
 
 
+def cell_sql(text, width):
+    padded = f"CASE WHEN length({text}) >= {width} THEN {text} || ' ' ELSE rpad({text}, {width}, ' ') END"
+    return padded if width else text
+
+
+MANIFEST_HEAD_SQL = "'" + "".join(title.ljust(width) for title, width in R.MANIFEST_COLUMNS) + "'"
+MANIFEST_LINE_SQL = " || ".join(
+    cell_sql(text, width)
+    for text, (_, width) in zip(
+        ["iso2", "format('{:,}', CAST(rows AS BIGINT))", "last_updated", "file", "source_file || CASE WHEN raw THEN ' (as delivered)' ELSE '' END"],
+        R.MANIFEST_COLUMNS,
+        strict=True,
+    )
+)
+
+
 @query(
     "bundle_text",
     f"""SELECT concat_ws(chr(10), 'Bundle manifest', 'format: csv (admin_areas)', 'groups: ' || count(*),
     'rows: ' || format('{{:,}}', CAST(sum(rows) AS BIGINT)), 'catalog generated: 2024-01-01', '',
-    'code  ' || rpad('file', 28, ' ') || lpad('rows', 10, ' ') || '  ' || rpad('last updated', 13, ' ') || 'from',
-    string_agg(rpad(iso2, 6, ' ') || rpad(file, 28, ' ') || lpad(format('{{:,}}', CAST(rows AS BIGINT)), 10, ' ') || '  '
-      || rpad(last_updated, 13, ' ') || source_file || CASE WHEN raw THEN '   [RAW SOURCE]' ELSE '' END,
+    {MANIFEST_HEAD_SQL},
+    string_agg({MANIFEST_LINE_SQL},
       chr(10) ORDER BY position), '',
     'RAW SOURCE files: ' || string_agg(CASE WHEN raw THEN iso2 END, ', ' ORDER BY position)
       || '. No usable codes; columns and encoding differ from file to file.', '',
@@ -399,7 +414,7 @@ LISTING = """SELECT concat('f', CAST(o_orderkey AS STRING)) AS id,
     CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE chr(CAST(65 + o_custkey % 26 % 5 AS INT)) END,
     CASE WHEN o_orderkey % 7 < 3 THEN '.csv' WHEN o_orderkey % 7 = 3 THEN '.CSV' WHEN o_orderkey % 7 = 4 THEN '.pdf'
     WHEN o_custkey % 26 < 9 THEN '.csv' ELSE '.xlsx' END) AS name,
-  o_orderkey AS position FROM orders"""
+  o_orderkey AS position FROM orders WHERE o_custkey % 26 <> 3"""
 LISTING_SQL = LISTING.replace("AS STRING", "AS VARCHAR")
 COVERED_SQL = f"SELECT DISTINCT {GROUP} AS iso2 FROM master WHERE {GROUP} IN (SELECT country_iso2 FROM ({dimension_sql('versions')}))"
 
@@ -452,25 +467,25 @@ def link_summary(spark, folder):
 
 @query(
     "links_missing",
-    f"SELECT iso2 FROM ({COVERED_SQL}) WHERE iso2 NOT IN (SELECT iso2 FROM ({LINKS_SQL}) WHERE xlsx IS NOT NULL)",
+    f"SELECT iso2 FROM ({COVERED_SQL}) WHERE iso2 NOT IN (SELECT iso2 FROM ({LINKS_SQL}))",
 )
 def links_missing(spark, folder):
     groups = covered(spark, folder)
     links = L.link_table(L.classify_listing(listing(spark, folder), groups))
-    return L.not_linked(groups, links.where(F.col("xlsx").isNotNull()))
+    return L.not_linked(groups, links)
 
 
 @query(
     "merged_links",
     f"""SELECT e.iso2, CASE WHEN status = 'covered' THEN l.csv ELSE 'kept' END AS csv,
     CASE WHEN status = 'covered' THEN l.xlsx END AS xlsx
-    FROM ({ENTRIES_SQL}) e LEFT JOIN (SELECT * FROM ({LINKS_SQL}) WHERE xlsx IS NOT NULL) l USING (iso2)""",
+    FROM ({ENTRIES_SQL}) e LEFT JOIN ({LINKS_SQL}) l USING (iso2)""",
 )
 def merged_links(spark, folder):
     found = entries(spark, folder, views=False, samples=False)
     links = L.link_table(L.classify_listing(listing(spark, folder), covered(spark, folder)))
     before = found.withColumn("drive_links", F.create_map(F.lit("csv"), F.lit("kept")))
-    after = L.merge_links(before, links.where(F.col("xlsx").isNotNull()))
+    after = L.merge_links(before, links)
     return after.select(
         "iso2", *(F.element_at("drive_links", f).alias(f) for f in L.LINK_FORMATS)
     )

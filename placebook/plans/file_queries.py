@@ -294,20 +294,18 @@ def sheet_rows(spark, folder):
 
 @query(
     "file_metadata",
-    "SELECT * FROM (VALUES "
-    + ", ".join(
-        f"('{n}', true, true)"
-        for n in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-    )
-    + ") t(name, has_bytes, dated)",
+    """SELECT CAST(c_nationkey AS VARCHAR) AS name, CAST(sum(length(c_name) + 1) AS BIGINT) AS bytes, true AS dated
+    FROM customer GROUP BY c_nationkey""",
 )
 def file_metadata(spark, folder):
-    files = read_files(spark, folder, "*.parquet")
-    name = F.regexp_extract("path", r"/([a-z]+)\.parquet", 1)
-    return files.groupBy(name.alias("name")).agg(
-        (F.sum("bytes") > 0).alias("has_bytes"),
-        F.bool_and(F.col("last_updated").rlike(r"^\d{4}-\d{2}-\d{2}$")).alias("dated"),
-    )
+    """Names to the byte: one file of customer names per nation, described by its listing."""
+    path, since = fresh_path(spark, "names"), F.current_date()
+    names = table(spark, folder, "customer").select(F.col("c_name").alias("value"), "c_nationkey")
+    names.repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    files = read_files(spark, path, "part-*")
+    name = F.regexp_extract("path", r"/c_nationkey=([0-9]+)/", 1)
+    near = F.abs(F.datediff(F.to_date("last_updated"), since)) <= 1
+    return files.groupBy(name.alias("name")).agg(F.sum("bytes").alias("bytes"), F.bool_and(near).alias("dated"))
 
 
 # Documents -----------------------------------------------------------------------

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +20,7 @@ SETTINGS = {
 }
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_FOLDERS: set[str] = set()
 
 
 def build_session(app: str, master: str | None = None, **extra: str) -> SparkSession:
@@ -33,17 +33,20 @@ def build_session(app: str, master: str | None = None, **extra: str) -> SparkSes
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
+    """A folder of this session's own that every executor can reach.
 
-    Only a local session may go without one; it then gets a folder of its own.
+    It lies in the folder that ``spark.checkpoint.dir`` names or, where that is unset,
+    beside the tables in ``spark.sql.warehouse.dir``, which executors share as well. It
+    is deleted when the session ends.
     """
-    folder = spark.conf.get(CHECKPOINT_KEY, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="placebook-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
+    base = spark.conf.get(CHECKPOINT_KEY, None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{base.rstrip('/')}/placebook-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _FOLDERS.add(folder)
     return folder
 
 

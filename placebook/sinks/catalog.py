@@ -7,42 +7,32 @@ from pyspark.sql import functions as F
 
 from placebook.operators.catalog import total_aggregates
 
-# One document is one row. Beyond this many groups only the record form is written.
-DOCUMENT_LIMIT = 10_000
-
 
 def write_records(entries: DataFrame, path: str, mode: str = "error") -> None:
     """One JSON record per group and line; the form for any number of groups."""
     entries.write.mode(mode).option("ignoreNullFields", "true").json(path)
 
 
-def document(entries: DataFrame, generated_at: str) -> DataFrame:
-    """The whole catalog as one row: time stamp, totals, entries by English name.
+def write_document(entries: DataFrame, path: str, generated_at: str, mode: str = "error") -> None:
+    """The catalog as one JSON document, as browsers load it: time stamp, totals, and
+    entries by English name.
 
-    The record holds maps, which have no order, so the sort compares names only.
+    The entries are sorted and written line by line between a head and a tail, so the
+    writing task holds one entry at a time, whatever their number.
     """
-    by_name = lambda a, b: (
-        F.when(a.name_en < b.name_en, -1)
-        .when(a.name_en > b.name_en, 1)
-        .when(a.iso2 < b.iso2, -1)
-        .when(a.iso2 > b.iso2, 1)
-        .otherwise(0)
-    )
-    totals = total_aggregates()
-    countries = F.array_sort(F.collect_list(F.struct(*entries.columns)), by_name)
-    whole = entries.agg(*totals, countries.alias("_countries"))
-    names = [c for c in whole.columns if c != "_countries"]
-    return whole.select(
-        F.lit(generated_at).alias("generated_at"),
-        F.struct(*names).alias("totals"),
-        F.col("_countries").alias("countries"),
-    )
-
-
-def write_document(entries: DataFrame, path: str, generated_at: str, mode: str = "error") -> None:
-    """The catalog as one JSON document, as browsers load it."""
-    groups = entries.count()
-    if groups > DOCUMENT_LIMIT:
-        raise ValueError(f"{groups} groups are too many for one document; use write_records")
-    out = document(entries, generated_at).coalesce(1)
-    out.write.mode(mode).option("ignoreNullFields", "true").json(path)
+    low = entries.agg(F.min(F.struct("name_en", "iso2"))).first()[0] or (None, None)
+    totals = entries.agg(*total_aggregates())
+    head = totals.select(F.to_json(F.struct(F.lit(generated_at).alias("generated_at"), F.struct(*totals.columns).alias("totals"))).alias("json"))
+    head = head.select(F.concat(F.expr("left(json, length(json) - 1)"), F.lit(',"countries":[')).alias("value"))
+    record = F.to_json(F.struct(*entries.columns))
+    is_first = F.col("name_en").eqNullSafe(F.lit(low[0])) & F.col("iso2").eqNullSafe(F.lit(low[1]))
+    body = entries.select("name_en", "iso2", F.concat(F.when(is_first, F.lit("")).otherwise(F.lit(",")), record).alias("value"))
+    tail = entries.sparkSession.createDataFrame([("]}",)], "value string")
+    nothing = F.lit(None).cast("string")
+    parts = [
+        head.select(F.lit(0).alias("part"), nothing.alias("name_en"), nothing.alias("iso2"), "value"),
+        body.select(F.lit(1).alias("part"), "name_en", "iso2", "value"),
+        tail.select(F.lit(2).alias("part"), nothing.alias("name_en"), nothing.alias("iso2"), "value"),
+    ]
+    ordered = parts[0].union(parts[1]).union(parts[2]).coalesce(1).sortWithinPartitions("part", "name_en", "iso2")
+    ordered.select("value").write.mode(mode).option("maxRecordsPerFile", 0).text(path)

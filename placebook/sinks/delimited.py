@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placebook.functions.scalars import number_text
-from placebook.session import settle
-
-ROWS_PER_FILE = 50_000
 
 
 def quoted(c: Column) -> Column:
@@ -42,12 +40,17 @@ def csv_header(columns: Sequence[str]) -> str:
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     """CSV with text in quotes and numbers bare; every part file has the header.
 
-    A task writes one file, so the header goes in front of its first row.
+    A task writes one file, so the header goes in front of its first row. A table
+    without rows is the header alone.
     """
     in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     line = csv_line(df)
-    head = F.concat(F.lit(csv_header(df.columns) + "\n"), line)
-    lines = df.select(F.when(in_task == 0, head).otherwise(line).alias("value"))
+    header = csv_header(df.columns)
+    if df.isEmpty():
+        lines = df.sparkSession.createDataFrame([(header,)], "value string").coalesce(1)
+    else:
+        head = F.concat(F.lit(header + "\n"), line)
+        lines = df.select(F.when(in_task == 0, head).otherwise(line).alias("value"))
     lines.write.mode(mode).option("maxRecordsPerFile", 0).text(path)
 
 
@@ -58,31 +61,46 @@ def write_csv_groups(
     order: Sequence[str] = (),
     columns: Sequence[str] | None = None,
     mode: str = "error",
-    rows_per_file: int = ROWS_PER_FILE,
-    sized_by: DataFrame | None = None,
+    rows_per_file: int | None = None,
 ) -> None:
     """The same, with files of their own for every group.
 
-    A group's rows are cut into slices of about ``rows_per_file``, so a group that
-    holds much of the table is many files written by many tasks. ``sized_by`` names
-    a cheaper table with at least as many rows per group to count instead. A group
-    that fits one file keeps its rows in ``order``, also by columns not written.
+    Rows are ranged and sorted by group, then ``order``, which may hold columns that are
+    not written. A group of any size is in order over its files by name: a large one
+    covers several ranges, each a file with the header, written row by row.
+    ``rows_per_file`` sets the number of ranges by counting; else Spark chooses it.
     """
     columns = list(columns or df.columns)
-    sizes = settle((sized_by or df).groupBy(group).agg(F.count("*").alias("_rows")), "sizes")
-    sizes = sizes.select(
-        F.col(group).alias("_group"), F.ceil(F.col("_rows") / F.lit(rows_per_file)).alias("_slices")
-    )
-    rows = df.withColumn("_line", csv_line(df, columns)).join(sizes, F.col(group) == F.col("_group"))
-    # The task number keeps copies of one and the same row from meeting in one slice.
-    spot = F.pmod(F.xxhash64("_line", F.spark_partition_id()), F.col("_slices"))
-    entry = F.struct(*order, F.col("_line").alias("_line"))
-    files = rows.groupBy(F.col(group).alias("group"), spot.alias("slice")).agg(
-        F.array_sort(F.collect_list(entry)).alias("_entries")
+    lines = df.select(
+        F.col(group).alias("group"),
+        *(F.col(c).alias(f"_order{i}") for i, c in enumerate(order)),
+        csv_line(df, columns).alias("value"),
+        # Lets a range end between equal rows.
+        F.monotonically_increasing_id().alias("_row"),
     )
-    body = F.array_join(F.transform("_entries", lambda x: x["_line"]), "\n")
-    text = F.concat(F.lit(csv_header(columns) + "\n"), body)
-    # One slice, one row, one file. Overwriting replaces the whole folder of a group,
-    # also when it has fewer slices than before.
-    writer = files.select(text.alias("value"), "group").write.mode(mode)
-    writer.options(maxRecordsPerFile=1, partitionOverwriteMode="dynamic").partitionBy("group").text(path)
+    keys = [c for c in lines.columns if c != "value"]
+    parts = [-(-df.count() // rows_per_file) or 1] if rows_per_file else []
+    ranged = lines.repartitionByRange(*parts, *keys).sortWithinPartitions(*keys)
+    headed = ranged.select("group", "value").mapInArrow(_headed(csv_header(columns)), "group string, place long, value string")
+    # The writer wants rows by group; naming the place too keeps their order.
+    writer = headed.sortWithinPartitions("group", "place").select("value", "group").write.mode(mode)
+    # Overwriting replaces the whole folder of a group, also when it has fewer files.
+    writer.options(maxRecordsPerFile=0, partitionOverwriteMode="dynamic").partitionBy("group").text(path)
+
+
+def _headed(header: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Put the header before the first row of every group in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, place = object(), 0
+        for batch in batches:
+            groups, values = batch.column("group").to_pylist(), batch.column("value").to_pylist()
+            for i, group in enumerate(groups):
+                if group != last:
+                    values[i] = f"{header}\n{values[i]}"
+                    last = group
+            places = pa.array(range(place, place + len(groups)), pa.int64())
+            place += len(groups)
+            yield pa.RecordBatch.from_arrays([batch.column("group"), places, pa.array(values, pa.string())], ["group", "place", "value"])
+
+    return run

@@ -11,13 +11,13 @@ from placebook.operators.consensus import view
 from placebook.schema import ALL_ROWS, FORMATS, GROUP, SHEET_ROW_LIMIT, VIEWS
 from placebook.session import settle
 from placebook.sinks.delimited import write_csv_groups
-from placebook.sources.tables import GROUP_FOLDER, VIEW_FOLDER, read_files
+from placebook.sources.tables import GROUP_FOLDER, VIEW_FOLDER, folder_name, folder_value, read_files
 
 
 def _tagged(rows: DataFrame, name: str, group: str) -> DataFrame:
     """Rows of a view plus the two folder columns. The group column itself stays in
     the files, so that folder names never have to be read back as values."""
-    tagged = rows.withColumns({VIEW_FOLDER: F.lit(name), GROUP_FOLDER: F.col(group)})
+    tagged = rows.withColumns({VIEW_FOLDER: F.lit(name), GROUP_FOLDER: folder_name(F.col(group))})
     return tagged.where(F.col(group).isNotNull())
 
 
@@ -57,10 +57,12 @@ def _check(view_name: str, fmt: str = "parquet") -> None:
 def view_files(spark: SparkSession, path: str) -> DataFrame:
     """(view, group, bytes, modified) of a materialized folder, from its listing."""
     files = read_files(spark, path, "part-*")
-    part = lambda name: F.url_decode(F.regexp_extract("path", rf"/{name}=([^/]*)/", 1))
+    # Spark writes unsafe characters as %XX and leaves the plus sign as it is.
+    named = lambda name: F.regexp_extract("path", rf"/{name}=([^/]*)/", 1)
+    part = lambda name: F.url_decode(F.replace(named(name), F.lit("+"), F.lit("%2B")))
     return (
         files.select(
-            part(VIEW_FOLDER).alias(VIEW_FOLDER), part(GROUP_FOLDER).alias(GROUP_FOLDER), "bytes", "modified"
+            part(VIEW_FOLDER).alias(VIEW_FOLDER), folder_value(part(GROUP_FOLDER)).alias(GROUP_FOLDER), "bytes", "modified"
         )
         .groupBy(VIEW_FOLDER, GROUP_FOLDER)
         .agg(F.sum("bytes").alias("bytes"), F.min("modified").alias("modified"))
@@ -157,9 +159,19 @@ def sheet_rows(
 
 
 def export_csv(
-    df: DataFrame, path: str, name: str = ALL_ROWS, group: str = GROUP, mode: str = "error"
+    df: DataFrame,
+    path: str,
+    name: str = ALL_ROWS,
+    group: str = GROUP,
+    mode: str = "error",
+    order: Sequence[str] = (),
 ) -> None:
-    """A view as text-safe CSV, with folders per view and group as for Parquet."""
+    """A view as text-safe CSV, with folders per view and group as for Parquet.
+
+    ``order`` names columns of the view; rows of a group of any size are in that order.
+    """
     _check(name, "csv")
     out = view(df, name, group).where(F.col(group).isNotNull())
-    write_csv_groups(out, f"{path}/{VIEW_FOLDER}={name}", group, mode=mode, sized_by=df)
+    columns = out.columns
+    out = out.withColumn("_folder", folder_name(F.col(group)))
+    write_csv_groups(out, f"{path}/{VIEW_FOLDER}={name}", "_folder", order, columns, mode)

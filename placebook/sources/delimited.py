@@ -134,15 +134,14 @@ def read_source_files(
     dialect is one scan, whatever the number of files or templates in it. Records
     with more fields than their header are dropped, short ones are left short.
     """
-    records = _scan_all(spark, dialects, width, multi_line)
-    heads = settle(_heads(records), "headers")
-    widest = heads.agg(F.max("_size")).first()[0]
-    if widest and widest > width:
-        return read_source_files(spark, dialects, widest, multi_line, source_of)
-    is_header = (F.col("block") == 0) & (F.col("row") == F.col("_row"))
-    kept = records.join(heads.drop("_headers"), F.col("file") == F.col("_file")).where(
-        (F.col("size") <= F.col("_size")) & ~is_header
-    )
+    heads = settle(_heads(_scan_all(spark, dialects, width, multi_line, header=False)), "headers")
+    widest = heads.agg(F.max("_size")).first()[0] or width
+    if widest > width:  # the heads alone again, with all their fields
+        heads = settle(_heads(_scan_all(spark, dialects, widest, multi_line, header=False)), "headers")
+    # The reader drops the first record of every file, so no row of this scan has to be
+    # recognized by what another scan numbered.
+    records = _scan_all(spark, dialects, widest, multi_line, header=True)
+    kept = records.join(heads.drop("_headers"), F.col("file") == F.col("_file")).where(F.col("size") <= F.col("_size"))
     named = source_of or (lambda path: path)
     headers = heads.select(
         named(F.col("_file")).alias("file"), F.posexplode("_headers").alias("ordinal", "header")
@@ -163,19 +162,19 @@ def cells(source: SourceFiles) -> DataFrame:
     )
 
 
-def _scan_all(spark, dialects, width, multi_line) -> DataFrame:
+def _scan_all(spark, dialects, width, multi_line, header) -> DataFrame:
     scans = [
-        _records(spark, paths, encoding, sep, width, multi_line)
+        _records(spark, paths, encoding, sep, width, multi_line, header)
         for (encoding, sep), paths in dialects.items()
     ]
     return reduce(DataFrame.unionByName, scans)
 
 
-def _records(spark, paths, encoding, sep, width, multi_line) -> DataFrame:
+def _records(spark, paths, encoding, sep, width, multi_line, header) -> DataFrame:
     names = [f"_{i}" for i in range(width)]
     rows = (
         _reader(spark, sep, encoding, multi_line)
-        .options(header=False, columnNameOfCorruptRecord=CORRUPT)
+        .options(header=header, enforceSchema=True, columnNameOfCorruptRecord=CORRUPT)
         .schema(_positions(width, CORRUPT))
         .csv(paths)
     )
@@ -191,16 +190,13 @@ def _records(spark, paths, encoding, sep, width, multi_line) -> DataFrame:
 
 
 def _heads(records: DataFrame) -> DataFrame:
-    """A file's header is its first record; row numbers rise with the position.
-
-    Only the block a file begins with is looked at.
-    """
+    """A file's header is its first record; row numbers of one scan rise with the
+    position. Only the block a file begins with is looked at."""
     first = records.where(F.col("block") == 0).groupBy("file").agg(
         F.min_by(F.struct("row", "size", "fields"), "row").alias("head")
     )
     return first.select(
         F.col("file").alias("_file"),
-        F.col("head.row").alias("_row"),
         F.col("head.size").alias("_size"),
         F.col("head.fields").alias("_headers"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,17 @@ from placebook.schema import ALL_ROWS, GROUP, document_type
 VIEW_FOLDER, GROUP_FOLDER = "view", "group"
 
 
+def folder_name(c: Column) -> Column:
+    """A group's folder: its name, after ``_`` where it is empty or begins so, because
+    an empty folder value reads back as null."""
+    return F.when((c == "") | F.startswith(c, F.lit("_")), F.concat(F.lit("_"), c)).otherwise(c)
+
+
+def folder_value(c: Column) -> Column:
+    """The group of a folder."""
+    return F.when(F.startswith(c, F.lit("_")), F.substring(c, 2, 2**31 - 1)).otherwise(c)
+
+
 def read_columns(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """A projected scan: only these columns are read from the files."""
     return spark.read.parquet(path).select(*columns)
@@ -30,7 +41,8 @@ def read_views(spark: SparkSession, path: str) -> DataFrame:
     found = spark.read.parquet(path).schema
     text = {VIEW_FOLDER, GROUP_FOLDER}
     fields = [T.StructField(f.name, T.StringType()) if f.name in text else f for f in found]
-    return spark.read.schema(T.StructType(fields)).parquet(path)
+    rows = spark.read.schema(T.StructType(fields)).parquet(path)
+    return rows.withColumn(GROUP_FOLDER, folder_value(F.col(GROUP_FOLDER)))
 
 
 def read_view(
@@ -39,6 +51,7 @@ def read_view(
     """A materialized view, or one group of it. Other folders are not opened."""
     rows = read_views(spark, path).where(F.col(VIEW_FOLDER) == view)
     if code is not None:
+        # Written so that the condition on the folder itself prunes the others.
         rows = rows.where(F.col(GROUP_FOLDER) == code)
     return rows.drop(VIEW_FOLDER, GROUP_FOLDER)
 

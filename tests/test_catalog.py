@@ -116,8 +116,10 @@ def test_bundle(spark, built):
     lines = R.manifest(R.selection(entries, asked), "csv")
     assert [(r.iso2, r.file, r.rows) for r in lines.orderBy("position").collect()] == [("QA", "SRC_QA.csv", 1), ("FR", "FR.csv", 300)]
     text = R.manifest_text(lines, "csv", "all_rows", "now").first()[0].split("\n")
-    assert text[6] == f"{'code':6}{'file':28}{'rows':>10}  {'last updated':13}from"
-    assert text[7] == f"{'QA':6}{'SRC_QA.csv':28}{1:>10,}  {'2024-05-01':13}SRC_QA.csv   [RAW SOURCE]"
+    assert text[6] == "".join(t.ljust(w) for t, w in R.MANIFEST_COLUMNS).rstrip()
+    assert text[7] == f"{'QA':8}{'1':14}{'2024-05-01':14}{'SRC_QA.csv':36}SRC_QA.csv (as delivered)"
+    long = lines.where("iso2 = 'QA'").withColumn("file", F.lit("a-name-longer-than-its-column-is-wide.csv"))
+    assert "a-name-longer-than-its-column-is-wide.csv SRC_QA.csv" in R.manifest_text(long, "csv", "all_rows", "now").first()[0]
     assert B.selection_totals(R.selection(entries, asked)).first().sendable == 2
     with pytest.raises(ValueError):
         R.check_bundle([])
@@ -162,7 +164,8 @@ def test_preview_limits(spark):
     assert tuple(match_summary(df.limit(5)).first()) == (5, 5, False)
     for bad in (0, 1001):
         with pytest.raises(ValueError):
-            first_rows(df, ["postal_code"], bad)
+            preview(df, "fr", ["postal_code"], limit=bad)
+    assert first_rows(df, ["postal_code"], 2000).count() == 120
     with pytest.raises(ValueError):
         preview(df, "fr", ["postal_code"], "x" * 101)
     with pytest.raises(ValueError):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placebook.operators.source_profile import source_levels, source_profile
-from placebook.schema import COLUMNS, MASTER
+from placebook.schema import COLUMNS, MASTER, TEXT_COLUMNS
 from placebook.sinks import views as V
 from placebook.sinks.delimited import write_csv, write_csv_groups
 from placebook.sources.delimited import (
@@ -52,6 +52,50 @@ def test_grouped_csv_splits_hot_groups_and_repeats_the_header(spark, tmp_path):
     assert len(glob.glob(f"{path}/group=hot/part-*")) == 1 and len(glob.glob(f"{path}/group=small/part-*")) == 1
 
 
+def test_grouped_csv_keeps_order_in_any_number_of_files(spark, tmp_path):
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, 'b', 'hot') AS g", "3000 - id AS v", "cast(id AS string) AS t").repartition(7)
+    for n in (100, 100_000):
+        path = str(tmp_path / f"out{n}")
+        write_csv_groups(df, path, "g", ["v"], ["g", "t"], rows_per_file=n)
+        files = sorted(glob.glob(f"{path}/group=hot/part-*"))
+        assert len(files) > 10 if n == 100 else len(files) == 1
+        lines = [x for f in files for x in open(f).read().split("\n")[1:] if x]
+        assert lines == [f'"hot","{i}"' for i in range(2999, -1, -1) if i % 3]
+
+
+def test_csv_of_no_rows_has_its_header(spark, tmp_path):
+    write_csv(spark.createDataFrame([], "a string, b double"), str(tmp_path / "out"))
+    assert text_of(str(tmp_path / "out")) == '"a","b"\n'
+
+
+def test_group_folders_stand_for_any_name(spark, tmp_path):
+    names = ["A+B", "A B", "", "_x", "50%", "a/b", "é=ü"]
+    rows = [tuple((g if c == "country_iso2" else g + str(i)) if c in TEXT_COLUMNS else None for c in COLUMNS) for i, g in enumerate(names)]
+    schema = ", ".join(f"{c} {'string' if c in TEXT_COLUMNS else 'double'}" for c in COLUMNS)
+    source, path = str(tmp_path / "table"), str(tmp_path / "views")
+    spark.createDataFrame(rows, schema).write.parquet(source)
+    V.refresh_views(spark, source, path)
+    assert V.refresh_views(spark, source, path).where("stale").isEmpty()
+    for g in names:
+        assert [r.country_iso2 for r in read_view(spark, path, "all_rows", g).collect()] == [g]
+    V.refresh_views(spark, source, str(tmp_path / "csv"), fmt="csv")
+    assert V.refresh_views(spark, source, str(tmp_path / "csv"), fmt="csv").where("stale").isEmpty()
+
+
+@pytest.mark.parametrize("parts", ["1", "40"])
+def test_headers_are_no_records_whatever_the_splits(spark, tmp_path, parts):
+    paths = []
+    for i in range(12):
+        (tmp_path / f"f{i}.csv").write_text("region_1_en,lat\n" + "".join(f"r{j},{j}\n" for j in range(i)))
+        paths.append(str(tmp_path / f"f{i}.csv"))
+    source = read_source_files(spark, {("UTF-8", ","): paths})
+    spark.conf.set("spark.sql.files.minPartitionNum", parts)
+    try:
+        assert source.records.count() == sum(range(12)) and source.records.where("fields[0] = 'region_1_en'").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
 RAGGED = "id;name;seg\n1;a;x\n2;b\n3;c;x;extra\n4;d;x;;\n5;\"q;\"\"r\"\"\";\n6;é;NA\n\n7;e;x;\n"
 
 
