@@ -39,11 +39,15 @@ SMALL = 1_000_000
 
 
 def shingled(df: DataFrame, text: str, *others: str) -> DataFrame:
-    """``others`` and ``shingles``: a hash per run of five words, in text order."""
-    words = df.select(*others, F.expr(f"filter(split(lower({text}), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')").alias("words"))
-    hashed = words.select(*others, F.expr("transform(words, w -> xxhash64(w))").alias("hashes"))
-    runs = f"transform(sequence(1, greatest(size(hashes) - {K - 1}, 1)), i -> xxhash64(slice(hashes, i, {K})))"
-    return hashed.where("size(hashes) > 0").select(*others, F.expr(runs).alias("shingles"))
+    """``others`` and ``shingles``: a hash per run of five words, in text order.
+
+    Word hashes are bound once, as a lambda's argument: as a column of their own the
+    optimizer might put their expression in place of each use, inside the loop as well.
+    """
+    words = f"filter(split(lower({text}), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"
+    runs = f"transform(sequence(1, greatest(size(h) - {K - 1}, 1)), i -> xxhash64(slice(h, i, {K})))"
+    one = f"transform(array(transform({words}, w -> xxhash64(w))), h -> if(size(h) = 0, array(), {runs}))"
+    return df.select(*others, F.expr(f"element_at({one}, 1)").alias("shingles"))
 
 
 def fingerprint(shingles: str) -> Column:
@@ -73,6 +77,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     plain = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item_text"))
     plain = plain.where("item_id is not null").withColumn("item_key", F.xxhash64("item_id", "item_text")).dropDuplicates(["item_key"])
     rows = shingled(plain, "item_text", "item_key", "item_id").withColumnRenamed("shingles", "item_shingles")
+    rows = stored(rows, "item-shingles").where("size(item_shingles) > 0")
     return rows.withColumn("m", F.size("item_shingles")).withColumn("item_fp", fingerprint("item_shingles"))
 
 
@@ -91,7 +96,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     items = stored(items_of(benchmark), "benchmark-items")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("version"), F.col("text").cast("string").alias("doc_text"))
     plain = plain.where("doc_id is not null and doc_text is not null")
-    each = shingled(plain, "doc_text", "doc_id", "version").select("doc_id", "version", F.posexplode("shingles").alias("place", "shingle"))
+    each = shingled(plain, "doc_text", "doc_id", "version")
+    # The outer form spares a second evaluation for a filter on empty arrays.
+    each = each.select("doc_id", "version", F.posexplode_outer("shingles").alias("place", "shingle"))
     anchors = if_small(stored(anchors_of(items, similarity), "benchmark-anchors"), SMALL)
     hits = each.join(anchors, "shingle").select("doc_id", "version", "item_key", (F.col("place") - F.col("at")).alias("diagonal"))
     hits = stored(hits.distinct(), "anchor-hits")
