@@ -21,6 +21,7 @@ def components(links: DataFrame) -> DataFrame:
     half a round.
     """
     links = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    before = None
     while True:
         both = links.union(links.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -30,11 +31,10 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         small = stored(small.where("a <> b").distinct(), "small-star")
-        before, after = (
-            x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for x in (links, small)
-        )
         links = small
+        after = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == after:
             break
+        before = after
     stars = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())

@@ -6,11 +6,11 @@ the same order. Texts that agree on any of the sketches are candidates. A candid
 is a link when an alignment of its k-mers inside a diagonal band keeps enough of them:
 ``kept / (n_a + n_b - kept) >= similarity``, the Jaccard similarity that respects order.
 
-Equal texts are one text here, whatever their number. In each bucket of a sketch all
-texts meet the bucket's smallest one. Where this leaves a bucket with several components,
-small buckets compare what is still apart, large ones are split by a further sketch of
-their members and so on; after the last split the smaller components meet the others. No
-bucket is capped, and no group of near copies becomes all its pairs.
+Equal texts are one text here, whatever their number. Texts of a small bucket all meet; in
+a large one all meet the smallest. Where this leaves a large bucket with several
+components, it is split by a further sketch of its members and so on; after the last split
+the smaller components meet the others. No bucket is capped, and no group of near copies
+becomes all its pairs.
 
 * Words are runs of other than white space, in lower case. A text of fewer than k words
   has one k-mer, all of it; an empty text equals every empty text.
@@ -40,7 +40,7 @@ K = 5
 SIMILARITY = 0.8
 SKETCHES = 16
 MINIMA = 3
-# Up to so many members a bucket compares all that is still apart.
+# Up to so many members a bucket compares all its texts.
 SMALL_BUCKET = 8
 BATCH_BYTES = 1_500_000
 _FAR = np.uint64(2**64 - 1)
@@ -159,48 +159,49 @@ def _split(members: DataFrame, sketches: DataFrame) -> DataFrame:
 def near_links(texts: DataFrame, k: int = K, similarity: float = SIMILARITY, sketches: int = SKETCHES, minima: int = MINIMA, levels: int = 3) -> DataFrame:
     """``id, component`` of the distinct ``texts (id, text)`` that have a near duplicate."""
     spark = texts.sparkSession
-    names = "a long, b long"
     sketched = stored(sketches_of(texts, k, sketches, minima).dropDuplicates(["id"]), "sketches")
     members = sketched.select("id", F.posexplode("sketches").alias("j", "key"))
-    links = spark.createDataFrame([], names)
+    links, tested = (spark.createDataFrame([], "a long, b long") for _ in range(2))
     labels = spark.createDataFrame([], "id long, component long")
-    tested = spark.createDataFrame([], names)
     for level in range(1, levels + 1):
         buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
         members = stored(members.join(buckets, "key"), "buckets")
         if level == 1:  # from here on only texts that share a bucket are read, each once
             shared = texts.join(members.select("id").distinct(), "id", "left_semi")
             texts = stored(shared.dropDuplicates(["id"]), "bucket-texts")
-        found = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+        star = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+        small = members.where((F.col("n") > 2) & (F.col("n") <= SMALL_BUCKET)).select("key", "id")
+        every = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a < b")
+        found = star.union(every.select("a", "b"))
         links, labels, tested = _test(found, tested, links, labels, texts, k, similarity)
-        apart = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        apart = stored(apart.join(mixed, "key"), "apart")
-        if level == levels:
-            # What is left agrees on several sketches: the smaller components meet the rest.
-            sizes = apart.groupBy("key", "component").agg(F.count("*").alias("size"))
-            largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
-            few = apart.join(largest, "key").where("component <> largest").select("key", F.col("id").alias("x"), F.col("component").alias("own"))
-            meet = few.join(apart.select("key", "id", "component"), "key")
-        else:
-            few = apart.where(F.col("n") <= SMALL_BUCKET)
-            meet = few.select("key", F.col("id").alias("x"), F.col("component").alias("own")).join(few.select("key", "id", "component"), "key")
-        found = meet.where("own <> component").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-        links, labels, tested = _test(found, tested, links, labels, texts, k, similarity)
-        members = _split(apart.where(F.col("n") > SMALL_BUCKET).select("id", "key", "j"), sketched)
-        if level == levels or members.isEmpty():
+        large = members.where(F.col("n") > SMALL_BUCKET).select("id", "key", "j")
+        apart = large.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        apart = stored(apart.join(mixed.select("key"), "key"), "apart")
+        if apart.isEmpty():
             break
+        if level < levels:
+            members = _split(apart, sketched)
+            continue
+        # What is left agrees on several sketches: the smaller components meet the rest.
+        sizes = apart.groupBy("key", "component").agg(F.count("*").alias("size"))
+        largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
+        few = apart.join(largest, "key").where("component <> largest").select("key", F.col("id").alias("x"), F.col("component").alias("own"))
+        meet = few.join(apart.select("key", "id", "component"), "key").where("own <> component")
+        found = meet.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
+        links, labels, tested = _test(found, tested, links, labels, texts, k, similarity)
     return labels
 
 
 def _test(found, tested, links, labels, texts, k, similarity):
     """Verify pairs not tested before and not yet connected; update links and components."""
     own = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}"))
-    new = found.join(tested, ["a", "b"], "left_anti").join(own("a"), "a", "left").join(own("b"), "b", "left")
+    new = found.distinct().join(tested, ["a", "b"], "left_anti").join(own("a"), "a", "left").join(own("b"), "b", "left")
     new = stored(new.where("of_a is null or of_b is null or of_a <> of_b").select("a", "b"), "candidates")
-    if new.isEmpty():
-        return links, labels, tested
-    links = stored(links.union(verified(new, texts, k, similarity)), "near-links")
+    right = stored(verified(new, texts, k, similarity), "near-links")
+    if right.isEmpty():
+        return links, labels, tested.union(new)
+    links = links.union(right)
     return links, stored(components(links), "near-components"), tested.union(new)
 
 
