@@ -2,8 +2,8 @@
 
 A gear rolling hash runs over the bytes of each text; a chunk ends where the hash of the
 last 16 bytes has its leading bits zero, so borders depend on nearby content alone and
-return soon after an insertion. Borders never split a character. Chunks are compared by a 128-bit digest over all texts.
-Runs of neighbouring chunks that all occur elsewhere, and that together are long enough,
+return soon after an insertion. Borders never split a character. Chunks are compared by a
+128-bit digest over all texts. Runs of neighbouring chunks that all occur elsewhere, and that together are long enough,
 are repeats; of each chunk the first occurrence (smallest document, then place) stays.
 
 Chunks shorter than ``LEAST`` bytes are joined to the next, longer than ``MOST`` cut, so a
@@ -11,8 +11,8 @@ passage of more than fifty words always holds whole chunks of the required lengt
 
 * Null or empty text: no chunks, the text stays as it is. Very long texts: memory
   follows the longest text of a task; chunk counts follow the bytes.
-* Equal ids: texts are told apart by id and hash, so rows equal in both count as one
-  occurrence and stay; equal texts under other ids are repeats of the smallest id's.
+* Equal ids: texts are told apart by id and hash, so rows equal in both are listed as one
+  first occurrence and stay; equal texts under other ids are repeats of the smallest id's.
 * Null ids: their texts are left alone. Empty table: no rows. Other columns: untouched.
 """
 
@@ -117,8 +117,8 @@ def repeated_spans(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     chunks = stored(chunks_of(docs), "chunks")
     place = F.struct("doc_id", "version", "k")
     # Map-side aggregation holds a digest once per task, so a hot chunk is no hot key.
-    seen = chunks.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    seen = seen.where("first <> last").select("d1", "d2", "first")
+    seen = chunks.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    seen = seen.where("n > 1").select("d1", "d2", "first")
     hits = chunks.join(seen, ["d1", "d2"]).select(
         "doc_id", "version", "k", "start", "length", F.col("first.doc_id").alias("first_doc_id"), (place != F.col("first")).alias("later")
     )
