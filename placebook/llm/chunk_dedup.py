@@ -118,7 +118,8 @@ def repeated_spans(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     place = F.struct("doc_id", "version", "k")
     # Map-side aggregation holds a digest once per task, so a hot chunk is no hot key.
     seen = chunks.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    seen = seen.where("n > 1").select("d1", "d2", "first")
+    # Stored, so that both sides of the join are dealt anew and Spark can split a hot chunk.
+    seen = stored(seen.where("n > 1").select("d1", "d2", "first"), "repeated-chunks")
     hits = chunks.join(seen, ["d1", "d2"]).select(
         "doc_id", "version", "k", "start", "length", F.col("first.doc_id").alias("first_doc_id"), (place != F.col("first")).alias("later")
     )
