@@ -68,16 +68,20 @@ def joined_bytes(texts: pa.Array, before: str = "") -> tuple[np.ndarray, np.ndar
     return np.frombuffer(ended.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span, wherever it lies."""
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
 def words_of(texts: pa.Array) -> Words:
     data, begins = joined_bytes(texts)
     inside = (data != 32) & ((data < 9) | (data > 13))
     edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
     starts, ends = edges[::2], edges[1::2]
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts])
-    return Words(data, begins, starts, ends, hashes, np.searchsorted(starts, begins))
+    return Words(data, begins, starts, ends, span_hashes(data, starts, ends), np.searchsorted(starts, begins))
 
 
 def shingles_of(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

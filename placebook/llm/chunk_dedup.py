@@ -1,13 +1,19 @@
 """Repeated passages by content-defined chunks.
 
-A gear rolling hash runs over the bytes of each text; a chunk ends where the hash of the
-last 16 bytes has its leading bits zero, so borders depend on nearby content alone and
-return soon after an insertion. Borders never split a character. Chunks are compared by a
-128-bit digest over all texts. Runs of neighbouring chunks that all occur elsewhere, and that together are long enough,
-are repeats; of each chunk the first occurrence (smallest document, then place) stays.
+A passage is a repeat when its bytes occur elsewhere too and hold at least ``LEAST_RUN``
+words; of each run of so many words the first occurrence (smallest document, then place)
+stays, the others are removed whole, from their first word to their last.
 
-Chunks shorter than ``LEAST`` bytes are joined to the next, longer than ``MOST`` cut, so a
-passage of more than fifty words always holds whole chunks of the required length.
+A gear rolling hash runs over the bytes of each text. Of any ``REACH`` neighbouring words
+the one at whose end it is smallest (the last of equals) ends a chunk, so borders depend on
+nearby content alone. A chunk is compared by the ``TAIL`` words before its end, whose hash
+has all the bytes it was chosen by. ``TAIL + REACH - 1`` is ``LEAST_RUN``: every run of so
+many words holds a window of ``REACH`` word ends with all their tails, hence the same chunk
+end and tail in all its copies. Runs whose chunk does not come twice cannot be repeats; the
+others are compared by a 128-bit digest over all texts, one for each word they begin at.
+
+Words are what blanks part; a word of more than ``LONG`` bytes, as in scripts without
+blanks, is cut into pieces where the rolling hash says so, which count as words.
 
 * Null or empty text: no chunks, the text stays as it is. Very long texts: memory
   follows the longest text of a task; chunk counts follow the bytes.
@@ -23,18 +29,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placebook.llm.arrays import joined_bytes, mix
-from placebook.llm.common import stored, within_arrow
+from placebook.llm.arrays import joined_bytes, mix, span_hashes
+from placebook.llm.common import if_small, stored, within_arrow
 
-LEAST = 20
-MOST = 80
-BORDER_BITS = 5
-# Bytes a run of repeated chunks must have to be a repeat; some 16 words.
-LEAST_RUN = 100
+# Words of the shortest repeat: more than fifty.
+LEAST_RUN = 51
+TAIL = 20
+REACH = LEAST_RUN - TAIL + 1
+# Longest word left whole, longest piece of a longer one, and bits that end a piece.
+LONG = 32
+PIECE = 64
+PIECE_BITS = 3
+# No chunk has more bytes, blanks aside.
+MOST = REACH * PIECE
 BATCH_BYTES = 1_000_000
+# Documents up to which the ids of those with repeated chunks may be broadcast.
+SMALL = 1_000_000
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -51,91 +64,189 @@ def rolling(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_ends(data: np.ndarray, least: int = LEAST, most: int = MOST, bits: int = BORDER_BITS) -> list[int]:
-    """Where the chunks of one text end."""
-    n = len(data)
-    if not n:
-        return []
+def word_spans(data: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words, or pieces of long ones, start and end."""
+    inside = (data != 32) & ((data < 9) | (data > 13))
+    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    starts, ends = edges[::2], edges[1::2]
+    long = np.flatnonzero(ends - starts > LONG)
+    if not len(long):
+        return starts, ends
     whole = np.append((data & 0xC0) != 0x80, True)  # places between characters
-    marks = (np.flatnonzero((rolling(data) >> np.uint32(32 - bits) == 0) & whole[1:]) + 1).tolist()
-    ends, begin = [], 0
-    for at in [*marks, n]:
-        while at - begin > most:
-            cut = begin + most
-            while not whole[cut]:
-                cut -= 1
-            begin = cut
-            ends.append(cut)
-        if at - begin >= least or at == n and at > begin:
+    marks = np.flatnonzero((h >> np.uint32(32 - PIECE_BITS) == 0) & whole[1:]) + 1
+    cuts: list[int] = []
+    for begin, end in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
+        own = marks[np.searchsorted(marks, begin, "right") : np.searchsorted(marks, end)]
+        for at in [*own.tolist(), end]:
+            while at - begin > PIECE:
+                begin += PIECE
+                while not whole[begin]:
+                    begin -= 1
+                cuts.append(begin)
+            if at < end:
+                cuts.append(at)
             begin = at
-            ends.append(at)
-    return ends
+    return np.sort(np.concatenate([starts, cuts])).astype(np.int64), np.sort(np.concatenate([ends, cuts])).astype(np.int64)
+
+
+def chosen_words(values: np.ndarray) -> np.ndarray:
+    """The word that each window of ``REACH`` words chooses: the last of the smallest."""
+    if len(values) < REACH:
+        return np.zeros(0, np.int64)
+    windows = np.lib.stride_tricks.sliding_window_view(values[::-1], REACH)
+    return (len(values) - 1 - (np.arange(len(windows)) + windows.argmin(axis=1)))[::-1]
+
+
+def chunk_ends(data: np.ndarray) -> list[int]:
+    """Where the chunks of one text end."""
+    if not len(data):
+        return []
+    h = rolling(data)
+    _, ends = word_spans(data, h)
+    own = ends[np.unique(chosen_words(h[ends - 1]))].tolist()
+    return own if own and own[-1] == len(data) else [*own, len(data)]
+
+
+def _runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words' starts and ends, and for each run of ``LEAST_RUN`` words its chunk's last word."""
+    h = rolling(data)
+    starts, ends = word_spans(data, h)
+    return starts, ends, chosen_words(h[ends - 1][TAIL - 1 :]) + TAIL - 1
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("version"), F.col("text").cast("string").alias("text"))
+    return plain.where("text <> '' and doc_id is not null")
 
 
 def chunks_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, version, k, start, length, d1, d2``: every chunk, in bytes, with its digest."""
-    schema = "doc_id long, version int, k int, start int, length int, d1 long, d2 long"
+    """``doc_id, version, k, tail``: last word of every chunk that can be in a repeat, and a
+    hash of the words before its end."""
+    schema = "doc_id long, version int, k int, tail long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+            data, begins = joined_bytes(batch.column("text"))
+            counts, places, tails = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for i in range(batch.num_rows):
+                own = data[begins[i] : begins[i + 1] - 1]
+                starts, ends, chosen = _runs(own)
+                k = np.unique(chosen)
+                counts.append(len(k))
+                places.append(k)
+                tails.append(span_hashes(own, starts[k - TAIL + 1], ends[k]) if len(k) else tails[0])
+            rows = pa.array(np.repeat(np.arange(len(counts)), counts))
+            columns = [batch.column("doc_id").take(rows), batch.column("version").take(rows)]
+            columns += [pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(tails).view(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "k", "tail"])
+
+        yield from within_arrow(batches, make, "text", BATCH_BYTES)
+
+    return _plain(docs).mapInArrow(run, schema)
+
+
+def word_runs(texts: DataFrame) -> DataFrame:
+    """``doc_id, version, start, length, d1, d2``: of ``texts (doc_id, version, text, ks)``
+    the runs of ``LEAST_RUN`` words whose chunk is among ``ks``, in bytes."""
+    schema = "doc_id long, version int, start int, length int, d1 long, d2 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make(batch: pa.RecordBatch) -> pa.RecordBatch:
             data, begins = joined_bytes(batch.column("text"))
             whole = data.tobytes()
-            owner, counts, ends, digests = batch.column("doc_id"), [], [], []
-            for i in range(len(owner)):
+            counts, starts, lengths, digests = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+            for i, ks in enumerate(batch.column("ks")):
                 a, b = int(begins[i]), int(begins[i + 1]) - 1
-                own = chunk_ends(data[a:b])
-                counts.append(len(own))
-                ends += own
-                edges = [0, *own]
-                digests += [hashlib.blake2b(whole[a + x : a + y], digest_size=16).digest() for x, y in zip(edges, own, strict=False)]
-            n = np.asarray(counts, np.int64)
-            end = np.asarray(ends, np.int32)
-            firsts = np.cumsum(n) - n
-            k = np.arange(len(end)) - np.repeat(firsts, n)
-            start = np.concatenate([np.zeros(1, np.int32), end])[:-1] if len(end) else end
-            start = np.where(k == 0, 0, start).astype(np.int32)
+                first, last, chosen = _runs(data[a:b])
+                at = np.flatnonzero(np.isin(chosen, ks.values.to_numpy()))
+                x, y = first[at], last[at + LEAST_RUN - 1]
+                counts.append(len(at))
+                starts.append(x)
+                lengths.append(y - x)
+                digests += [hashlib.blake2b(whole[u:v], digest_size=16).digest() for u, v in zip((x + a).tolist(), (y + a).tolist(), strict=True)]
             d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            rows = pa.array(np.repeat(np.arange(len(n)), n))
-            columns = [owner.take(rows), batch.column("version").take(rows), k.astype(np.int32), start, end - start, np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1])]
-            arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in columns]
-            return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in schema.split(", ")])
+            rows = pa.array(np.repeat(np.arange(len(counts)), counts))
+            columns = [batch.column("doc_id").take(rows), batch.column("version").take(rows)]
+            columns += [pa.array(np.concatenate(v).astype(np.int32)) for v in (starts, lengths)]
+            columns += [pa.array(np.ascontiguousarray(d[:, j])) for j in (0, 1)]
+            return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])
 
         yield from within_arrow(batches, make, "text", BATCH_BYTES)
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("version"), F.col("text").cast("string").alias("text"))
-    return plain.where("text <> '' and doc_id is not null").mapInArrow(run, schema)
+    return texts.select("doc_id", "version", "text", "ks").mapInArrow(run, schema)
+
+
+def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """Spans that overlap put together; they come sorted by start and by end."""
+    if not len(starts):
+        return []
+    new = np.flatnonzero(starts[1:] > ends[:-1]) + 1
+    return list(zip(starts[np.concatenate([[0], new])].tolist(), ends[np.concatenate([new - 1, [len(ends) - 1]])].tolist(), strict=True))
+
 
+def _pieces(starts: np.ndarray, lengths: np.ndarray, later: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int, bool, int]]:
+    """Start, length, removed and first document of the repeated pieces of one text.
 
-def repeated_spans(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
+    What a first occurrence covers stays; the rest of later ones is removed.
+    """
+    order = np.argsort(starts, kind="stable")
+    starts, later, firsts = starts[order], later[order], firsts[order]
+    ends = starts + lengths[order]
+    kept = _merged(starts[~later], ends[~later])
+    spans, at = [(a, b, False) for a, b in kept], 0
+    for a, b in _merged(starts[later], ends[later]):
+        while at < len(kept) and kept[at][1] <= a:
+            at += 1
+        i = at
+        while i < len(kept) and kept[i][0] < b:
+            if a < kept[i][0]:
+                spans.append((a, kept[i][0], True))
+            a = max(a, kept[i][1])
+            i += 1
+        if a < b:
+            spans.append((a, b, True))
+    out = []
+    for a, b, removed in sorted(spans):
+        own = slice(np.searchsorted(ends, a, "right"), np.searchsorted(starts, b))
+        out.append((a, b - a, removed, int(firsts[own][later[own] == removed].min())))
+    return out
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, version, start, length, removed, first_doc_id``: repeated runs, in bytes.
 
-    A run holds neighbouring chunks with other occurrences, and is ``least_run`` bytes or
-    longer. Pieces of it whose chunks come first elsewhere are ``removed``; the piece that
-    is itself the first occurrence is listed too, not removed. ``version`` is the hash of
-    the text the bytes count in.
+    Runs of ``LEAST_RUN`` words or more. Where they come first elsewhere they are
+    ``removed``; what is itself a first occurrence is listed too, not removed. ``version``
+    is the hash of the text the bytes count in.
     """
-    chunks = stored(chunks_of(docs), "chunks")
-    place = F.struct("doc_id", "version", "k")
-    # Map-side aggregation holds a digest once per task, so a hot chunk is no hot key.
-    seen = chunks.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    # Stored, so that both sides of the join are dealt anew and Spark can split a hot chunk.
-    seen = stored(seen.where("n > 1").select("d1", "d2", "first"), "repeated-chunks")
-    hits = chunks.join(seen, ["d1", "d2"]).select(
-        "doc_id", "version", "k", "start", "length", F.col("first.doc_id").alias("first_doc_id"), (place != F.col("first")).alias("later")
-    )
     row = ["doc_id", "version"]
-    hits = hits.repartition(*row).dropDuplicates([*row, "k"])
-    runs = hits.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy(*row).orderBy("k")))
-    long = runs.withColumn("run_bytes", F.sum("length").over(Window.partitionBy(*row, "run"))).where(F.col("run_bytes") >= least_run)
-    in_run = Window.partitionBy(*row, "run").orderBy("k")
-    turn = F.coalesce((F.col("later") != F.lag("later").over(in_run)).cast("int"), F.lit(0))
-    pieces = long.withColumn("turn", turn).withColumn("piece", F.sum("turn").over(in_run.rowsBetween(Window.unboundedPreceding, 0)))
-    return pieces.groupBy(*row, "run", "piece").agg(
-        F.min("start").cast("long").alias("start"),
-        F.sum("length").cast("long").alias("length"),
-        F.first("later").alias("removed"),
-        F.min("first_doc_id").alias("first_doc_id"),
-    ).drop("run", "piece")
+    chunks = stored(chunks_of(docs), "chunks")
+    # Map-side aggregation holds a hash once per task, so a hot chunk is no hot key. Stored,
+    # so that both sides of the join are dealt anew and Spark can split a hot chunk.
+    twice = stored(chunks.groupBy("tail").agg(F.count("*").alias("n")).where("n > 1").select("tail"), "repeated-chunks")
+    hits = stored(chunks.join(twice, "tail").groupBy(*row).agg(F.collect_set("k").alias("ks")), "chunk-hits")
+    touched = _plain(docs).join(if_small(hits.select(*row), SMALL), row, "left_semi")
+    runs = stored(word_runs(touched.join(hits, row)), "word-runs")
+
+    place = F.struct("doc_id", "version", "start")
+    seen = runs.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    seen = stored(seen.where("n > 1").select("d1", "d2", "first"), "repeated-runs")
+    found = runs.join(seen, ["d1", "d2"]).select(*row, "start", "length", (place != F.col("first")).alias("later"), F.col("first.doc_id").alias("first_doc_id"))
+    # Rows equal in id and text give the same runs twice.
+    listed = found.groupBy(*row).agg(F.collect_set(F.struct("start", "length", "later", "first_doc_id")).alias("runs"))
+    schema = "doc_id long, version int, start long, length long, removed boolean, first_doc_id long"
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, version, own in zip(batch.column("doc_id").to_pylist(), batch.column("version").to_pylist(), batch.column("runs"), strict=True):
+                parts = (x.to_numpy(zero_copy_only=False) for x in own.values.flatten())
+                out += [(doc, version, *x) for x in _pieces(*parts)]
+            fields = [f.split() for f in schema.split(", ")]
+            types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], types[t]) for i, (_, t) in enumerate(fields)], [n for n, _ in fields])
+
+    return listed.mapInArrow(pieces, schema)
 
 
 def _without(text: str, starts: np.ndarray, lengths: np.ndarray) -> str:

@@ -376,6 +376,35 @@ def test_repeated_passages(spark):
     assert all(len(texts[i]) < len(rows[i][1]) - len(passage) // 3 for i in range(1, 40))
 
 
+def test_short_word_passages_match_brute_force(spark):
+    rng = np.random.default_rng(21)
+    fresh = lambda n, low=3, high=5: ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(low, high + 1))) for _ in range(n)]
+    texts = {}
+    for i in range(200):
+        passage = fresh(51 if i < 160 else 50, *((1, 2) if i % 4 == 0 else (3, 5)))
+        for j in range(2):
+            texts[2 * i + j] = " ".join([*fresh(int(rng.integers(0, 90))), *passage, *fresh(int(rng.integers(0, 90)))])
+    shared = fresh(80)
+    texts[900], texts[901], texts[902] = (" ".join(x) for x in (shared[:60], shared[20:] + fresh(30), fresh(9) + shared))
+    texts[903] = " ".join(["same"] * 150)
+    places = defaultdict(list)
+    for i, text in texts.items():
+        words = text.split()
+        for at in range(len(words) - 50):
+            places[" ".join(words[at : at + 51])].append((i, at))
+    removed, kept = defaultdict(set), defaultdict(set)
+    for own in places.values():
+        for i, at in own[1:]:
+            removed[i] |= {*range(at, at + 51)}
+        if len(own) > 1:
+            kept[own[0][0]] |= {*range(own[0][1], own[0][1] + 51)}
+    docs = documents(spark, list(texts.items()))
+    spans = chunk_dedup.repeated_spans(docs)
+    assert {r.doc_id for r in spans.collect()} == {*kept, *removed} and {2 * i + 1 for i in range(160)} <= {*removed}
+    for r in chunk_dedup.remove_repeats(docs, spans).collect():
+        assert r.text.split() == [w for at, w in enumerate(texts[r.doc_id].split()) if at not in removed[r.doc_id] - kept[r.doc_id]]
+
+
 def test_chunks_resist_insertion():
     rng = np.random.default_rng(2)
     data = rng.integers(32, 127, 4000).astype(np.uint8)
