@@ -7,9 +7,10 @@ often a shingle occurs) is at least ``SIMILARITY``.
 Fingerprinting every window of every document for every item length would be 64 sums per
 word and length. Windows are therefore laid only where they can match: such a window holds
 at least ``ceil(s m)`` of an item's ``m`` shingles, so it holds one of the item's
-``m - ceil(s m) + 1`` rarest. Those are the anchors; where an anchor occurs, the window is
-laid at its diagonal and as many words beside it as insertions or deletions could shift a
-matching window, ``s m`` shingles being left (each lost word costs five).
+``m - ceil(s m) + 1`` rarest. Those are the anchors; in documents with an item's anchor all
+places of its shingles are looked up. From the first of them in a matching window on,
+``ceil(s m)`` places lie within ``m``, and the window begins at most ``m - ceil(s m)`` before
+it: these windows are laid, in whatever order the item's words stand there.
 
 Window and item fingerprints of 64 bits are cut into ``RADIUS + 1`` blocks. Two
 fingerprints within the radius agree on at least one block, so a join on item, block
@@ -81,13 +82,30 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return rows.withColumn("m", F.size("item_shingles")).withColumn("item_fp", fingerprint("item_shingles"))
 
 
+def needed(similarity: float) -> Column:
+    """Shingles of an item that every matching window holds."""
+    return F.ceil(F.lit(similarity) * F.col("m") - 1e-9).cast("int")
+
+
 def anchors_of(items: DataFrame, similarity: float) -> DataFrame:
-    """``shingle, item_key, at``: each item's rarest shingles, enough to meet every match."""
+    """``shingle, item_key``: each item's rarest shingles, enough to meet every match."""
     each = items.select("item_key", "m", F.posexplode("item_shingles").alias("at", "shingle"))
     known = each.groupBy("shingle").agg(F.countDistinct("item_key").alias("n"))
     order = Window.partitionBy("item_key").orderBy("n", "shingle", "at")
     ranked = each.join(known, "shingle").withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= F.col("m") - F.ceil(F.lit(similarity) * F.col("m")) + 1).select("shingle", "item_key", "at")
+    return ranked.where(F.col("rank") <= F.col("m") - needed(similarity) + 1).select("shingle", "item_key").distinct()
+
+
+def starts_of(texts: DataFrame, pairs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """``doc_id, version, item_key, m, start``: every window that holds enough shingles of the
+    item of its pair, and some beside."""
+    known = if_small(items.select("item_key", "m", F.explode("item_shingles").alias("shingle")).distinct(), SMALL)
+    row = ["doc_id", "version", "item_key"]
+    each = texts.select("doc_id", "version", F.posexplode("shingles").alias("place", "shingle"))
+    hits = each.join(known, "shingle").join(if_small(pairs, SMALL), row, "left_semi")
+    placed = hits.groupBy(*row, "m").agg(F.sort_array(F.collect_list("place")).alias("places")).withColumn("need", needed(similarity))
+    dense = placed.withColumn("first", F.explode(F.expr("filter(transform(places, (p, i) -> if(get(places, i + need - 1) - p < m, p, null)), p -> p is not null)")))
+    return dense.select(*row, "m", F.explode(F.sequence(F.col("first") - F.col("m") + F.col("need"), F.col("first"))).alias("start")).distinct()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -100,16 +118,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     # The outer form spares a second evaluation for a filter on empty arrays.
     each = each.select("doc_id", "version", F.posexplode_outer("shingles").alias("place", "shingle"))
     anchors = if_small(stored(anchors_of(items, similarity), "benchmark-anchors"), SMALL)
-    hits = each.join(anchors, "shingle").select("doc_id", "version", "item_key", (F.col("place") - F.col("at")).alias("diagonal"))
-    hits = stored(hits.distinct(), "anchor-hits")
+    pairs = stored(each.join(anchors, "shingle").select("doc_id", "version", "item_key").distinct(), "anchor-hits")
 
-    found = if_small(hits.select(F.col("doc_id").alias("hit_id"), F.col("version").alias("hit_version")).distinct(), SMALL)
+    found = if_small(pairs.select(F.col("doc_id").alias("hit_id"), F.col("version").alias("hit_version")).distinct(), SMALL)
     again = plain.join(found, (F.col("doc_id") == F.col("hit_id")) & (F.col("version") == F.col("hit_version")), "left_semi")
-    texts = shingled(again, "doc_text", "doc_id", "version").dropDuplicates(["doc_id", "version"])
+    texts = stored(shingled(again, "doc_text", "doc_id", "version").dropDuplicates(["doc_id", "version"]), "hit-texts")
     small_items = if_small(items, SMALL)
-    lost = F.greatest(F.floor((1 - similarity) * F.col("m")) - (K - 1), F.lit(0))
-    laid = hits.join(small_items.select("item_key", "m"), "item_key").withColumn("start", F.explode(F.sequence(F.col("diagonal") - lost, F.col("diagonal") + lost)))
-    laid = laid.select("doc_id", "version", "item_key", "m", "start").distinct().join(texts, ["doc_id", "version"])
+    laid = starts_of(texts, pairs, items, similarity).join(texts, ["doc_id", "version"])
     last = F.greatest(F.size("shingles") - F.col("m"), F.lit(0))
     laid = laid.withColumn("start", F.greatest(F.least("start", last), F.lit(0)).cast("int"))
     windows = laid.select("doc_id", "version", "item_key", "start", F.expr("slice(shingles, start + 1, m)").alias("window")).distinct()

@@ -339,6 +339,23 @@ def test_decontamination_hard_cases(spark):
     assert decontaminate.matches(docs, bench.limit(0)).collect() == []
 
 
+def test_decontamination_finds_reordered_items(spark):
+    rng = np.random.default_rng(12)
+    fill = lambda n: [f"f{x}" for x in rng.integers(0, 9000, n)]
+    items, rows = {}, []
+    for i, n in enumerate([45, 60, 90, 45]):
+        item = [f"q{i}-{x}" for x in rng.integers(0, 900, n)]
+        items[i] = " ".join(item)
+        third = n // 3
+        rows.append((3 * i, " ".join([*fill(50), *item[n // 2 :], *item[: n // 2], *fill(50)])))
+        rows.append((3 * i + 1, " ".join([*item[2 * third :], *item[third : 2 * third], *item[:third], *fill(20)])))
+        rows.append((3 * i + 2, " ".join([*fill(30), *item[n // 2 :], *item[: n // 2]])))
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    expected = contaminated(dict(rows), items)
+    assert {(0, 0), (2, 0), (7, 2)} <= expected
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(documents(spark, rows), bench).collect()} == expected
+
+
 def test_decontamination_is_native(spark):
     plan = QUERIES["op4_simhash_decontamination"](spark, SF)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
