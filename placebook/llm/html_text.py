@@ -12,7 +12,8 @@ from the first to the last of them with headings before it. All blocks of the re
 text: no line of it is dropped for being short.
 
 Character references are decoded, white space in a block becomes one blank, blocks are
-joined by two line feeds in page order. An unfinished tag or comment at the end is markup.
+joined by two line feeds in page order. The parser reads the whole page; an unfinished tag
+or comment is markup only where it still stands unparsed at the end.
 
 * Null or empty html, or no content line: empty text, 0 characters.
 * Repeated rows, null ids or urls: every row comes back as it is. Empty table: no rows.
@@ -53,7 +54,10 @@ MARKS = frozenset(
     "pagination popup promo promoted recommended related respond share sharing sidebar sidenav social sponsor sponsored subscribe "
     "toolbar widget".split()
 )
+# Marks that as the last part of a word (``elementor-widget``, ``post-share``) name wrappers too.
+WRAPPERS = frozenset(["related", "share", "widget"])
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
+_COMMENT_END = re.compile(r"(?<=<!--)-?>|--(?:!|\s*)>")
 _OPEN_END = re.compile(r"<(?:[A-Za-z/!?]|\Z)")
 
 
@@ -64,7 +68,7 @@ def _marked(attributes: list[tuple[str, str | None]]) -> bool:
         if name in ("class", "id"):
             for word in value.lower().split():
                 parts = [x for x in re.split(r"[^a-z]+", word) if x]
-                if parts and parts[0] not in ("has", "no", "with") and (parts[0] in MARKS or parts[-1] in MARKS):
+                if parts and parts[0] not in ("has", "no", "with") and (parts[0] in MARKS or parts[-1] in MARKS - WRAPPERS):
                     return True
         elif name == "role" and value.lower() in ROLES or name == "hidden":
             return True
@@ -81,6 +85,7 @@ class _Lines(HTMLParser):
         self.count = self.tags = 0
         self.held: list[str] = []
         self.heading = False
+        self.ending = False  # the page has no more text
         self.lines: list[tuple[str, int, bool, tuple[tuple[str, int], ...], bool]] = []
 
     def flush(self) -> None:
@@ -133,16 +138,19 @@ class _Lines(HTMLParser):
         if self.cdata_elem is None:
             self.held.append(data)
 
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        end = _COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata) if self.ending else -1
+
 
 def page_lines(html: str) -> list[tuple]:
-    comment = html.rfind("<!--")
-    if comment >= 0 and html.find("-->", comment) < 0:
-        html = html[:comment]
-    last = html.rfind("<")
-    if last > html.rfind(">") and _OPEN_END.match(html, last):
-        html = html[:last]
     parser = _Lines()
     parser.feed(html)
+    rest = parser.rawdata
+    last = rest.rfind("<")
+    if parser.cdata_elem is None and not rest.startswith("<!--") and last > rest.rfind(">") and _OPEN_END.match(rest, last):
+        parser.rawdata = rest[:last]
+    parser.ending = True
     parser.close()
     parser.flush()
     return parser.lines

@@ -605,6 +605,23 @@ def test_pages_hard_cases(spark):
     assert html_text.extract(frame.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ("<script>var a='<!--'</script><article><p>one</p><p>two</p></article>", "one\n\ntwo"),
+        ("<script><!--\nf()\n</script><style><!-- p{}</style><article><p>one</p></article>", "one"),
+        ("<article><p title='<!--'>one</p><p>two</p></article>", "one\n\ntwo"),
+        ("<article><!-- a --!><p>one</p><!----><p>two</p><!--><p>three</p><!-- b --><p>four</p></article>", "one\n\ntwo\n\nthree\n\nfour"),
+        ("<article><p>one</p><!-- open <p>no</p>", "one"),
+        ("<article><p>one</p><!-- open <p>no", "one"),
+        ("<article><p>one &am", "one &am"),
+        ("<article><div class='elementor-widget'><p>one</p></div><div class='post-related'><p>two</p></div><div class='widget'>no</div><div class='share-bar'>no</div></article>", "one\n\ntwo"),
+    ],
+)
+def test_page_is_read_to_its_end(page, expected):
+    assert html_text.main_text(page) == expected
+
+
 def test_every_dealt_operator_is_registered():
     assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 11))
     assert os.path.isdir(SF) and F is not None
