@@ -8,9 +8,11 @@ is a link when an alignment of its k-mers inside a diagonal band keeps enough of
 
 Equal texts are one text here, whatever their number. Texts of a small bucket all meet; in
 a large one all meet the smallest. Where this leaves a large bucket with several
-components, it is split by a further sketch of its members and so on; after the last split
-the smaller components meet the others. No bucket is capped, and no group of near copies
-becomes all its pairs.
+components, it is split by a further sketch of its members and so on. Whatever the splits
+could not bring together meets in an exact pass over the large buckets that still hold
+several components: two texts similar enough share one of their rarest k-mers, so texts of
+other components that share one are compared. No bucket is capped, and no group of near
+copies becomes all its pairs.
 
 * Words are runs of other than white space, in lower case. A text of fewer than k words
   has one k-mer, all of it; an empty text equals every empty text.
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placebook.llm.arrays import BASE, mix, occurrence, shingles_of, words_of
@@ -150,6 +152,37 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int = K, similarity: float =
     return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def rare_kmers(texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """``id, kmer``: the rarest k-mers of each of ``texts (id, text)``, enough that two texts
+    of the similarity share one: ``ceil(s n)`` of ``n`` are common to both, so of the others
+    and one more the rarest common one is among them on both sides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+            hashes, borders = shingles_of(words_of(pc.utf8_lower(batch.column("text"))), k)
+            counts = np.diff(borders)
+            owner = np.repeat(np.arange(len(counts)), counts)
+            labels = mix(hashes + BASE * occurrence(hashes, owner).astype(np.uint64))
+            columns = [batch.column("id").take(pa.array(owner)), pa.array(counts[owner]), pa.array(labels.view(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, ["id", "n_kmers", "kmer"])
+
+        yield from within_arrow(batches, make, "text", BATCH_BYTES)
+
+    each = stored(texts.select("id", "text").mapInArrow(run, "id long, n_kmers long, kmer long"), "kmers")
+    # Stored, so that both sides of the join are dealt anew and Spark can split a hot k-mer.
+    often = stored(each.groupBy("kmer").agg(F.count("*").alias("n")).where("n > 1"), "kmer-counts")
+    ranked = each.join(often, "kmer", "left").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("n", F.lit(1)), "kmer")))
+    enough = F.col("n_kmers") - F.ceil(F.lit(similarity) * F.col("n_kmers") - 1e-9) + 1
+    return ranked.where((F.col("rank") <= enough) & F.col("n").isNotNull()).select("id", "kmer")
+
+
+def _mixed(members: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """``members`` with their ``component``, where those of a ``key`` differ in it."""
+    apart = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = apart.groupBy(key).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return apart.join(mixed.select(key), key)
+
+
 def _split(members: DataFrame, sketches: DataFrame) -> DataFrame:
     """Members of a bucket anew, one bucket for each of their later sketches."""
     later = members.join(sketches, "id").select("id", "key", "j", F.posexplode("sketches").alias("next", "value"))
@@ -175,22 +208,24 @@ def near_links(texts: DataFrame, k: int = K, similarity: float = SIMILARITY, ske
         found = star.union(every.select("a", "b"))
         links, labels, tested = _test(found, tested, links, labels, texts, k, similarity)
         large = members.where(F.col("n") > SMALL_BUCKET).select("id", "key", "j")
-        apart = large.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        apart = stored(apart.join(mixed.select("key"), "key"), "apart")
+        wide = large if level == 1 else wide
+        apart = stored(_mixed(large, labels, "key"), "apart")
         if apart.isEmpty():
             break
-        if level < levels:
-            members = _split(apart, sketched)
-            continue
-        # What is left agrees on several sketches: the smaller components meet the rest.
-        sizes = apart.groupBy("key", "component").agg(F.count("*").alias("size"))
-        largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
-        few = apart.join(largest, "key").where("component <> largest").select("key", F.col("id").alias("x"), F.col("component").alias("own"))
-        meet = few.join(apart.select("key", "id", "component"), "key").where("own <> component")
-        found = meet.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
-        links, labels, tested = _test(found, tested, links, labels, texts, k, similarity)
-    return labels
+        members = _split(apart, sketched)
+    # Every pair that shares a large bucket shares one of the first level.
+    left = stored(_mixed(wide, labels, "key").select("id").distinct(), "left-apart")
+    if left.isEmpty():
+        return labels
+    rare = stored(rare_kmers(texts.join(left, "id", "left_semi"), k, similarity), "rare-kmers")
+    apart = stored(_mixed(rare, labels, "kmer"), "rare-apart")
+    # The smaller components of a k-mer meet the rest.
+    sizes = apart.groupBy("kmer", "component").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("kmer").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
+    few = apart.join(largest, "kmer").where("component <> largest").select("kmer", F.col("id").alias("x"), F.col("component").alias("own"))
+    meet = few.join(apart.select("kmer", "id", "component"), "kmer").where("own <> component")
+    found = meet.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
+    return _test(found, tested, links, labels, texts, k, similarity)[1]
 
 
 def _test(found, tested, links, labels, texts, k, similarity):

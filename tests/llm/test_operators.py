@@ -235,6 +235,30 @@ def test_near_duplicates_large_group(spark):
     assert kept.columns == documents(spark, []).columns and kept.count() == 51
 
 
+def test_near_duplicates_in_large_mixed_buckets(spark):
+    # Few sketches and one minimum: template texts share large buckets, and many near pairs
+    # share no second sketch by which a split could bring them together.
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        own = [*base, *(f"a{i}-{j}" for j in range(60))]
+        rows.append((2 * i, " ".join(own)))
+        other = list(own)
+        for at in rng.choice([70, 77, 84, 91, 98, 105, 112], 2, replace=False):
+            other[at] = f"b{i}-{at}"
+        rows.append((2 * i + 1, " ".join(other)))
+    texts = spark.createDataFrame(rows, "id long, text string")
+    sketched = {r.id: r.sketches for r in order_minhash.sketches_of(texts, sketches=2, minima=1).collect()}
+    sizes = Counter(v for own in sketched.values() for v in own)
+    agree = [set(sketched[2 * i]) & set(sketched[2 * i + 1]) for i in range(150)]
+    only_large = [i for i, own in enumerate(agree) if own and all(sizes[v] > order_minhash.SMALL_BUCKET for v in own)]
+    assert any(len(agree[i]) == 1 for i in only_large)
+    got = {r.id: r.component for r in order_minhash.near_links(texts, sketches=2, minima=1).collect()}
+    assert [i for i in range(150) if agree[i] and (2 * i not in got or got[2 * i] != got[2 * i + 1])] == []
+    assert all(got[i] // 2 == i // 2 for i in got)
+
+
 def test_alignment_respects_order():
     words = [f"w{i}" for i in range(60)]
     swapped = words[30:] + words[:30]
