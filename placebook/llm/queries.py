@@ -10,8 +10,10 @@ from placebook.llm import (
     chat,
     chunk_dedup,
     decontaminate,
+    divergence,
     html_text,
     language,
+    multi_index,
     order_minhash,
     packing,
     perplexity,
@@ -82,4 +84,15 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
 
 
+@query
+def op11_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.near_copies(table(spark, folder, "embeddings"))
+
+
+@query
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
 ORACLES["op9_url_rules"] = url_rules.judge_sql()
+ORACLES["op12_source_divergence"] = divergence.AUDIT_SQL
