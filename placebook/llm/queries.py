@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from placebook.llm import (
     chat,
     chunk_dedup,
+    conversation_repair,
     decontaminate,
     divergence,
     html_text,
@@ -94,5 +95,10 @@ def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(table(spark, folder, "documents"))
 
 
+@query
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repair.repaired(table(spark, folder, "conversations"))
+
+
 ORACLES["op9_url_rules"] = url_rules.judge_sql()
 ORACLES["op12_source_divergence"] = divergence.AUDIT_SQL
