@@ -7,7 +7,7 @@ import os
 import sys
 import time
 
-from placebook.plans import catalog_queries, file_queries, table_queries  # noqa: F401
+from placebook.plans import catalog_queries, file_queries, order_queries, table_queries  # noqa: F401
 from placebook.plans.registry import QUERIES
 from placebook.session import build_session
 

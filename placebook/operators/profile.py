@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from placebook.functions.absence import has_text, nan_to_null
 from placebook.functions.scalars import level_label, percent
 from placebook.operators.ranking import earliest
-from placebook.schema import GROUP, LEVEL_COLUMNS, LEVEL_ENTRY
+from placebook.schema import FILE_ORDER, GROUP, LEVEL_COLUMNS, LEVEL_ENTRY
 from placebook.session import settle
 
 ATTRIBUTES = ["country_iso3", "country_en", "country_lc", "continent_code", "continent_name"]
@@ -147,24 +147,18 @@ def _opening(
     )
 
 
-def _bounds(lead: str, example: str) -> list[Column]:
-    return [F.col(lead), F.when(F.col(example).isNotNull(), F.col(lead))]
+def _bounds(order: Sequence[str], example: str) -> list[Column]:
+    last = order[-1]
+    return [F.col(last), F.when(F.col(example).isNotNull(), F.col(last))]
 
 
-def _within(df: DataFrame, bounds: DataFrame, lead: str, group: str) -> DataFrame:
-    """The rows that carry one of their group's two smallest leading values, or none
+def _within(df: DataFrame, bounds: DataFrame, keys: Sequence[str], last: str) -> DataFrame:
+    """The rows that carry one of their keys' two smallest values of ``last``, or none
     at all: nulls come first in the order."""
-    wanted = bounds.select(F.col(group).alias("_group"), "_bound_0", "_bound_1")
-    return df.join(
-        wanted,
-        (F.col(group) == F.col("_group"))
-        & (
-            F.col(lead).isNull()
-            | (F.col(lead) == F.col("_bound_0"))
-            | (F.col(lead) == F.col("_bound_1"))
-        ),
-        "left_semi",
-    )
+    wanted = bounds.select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)), "_bound_0", "_bound_1")
+    same = [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)]
+    near = F.col(last).isNull() | (F.col(last) == F.col("_bound_0")) | (F.col(last) == F.col("_bound_1"))
+    return df.join(wanted, reduce(lambda a, b: a & b, [*same, near]), "left_semi")
 
 
 def _fixed_width(df: DataFrame, c: str) -> bool:
@@ -173,34 +167,36 @@ def _fixed_width(df: DataFrame, c: str) -> bool:
 
 def opening_values(
     df: DataFrame,
-    order: Sequence[str],
+    order: Sequence[str] = tuple(FILE_ORDER),
     group: str = GROUP,
     attributes: Sequence[str] = tuple(ATTRIBUTES),
     example: str = "postal_code",
 ) -> DataFrame:
     """Attributes of each group's first row, and its first non-null example.
 
-    Keeping text as aggregate state would make Spark sort every row by group. So
-    the smallest leading order value per group is found first, which only hashes;
-    the few rows that carry it are then ranked by the full order. A leading column
-    of text has no fixed width and takes the sorting way.
+    Keeping text as aggregate state would make Spark sort every row by group. So the
+    smallest leading order value per group is found first, which only hashes; the few
+    rows that carry it are then ranked by the full order. A path leading a number, as in
+    ``FILE_ORDER``, is a key beside the group: one row per group and file is left of the
+    table. Any other order led by text takes the sorting way.
     """
-    lead = order[0]
     present = df.where(F.col(group).isNotNull())
     needed = list(dict.fromkeys([group, *order, *attributes, example]))
-    if not _fixed_width(df, lead):
+    if _fixed_width(df, order[0]):
+        keys, lead = [group], [order[0]]
+    elif len(order) == 2 and _fixed_width(df, order[1]):
+        keys, lead = [group, order[0]], list(order)
+    else:
         return _opening(present.select(*needed), order, group, attributes, example)
     first, with_example = _bounds(lead, example)
-    bounds = present.groupBy(group).agg(
-        F.min(first).alias("_bound_0"), F.min(with_example).alias("_bound_1")
-    )
-    near = _within(present.select(*needed), settle(bounds, "bounds"), lead, group)
+    bounds = present.groupBy(*keys).agg(F.min(first).alias("_bound_0"), F.min(with_example).alias("_bound_1"))
+    near = _within(present.select(*needed), settle(bounds, "bounds"), keys, lead[-1])
     return _opening(near, order, group, attributes, example)
 
 
 def profile(
     df: DataFrame,
-    order: Sequence[str],
+    order: Sequence[str] = tuple(FILE_ORDER),
     group: str = GROUP,
     levels: LevelColumns = LEVEL_COLUMNS,
     attributes: Sequence[str] = tuple(ATTRIBUTES),
@@ -217,10 +213,10 @@ def profile(
         return coverage(present, group, levels, **columns).join(
             opening_values(present, order, group, attributes, example), group
         )
-    bounds = _bounds(lead, example)
+    bounds = _bounds([lead], example)
     counted = settle(coverage(present, group, levels, bounds=bounds, **columns), "profile")
     needed = list(dict.fromkeys([group, *order, *attributes, example]))
-    near = _within(present.select(*needed), counted, lead, group)
+    near = _within(present.select(*needed), counted, [group], lead)
     return counted.drop("_bound_0", "_bound_1").join(
         _opening(near, order, group, attributes, example), group
     )

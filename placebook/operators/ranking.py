@@ -50,16 +50,15 @@ def first_per_group_wide(
 ) -> DataFrame:
     """The same for wide rows: only groups and order columns are sorted.
 
-    They give, per group, the last leading order value still among the first ``n``.
-    Whole rows are then read up to that value, and the few there are get ranked.
+    They give, per group, the place in the order of the last of the first ``n``. Whole
+    rows are then read up to that place, and the few there are get ranked.
     """
-    lead = order[0]
     keys = first_per_group(df.select(*group, *order), group, order, n, lanes=lanes)
-    bounds = settle(keys.groupBy(*group).agg(F.max(lead).alias(BOUND)), "bounds")
+    bounds = settle(keys.groupBy(*group).agg(F.max(F.struct(*order)).alias(BOUND)), "bounds")
     renamed = bounds.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), BOUND)
     same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
-    # Nulls sort first, so they are always within the bound.
-    within = F.col(lead).isNull() | (F.col(lead) <= F.col(BOUND))
+    # Structs compare field by field, nulls first, as rows are ordered.
+    within = F.struct(*order) <= F.col(BOUND)
     near = df.join(renamed, reduce(lambda a, b: a & b, [*same, within]), "left_semi")
     return first_per_group(near, group, order, n, lanes=1)
 

@@ -56,9 +56,8 @@ FORMATS = ["csv", "xlsx", "parquet"]
 
 SEARCH_COLUMNS = ["postal_code", "postal_code_norm", "place_name", *REGION_COLUMNS]
 
-# Columns that coverage statistics never look at.
-_NOT_PROFILED = {"postal_code_norm", "longitude", "timezone", "utc_offset"}
-STAT_COLUMNS = [c for c in COLUMNS if c not in _NOT_PROFILED]
+# Where a row lies in the files of a table: the file's path, and the row in it.
+FILE_ORDER = ["file_path", "row_index"]
 
 # Row limits.
 SAMPLE_ROWS = 100

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,12 +48,12 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     line = csv_line(df)
     header = csv_header(df.columns)
-    if df.isEmpty():
-        lines = df.sparkSession.createDataFrame([(header,)], "value string").coalesce(1)
-    else:
-        head = F.concat(F.lit(header + "\n"), line)
-        lines = df.select(F.when(in_task == 0, head).otherwise(line).alias("value"))
+    head = F.concat(F.lit(header + "\n"), line)
+    lines = df.select(F.when(in_task == 0, head).otherwise(line).alias("value"))
     lines.write.mode(mode).option("maxRecordsPerFile", 0).text(path)
+    spark = df.sparkSession
+    if spark.read.text(path).isEmpty():
+        spark.createDataFrame([(header,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_csv_groups(
@@ -92,15 +94,18 @@ def _headed(header: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     """Put the header before the first row of every group in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, place = object(), 0
+        last, place = pa.array([], pa.string()), 0
         for batch in batches:
-            groups, values = batch.column("group").to_pylist(), batch.column("value").to_pylist()
-            for i, group in enumerate(groups):
-                if group != last:
-                    values[i] = f"{header}\n{values[i]}"
-                    last = group
-            places = pa.array(range(place, place + len(groups)), pa.int64())
-            place += len(groups)
-            yield pa.RecordBatch.from_arrays([batch.column("group"), places, pa.array(values, pa.string())], ["group", "place", "value"])
+            if not batch.num_rows:
+                continue
+            groups, values = (batch.column(c).cast(pa.string()) for c in ("group", "value"))
+            before = pa.concat_arrays([last, groups.slice(0, batch.num_rows - 1)]) if len(last) else groups.slice(0, batch.num_rows - 1)
+            starts = pc.not_equal(groups.slice(batch.num_rows - len(before)), before)
+            if not len(last):
+                starts = pa.concat_arrays([pa.array([True]), starts])
+            headed = pc.binary_join_element_wise(header, values, "\n")
+            places = pa.array(np.arange(place, place + batch.num_rows))
+            last, place = groups.slice(batch.num_rows - 1), place + batch.num_rows
+            yield pa.RecordBatch.from_arrays([groups, places, pc.if_else(starts, headed, values)], ["group", "place", "value"])
 
     return run

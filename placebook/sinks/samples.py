@@ -10,19 +10,20 @@ from pyspark.sql import functions as F
 from placebook.functions.scalars import base_name
 from placebook.operators.ranking import first_per_group, first_per_group_wide
 from placebook.operators.source_profile import unique_headers
-from placebook.schema import COLUMNS, GROUP, SAMPLE_ROWS
+from placebook.schema import COLUMNS, FILE_ORDER, GROUP, SAMPLE_ROWS
 from placebook.sinks.delimited import csv_header, csv_line, quoted, write_csv_groups
 from placebook.sources.delimited import SourceFiles
 
 
 def sample_rows(
     df: DataFrame,
-    order: Sequence[str],
+    order: Sequence[str] = tuple(FILE_ORDER),
     columns: Sequence[str] = tuple(COLUMNS),
     group: str = GROUP,
     n: int = SAMPLE_ROWS,
 ) -> DataFrame:
-    """First ``n`` rows per group; groups with fewer give what they have."""
+    """First ``n`` rows per group; groups with fewer give what they have. Unless told
+    otherwise, in the order of the files that :func:`read_in_order` has read."""
     present = df.where(F.col(group).isNotNull())
     needed = list(dict.fromkeys([group, *order, *columns]))
     return first_per_group_wide(present.select(*needed), [group], order, n).select(*columns)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placebook.operators.consensus import view
-from placebook.schema import ALL_ROWS, FORMATS, GROUP, SHEET_ROW_LIMIT, VIEWS
+from placebook.schema import ALL_ROWS, FILE_ORDER, FORMATS, GROUP, SHEET_ROW_LIMIT, VIEWS
 from placebook.session import settle
 from placebook.sinks.delimited import write_csv_groups
 from placebook.sources.tables import GROUP_FOLDER, VIEW_FOLDER, folder_name, folder_value, read_files
@@ -169,9 +169,10 @@ def export_csv(
     """A view as text-safe CSV, with folders per view and group as for Parquet.
 
     ``order`` names columns of the view; rows of a group of any size are in that order.
+    ``FILE_ORDER`` keeps that of the stored table and is itself not written.
     """
     _check(name, "csv")
     out = view(df, name, group).where(F.col(group).isNotNull())
-    columns = out.columns
+    columns = [c for c in out.columns if c not in FILE_ORDER]
     out = out.withColumn("_folder", folder_name(F.col(group)))
     write_csv_groups(out, f"{path}/{VIEW_FOLDER}={name}", "_folder", order, columns, mode)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placebook.functions.scalars import base_name, day
-from placebook.schema import ALL_ROWS, GROUP, document_type
+from placebook.schema import ALL_ROWS, FILE_ORDER, GROUP, document_type
 
 VIEW_FOLDER, GROUP_FOLDER = "view", "group"
 
@@ -30,6 +30,17 @@ def read_columns(spark: SparkSession, path: str, columns: Sequence[str]) -> Data
     return spark.read.parquet(path).select(*columns)
 
 
+def read_in_order(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows with the place they have in their files, as the columns of ``FILE_ORDER``.
+
+    The scan itself tells the place, whatever the splits: nothing is counted or sorted. A
+    table of several files is ordered by their paths, which Spark numbers as it writes.
+    """
+    rows = spark.read.parquet(path)
+    place = [F.col(f"_metadata.{c}").alias(c) for c in FILE_ORDER]
+    return rows.select(*(columns or rows.columns), *place)
+
+
 def read_group(spark: SparkSession, path: str, code: str, group: str = GROUP) -> DataFrame:
     """One group's rows; the equality reaches the scan."""
     return spark.read.parquet(path).where(F.col(group) == code)

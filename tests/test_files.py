@@ -3,20 +3,23 @@ import glob
 import io
 import time
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from placebook.operators.profile import opening_values
 from placebook.operators.source_profile import source_levels, source_profile
-from placebook.schema import COLUMNS, MASTER, TEXT_COLUMNS
+from placebook.schema import COLUMNS, FILE_ORDER, MASTER, TEXT_COLUMNS
 from placebook.sinks import views as V
 from placebook.sinks.delimited import write_csv, write_csv_groups
+from placebook.sinks.samples import sample_rows
 from placebook.sources.delimited import (
     cells,
     read_dialect_csv,
     read_source_files,
     read_text_csv,
 )
-from placebook.sources.tables import read_features, read_group, read_listing, read_view
+from placebook.sources.tables import read_features, read_group, read_in_order, read_listing, read_view
 
 
 def text_of(path):
@@ -268,3 +271,24 @@ def test_group_names_never_become_numbers(spark, tmp_path):
         assert {r["group"] for r in V.view_files(spark, str(tmp_path / "v")).collect()} == {"01", "1", "a/b"}
     finally:
         spark.conf.set(key, before)
+
+
+def test_first_rows_follow_the_files(spark, tmp_path):
+    """Several files of several splits, read back in the order they lie in."""
+    path = str(tmp_path / "table")
+    df = spark.range(0, 20_000, 1, 5).selectExpr("id % 7 AS g", "id", "hash(id) AS v", "if(id % 3 = 1, concat('x', id), null) AS t")
+    df.repartition(5, "v").write.option("parquet.block.size", 4096).parquet(path)
+    rows = [r for f in sorted(glob.glob(f"{path}/part-*")) for r in pq.read_table(f).to_pylist()]
+    ordered = read_in_order(spark, path)
+    found = sample_rows(ordered, columns=["g", "id", "file_path", "row_index"], group="g", n=20).orderBy("g", *FILE_ORDER).collect()
+    assert [(r.g, r.id) for r in found] == [(g, r["id"]) for g in range(7) for r in [x for x in rows if x["g"] == g][:20]]
+    first = {r.g: r for r in opening_values(ordered, group="g", attributes=["id", "v"], example="t").collect()}
+    for g in range(7):
+        own = [x for x in rows if x["g"] == g]
+        assert (first[g].id, first[g].v) == (own[0]["id"], own[0]["v"])
+        assert first[g].t_example == next(x["t"] for x in own if x["t"])
+    out = str(tmp_path / "out")
+    write_csv_groups(ordered, out, "g", FILE_ORDER, ["id", "t"], rows_per_file=900)
+    for g in range(7):
+        lines = [x for f in sorted(glob.glob(f"{out}/group={g}/part-*")) for x in open(f).read().split("\n") if x and x != '"id","t"']
+        assert lines == [f'{x["id"]},"{x["t"] or ""}"' for x in rows if x["g"] == g]
