@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -126,6 +125,7 @@ def base_entries(
         "status",
         "last_updated",
         base_name("selected_rel_path").alias("source_file"),
+        F.col("selected_rel_path").alias("source_path"),
         F.col("selected_batch").alias("source_batch"),
         whole_number("n_rows").alias("source_rows"),
         "rows",
@@ -154,15 +154,16 @@ def covered_entries(
 
 
 def raw_entries(entries: DataFrame, source_profiles: DataFrame, files: DataFrame) -> DataFrame:
-    """Groups without rows, described by their source files, keyed by source_file."""
+    """Groups without rows, described by their source files, whose profiles are called by
+    the path that the version table selects."""
     kept = entries.where(F.col("status") == NO_DATA).select(
         "iso2", "iso3", "iso_numeric", "name_en", "name_lc", "continent_code", "continent_name",
-        "status", "last_updated", "source_file", "source_batch", "source_rows",
+        "status", "last_updated", "source_file", "source_path", "source_batch", "source_rows",
     )
-    profiles = source_profiles.withColumn("source_file", base_name("file")).drop("file")
+    profiles = source_profiles.withColumnRenamed("file", "source_path")
     described = {"rows": F.coalesce("rows", F.lit(0)), "admin_depth": F.coalesce("admin_depth", F.lit(0))}
     return (
-        kept.join(profiles, "source_file", "left")
+        kept.join(profiles, "source_path", "left")
         .join(files, "iso2", "left")
         .withColumns({**described, "files_are_source": F.lit(True), "note": F.lit(NOTE)})
     )
@@ -226,14 +227,34 @@ def by_name(entries: DataFrame) -> DataFrame:
     return entries.orderBy("name_en", "iso2")
 
 
-def raw_file_table(entries: DataFrame, listing: DataFrame, formats: Sequence[str] = ("csv", "xlsx")) -> DataFrame:
-    """(iso2, fmt, bytes, name): the source file of each group without rows, and its
-    siblings of the same name in other formats, out of a file listing."""
-    stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
-    wanted = entries.where(F.col("status") == NO_DATA).select("iso2", stem("source_file").alias("_stem"))
-    files = listing.select(
-        "name", "bytes", stem("name").alias("_stem"), F.regexp_extract("name", r"\.([^.]*)$", 1).alias("fmt")
+def with_file_dates(versions: DataFrame, sources: DataFrame) -> DataFrame:
+    """The version table, ``last_updated`` being the day the selected file was changed.
+
+    A file that is not listed leaves what the version table says of it, if anything.
+    """
+    dates = sources.select(F.col("rel_path").alias("selected_rel_path"), F.col("last_updated").alias("_changed"))
+    known = F.col("last_updated") if "last_updated" in versions.columns else F.lit(None).cast("string")
+    return versions.join(dates, "selected_rel_path", "left").withColumn("last_updated", F.coalesce("_changed", known)).drop("_changed")
+
+
+def missing_sources(versions: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows of the version table whose selected file is not there."""
+    return versions.join(sources, F.col("selected_rel_path") == F.col("rel_path"), "left_anti")
+
+
+def raw_file_table(entries: DataFrame, sources: DataFrame) -> DataFrame:
+    """(iso2, fmt, bytes, name): the source file of each group without rows, found by its
+    path, and beside it in the same folder the sheet of the same stem."""
+    stem = F.regexp_replace("source_path", r"\.[^./]*$", "")
+    of_group = entries.where(F.col("status") == NO_DATA).select(
+        "iso2",
+        F.explode(
+            F.array(
+                F.struct(F.lit("csv").alias("fmt"), F.col("source_path").alias("rel_path")),
+                F.struct(F.lit("xlsx").alias("fmt"), F.concat(stem, F.lit(".xlsx")).alias("rel_path")),
+            )
+        ).alias("wanted"),
     )
-    found = wanted.join(files.where(F.col("fmt").isin(list(formats))), "_stem")
-    one = found.groupBy("iso2", "fmt").agg(F.max(F.struct("name", "bytes")).alias("file"))
-    return one.select("iso2", "fmt", "file.bytes", "file.name")
+    listed = sources.select("rel_path", "bytes")
+    found = of_group.select("iso2", "wanted.*").join(listed, "rel_path")
+    return found.select("iso2", "fmt", "bytes", base_name("rel_path").alias("name"))

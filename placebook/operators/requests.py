@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,16 +20,13 @@ def selected_codes(requested: DataFrame, code: str = "iso2", position: str = "po
 
 
 def selection(entries: DataFrame, requested: DataFrame, with_sample: bool = False) -> DataFrame:
-    """Catalog entries asked for, with their position; optionally sendable ones only."""
+    """Catalog entries picked from the listing, with their position; optionally sendable
+    ones only. A code the listing does not have cannot be picked; :func:`bundles` decides
+    what asking for one does."""
     chosen = entries.join(selected_codes(requested), "iso2")
     return chosen.where(F.col("sample_csv").isNotNull()) if with_sample else chosen
 
 
-def check_bundle(codes: Sequence[str]) -> None:
-    if not 1 <= len(codes) <= BUNDLE_MAX:
-        raise ValueError(f"a bundle holds 1 to {BUNDLE_MAX} groups")
-
-
 def effective_rows(view: Column) -> Column:
     """Rows actually served: the source file's, the view's, or the table's."""
     of_view = F.coalesce(F.element_at("view_stats", view)["rows"], F.col("rows"))
@@ -54,89 +50,123 @@ def served_name(view: Column) -> Column:
     return F.concat("iso2", F.lit("."), middle, "fmt")
 
 
+def served_views(files: DataFrame, fmt: str = "parquet") -> DataFrame:
+    """(iso2, view, fmt, bytes) of materialized views, from their listing."""
+    return files.select(F.col("group").alias("iso2"), "view", F.lit(fmt).alias("fmt"), "bytes")
+
+
+def served_sources(entries: DataFrame, sources: DataFrame) -> DataFrame:
+    """(iso2, view, fmt, bytes) of source files that are really there, by the names that
+    the catalog gives them."""
+    wanted = raw_files(entries).select("iso2", "fmt", "name")
+    there = sources.select("name", "bytes")
+    return wanted.join(there, "name").select("iso2", F.lit(ALL_ROWS).alias("view"), "fmt", "bytes")
+
+
 def decisions(
     requests: DataFrame,
     entries: DataFrame,
-    stored: DataFrame | None = None,
+    served: DataFrame | None = None,
     sheet_limit: int = SHEET_ROW_LIMIT,
 ) -> DataFrame:
-    """Each request with a status code, a reason and the file it is answered with.
+    """Each request with a status code, a reason, and the file it is answered with.
 
-    ``stored``, if given, lists the names of raw files that are really there. The
-    checks are tried in order and the first that fails names the reason.
+    ``served (iso2, view, fmt, bytes)``, if given, lists the files that are there, those of
+    source files under the view of all rows; sizes come from it and a file that it lacks
+    cannot be had. The checks are tried in order and the first that fails names the reason.
     """
     known = entries.select(
-        "iso2", "files_are_source", "files", "rows", "view_stats", "source_rows",
+        "iso2", "files_are_source", "files", "rows", "view_stats", "source_rows", "last_updated", "source_file",
         F.lit(True).alias("_known"),
     )
     r = requests.withColumn("iso2", F.upper("iso2")).join(known, "iso2", "left")
     raw = F.coalesce("files_are_source", F.lit(False))
     view, fmt = F.col("view"), F.col("fmt")
     raw_name = F.element_at("files", fmt)["name"]
-    if stored is not None:
-        r = r.join(stored.select(F.col("name").alias("_stored")).distinct(), raw_name == F.col("_stored"), "left")
-    missing = raw & F.col("_stored").isNull() if stored is not None else F.lit(False)
+    missing, size = F.lit(False), F.element_at("files", fmt)["bytes"]
+    if served is not None:
+        there = served.select(*(F.col(c).alias(f"_{c}") for c in ("iso2", "view", "fmt", "bytes")))
+        of_view = F.when(raw, F.lit(ALL_ROWS)).otherwise(view)
+        r = r.join(there, (F.col("iso2") == F.col("_iso2")) & (of_view == F.col("_view")) & (fmt == F.col("_fmt")), "left")
+        missing, size = F.col("_iso2").isNull(), F.col("_bytes")
     offered = F.coalesce(F.element_at("view_stats", view).isNotNull(), F.lit(False))
     others = F.array_join(F.array_sort(F.map_keys("files")), " or ")
     hint = F.when(F.size("files") > 0, F.concat(F.lit(", try "), others)).otherwise(F.lit(""))
     too_long = (fmt == "xlsx") & (effective_rows(view) > sheet_limit)
+    absent = F.element_at("files", fmt).isNull()
     rules = [
         (~fmt.isin(FORMATS) | ~view.isin(VIEWS), INVALID, F.lit("unknown format or view")),
         (F.col("_known").isNull(), GONE, F.lit("unknown group")),
-        (raw & F.col("files")[fmt].isNull(), CONFLICT, F.concat(F.lit("not available as "), fmt, hint)),
-        (missing, GONE, F.lit("file is not in place")),
+        (raw & absent, CONFLICT, F.concat(F.lit("not available as "), fmt, hint)),
+        (raw & missing, GONE, F.lit("file is not in place")),
         (~raw & (F.col("rows") == 0), CONFLICT, F.lit("no rows to export")),
         (~raw & (view != ALL_ROWS) & ~offered, CONFLICT, F.lit("view not offered")),
         (~raw & too_long, CONFLICT, F.lit("too many rows for a sheet")),
+        (~raw & missing, CONFLICT, F.lit("not generated")),
     ]
     code = reduce(lambda rest, rule: F.when(rule[0], rule[1]).otherwise(rest), reversed(rules), F.lit(OK))
     reason = reduce(
         lambda rest, rule: F.when(rule[0], rule[2]).otherwise(rest), reversed(rules), F.lit("ok")
     )
-    file = F.when(code == OK, F.when(raw, raw_name).otherwise(served_name(view)))
+    granted = lambda value: F.when(code == OK, value)
     return r.select(
         *requests.columns,
         code.alias("code"),
         reason.alias("reason"),
-        file.alias("file"),
-        F.when(code == OK, effective_rows(view)).alias("rows"),
+        granted(F.when(raw, raw_name).otherwise(served_name(view))).alias("file"),
+        granted(effective_rows(view)).alias("rows"),
+        granted(size).alias("bytes"),
+        granted(F.col("last_updated")).alias("last_updated"),
+        granted(base_name("source_file")).alias("source_file"),
+        granted(raw).alias("raw"),
     )
 
 
-def manifest(chosen: DataFrame, fmt: str, view: str = ALL_ROWS) -> DataFrame:
-    """One line per bundled group, in the order asked for."""
-    raw = F.coalesce("files_are_source", F.lit(False))
-    with_format = chosen.withColumn("fmt", F.lit(fmt))
-    name = F.when(raw, F.element_at("files", fmt)["name"]).otherwise(served_name(F.lit(view)))
-    size = F.element_at("files", fmt)["bytes"]
-    if view != ALL_ROWS:
-        size = F.when(raw, size).otherwise(F.element_at(F.element_at("view_files", view), fmt)["bytes"])
-    return with_format.select(
-        "position",
-        "iso2",
-        name.alias("file"),
-        effective_rows(F.lit(view)).alias("rows"),
-        size.alias("bytes"),
-        "last_updated",
-        base_name("source_file").alias("source_file"),
-        raw.alias("raw"),
+def bundles(
+    requests: DataFrame,
+    entries: DataFrame,
+    served: DataFrame | None = None,
+    sheet_limit: int = SHEET_ROW_LIMIT,
+) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, members) of bundles, from ``requests (bundle, iso2, fmt, view, position)``.
+
+    A bundle is had whole or not at all: its code and reason are those of the first member,
+    in the order asked for, that cannot be had. A code asked for twice counts once, where
+    it first came up; an unknown one fails the bundle like any other. More than
+    ``BUNDLE_MAX`` codes, repeats included, are refused. Members are one row per code with
+    its own decision; ``granted`` tells whether the whole bundle is.
+    """
+    each = requests.groupBy("bundle", F.upper("iso2").alias("iso2")).agg(
+        F.min("position").alias("position"), F.min_by(F.struct("fmt", "view"), "position").alias("as"), F.count("*").alias("asked")
     )
+    asked = each.select("bundle", "iso2", "position", "as.*", "asked")
+    members = decisions(asked, entries, served, sheet_limit)
+    fault = F.when(F.col("code") != OK, F.struct("position", "iso2", "code", "reason"))
+    raw_codes = F.array_sort(F.collect_list(F.when(F.col("raw"), F.struct("position", "iso2"))))
+    judged = members.groupBy("bundle").agg(
+        F.sum("asked").alias("asked"), F.min(fault).alias("fault"), F.count("*").alias("groups"),
+        F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), raw_codes.alias("raw"),
+        F.min_by("fmt", "position").alias("fmt"), F.min_by("view", "position").alias("view"),
+    )
+    too_many = F.col("asked") > BUNDLE_MAX
+    whole = ~too_many & F.col("fault").isNull()
+    limit = F.lit(f"a bundle holds 1 to {BUNDLE_MAX} groups")
+    verdicts = judged.select(
+        "bundle", "fmt", "view",
+        F.when(too_many, INVALID).otherwise(F.coalesce("fault.code", F.lit(OK))).alias("code"),
+        F.when(too_many, limit).otherwise(F.coalesce("fault.reason", F.lit("ok"))).alias("reason"),
+        F.when(~too_many, F.col("fault.iso2")).alias("refused"),
+        *(F.when(whole, F.col(c)).alias(c) for c in ("groups", "rows", "bytes")),
+        F.when(whole, F.array_join(F.transform("raw", lambda x: x.iso2), ", ")).alias("raw_groups"),
+    )
+    of_bundle = verdicts.select("bundle", (F.col("code") == OK).alias("granted"))
+    return verdicts, members.drop("asked").join(of_bundle, "bundle")
 
 
-def _totals(fmt: str) -> list[Column]:
-    by_position = F.array_sort(F.collect_list(F.when(F.col("raw"), F.struct("position", "iso2"))))
-    return [
-        F.count("*").alias("groups"),
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
-        F.array_join(F.transform(by_position, lambda x: x.iso2), ", ").alias("raw_groups"),
-        F.lit(fmt == "csv").alias("csv_warning"),
-    ]
-
-
-def manifest_totals(lines: DataFrame, fmt: str) -> DataFrame:
-    """Header figures of a bundle. Its size is the caller's to check, see :func:`check_bundle`."""
-    return lines.agg(*_totals(fmt))
+def manifest(members: DataFrame) -> DataFrame:
+    """The lines of granted bundles: one per group, with its position."""
+    lines = members.where("granted")
+    return lines.select("bundle", "position", "iso2", "file", "rows", "bytes", "last_updated", "source_file", "raw")
 
 
 # Titles and widths of the manifest's columns; longer text pushes the rest to the right.
@@ -148,40 +178,22 @@ def _cell(text: Column, width: int) -> Column:
     return F.when(F.length(text) >= width, F.concat(text, F.lit(" " * (width > 0)))).otherwise(F.rpad(text, width, " "))
 
 
-def manifest_text(lines: DataFrame, fmt: str, view: str, generated_at: str) -> DataFrame:
-    """The manifest as one text of aligned columns."""
+def manifest_text(verdicts: DataFrame, lines: DataFrame, dated: str) -> DataFrame:
+    """(bundle, text): a table of the files, and below it what they add up to.
+
+    A text holds ``BUNDLE_MAX`` lines at most, so it is put together as one value.
+    """
     origin = F.concat("source_file", F.when(F.col("raw"), F.lit(" (as delivered)")).otherwise(F.lit("")))
     cells = [F.col("iso2"), F.format_number("rows", 0), F.col("last_updated"), F.col("file"), origin]
     line = F.concat(*(_cell(c, width) for c, (_, width) in zip(cells, MANIFEST_COLUMNS, strict=True)))
     in_order = F.array_sort(F.collect_list(F.struct("position", line.alias("line"))))
-    body = F.transform(in_order, lambda x: x.line).alias("body")
-    shown = fmt if view == ALL_ROWS else f"{fmt} ({view})"
-    head = F.array(
-        F.lit("Bundle manifest"),
-        F.lit(f"format: {shown}"),
-        F.concat(F.lit("groups: "), F.col("groups")),
-        F.format_string("rows: %,d", "rows"),
-        F.lit(f"catalog generated: {generated_at}"),
-        F.lit(""),
-        F.lit("".join(title.ljust(width) for title, width in MANIFEST_COLUMNS)),
-    )
-    raw_note = F.when(
-        F.col("raw_groups") != "",
-        F.array(
-            F.lit(""),
-            F.concat(
-                F.lit("RAW SOURCE files: "), "raw_groups",
-                F.lit(". No usable codes; columns and encoding differ from file to file."),
-            ),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    csv_note = F.when(
-        F.col("csv_warning"),
-        F.array(
-            F.lit(""),
-            F.lit("CSV: import code columns as text, or a spreadsheet drops their leading zeros."),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    return lines.agg(*_totals(fmt), body).select(
-        F.concat(F.array_join(F.concat(head, "body", raw_note, csv_note), "\n"), F.lit("\n")).alias("text")
+    bodies = lines.groupBy("bundle").agg(F.transform(in_order, lambda x: x.line).alias("body"))
+    title = F.lit("".join(title.ljust(width) for title, width in MANIFEST_COLUMNS))
+    total = F.format_string(
+        "%,d groups with %,d rows in %,d bytes, %s of %s, out of the catalog of %s",
+        "groups", "rows", "bytes", "fmt", F.replace("view", F.lit("_"), F.lit(" ")), F.lit(dated),
     )
+    raw_note = F.when(F.col("raw_groups") != "", F.concat(F.lit("Served as delivered, without codes: "), "raw_groups"))
+    csv_note = F.when(F.col("fmt") == "csv", F.lit("Read code columns as text; as numbers they lose leading zeros."))
+    text = F.concat_ws("\n", title, F.array_join("body", "\n"), F.lit(""), total, raw_note, csv_note, F.lit(""))
+    return verdicts.join(bodies, "bundle").select("bundle", text.alias("text"))

@@ -15,6 +15,7 @@ from placebook.functions.absence import has_text, strip
 from placebook.functions.scalars import base_name
 from placebook.schema import COLUMNS, GROUP, MASTER
 from placebook.session import settle
+from placebook.sources.delimited import SourceFiles
 
 VERSION_PATTERN = r"_v(\d+)"
 
@@ -71,6 +72,34 @@ def unmapped_headers(mapped: DataFrame) -> DataFrame:
     return mapped.where(F.col("canonical").isNull()).drop("canonical")
 
 
+def map_sources(
+    source: SourceFiles, mapping: DataFrame, overrides: DataFrame | None = None, schema: T.StructType = MASTER
+) -> DataFrame:
+    """Records of files with any number of headers under the canonical names and types.
+
+    (file, canonical columns). ``mapping (header, canonical)`` says what headers mean,
+    ``overrides (file, header, canonical)`` what they mean in one file. The headers of a
+    file become one row: which fields hold which column. That small table meets the
+    records where they lie, so rows are neither taken apart nor grouped, and no step is
+    done once per template. Of several fields of one column the first that says something
+    is taken, the last one as it is if none does; columns nobody maps are null.
+    """
+    named = mapped_headers(source.headers, mapping, overrides, "file").where("canonical is not null")
+    placed = named.join(source.headers, ["file", "header"]).groupBy("file", "canonical").agg(
+        F.array_sort(F.collect_set("ordinal")).alias("ordinals")
+    )
+    plans = placed.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("canonical", "ordinals"))).alias("_plan"))
+    rows = source.records.join(settle(plans, "plans"), "file", "left")
+    out = []
+    for field in schema:
+        ordinals = F.element_at("_plan", F.lit(field.name))
+        values = F.transform(ordinals, lambda o: F.get("fields", o))
+        value = F.coalesce(F.get(F.filter(values, has_text), 0), F.element_at(values, -1))
+        typed = value if isinstance(field.dataType, T.StringType) else strip(value).try_cast(field.dataType)
+        out.append(typed.alias(field.name))
+    return rows.select("file", *out)
+
+
 def map_columns(df: DataFrame, mapping: dict[str, str], schema: T.StructType = MASTER) -> DataFrame:
     """One template's rows under the canonical column names and types.
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placebook.functions.scalars import base_name
 from placebook.operators import catalog as C
 from placebook.operators.profile import profile
 from placebook.operators.source_profile import source_profile
@@ -23,15 +23,24 @@ from placebook.sinks.samples import (
     write_source_samples,
 )
 from placebook.sinks.views import view_files, write_views
-from placebook.sources.delimited import SourceFiles
-from placebook.sources.tables import GROUP_FOLDER, VIEW_FOLDER, read_views
+from placebook.sources.delimited import SourceFiles, read_versioned_sources
+from placebook.sources.tables import GROUP_FOLDER, VIEW_FOLDER, read_sources, read_views
 
 
 class RawFiles(NamedTuple):
     """Source files of groups without rows, and what is known about them."""
 
-    source: SourceFiles
-    listing: DataFrame  # the files themselves, as read_files lists them
+    source: SourceFiles  # called by their paths, as read_versioned_sources reads them
+    listing: DataFrame  # the same paths, as read_sources lists them
+
+
+def raw_sources(spark: SparkSession, versions: DataFrame, master: DataFrame, root: str, group: str = GROUP) -> RawFiles:
+    """The source files of groups that have no rows in ``master``, in the dialects the
+    version table gives them; files that are not there are left to ``missing_sources``."""
+    listing = settle(read_sources(spark, root), "sources")
+    empty = versions.join(master.select(group).distinct(), group, "left_anti")
+    there = empty.join(listing, F.col("selected_rel_path") == F.col("rel_path"), "left_semi")
+    return RawFiles(read_versioned_sources(spark, there, root), listing)
 
 
 def view_row_counts(written: DataFrame) -> DataFrame:
@@ -54,9 +63,13 @@ def build_entries(
     """Write views and samples below ``folder`` and return the catalog entries.
 
     ``master`` holds the canonical columns and the columns of ``order``. Every step
-    covers all groups at once; the number of jobs does not depend on theirs.
+    covers all groups at once; the number of jobs does not depend on theirs. With
+    ``raw``, groups without rows are described by their source files, and all groups
+    are as new as theirs.
     """
     spark = master.sparkSession
+    if raw is not None:
+        dims = replace(dims, versions=C.with_file_dates(dims.versions, raw.listing))
     write_views(master.select(*COLUMNS), f"{folder}/views", VIEWS, group)
     written = read_views(spark, f"{folder}/views")
     stored = settle(view_files(spark, f"{folder}/views"), "files")
@@ -82,12 +95,10 @@ def build_entries(
     sizes = sample_sizes(samples, COLUMNS, group).withColumnRenamed(group, "iso2")
     if raw is None:
         return settle(C.all_entries(covered, C.undescribed(entries), sizes), "catalog")
-    first = settle(source_samples(raw.source), "samples")
-    write_source_samples(first, f"{folder}/source_samples")
-    by_source = source_sample_sizes(first).withColumn("source_file", base_name("file"))
-    named = entries.where(F.col("status") == C.NO_DATA).select("iso2", "source_file")
-    sizes = sizes.unionByName(named.join(by_source, "source_file").select("iso2", "bytes", "rows"))
-
+    named = entries.where(F.col("status") == C.NO_DATA).select("iso2", F.col("source_path").alias("file"))
+    first = settle(source_samples(raw.source).join(named, "file"), "samples")
+    write_source_samples(first, f"{folder}/source_samples", "iso2")
+    sizes = sizes.unionByName(source_sample_sizes(first, "iso2"))
     files = C.raw_file_table(entries, raw.listing).withColumn("raw", F.lit(True))
     uncovered = C.raw_entries(entries, source_profile(raw.source), C.file_map(files, "fmt", "iso2"))
     return settle(C.all_entries(covered, uncovered, sizes), "catalog")

@@ -307,71 +307,120 @@ def raw_files(spark, folder):
     return R.raw_files(entries(spark, folder, views=False, samples=False))
 
 
-# Requests: every code asked for in every format and view, good and bad.
+# Requests: every code asked for in every format and view, good and bad. So that every
+# rule has a row, some covered groups have lost their rows, some do not offer a view, and
+# some files are not there.
 ASKED_SQL = f"""SELECT iso2, fmt, view FROM ({SELECTED_SQL})
 CROSS JOIN (VALUES ('csv'), ('xlsx'), ('parquet'), ('pdf')) f(fmt)
 CROSS JOIN (VALUES ('all_rows'), ('postal_codes'), ('admin_areas'), ('other')) v(view)"""
 SHEET_LIMIT = 2_300
+_NTH = "ascii(iso2) % 7"
+EMPTIED, NOT_OFFERED = f"status = 'covered' AND {_NTH} = 1", f"{_NTH} = 2"
+NOT_THERE = f"(status <> 'covered' AND {_NTH} = 4) OR (status = 'covered' AND {_NTH} = 5 AND fmt = 'parquet')"
+
+OFFERED_SQL = f"""SELECT * REPLACE (CASE WHEN {EMPTIED} THEN 0 ELSE rows END AS rows,
+  CASE WHEN {NOT_OFFERED} THEN NULL ELSE admin_areas_rows END AS admin_areas_rows) FROM ({ENTRIES_SQL})"""
+
+RULES = f"""CASE WHEN fmt NOT IN ('csv', 'xlsx', 'parquet') OR view NOT IN ('all_rows', 'postal_codes', 'admin_areas') THEN '422 unknown format or view'
+  WHEN status IS NULL THEN '404 unknown group'
+  WHEN status <> 'covered' AND fmt <> 'csv' THEN '409 not available as ' || fmt || ', try csv'
+  WHEN status <> 'covered' AND ({NOT_THERE}) THEN '404 file is not in place'
+  WHEN status = 'covered' AND rows = 0 THEN '409 no rows to export'
+  WHEN status = 'covered' AND CASE view WHEN 'postal_codes' THEN postal_codes_rows IS NULL WHEN 'admin_areas' THEN admin_areas_rows IS NULL ELSE false END THEN '409 view not offered'
+  WHEN status = 'covered' AND fmt = 'xlsx' AND served > {SHEET_LIMIT} THEN '409 too many rows for a sheet'
+  WHEN status = 'covered' AND ({NOT_THERE}) THEN '409 not generated' ELSE '200 ok' END"""
+
+
+def decided_sql(asked: str, columns: str) -> str:
+    """Requests with the code, reason, file, rows and bytes they get; columns of the catalog beside them."""
+    served = f"CASE view WHEN 'postal_codes' THEN {EFFECTIVE['postal_codes']} WHEN 'admin_areas' THEN {EFFECTIVE['admin_areas']} ELSE {EFFECTIVE['all_rows']} END"
+    # Materialized step by step, or the engine trips over its own dictionaries of text.
+    return f"""WITH offered AS MATERIALIZED ({OFFERED_SQL}), asked AS MATERIALIZED ({asked}),
+    both_sides AS MATERIALIZED (SELECT *, {served} AS served FROM asked LEFT JOIN offered USING (iso2)),
+    ruled AS MATERIALIZED (SELECT *, {RULES} AS rule FROM both_sides)
+    SELECT {columns}, CAST(left(rule, 3) AS INTEGER) AS code, substr(rule, 5) AS reason,
+    CASE WHEN rule = '200 ok' THEN CASE WHEN status <> 'covered' THEN source_file
+      ELSE iso2 || '.' || CASE WHEN view = 'all_rows' THEN '' ELSE view || '.' END || fmt END END AS file,
+    CASE WHEN rule = '200 ok' THEN served END AS rows,
+    CASE WHEN rule = '200 ok' THEN CASE WHEN status <> 'covered' THEN source_rows * {BYTES_PER_SOURCE_ROW} ELSE served * {BYTES_PER_ROW} END END AS bytes,
+    CASE WHEN rule = '200 ok' THEN last_updated END AS last_updated, CASE WHEN rule = '200 ok' THEN source_file END AS source_file,
+    CASE WHEN rule = '200 ok' THEN status <> 'covered' END AS raw
+    FROM ruled"""
+
+
+def offered(spark, folder):
+    """(entries, served): a catalog with gaps, and the files that are there."""
+    found = entries(spark, folder, samples=False)
+    gone = lambda rule: F.expr(rule)
+    found = found.withColumn("rows", F.when(gone(EMPTIED), F.lit(0)).otherwise(F.col("rows"))).withColumn(
+        "view_stats", F.when(gone(NOT_OFFERED), F.map_filter("view_stats", lambda k, _: k != "admin_areas")).otherwise(F.col("view_stats"))
+    )
+    each = lambda values, name: F.explode(F.array(*map(F.lit, values))).alias(name)
+    tables = found.where("status = 'covered'").select("*", each(["csv", "xlsx", "parquet"], "fmt")).select("*", each(["all_rows", *VIEW_KEYS], "view"))
+    tables = tables.select("iso2", "status", "view", "fmt", (R.effective_rows(F.col("view")) * BYTES_PER_ROW).alias("bytes"))
+    raw = R.raw_files(found).select("iso2", F.lit(C.NO_DATA).alias("status"), F.lit("all_rows").alias("view"), "fmt", "bytes")
+    return found, settle(tables.unionByName(raw).where(~gone(NOT_THERE)).drop("status"), "served")
 
 
-@query(
-    "request_decisions",
-    f"""SELECT a.*, CAST(CASE WHEN fmt = 'pdf' OR view = 'other' THEN 422 WHEN e.iso2 IS NULL THEN 404
-      WHEN status <> 'covered' AND fmt <> 'csv' THEN 409
-      WHEN status = 'covered' AND fmt = 'xlsx' AND served > {SHEET_LIMIT} THEN 409 ELSE 200 END AS INTEGER) AS code,
-    CASE WHEN fmt = 'pdf' OR view = 'other' THEN 'unknown format or view' WHEN e.iso2 IS NULL THEN 'unknown group'
-      WHEN status <> 'covered' AND fmt <> 'csv' THEN 'not available as ' || fmt || ', try csv'
-      WHEN status = 'covered' AND fmt = 'xlsx' AND served > {SHEET_LIMIT} THEN 'too many rows for a sheet'
-      ELSE 'ok' END AS reason,
-    CASE WHEN e.iso2 IS NOT NULL AND fmt <> 'pdf' AND view <> 'other' THEN
-      CASE WHEN status <> 'covered' THEN CASE WHEN fmt = 'csv' THEN source_file END
-      WHEN fmt <> 'xlsx' OR served <= {SHEET_LIMIT} THEN a.iso2 || '.' || CASE WHEN view = 'all_rows' THEN '' ELSE view || '.' END || fmt
-      END END AS file,
-    CASE WHEN e.iso2 IS NOT NULL AND fmt <> 'pdf' AND view <> 'other' THEN
-      CASE WHEN status <> 'covered' THEN CASE WHEN fmt = 'csv' THEN served END
-      WHEN fmt <> 'xlsx' OR served <= {SHEET_LIMIT} THEN served END END AS rows
-    FROM ({ASKED_SQL}) a LEFT JOIN
-    (SELECT e0.iso2, status, source_file, v0.view AS served_view,
-      CASE v0.view WHEN 'postal_codes' THEN {EFFECTIVE['postal_codes']}
-      WHEN 'admin_areas' THEN {EFFECTIVE['admin_areas']} ELSE {EFFECTIVE['all_rows']} END AS served
-      FROM ({ENTRIES_SQL}) e0
-      CROSS JOIN (VALUES ('all_rows'), ('postal_codes'), ('admin_areas'), ('other')) v0(view)) e
-    ON e.iso2 = a.iso2 AND e.served_view = a.view""",
-)
+@query("request_decisions", decided_sql(ASKED_SQL, "iso2, fmt, view"))
 def request_decisions(spark, folder):
     codes = R.selected_codes(requested(spark, folder)).select("iso2")
     each = lambda values, name: F.explode(F.array(*map(F.lit, values))).alias(name)
     asked = codes.select("iso2", each(["csv", "xlsx", "parquet", "pdf"], "fmt")).select(
         "iso2", "fmt", each(["all_rows", "postal_codes", "admin_areas", "other"], "view")
     )
-    return R.decisions(asked, entries(spark, folder, samples=False), sheet_limit=SHEET_LIMIT)
-
-
-MANIFEST_SQL = f"""SELECT position, iso2,
-  CASE WHEN status <> 'covered' THEN source_file ELSE iso2 || '.admin_areas.csv' END AS file,
-  {EFFECTIVE['admin_areas']} AS rows,
-  CASE WHEN status <> 'covered' THEN source_rows * {BYTES_PER_SOURCE_ROW} END AS bytes,
-  last_updated, source_file, status <> 'covered' AS raw
-  FROM ({ENTRIES_SQL}) JOIN ({SELECTED_SQL}) USING (iso2)"""
-
-
-def bundle(spark, folder):
-    return R.manifest(R.selection(entries(spark, folder, samples=False), requested(spark, folder)), "csv", "admin_areas")
+    return R.decisions(asked, *offered(spark, folder), sheet_limit=SHEET_LIMIT)
+
+
+# Bundles: those of customers, each asking for the groups of some of their orders, in
+# mixed case and more than once. One customer asks for far too many.
+BUNDLES = """SELECT CAST(o_custkey % 40 AS STRING) AS bundle,
+  concat(CASE WHEN o_orderkey % 2 = 0 THEN chr(CAST(65 + k AS INT)) ELSE chr(CAST(97 + k AS INT)) END, chr(CAST(65 + r AS INT))) AS iso2,
+  CASE o_custkey % 4 WHEN 0 THEN 'csv' WHEN 1 THEN 'xlsx' ELSE 'parquet' END AS fmt,
+  CASE o_custkey % 5 WHEN 0 THEN 'postal_codes' WHEN 1 THEN 'admin_areas' ELSE 'all_rows' END AS view, o_orderkey AS position
+  FROM (SELECT *, o_orderkey % 25 AS k FROM orders WHERE o_custkey % 40 <> 7 AND o_orderkey % 300 < 8 OR o_custkey % 40 = 7)
+  JOIN (SELECT n_nationkey, CASE WHEN n_nationkey = 24 THEN 25 ELSE n_regionkey END AS r FROM nation) ON n_nationkey = k"""
+BUNDLES_SQL = BUNDLES.replace("AS STRING", "AS VARCHAR")
+MEMBERS_SQL = f"""SELECT bundle, upper(iso2) AS iso2, min(position) AS position, arg_min(fmt, position) AS fmt,
+  arg_min(view, position) AS view, count(*) AS asked FROM ({BUNDLES_SQL}) GROUP BY 1, 2"""
+DECIDED_SQL = decided_sql(MEMBERS_SQL, "bundle, iso2, position, fmt, view, asked")
+VERDICT_SQL = f"""WITH decided AS MATERIALIZED ({DECIDED_SQL}) SELECT bundle, fmt, view, CAST(CASE WHEN asked > 200 THEN 422 ELSE coalesce(fault.code, 200) END AS INTEGER) AS code,
+  CASE WHEN asked > 200 THEN 'a bundle holds 1 to 200 groups' ELSE coalesce(fault.reason, 'ok') END AS reason,
+  CASE WHEN asked <= 200 THEN fault.iso2 END AS refused,
+  CASE WHEN fault IS NULL AND asked <= 200 THEN groups END AS groups, CASE WHEN fault IS NULL AND asked <= 200 THEN total_rows END AS rows,
+  CASE WHEN fault IS NULL AND asked <= 200 THEN total_bytes END AS bytes, CASE WHEN fault IS NULL AND asked <= 200 THEN coalesce(raws, '') END AS raw_groups
+  FROM (SELECT bundle, arg_min(fmt, position) AS fmt, arg_min(view, position) AS view, sum(asked) AS asked, count(*) AS groups,
+    CAST(sum(rows) AS BIGINT) AS total_rows, CAST(sum(bytes) AS BIGINT) AS total_bytes,
+    arg_min({{'iso2': iso2, 'code': code, 'reason': reason}}, position) FILTER (WHERE code <> 200) AS fault,
+    string_agg(iso2, ', ' ORDER BY position) FILTER (WHERE raw) AS raws FROM decided GROUP BY bundle)"""
+MANIFEST_SQL = f"""WITH lines AS MATERIALIZED ({DECIDED_SQL}), granted AS MATERIALIZED ({VERDICT_SQL})
+  SELECT bundle, position, iso2, file, rows, bytes, last_updated, source_file, raw FROM lines
+  WHERE bundle IN (SELECT bundle FROM granted WHERE code = 200)"""
+
+
+def bundles(spark, folder):
+    t = {n: table(spark, folder, n) for n in ("orders", "nation")}
+    asked = spark.sql(BUNDLES.replace("FROM orders", "FROM {orders}").replace("FROM nation", "FROM {nation}"), **t)
+    return R.bundles(asked, *offered(spark, folder), sheet_limit=SHEET_LIMIT)
+
+
+@query("bundle_verdicts", VERDICT_SQL)
+def bundle_verdicts(spark, folder):
+    return bundles(spark, folder)[0]
 
 
 @query("bundle_manifest", MANIFEST_SQL)
 def bundle_manifest(spark, folder):
-    return bundle(spark, folder)
+    return R.manifest(bundles(spark, folder)[1])
 
 
 @query(
     "bundle_totals",
-    f"""SELECT count(*) AS groups, CAST(sum(rows) AS BIGINT) AS rows, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes,
-    coalesce(string_agg(CASE WHEN raw THEN iso2 END, ', ' ORDER BY position), '') AS raw_groups,
-    true AS csv_warning FROM ({MANIFEST_SQL})""",
+    f"""SELECT bundle, count(*) AS groups, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(bytes) AS BIGINT) AS bytes,
+    coalesce(string_agg(CASE WHEN raw THEN iso2 END, ', ' ORDER BY position), '') AS raw_groups FROM ({MANIFEST_SQL}) GROUP BY bundle""",
 )
 def bundle_totals(spark, folder):
-    return R.manifest_totals(bundle(spark, folder), "csv")
+    return bundles(spark, folder)[0].where(F.col("code") == R.OK).select("bundle", "groups", "rows", "bytes", "raw_groups")
 
 
 def cell_sql(text, width):
@@ -379,31 +428,39 @@ def cell_sql(text, width):
     return padded if width else text
 
 
-MANIFEST_HEAD_SQL = "'" + "".join(title.ljust(width) for title, width in R.MANIFEST_COLUMNS) + "'"
+# The manifest as its layout says it: titles at these places, then one line per file.
 MANIFEST_LINE_SQL = " || ".join(
     cell_sql(text, width)
-    for text, (_, width) in zip(
-        ["iso2", "format('{:,}', CAST(rows AS BIGINT))", "last_updated", "file", "source_file || CASE WHEN raw THEN ' (as delivered)' ELSE '' END"],
-        R.MANIFEST_COLUMNS,
-        strict=True,
-    )
+    for text, width in [
+        ("iso2", 8), ("format('{:,}', rows)", 14), ("last_updated", 14), ("file", 36),
+        ("source_file || CASE WHEN raw THEN ' (as delivered)' ELSE '' END", 0),
+    ]
 )
 
 
 @query(
     "bundle_text",
-    f"""SELECT concat_ws(chr(10), 'Bundle manifest', 'format: csv (admin_areas)', 'groups: ' || count(*),
-    'rows: ' || format('{{:,}}', CAST(sum(rows) AS BIGINT)), 'catalog generated: 2024-01-01', '',
-    {MANIFEST_HEAD_SQL},
-    string_agg({MANIFEST_LINE_SQL},
-      chr(10) ORDER BY position), '',
-    'RAW SOURCE files: ' || string_agg(CASE WHEN raw THEN iso2 END, ', ' ORDER BY position)
-      || '. No usable codes; columns and encoding differ from file to file.', '',
-    'CSV: import code columns as text, or a spreadsheet drops their leading zeros.') || chr(10) AS text
-    FROM ({MANIFEST_SQL})""",
+    f"""WITH listed AS MATERIALIZED ({MANIFEST_SQL}), judged AS MATERIALIZED ({VERDICT_SQL})
+    SELECT v.bundle, concat_ws(chr(10), 'group   rows          updated       served as                           made from', lines, '',
+    format('{{:,}}', v.groups) || ' groups with ' || format('{{:,}}', v.rows) || ' rows in ' || format('{{:,}}', v.bytes) || ' bytes, '
+      || fmt || ' of ' || replace(view, '_', ' ') || ', out of the catalog of 2024-01-01',
+    CASE WHEN raw_groups <> '' THEN 'Served as delivered, without codes: ' || raw_groups END,
+    CASE WHEN fmt = 'csv' THEN 'Read code columns as text; as numbers they lose leading zeros.' END, '') AS text
+    FROM judged v JOIN (SELECT bundle, string_agg({MANIFEST_LINE_SQL}, chr(10) ORDER BY position) AS lines FROM listed GROUP BY bundle) l
+    ON l.bundle = v.bundle""",
 )
 def bundle_text(spark, folder):
-    return R.manifest_text(bundle(spark, folder), "csv", "admin_areas", "2024-01-01")
+    verdicts, members = bundles(spark, folder)
+    return R.manifest_text(verdicts, R.manifest(members), "2024-01-01")
+
+
+@query(
+    "sendable_selection",
+    f"SELECT iso2, position, sample_bytes FROM ({ENTRIES_SQL}) JOIN ({SELECTED_SQL}) USING (iso2) WHERE sample_count IS NOT NULL",
+)
+def sendable_selection(spark, folder):
+    chosen = R.selection(entries(spark, folder, views=False), requested(spark, folder), with_sample=True)
+    return chosen.select("iso2", "position", F.col("sample_csv.bytes").alias("sample_bytes"))
 
 
 # Links -----------------------------------------------------------------------

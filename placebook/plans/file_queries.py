@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from placebook.functions.absence import has_text
 from placebook.operators import upstream as U
 from placebook.operators.consensus import distinct_keys
 from placebook.operators.source_profile import source_levels, source_profile
-from placebook.plans.build import build_entries
+from placebook.plans.build import build_entries, raw_sources
 from placebook.plans.catalog_queries import (
     ENTRIES_SQL,
     FEATURES,
@@ -28,13 +31,20 @@ from placebook.sinks import views as V
 from placebook.sinks.catalog import write_document, write_records
 from placebook.sinks.delimited import csv_line, write_csv
 from placebook.sinks.samples import sample_rows, write_samples
-from placebook.sources.delimited import cells, read_dialect_csv, read_source_files, read_text_csv
+from placebook.sources.delimited import (
+    ENCODINGS,
+    cells,
+    read_dialect_csv,
+    read_text_csv,
+    read_versioned_sources,
+)
 from placebook.sources.tables import (
     read_catalog,
     read_catalog_header,
     read_features,
     read_files,
     read_listing,
+    read_sources,
     read_view,
     read_views,
 )
@@ -115,83 +125,106 @@ def dialect_csv(spark, folder):
     return read_dialect_csv(spark, path, "ISO-8859-1", ";")
 
 
-# Source files as delivered: one template per group without codes. Each template is a
-# list of header → expression over the delivered rows.
-TEMPLATES = {
-    "HC": {
+# Source files as delivered: every group has one, in one of three templates and dialects.
+# A template is a list of header → expression over the delivered rows.
+TEMPLATES = [
+    {
+        "place_name": "place_name", "Lat": "latitude", "region_1": "region_1_lc", "region_1_en": "NULL",
+        "region_2": "NULL", "region_3": "region_2_en", "region_en": "region_1_en",
+    },
+    {
         "country_en": "country_en", "country_code": GROUP, "postal_code": "NULL",
         "region1_lc": "region_1_lc", "region1_en": "region_1_en", " Region2_LC ": "region_2_lc",
         "region2_en": "region_2_en", "region3_lc": "NULL", "region3_en": "NULL", "latitude": "latitude",
     },
-    "PA": {
-        "place_name": "place_name", "Lat": "latitude", "region_1": "region_1_lc", "region_1_en": "NULL",
-        "region_2": "NULL", "region_3": "region_2_en", "region_en": "region_1_en",
-    },
-    "XD": {
-        "place_name": "place_name", "order8_name": "region_2_en", "order1_name": "region_1_en",
+    {
+        "place_name": "place_name", "order8_name": "region_2_en", "order1_name": "concat('é;,', region_1_en)",
         "latitude": "NULL", "lat": "longitude",
     },
-}
+]
+DIALECTS = [("UTF-8", ","), ("latin-1", ";"), ("utf-8-sig", "\t")]
+_TEMPLATE = f"((ascii({GROUP}) - 65) % 3)"
+# All files have one name, each in a folder of its own.
+SOURCE_PATH = f"concat('batch=', {GROUP}, '/source=S.csv')"
+
+
+def source_versions(spark, folder):
+    """The version table with where the files really are, and how they are written."""
+    pick = lambda i: F.element_at(F.array(*(F.lit(d[i]) for d in DIALECTS)), F.expr(f"{_TEMPLATE} + 1"))
+    return dimensions(spark, folder).versions.withColumns(
+        {"selected_rel_path": F.expr(SOURCE_PATH), "selected_encoding": pick(0), "selected_delimiter": pick(1)}
+    )
 
 
 def source_files(spark, folder):
+    """A folder of source files, one per group."""
     path = fresh_path(spark, "sources")
-    rows = delivered(spark, folder)
-    for code, columns in TEMPLATES.items():
-        lines = rows.where(F.col(GROUP) == code).selectExpr(
-            *(f"CAST({e} AS STRING) AS `{h}`" for h, e in columns.items())
-        )
-        write_csv(lines, f"{path}/{code}")
-    folder_name = lambda file: F.element_at(F.split(file, "/"), -2)
-    paths = [f"{path}/{code}" for code in TEMPLATES]
-    return read_source_files(spark, {("UTF-8", ","): paths}, source_of=folder_name)
-
-
-def _level_sql(code, level, columns, en, lc) -> str:
+    rows = delivered(spark, folder).withColumns({"batch": F.col(GROUP), "source": F.lit("S.csv")})
+    for i, (columns, (encoding, sep)) in enumerate(zip(TEMPLATES, DIALECTS, strict=True)):
+        of_template = rows.where(f"{_TEMPLATE} = {i}").repartition("batch")
+        lines = of_template.selectExpr(*(f"CAST({e} AS STRING) AS `{h}`" for h, e in columns.items()), "batch", "source")
+        plain = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "nullValue": "", "emptyValue": ""}
+        written = lines.write.mode("append").partitionBy("batch", "source").options(header=True, quoteAll=True, escape='"', **plain)
+        written.options(sep=sep, encoding=ENCODINGS.get(encoding, encoding)).csv(path)
+    return path
+
+
+def sources(spark, folder):
+    root, versions = source_files(spark, folder), source_versions(spark, folder)
+    there = versions.join(read_sources(spark, root), F.col("selected_rel_path") == F.col("rel_path"), "left_semi")
+    return read_versioned_sources(spark, there, root)
+
+
+def _level_sql(template, level, columns, en, lc) -> str:
     condition = " OR ".join(says(c) for c in columns) or "false"
-    return f"""SELECT '{code}' AS file, CAST({level} AS INTEGER) AS level, count(*) AS rows,
+    return f"""SELECT {SOURCE_PATH} AS file, CAST({level} AS INTEGER) AS level, count(*) AS rows,
     count(*) FILTER (WHERE {condition}) AS filled, {en} AS has_en, {lc} AS has_lc
-    FROM delivered WHERE {GROUP} = '{code}'"""
+    FROM selected WHERE {_TEMPLATE} = {template} GROUP BY {GROUP}"""
 
 
-SOURCE_LEVELS_SQL = " UNION ALL ".join(
+# Files that the version table selects.
+SELECTED = f"selected AS (SELECT * FROM delivered WHERE {GROUP} IN (SELECT country_iso2 FROM ({dimension_sql('versions')})))"
+LEVELS_SQL = " UNION ALL ".join(
     _level_sql(*args)
     for args in [
-        ("HC", 1, ["region_1_lc", "region_1_en"], "true", "true"),
-        ("HC", 2, ["region_2_lc", "region_2_en"], "true", "true"),
-        ("HC", 3, [], "true", "true"),
-        ("PA", 1, ["region_1_lc"], "true", "true"),
-        ("PA", 2, [], "false", "true"),
-        ("PA", 3, ["region_2_en"], "false", "true"),
-        ("XD", 1, ["region_1_en"], "true", "false"),
-        ("XD", 2, ["region_2_en"], "true", "false"),
+        (1, 1, ["region_1_lc", "region_1_en"], "true", "true"),
+        (1, 2, ["region_2_lc", "region_2_en"], "true", "true"),
+        (1, 3, [], "true", "true"),
+        (0, 1, ["region_1_lc"], "true", "true"),
+        (0, 2, [], "false", "true"),
+        (0, 3, ["region_2_en"], "false", "true"),
+        (2, 1, ["concat('é;,', region_1_en)"], "true", "false"),
+        (2, 2, ["region_2_en"], "true", "false"),
     ]
 )
 
 
-@query("source_levels", SOURCE_LEVELS_SQL)
+@query("source_levels", f"WITH {SELECTED} {LEVELS_SQL}")
 def levels_of_sources(spark, folder):
-    return source_levels(source_files(spark, folder)).withColumn("level", F.col("level").cast("int"))
+    return source_levels(sources(spark, folder)).withColumn("level", F.col("level").cast("int"))
+
+
+# Per template: admin_depth, coordinates, whether places are named.
+_SHAPES = [
+    (f"CASE WHEN bool_or({says('region_2_en')}) THEN 3 WHEN bool_or({says('region_1_lc')}) THEN 1 ELSE 0 END", percent_sql("latitude IS NOT NULL"), "true"),
+    (f"CASE WHEN bool_or({says('region_2_lc')} OR {says('region_2_en')}) THEN 2 WHEN bool_or({says('region_1_lc')} OR {says('region_1_en')}) THEN 1 ELSE 0 END",
+     percent_sql("latitude IS NOT NULL"), "false"),
+    (f"CASE WHEN bool_or({says('region_2_en')}) THEN 2 WHEN bool_or(region_1_en IS NOT NULL) THEN 1 ELSE 0 END", percent_sql("false"), "true"),
+]
+PROFILE_SQL = " UNION ALL ".join(
+    f"""SELECT {GROUP}, CAST({depth} AS INTEGER) AS admin_depth, {pct} AS coord_coverage_pct, {place} AS has_place_name,
+    '{",".join(TEMPLATES[i])}' AS source_columns, count(*) AS lines FROM selected WHERE {_TEMPLATE} = {i} GROUP BY {GROUP}"""
+    for i, (depth, pct, place) in enumerate(_SHAPES)
+)
 
 
 @query(
     "source_profile",
-    " UNION ALL ".join(
-        f"""SELECT '{code}' AS file, CAST(0 AS BIGINT) AS rows, CAST({depth} AS INTEGER) AS admin_depth,
-        CAST({depth} AS INTEGER) AS listed_levels, {pct} AS coord_coverage_pct, {place} AS has_place_name,
-        '{','.join(TEMPLATES[code])}' AS source_columns FROM delivered WHERE {GROUP} = '{code}'"""
-        for code, depth, pct, place in [
-            ("HC", f"CASE WHEN bool_or({says('region_2_lc')} OR {says('region_2_en')}) THEN 2 ELSE 1 END",
-             percent_sql("latitude IS NOT NULL"), "false"),
-            ("PA", f"CASE WHEN bool_or({says('region_2_en')}) THEN 3 ELSE 1 END",
-             percent_sql("latitude IS NOT NULL"), "true"),
-            ("XD", f"CASE WHEN bool_or({says('region_2_en')}) THEN 2 ELSE 1 END",
-             percent_sql("false"), "true"),
-        ]
-    ),
+    f"""WITH {SELECTED} SELECT {SOURCE_PATH} AS file, CAST(0 AS BIGINT) AS rows, admin_depth, admin_depth AS listed_levels,
+    coord_coverage_pct, has_place_name, source_columns FROM ({PROFILE_SQL})""",
 )
 def profile_of_sources(spark, folder):
-    found = source_profile(source_files(spark, folder))
+    found = source_profile(sources(spark, folder))
     return found.select(
         "file", "rows", "admin_depth", F.size("admin_levels").alias("listed_levels"),
         "coord_coverage_pct", "has_place_name", F.array_join("source_columns", ",").alias("source_columns"),
@@ -200,31 +233,100 @@ def profile_of_sources(spark, folder):
 
 @query(
     "source_level_list",
-    f"""SELECT file, level, concat('Level ', CAST(level AS VARCHAR)) AS label,
-    round_even(CAST(100.0 AS DOUBLE) * filled / rows, 1) AS filled_pct, has_en, has_lc
-    FROM ({SOURCE_LEVELS_SQL}) l WHERE level <=
-    (SELECT coalesce(max(d.level), 0) FROM ({SOURCE_LEVELS_SQL}) d WHERE d.file = l.file AND d.filled > 0)""",
+    f"""WITH {SELECTED}, l AS (SELECT *, max(CASE WHEN filled > 0 THEN level ELSE 0 END) OVER (PARTITION BY file) AS depth FROM ({LEVELS_SQL}))
+    SELECT file, level, concat('Level ', CAST(level AS VARCHAR)) AS label,
+    round_even(CAST(100.0 AS DOUBLE) * filled / rows, 1) AS filled_pct, has_en, has_lc FROM l WHERE level <= depth""",
 )
 def level_list_of_sources(spark, folder):
-    return source_profile(source_files(spark, folder)).select("file", F.inline("admin_levels"))
+    return source_profile(sources(spark, folder)).select("file", F.inline("admin_levels"))
 
 
 @query(
     "source_cells",
-    " UNION ALL ".join(
-        f"""SELECT '{code}' AS file, '{h}' AS header, count(*) AS cells,
-        count(*) FILTER (WHERE coalesce(trim(CAST({e} AS VARCHAR)) <> '', false)) AS filled
-        FROM delivered WHERE {GROUP} = '{code}'"""
-        for code, columns in TEMPLATES.items()
+    f"WITH {SELECTED} " + " UNION ALL ".join(
+        f"""SELECT {SOURCE_PATH} AS file, '{h}' AS header, count(*) AS cells,
+        count(*) FILTER (WHERE coalesce(trim(CAST({e} AS VARCHAR)) <> '', false)) AS filled,
+        CAST(coalesce(sum(length(CAST({e} AS VARCHAR))), 0) AS BIGINT) AS chars
+        FROM selected WHERE {_TEMPLATE} = {i} GROUP BY {GROUP}"""
+        for i, columns in enumerate(TEMPLATES)
         for h, e in columns.items()
     ),
 )
 def cells_of_sources(spark, folder):
-    from placebook.functions.absence import has_text
-
-    found = cells(source_files(spark, folder))
+    found = cells(sources(spark, folder))
     return found.groupBy("file", "header").agg(
-        F.count("*").alias("cells"), F.count_if(has_text("value")).alias("filled")
+        F.count("*").alias("cells"), F.count_if(has_text("value")).alias("filled"), F.sum(F.length("value")).alias("chars")
+    )
+
+
+# Every template under the canonical names. Where the mapping is silent, or wrong for a
+# group, overrides of that group say what a header means.
+SOURCE_MAPPING = {
+    "country_en": "country_en", "country_code": GROUP, "postal_code": "postal_code", "place_name": "place_name",
+    "region1_lc": "region_1_lc", "region1_en": "region_1_en", "region2_lc": "region_2_lc", "region2_en": "region_2_en",
+    "region_1": "region_1_lc", "region_1_en": "region_1_en", "region_en": "region_1_en", "latitude": "latitude", "lat": "latitude",
+}
+_OVERRIDES = [("order1_name", "region_1_en", "true"), ("order8_name", "region_2_en", "true"), ("lat", "longitude", f"{_TEMPLATE} = 2 AND ascii({GROUP}) % 2 = 0")]
+
+
+def _mapped_sql(template) -> str:
+    even = f"ascii({GROUP}) % 2 = 0"
+    blank = "''"
+    empty = lambda c: f"coalesce(CAST({c} AS VARCHAR), '')"
+    own = {
+        # Of two headers for one column the first that says something is taken, else the last as it is.
+        0: {"place_name": empty("place_name"), "latitude": "latitude", "region_1_lc": empty("region_1_lc"), "region_1_en": empty("region_1_en")},
+        1: {"country_en": "country_en", GROUP: GROUP, "postal_code": blank, "region_1_lc": empty("region_1_lc"), "region_1_en": empty("region_1_en"),
+            "region_2_lc": empty("region_2_lc"), "region_2_en": empty("region_2_en"), "latitude": "latitude"},
+        2: {"place_name": empty("place_name"), "region_2_en": empty("region_2_en"), "region_1_en": "coalesce(concat('é;,', region_1_en), '')",
+            "latitude": f"CASE WHEN NOT {even} THEN longitude END", "longitude": f"CASE WHEN {even} THEN longitude END"},
+    }[template]
+    columns = ", ".join(f"{own.get(c, 'CAST(NULL AS DOUBLE)' if c in NUMERIC_COLUMNS else 'CAST(NULL AS VARCHAR)')} AS {c}" for c in COLUMNS)
+    return f"SELECT {SOURCE_PATH} AS file, {columns} FROM selected WHERE {_TEMPLATE} = {template}"
+
+
+@query("mapped_sources", f"WITH {SELECTED} " + " UNION ALL ".join(_mapped_sql(i) for i in range(3)))
+def mapped_sources(spark, folder):
+    """All templates at once under the canonical names."""
+    source = sources(spark, folder)
+    mapping = spark.createDataFrame(list(SOURCE_MAPPING.items()), "header string, canonical string")
+    versions = source_versions(spark, folder)
+    own = [versions.where(rule).select(F.col("selected_rel_path").alias("file"), F.lit(h).alias("header"), F.lit(c).alias("canonical")) for h, c, rule in _OVERRIDES]
+    return U.map_sources(source, mapping, own[0].unionByName(own[1]).unionByName(own[2]))
+
+
+def _line_bytes_sql(template) -> str:
+    size = "octet_length(encode({}))" if DIALECTS[template][0].startswith(("UTF", "utf")) else "length({})"
+    columns = TEMPLATES[template]
+    fields = " + ".join(size.format(f"coalesce(CAST({e} AS VARCHAR), '')") for e in columns.values())
+    return f"CAST({sum(len(h) + 3 for h in columns)} + sum({fields} + {3 * len(columns)}) AS BIGINT)"
+
+
+@query(
+    "catalog_source_entries",
+    f"""WITH {SELECTED}, p AS ({PROFILE_SQL}),
+    b AS ({" UNION ALL ".join(f"SELECT {GROUP}, {_line_bytes_sql(i)} AS bytes FROM selected WHERE {_TEMPLATE} = {i} GROUP BY {GROUP}" for i in range(3))})
+    SELECT e.iso2, e.name_en, e.status, 'source=S.csv' AS source_file, e.rows,
+    CASE WHEN e.status = 'covered' THEN e.admin_depth ELSE p.admin_depth END AS admin_depth,
+    CASE WHEN e.status = 'covered' THEN e.coord_coverage_pct ELSE p.coord_coverage_pct END AS coord_coverage_pct,
+    CASE WHEN e.status = 'covered' THEN e.has_place_name ELSE p.has_place_name END AS has_place_name,
+    CASE WHEN e.status <> 'covered' THEN p.source_columns END AS source_columns,
+    CASE WHEN e.status <> 'covered' THEN b.bytes END AS csv_bytes,
+    CASE WHEN e.status = 'covered' THEN e.sample_count ELSE least(p.lines, 100) END AS sample_count, true AS dated
+    FROM ({ENTRIES_SQL}) e LEFT JOIN p ON p.{GROUP} = e.iso2 LEFT JOIN b ON b.{GROUP} = e.iso2""",
+)
+def catalog_source_entries(spark, folder):
+    """The complete build, groups without rows being described by their source files."""
+    stored, root = settle(master(spark, folder), "master"), source_files(spark, folder)
+    versions = source_versions(spark, folder)
+    dims = replace(dimensions(spark, folder), versions=versions)
+    raw = raw_sources(spark, versions, stored, root)
+    built = build_entries(stored, dims, ORDER, fresh_path(spark, "build"), raw)
+    near = F.abs(F.datediff(F.to_date("last_updated"), F.current_date())) <= 1
+    return built.select(
+        "iso2", "name_en", "status", "source_file", "rows", "admin_depth", "coord_coverage_pct", "has_place_name",
+        F.array_join("source_columns", ",").alias("source_columns"), F.element_at("files", "csv")["bytes"].alias("csv_bytes"),
+        F.col("sample_csv.rows").alias("sample_count"), near.alias("dated"),
     )
 
 

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placebook.functions.scalars import base_name
 from placebook.operators.ranking import first_per_group, first_per_group_wide
 from placebook.operators.source_profile import unique_headers
 from placebook.schema import COLUMNS, FILE_ORDER, GROUP, SAMPLE_ROWS
@@ -67,16 +66,17 @@ def source_samples(source: SourceFiles, n: int = SAMPLE_ROWS) -> DataFrame:
     )
 
 
-def source_sample_sizes(samples: DataFrame) -> DataFrame:
-    """(file, bytes, rows) of the files :func:`write_source_samples` makes."""
+def source_sample_sizes(samples: DataFrame, name: str = "file") -> DataFrame:
+    """(name, bytes, rows) of the files :func:`write_source_samples` makes."""
     size = F.sum(F.octet_length("line") + 1) + F.max(F.octet_length("header")) + 1
-    return samples.groupBy("file").agg(size.alias("bytes"), F.count("*").alias("rows"))
+    return samples.groupBy(name).agg(size.alias("bytes"), F.count("*").alias("rows"))
 
 
-def write_source_samples(samples: DataFrame, path: str, mode: str = "error") -> None:
-    """One file per source, in a folder named after the source file."""
+def write_source_samples(samples: DataFrame, path: str, name: str, mode: str = "error") -> None:
+    """One file per source, in a folder called by the column ``name``. A sample is a
+    hundred lines at most, so its text is put together as one value."""
     ordered = F.array_sort(F.collect_list(F.struct("position", "line")))
     body = F.array_join(F.transform(ordered, lambda x: x.line), "\n")
-    files = samples.groupBy(base_name("file").alias("group"), "header").agg(body.alias("body"))
+    files = samples.groupBy(F.col(name).alias("group"), "header").agg(body.alias("body"))
     text = F.concat("header", F.lit("\n"), "body")
     files.select(text.alias("value"), "group").write.mode(mode).partitionBy("group").text(path)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placebook.session import settle
+from placebook.sources.tables import source_path
 
 CORRUPT = "_corrupt_record"
 BOM = "\ufeff"
@@ -121,7 +122,6 @@ class SourceFiles(NamedTuple):
 def read_source_files(
     spark: SparkSession,
     dialects: dict[tuple[str, str], list[str]],
-    width: int = 64,
     multi_line: bool = True,
     source_of: Callable[[Column], Column] | None = None,
 ) -> SourceFiles:
@@ -134,13 +134,13 @@ def read_source_files(
     dialect is one scan, whatever the number of files or templates in it. Records
     with more fields than their header are dropped, short ones are left short.
     """
-    heads = settle(_heads(_scan_all(spark, dialects, width, multi_line, header=False)), "headers")
-    widest = heads.agg(F.max("_size")).first()[0] or width
-    if widest > width:  # the heads alone again, with all their fields
-        heads = settle(_heads(_scan_all(spark, dialects, widest, multi_line, header=False)), "headers")
+    scans = [_heads(spark, paths, encoding, sep, multi_line) for (encoding, sep), paths in dialects.items()]
+    heads = settle(reduce(DataFrame.unionByName, scans), "headers")
+    widest = heads.agg(F.max("_size")).first()[0] or 1
     # The reader drops the first record of every file, so no row of this scan has to be
     # recognized by what another scan numbered.
-    records = _scan_all(spark, dialects, widest, multi_line, header=True)
+    scans = [_records(spark, paths, encoding, sep, widest, multi_line) for (encoding, sep), paths in dialects.items()]
+    records = reduce(DataFrame.unionByName, scans)
     kept = records.join(heads.drop("_headers"), F.col("file") == F.col("_file")).where(F.col("size") <= F.col("_size"))
     named = source_of or (lambda path: path)
     headers = heads.select(
@@ -152,6 +152,35 @@ def read_source_files(
     return SourceFiles(headers.distinct() if source_of else headers, numbered)
 
 
+def dialects_of(versions: DataFrame, root: str) -> dict[tuple[str, str], list[str]]:
+    """(encoding, separator) to the paths written that way, out of the version table.
+
+    One path per group comes to the driver, which Spark's reader needs there to list
+    the files. Blank encodings and separators mean UTF-8 and a comma.
+    """
+    name = F.coalesce(F.nullif(F.lower(F.trim("selected_encoding")), F.lit("")), F.lit("utf-8"))
+    sep = F.coalesce(F.nullif("selected_delimiter", F.lit("")), F.lit(","))
+    known = F.create_map(*(F.lit(x) for pair in ENCODINGS.items() for x in pair))
+    chosen = versions.select(
+        F.upper(F.coalesce(F.element_at(known, name), name)).alias("encoding"), sep.alias("sep"), "selected_rel_path"
+    )
+    out: dict[tuple[str, str], list[str]] = {}
+    for encoding, separator, path in chosen.distinct().orderBy("encoding", "sep", "selected_rel_path").collect():
+        out.setdefault((encoding, separator), []).append(f"{root.rstrip('/')}/{path}")
+    return out
+
+
+def read_versioned_sources(
+    spark: SparkSession, versions: DataFrame, root: str, multi_line: bool = True
+) -> SourceFiles:
+    """The files a version table selects below ``root``, each in its own dialect.
+
+    A source is called by its path below ``root``, as in ``selected_rel_path``: two files
+    of one name in two folders are two sources. A source may be a folder of part files.
+    """
+    return read_source_files(spark, dialects_of(versions, root), multi_line, lambda path: source_path(path, root, True))
+
+
 def cells(source: SourceFiles) -> DataFrame:
     """Long form: (file, block, row, ordinal, header, value)."""
     values = source.records.select(
@@ -162,19 +191,20 @@ def cells(source: SourceFiles) -> DataFrame:
     )
 
 
-def _scan_all(spark, dialects, width, multi_line, header) -> DataFrame:
-    scans = [
-        _records(spark, paths, encoding, sep, width, multi_line, header)
-        for (encoding, sep), paths in dialects.items()
-    ]
-    return reduce(DataFrame.unionByName, scans)
+def fields_of(record: Column, sep: str) -> Column:
+    """The fields of a raw record, without the quotes around them."""
+    s = re.escape(sep)
+    pattern = rf'{s}("(?:[^"]|"")*"|[^{s}]*)'
+    raw = F.regexp_extract_all(F.concat(F.lit(sep), record), F.lit(pattern), 1)
+    bare = lambda f: F.replace(F.regexp_replace(f, '^"|"$', ""), F.lit('""'), F.lit('"'))
+    return F.transform(raw, lambda f: F.when(F.startswith(f, F.lit('"')), bare(f)).otherwise(f))
 
 
-def _records(spark, paths, encoding, sep, width, multi_line, header) -> DataFrame:
+def _records(spark, paths, encoding, sep, width, multi_line) -> DataFrame:
     names = [f"_{i}" for i in range(width)]
     rows = (
         _reader(spark, sep, encoding, multi_line)
-        .options(header=header, enforceSchema=True, columnNameOfCorruptRecord=CORRUPT)
+        .options(header=True, enforceSchema=True, columnNameOfCorruptRecord=CORRUPT)
         .schema(_positions(width, CORRUPT))
         .csv(paths)
     )
@@ -189,14 +219,23 @@ def _records(spark, paths, encoding, sep, width, multi_line, header) -> DataFram
     ).where(F.size("fields") > 0)
 
 
-def _heads(records: DataFrame) -> DataFrame:
+def _heads(spark, paths, encoding, sep, multi_line) -> DataFrame:
     """A file's header is its first record; row numbers of one scan rise with the
-    position. Only the block a file begins with is looked at."""
-    first = records.where(F.col("block") == 0).groupBy("file").agg(
-        F.min_by(F.struct("row", "size", "fields"), "row").alias("head")
+    position. Only the block a file begins with is looked at, and of a record only its
+    raw text, so that a header may be of any width."""
+    rows = (
+        _reader(spark, sep, encoding, multi_line)
+        .options(header=False, enforceSchema=True, columnNameOfCorruptRecord=CORRUPT)
+        .schema(_positions(1, CORRUPT))
+        .csv(paths)
     )
-    return first.select(
-        F.col("file").alias("_file"),
-        F.col("head.size").alias("_size"),
-        F.col("head.fields").alias("_headers"),
+    # A record of one field fits the schema; its text is that field.
+    one = F.concat(F.lit('"'), F.replace("_0", F.lit('"'), F.lit('""')), F.lit('"'))
+    places = rows.select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.struct(F.monotonically_increasing_id().alias("row"), F.coalesce(CORRUPT, one).alias("record")).alias("head"),
     )
+    first = places.where(F.col("_block") == 0).groupBy("_file").agg(F.min_by("head", "head.row").alias("head"))
+    fields = fields_of(F.col("head.record"), sep or ",")
+    return first.select("_file", fields.alias("_headers")).withColumn("_size", F.size("_headers"))

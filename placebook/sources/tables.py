@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,6 +85,30 @@ def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
     )
 
 
+def source_path(path: Column | str, root: str, encoded: bool = False) -> Column:
+    """The path below ``root`` of the source that a file belongs to.
+
+    The part files of a folder belong to the folder. ``encoded`` paths, as a scan's
+    metadata has them, write special characters as ``%XX``.
+    """
+    path = F.col(path) if isinstance(path, str) else path
+    if encoded:
+        path = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root.rstrip("/"))
+    # Whatever stands before the folder is scheme and host, which are written in several ways.
+    below = F.regexp_extract(path, rf"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/]*)?\Q{base}\E/(.*)$", 1)
+    return F.regexp_replace(below, r"/part-[^/]*$", "")
+
+
+def read_sources(spark: SparkSession, root: str) -> DataFrame:
+    """(rel_path, bytes, modified, last_updated) of every source below a folder, from its
+    listing: one row per file, or per folder of part files."""
+    files = read_files(spark, root).where(~F.startswith("name", F.lit("_")) & ~F.startswith("name", F.lit(".")))
+    by_source = files.groupBy(source_path("path", root).alias("rel_path"))
+    found = by_source.agg(F.sum("bytes").alias("bytes"), F.max("modified").alias("modified"))
+    return found.withColumn("last_updated", day("modified"))
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Catalog records, one per group, out of the nested document."""
     documents = spark.read.schema(document_type()).json(path, multiLine=True)

@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,11 +9,11 @@ from placebook.operators import listing as B
 from placebook.operators import requests as R
 from placebook.operators import upstream as U
 from placebook.operators.search import first_rows, match_summary, preview
-from placebook.plans.build import RawFiles, build_entries
+from placebook.plans.build import build_entries, raw_sources
 from placebook.schema import COLUMNS, MASTER
 from placebook.sinks.catalog import write_document
-from placebook.sources.delimited import read_source_files
-from placebook.sources.tables import read_catalog, read_catalog_header, read_files
+from placebook.sinks.views import view_files
+from placebook.sources.tables import read_catalog, read_catalog_header, read_sources
 
 
 def table(spark, schema, *rows):
@@ -27,13 +29,15 @@ def built(spark, tmp_path_factory):
     ] + [{"country_iso2": "MX", "country_en": "Mexico", "continent_code": "NA", "postal_code": "1"}, {"country_iso2": "ZZ", "postal_code": "1"}]
     schema = "n bigint, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in MASTER)
     master = spark.createDataFrame([(i, *(r.get(c) for c in COLUMNS)) for i, r in enumerate(rows)], schema)
-    raw_path = folder / "SRC_QA.csv"
-    raw_path.write_text("place_name,latitude,region_1\np,1,x\n")
-    (folder / "SRC_QA.xlsx").write_bytes(b"sheet")
-    versions = "country_iso2 string, selected_rel_path string, selected_batch string, n_rows string, last_updated string"
+    for name in ("b2/SRC_QA.csv", "b3/SRC_QA.csv"):  # one name in two folders
+        raw_path = folder / name
+        raw_path.parent.mkdir()
+        raw_path.write_text("place_name;latitude;region_1\np;1;x\n" + "q;;\n" * ("b3" in name))
+    (folder / "b2/SRC_QA.xlsx").write_bytes(b"sheet")
+    versions = "country_iso2 string, selected_rel_path string, selected_batch string, n_rows string, last_updated string, selected_encoding string, selected_delimiter string"
     dims = C.Dimensions(
-        table(spark, versions, ("FR", "b1/SRC_FR.csv", "b1", "300", "2024-03-01"), ("MX", "b1/SRC_MX.csv", "b1", "", "2024-01-01"),
-              ("QA", "b2/SRC_QA.csv", "b2", "1", "2024-05-01"), ("XX", "b2/SRC_XX.csv", "b2", "9", "2023-01-01")),
+        table(spark, versions, ("FR", "b1/SRC_FR.csv", "b1", "300", "2024-03-01", "", ""), ("MX", "b1/SRC_MX.csv", "b1", "", "2024-01-01", "", ""),
+              ("QA", "b2/SRC_QA.csv", "b2", "1", "2024-05-01", "utf-8", ";"), ("QB", "b3/SRC_QA.csv", "b3", "2", "", None, ";"), ("XX", "b2/SRC_XX.csv", "b2", "9", "2023-01-01", "", "")),
         table(spark, "country_iso2 string, country_iso3 string, country_en string, continent_code string, continent_name string",
               ("FR", "REF", "Ref France", "EU", "Europe"), ("QA", "QAT", "Qatar", "AS", "Asia")),
         table(spark, "country_iso2 string", ("QA",)),
@@ -41,8 +45,7 @@ def built(spark, tmp_path_factory):
         table(spark, "country_iso2 string, language string", ("QA", "ar"), ("FR", "fr")),
         table(spark, "country_iso2 string, language string, name_lc string", ("QA", "ar", "Q-lc"), ("FR", "fr", "F-lc")),
     )
-    listing = read_files(spark, str(folder), "SRC_*")
-    raw = RawFiles(read_source_files(spark, {("UTF-8", ","): [str(raw_path)]}), listing)
+    raw = raw_sources(spark, dims.versions, master, str(folder))
     entries = build_entries(master, dims, ["n"], str(folder / "out"), raw)
     return folder, dims, entries
 
@@ -50,7 +53,7 @@ def built(spark, tmp_path_factory):
 def test_entries_choose_by_status(built):
     _, _, entries = built
     e = {r.iso2: r for r in entries.collect()}
-    assert set(e) == {"FR", "MX", "QA", "XX"}  # ZZ is not in the version table
+    assert set(e) == {"FR", "MX", "QA", "QB", "XX"}  # ZZ is not in the version table
     assert (e["FR"].name_en, e["FR"].iso3, e["FR"].name_lc, e["FR"].rows) == ("France", None, None, 300)
     assert e["FR"].view_stats["postal_codes"].rows == 150 and e["FR"].view_stats["admin_areas"].rows == 1
     assert e["FR"].files["parquet"].bytes > 0 and e["FR"].view_files["admin_areas"]["parquet"].bytes > 0
@@ -60,10 +63,14 @@ def test_entries_choose_by_status(built):
     assert (qa.status, qa.name_en, qa.name_lc, qa.rows, qa.admin_depth) == ("delivered_no_data", "Qatar", "Q-lc", 0, 1)
     assert qa.files_are_source and set(qa.files) == {"csv", "xlsx"} and qa.files["csv"].name == "SRC_QA.csv" and qa.files["csv"].raw
     assert (qa.sample_csv.rows, qa.sample_csv.bytes) == (1, len('"place_name","latitude","region_1"\n"p","1","x"\n'))
-    sample = next((built[0] / "out" / "source_samples").rglob("part-*")).read_text()
+    sample = next((built[0] / "out" / "source_samples" / "group=QA").rglob("part-*")).read_text()
     assert sample == '"place_name","latitude","region_1"\n"p","1","x"\n'
     assert qa.source_columns == ["place_name", "latitude", "region_1"] and qa.coord_coverage_pct == 100.0
-    assert e["XX"].name_en == "XX"
+    assert e["XX"].name_en == "XX" and e["XX"].files is None
+    qb, today = e["QB"], datetime.date.today()
+    assert (qb.files["csv"].bytes, qa.files["csv"].bytes, set(qb.files)) == (39, 35, {"csv"}) and qb.sample_csv.rows == 2
+    assert qb.coord_coverage_pct == 50.0 and (today - datetime.date.fromisoformat(qb.last_updated)).days <= 1
+    assert qa.last_updated == qb.last_updated and e["FR"].last_updated == "2024-03-01"  # FR's file is not there
 
 
 def test_sample_bytes_are_file_sizes(built):
@@ -77,18 +84,18 @@ def test_sample_bytes_are_file_sizes(built):
 def test_totals_and_document(spark, built, tmp_path):
     _, dims, entries = built
     totals = C.catalog_totals(entries).first()
-    assert (totals.countries, totals.countries_with_files, totals.delivered_no_data, totals.rows) == (2, 4, 2, 301)
-    assert totals.continents == ["Europe"] and totals.last_updated_range == ["2023-01-01", "2024-05-01"]
+    assert (totals.countries, totals.countries_with_files, totals.delivered_no_data, totals.rows) == (2, 5, 3, 301)
+    assert totals.continents == ["Europe"] and totals.last_updated_range[0] == "2023-01-01" and totals.last_updated_range[1] > "2026"
     assert totals.download_bytes.sample_csv > totals.download_bytes.parquet * 0
     path = str(tmp_path / "doc")
     write_document(entries, path, "now")
-    assert [r.name_en for r in read_catalog(spark, path).collect()] == ["France", "Mexico", "Qatar", "XX"]
+    assert [r.name_en for r in read_catalog(spark, path).collect()] == ["France", "Mexico", "QB", "Qatar", "XX"]
     assert read_catalog_header(spark, path).first().countries == 2
     text = next((tmp_path / "doc").glob("part-*")).read_text()
-    assert text.count("files_are_source") == 2  # absent where it does not apply
+    assert text.count("files_are_source") == 3  # absent where it does not apply
     statuses = entries.select(F.col("iso2").alias("country_iso2"), "status")
-    assert [r[0] for r in C.unreported(statuses, dims.no_postal).collect()] == ["XX"]
-    assert {r[0] for r in C.without_numeric(dims.versions, dims.numeric).collect()} == {"MX", "XX"}
+    assert {r[0] for r in C.unreported(statuses, dims.no_postal).collect()} == {"QB", "XX"}
+    assert {r[0] for r in C.without_numeric(dims.versions, dims.numeric).collect()} == {"MX", "QB", "XX"}
 
 
 def test_requests(spark, built):
@@ -105,24 +112,49 @@ def test_requests(spark, built):
     assert found[("QA", "parquet", "all_rows")].reason == "not available as parquet, try csv or xlsx"
     codes = {k[0] + k[1]: r.code for k, r in found.items()}
     assert (codes["YYcsv"], codes["FRxlsx"], codes["FRpdf"], codes["XXcsv"]) == (404, 409, 422, 409)
-    stored = table(spark, "name string", ("other.csv",))
-    gone = R.decisions(asked.where("iso2 = 'QA' and fmt = 'csv'"), entries, stored).first()
-    assert (gone.code, gone.reason) == (404, "file is not in place")
-
-
-def test_bundle(spark, built):
-    _, _, entries = built
-    asked = table(spark, "iso2 string, position int", ("qa", 1), ("FR", 2), ("QA", 3))
-    lines = R.manifest(R.selection(entries, asked), "csv")
-    assert [(r.iso2, r.file, r.rows) for r in lines.orderBy("position").collect()] == [("QA", "SRC_QA.csv", 1), ("FR", "FR.csv", 300)]
-    text = R.manifest_text(lines, "csv", "all_rows", "now").first()[0].split("\n")
-    assert text[6] == "".join(t.ljust(w) for t, w in R.MANIFEST_COLUMNS).rstrip()
-    assert text[7] == f"{'QA':8}{'1':14}{'2024-05-01':14}{'SRC_QA.csv':36}SRC_QA.csv (as delivered)"
-    long = lines.where("iso2 = 'QA'").withColumn("file", F.lit("a-name-longer-than-its-column-is-wide.csv"))
-    assert "a-name-longer-than-its-column-is-wide.csv SRC_QA.csv" in R.manifest_text(long, "csv", "all_rows", "now").first()[0]
-    assert B.selection_totals(R.selection(entries, asked)).first().sendable == 2
-    with pytest.raises(ValueError):
-        R.check_bundle([])
+    one = asked.where("iso2 in ('QA', 'fr') and fmt = 'csv'")
+    none = R.decisions(one, entries, table(spark, "iso2 string, view string, fmt string, bytes bigint"))
+    assert {(r.iso2, r.code, r.reason) for r in none.collect()} == {("QA", 404, "file is not in place"), ("FR", 409, "not generated")}
+    empty = entries.where("iso2 = 'FR'").withColumn("rows", F.lit(0)).unionByName(entries.where("iso2 = 'MX'").withColumn("view_stats", F.create_map().cast("map<string,struct<rows:bigint>>")))
+    rest = table(spark, "iso2 string, fmt string, view string", ("FR", "csv", "all_rows"), ("MX", "csv", "postal_codes"), ("MX", "csv", "all_rows"))
+    assert [r.reason for r in R.decisions(rest, empty).orderBy("iso2", "view").collect()] == ["no rows to export", "ok", "view not offered"]
+
+
+def test_bundles_are_had_whole_or_not_at_all(spark, built):
+    """Sizes are those of the stored files; an unknown or unavailable member fails its bundle."""
+    folder, dims, entries = built
+    listing = read_sources(spark, str(folder)).withColumn("name", F.element_at(F.split("rel_path", "/"), -1))
+    sources = listing.where("rel_path like 'b2/%'")
+    served = R.served_views(view_files(spark, str(folder / "out" / "views"))).unionByName(R.served_sources(entries, sources))
+    asked = {
+        "whole": [("qa", "csv"), ("QA", "csv")], "tables": [("mx", "parquet"), ("FR", "parquet"), ("MX", "parquet")],
+        "unknown": [("FR", "parquet"), ("zz", "parquet"), ("RR", "parquet")], "raw": [("FR", "parquet"), ("QA", "parquet")],
+        "large": [("FR", "parquet")] * 201, "full": [("FR", "parquet")] * 200, "sheet": [("MX", "xlsx")],
+    }
+    rows = [(b, c, f, "all_rows", i) for b, codes in asked.items() for i, (c, f) in enumerate(codes)]
+    verdicts, members = R.bundles(table(spark, "bundle string, iso2 string, fmt string, view string, position int", *rows), entries, served)
+    found = {r.bundle: r for r in verdicts.collect()}
+    assert {b: (r.code, r.refused) for b, r in found.items()} == {
+        "whole": (200, None), "tables": (200, None), "unknown": (404, "ZZ"), "raw": (409, "QA"), "large": (422, None), "full": (200, None), "sheet": (409, "MX")}
+    assert found["raw"].reason == "not available as parquet, try csv or xlsx" and found["unknown"].rows is None
+    size = {g: sum(f.stat().st_size for f in (folder / "out/views/view=all_rows" / f"group={g}").glob("part-*")) for g in ("FR", "MX")}
+    assert (found["tables"].groups, found["tables"].rows, found["tables"].bytes) == (2, 301, sum(size.values()))
+    assert (found["whole"].rows, found["whole"].bytes, found["whole"].raw_groups) == (1, 35, "QA")
+    lines = R.manifest(members)
+    assert [(r.iso2, r.file, r.bytes) for r in lines.where("bundle = 'tables'").orderBy("position").collect()] == [
+        ("MX", "MX.parquet", size["MX"]), ("FR", "FR.parquet", size["FR"])]
+    assert {r.bundle for r in lines.collect()} == {"whole", "tables", "full"}
+    text = {r.bundle: r.text.split("\n") for r in R.manifest_text(verdicts, lines, "today").collect()}
+    today = entries.where("iso2 = 'QA'").first().last_updated
+    assert text["whole"] == [
+        "".join(t.ljust(w) for t, w in R.MANIFEST_COLUMNS), f"{'QA':8}{'1':14}{today:14}{'SRC_QA.csv':36}SRC_QA.csv (as delivered)", "",
+        "1 groups with 1 rows in 35 bytes, csv of all rows, out of the catalog of today", "Served as delivered, without codes: QA",
+        "Read code columns as text; as numbers they lose leading zeros.", ""]
+    long = lines.where("bundle = 'whole'").withColumn("file", F.lit("a-name-longer-than-its-column-is-wide.csv"))
+    assert "a-name-longer-than-its-column-is-wide.csv SRC_QA.csv" in R.manifest_text(verdicts, long, "now").first().text
+    picked = table(spark, "iso2 string, position int", ("qa", 1), ("FR", 2), ("QA", 3), ("XX", 4), ("no", 5))
+    assert B.selection_totals(R.selection(entries, picked)).first().sendable == 2
+    assert {r.iso2 for r in R.selection(entries, picked, with_sample=True).collect()} == {"FR", "QA"}
 
 
 def test_links(spark, built):
@@ -148,7 +180,7 @@ def test_listing_and_map(spark, built):
     assert set(codes(B.facets(entries, status="covered"))) == {"FR", "MX"}
     assert codes(B.facets(entries, region="Asia")) == ["QA"]
     assert codes(B.sort_entries(entries, "rows", True))[:2] == ["FR", "MX"]
-    assert codes(B.sort_entries(entries, "continent_name")) == ["MX", "XX", "QA", "FR"]
+    assert codes(B.sort_entries(entries, "continent_name")) == ["MX", "QB", "XX", "QA", "FR"]
     words = table(spark, "name_en string, x int", ("Cuba", 1), ("austria", 1), ("Côte", 1), ("Austria", 1))
     assert [r.name_en for r in B.sort_entries(words).collect()] == ["austria", "Austria", "Côte", "Cuba"]
     features = table(spark, "id string, name string", ("250", "F"), ("634", "Q"), (None, "N. Mex"), ("999", "no"), (None, None))

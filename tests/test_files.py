@@ -7,19 +7,30 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from placebook.operators import catalog as C
 from placebook.operators.profile import opening_values
 from placebook.operators.source_profile import source_levels, source_profile
+from placebook.operators.upstream import map_sources
 from placebook.schema import COLUMNS, FILE_ORDER, MASTER, TEXT_COLUMNS
 from placebook.sinks import views as V
 from placebook.sinks.delimited import write_csv, write_csv_groups
 from placebook.sinks.samples import sample_rows
 from placebook.sources.delimited import (
     cells,
+    dialects_of,
     read_dialect_csv,
     read_source_files,
     read_text_csv,
+    read_versioned_sources,
+)
+from placebook.sources.tables import (
+    read_features,
+    read_group,
+    read_in_order,
+    read_listing,
+    read_sources,
+    read_view,
 )
-from placebook.sources.tables import read_features, read_group, read_in_order, read_listing, read_view
 
 
 def text_of(path):
@@ -134,7 +145,7 @@ def sources(spark, tmp_path):
     for name, (encoding, sep, header, rows) in HEADERS.items():
         (tmp_path / name).write_bytes("\n".join([header, *rows, ""]).encode(encoding))
         dialects.setdefault((encoding, sep), []).append(str(tmp_path / name))
-    return lambda width=256: read_source_files(spark, dialects, width)
+    return lambda: read_source_files(spark, dialects)
 
 
 def by_file(df):
@@ -168,8 +179,51 @@ def test_source_levels_and_cells(sources):
     assert sources().records.count() == 3 + 2 + 2 + 2
 
 
-def test_files_wider_than_the_first_guess_are_read_again(sources):
-    assert by_file(source_profile(sources(3))) == by_file(source_profile(sources()))
+def test_headers_of_any_width_and_spelling(spark, tmp_path):
+    wide = [f"c{i}" for i in range(200)]
+    hard = {"w.csv": (",", ",".join(wide), [",".join("x" * 200), "1,2"]), "q.csv": ("|", '"a|b"|"say ""x"""||"two\nlines"', ["1|2|3|4", "1"]), "one.csv": (",", "alone", ["x", "y,z"]), "quoted.csv": (",", '"alone"', ["x"])}
+    dialects = {}
+    for name, (sep, head, rows) in hard.items():
+        (tmp_path / name).write_text("\n".join([head, *rows, ""]))
+        dialects.setdefault(("UTF-8", sep), []).append(str(tmp_path / name))
+    source = read_source_files(spark, dialects)
+    heads = {}
+    for r in source.headers.orderBy("ordinal").collect():
+        heads.setdefault(r.file.rsplit("/", 1)[-1], []).append(r.header)
+    assert heads == {"w.csv": wide, "q.csv": ["a|b", 'say "x"', "", "two\nlines"], "one.csv": ["alone"], "quoted.csv": ["alone"]}
+    found = sorted((r.file.rsplit("/", 1)[-1], len(r.fields)) for r in source.records.collect())
+    assert found == [("one.csv", 1), ("q.csv", 1), ("q.csv", 4), ("quoted.csv", 1), ("w.csv", 2), ("w.csv", 200)]
+
+
+def test_dialects_and_paths_come_from_the_version_table(spark, tmp_path):
+    """Three dialects; two files of one name; a folder of parts; names Spark writes as %XX."""
+    root = tmp_path / "in coming %20+x"
+    files = {
+        "b 1/S.csv": ("latin-1", ";", "name;lat", ["é;1", "x;2"]),
+        "b 2/S.csv": ("utf-8", ",", "name,lat", ["é,3", "a,4", "b,5"]),
+        "b 2/parts.csv/part-0": ("utf-8-sig", "\t", "name\tlat", ["p\t6"]),
+        "b 2/parts.csv/part-1": ("utf-8-sig", "\t", "name\tlat", ["ü\t7", "q\t8\t9"]),
+    }
+    for name, (encoding, sep, head, rows) in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes("\n".join([head, *rows, ""]).encode(encoding))
+    rows = [("AA", "b 1/S.csv", "Latin-1", ";"), ("BB", "b 2/S.csv", "", None), ("CC", "b 2/parts.csv", "utf-8-sig", "\t"), ("DD", "b 3/gone.csv", None, "")]
+    versions = spark.createDataFrame(rows, "country_iso2 string, selected_rel_path string, selected_encoding string, selected_delimiter string")
+    assert len(dialects_of(versions, str(root))) == 3
+    listing = read_sources(spark, str(root))
+    assert {(r.rel_path, r.bytes) for r in listing.collect()} == {
+        ("b 1/S.csv", 17), ("b 2/S.csv", 22), ("b 2/parts.csv", sum((root / n).stat().st_size for n in files if "part-" in n))}
+    assert [r.country_iso2 for r in C.missing_sources(versions, listing).collect()] == ["DD"]
+    there = versions.where("country_iso2 <> 'DD'")
+    source = read_versioned_sources(spark, there, str(root))
+    assert sorted((r.file, r.header, r.value) for r in cells(source).collect()) == sorted(
+        (f, h, v) for f, pairs in {"b 1/S.csv": [("é", "1"), ("x", "2")], "b 2/S.csv": [("é", "3"), ("a", "4"), ("b", "5")], "b 2/parts.csv": [("p", "6"), ("ü", "7")]}.items()
+        for pair in pairs for h, v in zip(("name", "lat"), pair, strict=True))
+    dated = C.with_file_dates(versions.withColumn("last_updated", F.lit("1999-01-01")), listing).collect()
+    assert {r.country_iso2: r.last_updated == "1999-01-01" for r in dated} == {"AA": False, "BB": False, "CC": False, "DD": True}
+    entries = versions.selectExpr("country_iso2 AS iso2", "selected_rel_path AS source_path", f"'{C.NO_DATA}' AS status")
+    assert {(r.iso2, r.fmt, r.bytes, r.name) for r in C.raw_file_table(entries, listing).collect() if r.iso2 in "AABB"} == {
+        ("AA", "csv", 17, "S.csv"), ("BB", "csv", 22, "S.csv")}
 
 
 def canonical(spark, rows):
@@ -292,3 +346,26 @@ def test_first_rows_follow_the_files(spark, tmp_path):
     for g in range(7):
         lines = [x for f in sorted(glob.glob(f"{out}/group={g}/part-*")) for x in open(f).read().split("\n") if x and x != '"id","t"']
         assert lines == [f'{x["id"]},"{x["t"] or ""}"' for x in rows if x["g"] == g]
+
+
+def test_all_templates_are_mapped_at_once(spark, sources):
+    """Two headers for one column, an override of one file, a header with blanks, short rows."""
+    source = sources()
+    path = {r.file.rsplit("/", 1)[-1]: r.file for r in source.headers.select("file").distinct().collect()}
+    pairs = [("country_en", "country_en"), ("REGION1_lc", "region_1_lc"), ("region1_en", "region_1_lc"), ("latitude", "latitude"),
+             ("region_2_en", "region_2_en"), ("name", "place_name"), ("place_name", "place_name"), ("lat", "latitude")]
+    mapping = spark.createDataFrame(pairs, "header string, canonical string")
+    own = spark.createDataFrame([(path["c.csv"], "lat", "longitude"), (path["c.csv"], " Order1_Name", "region_1_en")], "file string, header string, canonical string")
+    found = map_sources(source, mapping, own)
+    assert found.columns == ["file", *COLUMNS]
+    rows = {}
+    for r in found.collect():
+        said = {c: r[c] for c in COLUMNS if r[c] is not None}
+        rows.setdefault(r.file.rsplit("/", 1)[-1], []).append(tuple(sorted(said.items())))
+    want = {
+        "a.csv": [{"country_en": "A", "region_1_lc": "x", "latitude": 1.0}, {"country_en": "A", "region_1_lc": "x"}, {"country_en": "A", "region_1_lc": ""}],
+        "b.csv": [{"place_name": "p", "latitude": 1.0, "region_2_en": "b"}, {"place_name": "p", "region_2_en": ""}],
+        "c.csv": [{"place_name": "p", "region_1_en": "é", "longitude": 2.0}, {"place_name": "p", "region_1_en": ""}],
+        "d.csv": [{"region_2_en": "x", "place_name": "n"}, {"region_2_en": "x", "place_name": "n"}],
+    }
+    assert {f: sorted(r) for f, r in rows.items()} == {f: sorted(tuple(sorted(d.items())) for d in r) for f, r in want.items()}
