@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from placebook.functions.absence import column
@@ -107,6 +107,23 @@ def match_summary(found: DataFrame, limit: int = PREVIEW_DEFAULT) -> DataFrame:
     )
 
 
+def page_of(found: DataFrame, order: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame]:
+    """The first rows and the summary of all, in one evaluation.
+
+    The rows are counted as they pass on the way to the top of the order. That is done
+    by tasks of the last stage, which count once however often they are tried. At most
+    ``limit`` rows come to the driver, where a page is bound for anyway.
+    """
+    spark, passed = found.sparkSession, Observation()
+    rows = first_rows(found.observe(passed, F.count("*").alias("matched")), order, limit).collect()
+    matched = passed.get.get("matched", len(rows))
+    summary = [(matched, len(rows), matched > limit)]
+    return (
+        spark.createDataFrame(rows, found.schema),
+        spark.createDataFrame(summary, "matched bigint, shown bigint, truncated boolean"),
+    )
+
+
 def preview(
     df: DataFrame,
     code: str,
@@ -116,7 +133,8 @@ def preview(
     limit: int = PREVIEW_DEFAULT,
     stored: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, one-row summary) for one group, as a browsing user sees it.
+    """(rows, one-row summary) for one group, as a browsing user sees it: evaluated here,
+    once for both.
 
     ``stored`` is the materialized view, where there is one; it is searched by the keys
     of matching source rows instead of being computed again.
@@ -133,4 +151,4 @@ def preview(
     else:
         of_group = None if stored is None else in_group(stored, code)
         found = search_via_source(rows, needle, VIEW_KEYS[view], view=of_group)
-    return first_rows(found, order, limit), match_summary(found, limit)
+    return page_of(found, order, limit)

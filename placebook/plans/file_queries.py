@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from placebook.functions.absence import has_text
 from placebook.operators import upstream as U
 from placebook.operators.consensus import distinct_keys
+from placebook.operators.links import classify_listing, link_table
 from placebook.operators.source_profile import source_levels, source_profile
 from placebook.plans.build import build_entries, raw_sources
 from placebook.plans.catalog_queries import (
     ENTRIES_SQL,
     FEATURES,
+    LINKS_SQL,
     LISTING_SQL,
+    covered,
     entries,
     features,
     flat,
@@ -44,6 +48,7 @@ from placebook.sources.tables import (
     read_features,
     read_files,
     read_listing,
+    read_listing_chain,
     read_sources,
     read_view,
     read_views,
@@ -475,6 +480,36 @@ def listing_pages(spark, folder):
     return read_listing(spark, path, multi_line=False).select("id", "name")
 
 
+# Pages under tokens that say nothing about their order, in files of several pages.
+PAGE_SIZE = 250
+IN_PAGES = f"""SELECT id, name, position, dense_rank() OVER (ORDER BY position // {PAGE_SIZE}) - 1 AS page,
+  row_number() OVER (PARTITION BY position // {PAGE_SIZE} ORDER BY position) - 1 AS entry FROM ({LISTING_SQL})"""
+
+
+def chained(spark, folder):
+    path = fresh_path(spark, "pages")
+    entry = F.struct("position", "id", "name")
+    number = F.floor(F.col("position") / PAGE_SIZE)
+    pages = listing(spark, folder).groupBy(number.alias("number")).agg(F.array_sort(F.collect_list(entry)).alias("files"))
+    token = F.when(F.lag("number").over(Window.orderBy("number")).isNotNull(), F.md5(F.col("number").cast("string")))
+    following = F.md5(F.lead("number").over(Window.orderBy("number")).cast("string"))
+    files = F.transform("files", lambda f: F.struct(f.id.alias("id"), f["name"].alias("name"))).alias("files")
+    named = pages.select(token.alias("pageToken"), following.alias("nextPageToken"), files)
+    named.repartition(4, "nextPageToken").sortWithinPartitions("nextPageToken").write.json(path)
+    return read_listing_chain(spark, path, multi_line=False)
+
+
+@query("listing_chain", f"SELECT id, name, CAST(page AS BIGINT) AS page, CAST(entry AS BIGINT) AS entry FROM ({IN_PAGES})")
+def listing_chain(spark, folder):
+    return chained(spark, folder).select("id", "name", "position.page", "position.entry")
+
+
+@query("links_by_pages", LINKS_SQL)
+def links_by_pages(spark, folder):
+    """The last file listed wins, whatever the pages are called."""
+    return link_table(classify_listing(chained(spark, folder), covered(spark, folder)))
+
+
 # Upstream ------------------------------------------------------------------------
 
 # Candidate files: one per order, spread over batches, revisions and versions.

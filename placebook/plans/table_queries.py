@@ -268,6 +268,13 @@ def preview_summary(spark, folder):
     return summary
 
 
+# Nothing is found: no rows, and a summary that says so.
+@query("preview_of_nothing", "SELECT CAST(0 AS BIGINT) AS matched, CAST(0 AS BIGINT) AS shown, false AS truncated FROM region WHERE r_regionkey = 0")
+def preview_of_nothing(spark, folder):
+    _, summary = S.preview(canonical(spark, folder), "cc", ["postal_code"], "no such text", view="postal_codes")
+    return summary
+
+
 @query("group_scan", "SELECT * FROM customer WHERE c_mktsegment = 'BUILDING'")
 def group_scan(spark, folder):
     return read_group(spark, f"{folder}/customer.parquet", "building".upper(), "c_mktsegment")

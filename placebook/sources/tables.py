@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from placebook.functions.scalars import base_name, day
 from placebook.schema import ALL_ROWS, FILE_ORDER, GROUP, document_type
+from placebook.session import settle
 
 VIEW_FOLDER, GROUP_FOLDER = "view", "group"
 
@@ -152,3 +153,40 @@ def read_listing(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
     return pages.select("page", F.posexplode("files").alias("entry", "f")).select(
         "f.id", "f.name", F.struct("page.*", "entry").alias("position")
     )
+
+
+def read_listing_chain(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(id, name, position) from saved pages that name each other by tokens.
+
+    Each page is a document ``{"pageToken", "nextPageToken", "files": [{"id", "name"}, …]}``;
+    the first has no token of its own, the last none of a next one. Files hold pages in any
+    order: a page's place is its distance along the tokens from the first, found by
+    :func:`chain_places`. ``position`` orders entries by page, then by their place in it.
+    """
+    schema = "pageToken string, nextPageToken string, files array<struct<id:string,name:string>>"
+    pages = spark.read.schema(schema).json(path, multiLine=multi_line)
+    own = F.coalesce("pageToken", F.lit(""))
+    places = chain_places(pages.select(own.alias("token"), F.col("nextPageToken").alias("next")))
+    entries = pages.select(own.alias("token"), F.posexplode("files").alias("entry", "f"))
+    return entries.join(places, "token").select("f.id", "f.name", F.struct("page", F.col("entry").cast("long").alias("entry")).alias("position"))
+
+
+def chain_places(links: DataFrame) -> DataFrame:
+    """(token, page): places 0, 1, 2 … along a chain ``(token, next)``, by pointer doubling.
+
+    Every page points ahead and knows how many pages that is; a round lets it point where
+    the page it points to does. The number of rounds is the logarithm of the length, each
+    is one join, and its result is stored. A next page that is not there ends the chain.
+    """
+    ahead = settle(links.select("token", "next", F.lit(1).cast("long").alias("hops")), "chain")
+    length = ahead.count()
+    for _ in range(length.bit_length() + 1):
+        other = ahead.select(F.col("token").alias("_token"), F.col("next").alias("_next"), F.col("hops").alias("_hops"))
+        step = ahead.join(other, F.col("next") == F.col("_token"), "left")
+        ahead = settle(step.select("token", F.col("_next").alias("next"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops")), "chain")
+        if ahead.where("next is not null").isEmpty():
+            break
+    else:
+        raise ValueError("the pages of the listing go round in a circle")
+    first = ahead.agg(F.max("hops")).first()[0] or 0
+    return ahead.select("token", (F.lit(first) - F.col("hops")).alias("page"))

@@ -1,6 +1,8 @@
 import csv
 import glob
 import io
+import json
+import random
 import time
 
 import pyarrow.parquet as pq
@@ -24,10 +26,12 @@ from placebook.sources.delimited import (
     read_versioned_sources,
 )
 from placebook.sources.tables import (
+    chain_places,
     read_features,
     read_group,
     read_in_order,
     read_listing,
+    read_listing_chain,
     read_sources,
     read_view,
 )
@@ -369,3 +373,21 @@ def test_all_templates_are_mapped_at_once(spark, sources):
         "d.csv": [{"region_2_en": "x", "place_name": "n"}, {"region_2_en": "x", "place_name": "n"}],
     }
     assert {f: sorted(r) for f, r in rows.items()} == {f: sorted(tuple(sorted(d.items())) for d in r) for f, r in want.items()}
+
+
+def test_pages_are_chained_by_their_tokens(spark, tmp_path):
+    rng = random.Random(3)
+    names = [None, *(f"t{rng.random()}" for _ in range(36))]
+    pages = [{"pageToken": t, "nextPageToken": n, "files": [{"id": f"{i}-{j}", "name": "FR.csv"} for j in range(i % 3)]} for i, (t, n) in enumerate(zip(names, [*names[1:], None], strict=True))]
+    want = [f["id"] for p in pages for f in p["files"]]
+    rng.shuffle(pages)
+    (tmp_path / "pages").mkdir()
+    for k in range(4):
+        (tmp_path / "pages" / f"{k}.json").write_text("\n".join(json.dumps({a: b for a, b in p.items() if b is not None}) for p in pages[k::4]))
+    found = read_listing_chain(spark, str(tmp_path / "pages"), multi_line=False).orderBy("position")
+    assert [r.id for r in found.collect()] == want
+    links = spark.createDataFrame([("", "a"), ("a", "b"), ("b", "gone")], "token string, next string")
+    assert {tuple(r) for r in chain_places(links).collect()} == {("", 0), ("a", 1), ("b", 2)}
+    assert chain_places(links.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        chain_places(links.withColumn("next", F.replace("next", F.lit("gone"), F.lit("a"))))
