@@ -50,11 +50,6 @@ def base_name(path: Column | str) -> Column:
     return F.element_at(F.split(column(path), "/"), -1)
 
 
-def like_escape(needle: str) -> str:
-    """Take the special meaning from LIKE's own characters."""
-    return "".join("\\" + ch if ch in "\\%_" else ch for ch in needle)
-
-
 def number_text(c: Column | str) -> Column:
     """A double as the shortest text that reads back the same.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placebook.functions.scalars import base_name, whole_number
+from placebook.operators.ranking import one_per_key
 from placebook.schema import FILE_ENTRY, GROUP, LEVEL_ENTRY, entry_type
 
 COVERED, NO_DATA = "covered", "delivered_no_data"
@@ -38,7 +39,7 @@ def with_status(versions: DataFrame, stats: DataFrame, group: str = GROUP) -> Da
 
 def with_numeric(df: DataFrame, numeric: DataFrame, group: str = GROUP) -> DataFrame:
     codes = numeric.select(F.col("alpha_2").alias(group), F.col("numeric").alias("iso_numeric"))
-    return df.join(codes, group, "left")
+    return df.join(one_per_key(codes, [group]), group, "left")
 
 
 def without_numeric(versions: DataFrame, numeric: DataFrame, group: str = GROUP) -> DataFrame:
@@ -59,11 +60,13 @@ def with_names(
         group,
         *(F.col(c).alias(f"_{c}") for c in ("country_iso3", "country_en", "continent_code", "continent_name")),
     )
-    local = languages.join(translations, [group, "language"]).select(group, F.col("name_lc").alias("_name_lc"))
+    names = one_per_key(translations.select(group, "language", "name_lc"), [group, "language"])
+    spoken = one_per_key(languages.select(group, "language"), [group])
+    local = spoken.join(names, [group, "language"]).select(group, F.col("name_lc").alias("_name_lc"))
     covered = F.col("status") == COVERED
     pick = lambda own, other: F.when(covered, F.col(own)).otherwise(other)
     return (
-        df.join(ref, group, "left")
+        df.join(one_per_key(ref, [group]), group, "left")
         .join(local, group, "left")
         .withColumns(
             {

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placebook.functions.scalars import bin_label, bin_of
+from placebook.functions.scalars import bin_label
 
 ALL = "all"
 TEXT_KEYS = ["name_en", "iso2", "continent_name", "last_updated"]
@@ -98,7 +98,3 @@ def fill_state(status: Column | None = None, rows: Column | None = None) -> Colu
         .when(status == "covered", bin_label(rows))
         .otherwise(HATCH)
     )
-
-
-def with_bins(df: DataFrame, rows: str = "rows") -> DataFrame:
-    return df.withColumns({"bin": bin_of(rows), "bin_label": bin_label(rows)})

@@ -72,6 +72,16 @@ def earliest(attributes: Sequence[str], order: Sequence[str], where: Column | No
     return F.min_by(row, key)
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A dimension table with one row per key, so that joining it never multiplies rows.
+
+    Of several rows of a key the greatest is taken, column by column.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row"))
+    return one.select(*keys, "_row.*")
+
+
 def first_occurrences(df: DataFrame, key: Column, position: str, alias: str) -> DataFrame:
     """Each key once, at the place where it first came up."""
     return df.groupBy(key.alias(alias)).agg(F.min(position).alias(position))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from placebook.functions.absence import has_text, strip
 from placebook.functions.scalars import base_name
+from placebook.operators.ranking import one_per_key
 from placebook.schema import COLUMNS, GROUP, MASTER
 from placebook.session import settle
 from placebook.sources.delimited import SourceFiles
@@ -57,13 +58,13 @@ def mapped_headers(
     """
     named = headers.select(group, "header", header_name("header").alias("_name"))
     general = mapping.select(header_name("header").alias("_name"), F.col("canonical").alias("_general"))
-    out = named.join(general, "_name", "left")
+    out = named.join(one_per_key(general, ["_name"]), "_name", "left")
     if overrides is None:
         return out.select(group, "header", F.col("_general").alias("canonical"))
     own = overrides.select(
         group, header_name("header").alias("_name"), F.col("canonical").alias("_own")
     )
-    return out.join(own, [group, "_name"], "left").select(
+    return out.join(one_per_key(own, [group, "_name"]), [group, "_name"], "left").select(
         group, "header", F.coalesce("_own", "_general").alias("canonical")
     )
 
@@ -137,10 +138,11 @@ def backfill(
         F.col(group).alias("_group"),
         *(F.col(c).alias(f"_{c}") for c in ("country_iso3", "country_en", "continent_code", "continent_name")),
     )
-    names = languages.join(translations, [group, "language"], "left").select(
+    told = one_per_key(translations.select(group, "language", "name_lc"), [group, "language"])
+    names = one_per_key(languages.select(group, "language"), [group]).join(told, [group, "language"], "left").select(
         F.col(group).alias("_lang_group"), F.col("language").alias("_language"), F.col("name_lc").alias("_name_lc")
     )
-    joined = df.join(ref, F.col(group) == F.col("_group"), "left").join(
+    joined = df.join(one_per_key(ref, ["_group"]), F.col(group) == F.col("_group"), "left").join(
         names, F.col(group) == F.col("_lang_group"), "left"
     )
     untranslated = F.col("country_lc").eqNullSafe(F.col("country_en")) & (F.col("_language") != "en")
@@ -165,7 +167,7 @@ def with_region_code(df: DataFrame, regions: DataFrame, group: str = GROUP) -> D
         F.coalesce("_code", "region_1_iso_code")
     )
     joined = df.join(
-        ref, (F.col(group) == F.col("_group")) & (F.col("region_1_en") == F.col("_region")), "left"
+        one_per_key(ref, ["_group", "_region"]), (F.col(group) == F.col("_group")) & (F.col("region_1_en") == F.col("_region")), "left"
     )
     return joined.withColumn("region_1_iso_code", code).select(*df.columns)
 

@@ -217,3 +217,25 @@ def test_upstream(spark):
     found = {r.country_iso2: tuple(r)[1:] for r in U.audit(a, b, columns=["country_iso2", "v"]).collect()}
     assert found == {"A": (3, 3, 1, 1), "B": (1, 1, 0, 0)}
     assert {(r.v, r.surplus) for r in U.differences(a, b, ["country_iso2", "v"]).collect()} == {("x", -1), ("z", 1)}
+
+
+def test_repeated_keys_of_a_dimension_multiply_nothing(spark):
+    versions = table(spark, "country_iso2 string, status string, country_iso3 string, country_en string, country_lc string, continent_code string, continent_name string",
+                     ("FR", "delivered_no_data", None, None, None, None, None), ("DE", "covered", "x", "y", "z", "c", "d"))
+    numeric = table(spark, "alpha_2 string, numeric string", ("FR", "250"), ("FR", "249"), ("FR", "250"))
+    assert {tuple(r) for r in C.with_numeric(versions.select("country_iso2"), numeric).collect()} == {("FR", "250"), ("DE", None)}
+    countries = table(spark, "country_iso2 string, country_iso3 string, country_en string, continent_code string, continent_name string",
+                      ("FR", "A", "B", "C", "D"), ("FR", "A", "C", "B", "D"))
+    languages = table(spark, "country_iso2 string, language string", ("FR", "fr"), ("FR", "br"))
+    words = table(spark, "country_iso2 string, language string, name_lc string", ("FR", "fr", "F1"), ("FR", "fr", "F2"), ("FR", "br", "B"))
+    named = C.with_names(versions, countries, languages, words).collect()
+    assert {(r.country_iso2, r.iso3, r.name_en, r.name_lc, r.continent_code) for r in named} == {("FR", "A", "C", "F2", "B"), ("DE", "x", "y", "z", "c")}
+    rows = table(spark, "country_iso2 string, country_iso3 string, country_en string, country_lc string, continent_code string, continent_name string, region_1_en string, region_1_iso_code string",
+                 ("FR", " ", "E", "E", None, "", "r", ""))
+    filled = U.backfill(rows, countries, languages, words).collect()
+    assert [tuple(r)[:6] for r in filled] == [("FR", "A", "E", "F2", "B", "D")]
+    regions = table(spark, "country_iso2 string, region_1_en string, region_1_iso_code string", ("FR", "r", "FR-1"), ("FR", "r", "FR-2"))
+    assert [r.region_1_iso_code for r in U.with_region_code(rows, regions).collect()] == ["FR-2"]
+    heads = table(spark, "country_iso2 string, header string", ("FR", " A "))
+    means = table(spark, "header string, canonical string", ("a", "x"), ("A", "y"))
+    assert [tuple(r) for r in U.mapped_headers(heads, means).collect()] == [("FR", " A ", "y")]

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from placebook.functions.scalars import bin_of, like_escape, number_text, percent, whole_number
+from placebook.functions.scalars import bin_of, number_text, percent, whole_number
 from placebook.functions.absence import WHITESPACE, has_text
 from placebook.operators.profile import coverage, level_profile, opening_values, profile
 from placebook.operators.ranking import first_per_group, first_per_group_wide
@@ -88,7 +88,6 @@ def test_small_scalars(spark):
     assert [r[0] for r in df.select(bin_of("n")).collect()] == [0, 1, 1, 2, 3, 3, 4]
     df = spark.createDataFrame([("",), (" 7 ",), ("x",), (None,)], "t string")
     assert [r[0] for r in df.select(whole_number("t")).collect()] == [0, 7, 0, 0]
-    assert like_escape("50%_\\") == "50\\%\\_\\\\"
 
 
 def test_number_text_reads_as_python_writes(spark):
