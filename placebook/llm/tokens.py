@@ -16,7 +16,7 @@ import numpy as np
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 # Chunks one worker remembers before it starts anew; a memory bound, results don't depend on it.
-REMEMBERED = 250_000
+REMEMBERED = 800_000
 # Signs that end a chunk of letters as a piece of their own, where all letters are below
 # the character from which Unicode versions might disagree on what is one.
 SIGNS = (".", ",", ";", ":", "!", "?")
