@@ -1,11 +1,12 @@
 """Conversations as training windows of whole turns within a token budget.
 
-Turns are counted in tokens before anything moves. In each conversation the running sums
+Formatted turns are counted in tokens before anything moves. In each conversation the running sums
 of its turns' tokens choose spans: a window takes new turns while the sum since its first
 fits what the budget leaves. The conversation's leading system turn opens every window; a
 few turns before the span are repeated as history within a budget of their own. Only
 assistant turns that are new carry loss, so a repeated target is masked and each target is
-learned once. A turn that alone exceeds the budget makes a window by itself.
+learned once. A turn that does not fit the budget beside the system turn makes a window
+with it alone, the only kind that exceeds the budget.
 
 ``<|im_start|>role<|im_sep|>text<|im_end|>`` marks a turn. Control strings of common
 templates inside roles and texts get a backslash after their first character, backslashes
@@ -16,6 +17,7 @@ whatever the conversation's length. Its checksums need that order.
 
 * Null text or role: empty. Null conversation id: one conversation of its own.
 * Repeated turn numbers: ordered by role, then by the text's hash; every row is a turn.
+* Very long turns: a window of their own; memory follows the longest.
 * No assistant turn: no loss; its digest is that of nothing. Empty table: no rows.
 * Columns other than ``conv_id, turn, role, text`` are ignored.
 """
@@ -38,8 +40,6 @@ from placebook.llm.tokens import default_tokenizer, encoder
 BUDGET = 1024
 HISTORY_TURNS = 2
 HISTORY_TOKENS = 256
-# What the marks of a turn cost, in tokens.
-MARK_TOKENS = 12
 BATCH_BYTES = 2_000_000
 START, MIDDLE, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 # Control strings of common chat templates.
@@ -58,15 +58,23 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+def formatted(role: str, text: str) -> str:
+    """A turn as windows hold it. The line feed after it is a token of its own, so a
+    window has as many tokens as its turns together."""
+    return START + escape(role) + MIDDLE + escape(text) + END
+
+
 def counted(turns: DataFrame, tokenizer: str) -> DataFrame:
-    """``conv_id, turn, role, text, n_tokens``; nulls of role and text are empty."""
+    """``conv_id, turn, role, text, n_tokens``; nulls of role and text are empty. Counted is
+    the turn as it is formatted, marks and escapes included."""
     schema = "conv_id long, turn long, role string, text string, n_tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
 
         def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes = [len(x) // 4 + MARK_TOKENS for x in encode(batch.column("text").to_pylist())]
+            turns = zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)
+            sizes = [len(x) // 4 for x in encode([formatted(*t) for t in turns])]
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], [*batch.schema.names, "n_tokens"])
 
         yield from within_arrow(batches, make, "text", BATCH_BYTES)
