@@ -8,7 +8,9 @@ blocks; otherwise the URL is allowed.
 
 Words are runs of ASCII letters and digits, lower-cased. A host rule needs all words of
 its host, and those of its path that end before the prefix does. A pattern lists its
-words; one without words is filed under the empty word, which every URL has.
+words, alternatives being patterns of their own; a URL's word also counts without the digits
+at its end, for patterns that allow any there. A pattern without words is filed under the
+empty word, which every URL has.
 
 * Null url, or no ``://``: empty host and path, no rule, allowed. Empty url likewise.
 * Repeated urls: judged once, every row comes back. Null ids stay. Empty table: no rows.
@@ -24,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placebook.llm.common import if_small
+from placebook.llm.common import if_small, stored
 
 # Rules of the contract (verdict, host, path).
 HOST_RULES = [
@@ -37,11 +39,15 @@ HOST_RULES = [
 # Patterns over host and path, with the words each needs.
 PATTERNS = [
     (r"(^|\.)cheap-(pills|meds)\.", ["cheap"]),
-    (r"(^|\.)(online-)?casino[0-9]*\.", []),
+    (r"(^|\.)(online-)?casino[0-9]*\.", ["casino"]),
     (r"/wp-login\.php\z", ["wp", "login", "php"]),
-    (r"/(signin|signup|logout)(/|\z)", []),
+    (r"/signin(/|\z)", ["signin"]),
+    (r"/signup(/|\z)", ["signup"]),
+    (r"/logout(/|\z)", ["logout"]),
     (r"/cart/checkout(/|\z)", ["cart", "checkout"]),
-    (r"\.(exe|apk|dmg)\z", []),
+    (r"\.exe\z", ["exe"]),
+    (r"\.apk\z", ["apk"]),
+    (r"\.dmg\z", ["dmg"]),
 ]
 RULES_BROADCAST = 100_000
 
@@ -67,8 +73,9 @@ def path_of(url: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """Distinct words, the empty word among them."""
-    return F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.lower(text), "[^a-z0-9]+")))
+    """Distinct words, with and without the digits at their ends, the empty word among them."""
+    words = F.split(F.lower(text), "[^a-z0-9]+")
+    return F.array_distinct(F.concat(F.array(F.lit("")), words, F.transform(words, lambda w: F.rtrim(w, F.lit("0123456789")))))
 
 
 def rule_table(spark: SparkSession, rules: Rules) -> DataFrame:
@@ -108,6 +115,7 @@ def judge(pages: DataFrame, rules: Rules = PRODUCTION) -> DataFrame:
     # Host rules before patterns; the longest, then the first by text.
     rank = F.struct(F.col("pattern").isNotNull(), -F.length("rule"), "rule")
     found = tried.where(fits).groupBy("host", "path").agg(F.min_by(F.struct("rule", "pattern", "verdict"), rank).alias("own"))
+    found = stored(found, "url-verdicts")  # so that Spark can split a hot URL's rows in the join
     return rows.join(found, ["host", "path"], "left").select(
         "page_id",
         "host",
