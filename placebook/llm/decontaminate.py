@@ -34,7 +34,7 @@ from placebook.llm.common import if_small, stored
 K = 5
 SIMILARITY = 0.8
 RADIUS = 24
-LANES = 16
+LANES = 32
 # Rows up to which a benchmark-sized table may be broadcast; larger ones are shuffled.
 SMALL = 1_000_000
 
@@ -54,11 +54,11 @@ def shingled(df: DataFrame, text: str, *others: str) -> DataFrame:
 def fingerprint(shingles: str) -> Column:
     """64-bit SimHash of an array of shingle hashes, repeats counting again.
 
-    Bits are counted in 16-bit lanes, four at a time; more than half sets the bit.
+    Bits are counted in 32-bit lanes, two at a time; more than half sets the bit.
     """
-    lane = "281479271743489L"  # the lowest bit of each lane
+    lane = "4294967297L"  # the lowest bit of each lane
     sums = ", ".join(f"aggregate({shingles}, 0L, (a, x) -> a + (shiftrightunsigned(x, {b}) & {lane}))" for b in range(LANES))
-    count = f"(shiftrightunsigned(element_at(array({sums}), i % {LANES} + 1), {LANES} * (i div {LANES})) & 65535L)"
+    count = f"(shiftrightunsigned(element_at(array({sums}), i % {LANES} + 1), {LANES} * (i div {LANES})) & 4294967295L)"
     # The sums are bound once, outside the loop over bits.
     count = count.replace(f"array({sums})", "lanes")
     one = f"if(2 * {count} > size({shingles}), shiftleft(1L, i), 0L)"
@@ -104,8 +104,11 @@ def starts_of(texts: DataFrame, pairs: DataFrame, items: DataFrame, similarity:
     each = texts.select("doc_id", "version", F.posexplode("shingles").alias("place", "shingle"))
     hits = each.join(known, "shingle").join(if_small(pairs, SMALL), row, "left_semi")
     placed = hits.groupBy(*row, "m").agg(F.sort_array(F.collect_list("place")).alias("places")).withColumn("need", needed(similarity))
-    dense = placed.withColumn("first", F.explode(F.expr("filter(transform(places, (p, i) -> if(get(places, i + need - 1) - p < m, p, null)), p -> p is not null)")))
-    return dense.select(*row, "m", F.explode(F.sequence(F.col("first") - F.col("m") + F.col("need"), F.col("first"))).alias("start")).distinct()
+    firsts = "filter(transform(places, (p, i) -> if(get(places, i + need - 1) - p < m, p, null)), p -> p is not null)"
+    # Each start once: what an earlier first place has covered is not laid again.
+    starts = "flatten(transform(f, (p, i) -> sequence(greatest(p - m + need, coalesce(get(f, i - 1) + 1, p - m + need)), p)))"
+    dense = placed.withColumn("starts", F.expr(f"element_at(transform(array({firsts}), f -> {starts}), 1)"))
+    return dense.select(*row, "m", F.explode("starts").alias("start"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -154,8 +157,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
 
 
 def clean(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a match, as they came."""
-    bad = stored(found.select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
+    """The rows of ``docs`` without a match, as they came. Of an id with several texts only
+    those that match go."""
+    bad = stored(found.select(F.col("doc_id").alias("bad_id"), F.col("version").alias("bad_version")).distinct(), "contaminated")
     row = docs.select(F.struct(*docs.columns).alias("row"))
-    kept = row.join(bad, F.col("row.doc_id").cast("long") == F.col("bad_id"), "left_anti")
+    same = (F.col("row.doc_id").cast("long") == F.col("bad_id")) & (F.hash("row.text") == F.col("bad_version"))
+    kept = row.join(bad, same, "left_anti")
     return kept.select("row.*")
