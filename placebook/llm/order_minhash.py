@@ -18,7 +18,8 @@ copies becomes all its pairs.
   has one k-mer, all of it; an empty text equals every empty text.
 * Null text: a class of its own for every id. Null ids: every row comes back, in the class
   of an equal text that has an id, else without class; one_per_class keeps them.
-* Repeated rows: every row comes back; equal ids with equal texts share their class.
+* Repeated rows: every row comes back; equal ids with equal texts share their class. Equal
+  ids with different texts are different documents: each text is in the class of its like.
 * Empty table: no rows. Other columns are ignored.
 * Very long texts: memory follows the longest text of a task.
 """
@@ -242,6 +243,12 @@ def _test(found, tested, links, labels, texts, k, similarity):
 
 def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY, sketches: int = SKETCHES, minima: int = MINIMA) -> DataFrame:
     """``doc_id, class_id`` for every row; a class is named by its smallest id."""
+    return classified(docs, k, similarity, sketches, minima).select("doc_id", "class_id")
+
+
+def classified(docs: DataFrame, k: int = K, similarity: float = SIMILARITY, sketches: int = SKETCHES, minima: int = MINIMA) -> DataFrame:
+    """``doc_id, digest, class_id, component`` for every row. Classes that share a name, two
+    texts of one id having founded them, differ in ``component``; null texts have none."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     plain = plain.withColumn("digest", F.sha2("text", 256))
     keyed = stored(plain.select("doc_id", "digest"), "text-digests")
@@ -252,16 +259,28 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
     near = near_links(plain.join(chosen, ["digest", "doc_id"]).select("id", "text"), k, similarity, sketches, minima)
     classes = heads.join(near, "id", "left").select("digest", "head", F.coalesce("component", "id").alias("component"))
     names = classes.groupBy("component").agg(F.min("head").alias("class_id"))
-    classes = classes.join(names, "component").select("digest", "class_id")
-    return keyed.join(classes, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    classes = stored(classes.join(names, "component").select("digest", "class_id", "component"), "text-classes")
+    return keyed.join(classes, "digest", "left").select("doc_id", "digest", F.coalesce("class_id", "doc_id").alias("class_id"), "component")
 
 
 def one_per_class(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows whose id names their class, all columns as they came; rows without id stay.
-
-    Only ids that come more than once are shuffled with their texts.
+    """One row per class of ``classified``, all columns as they came: the smallest id's, of
+    its texts the one with the smallest digest. Rows without id stay, and one row per id
+    with a null text. Only what comes more than once is shuffled with its text.
     """
-    keep = stored(classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept-ids")
-    once = docs.join(keep.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    more = docs.join(keep.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(docs.columns).unionByName(more.select(docs.columns)).unionByName(docs.where("doc_id is null"))
+    named = classes.where("doc_id is not null")
+    own = named.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    blank = named.where("component is null").select("doc_id", "digest").distinct()
+    first = own.select("first.doc_id", "first.digest").unionByName(blank)
+    keep = named.join(first, named.doc_id.eqNullSafe(first.doc_id) & named.digest.eqNullSafe(first.digest), "left_semi")
+    keep = keep.groupBy(F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest")).agg(F.count("*").alias("n"))
+    keep = stored(keep, "kept-texts")
+    row = docs.select(F.struct(*docs.columns).alias("row"))
+
+    def rows_of(which: DataFrame) -> DataFrame:
+        same = (F.col("row.doc_id").cast("long") == F.col("own_id")) & F.sha2(F.col("row.text").cast("string"), 256).eqNullSafe(F.col("own_digest"))
+        return row.join(which, same)
+
+    once = rows_of(keep.where("n = 1")).select("row.*")
+    more = rows_of(keep.where("n > 1")).dropDuplicates(["own_id", "own_digest"]).select("row.*")
+    return once.unionByName(more).unionByName(docs.where("doc_id is null"))
