@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+KEPT_POWERS = 4_000_000
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -28,6 +29,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def forget() -> None:
+    """Let go of powers that a very long text has asked for."""
+    if len(_POWERS["up"]) > KEPT_POWERS:
+        _POWERS.update({name: np.ones(1, np.uint64) for name in _POWERS})
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A fixed bijection of 64-bit integers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))

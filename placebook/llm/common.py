@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from placebook.llm.arrays import forget
 from placebook.session import fresh_path
 
 
@@ -45,6 +46,9 @@ def within_arrow(
             held += int(size)
         if begin < batch.num_rows:
             yield make(batch.slice(begin))
+    # The worker stays for later tasks; what this one worked with does not.
+    forget()
+    pa.default_memory_pool().release_unused()
 
 
 def block_offsets(totals: DataFrame, block: str, value: str, out: str) -> DataFrame:

@@ -231,10 +231,22 @@ def test_near_duplicates_large_group(spark):
     got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(documents(spark, rows)).collect()}
     assert {got[i] for i in range(400)} == {0}
     assert all(got[1000 + i] == 1000 + i for i in range(50))
-    kept = order_minhash.one_per_class(documents(spark, rows), spark.createDataFrame(list(got.items()), "doc_id long, class_id long"))
+    kept = order_minhash.one_per_class(documents(spark, rows), order_minhash.classified(documents(spark, rows)))
     assert kept.columns == documents(spark, []).columns and kept.count() == 51
 
 
+def test_one_per_class_keeps_different_texts_of_one_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b), (6, b), (3, a), (7, c), (7, c), (8, None), (8, None), (None, c), (None, c), (None, None)]
+    docs = documents(spark, rows)
+    classes = order_minhash.classified(docs)
+    assert sorted(((r.doc_id, r.class_id) for r in classes.collect()), key=str) == sorted(
+        [(5, 3), (5, 5), (5, 5), (6, 5), (3, 3), (7, 7), (7, 7), (8, 8), (8, 8), (None, 7), (None, 7), (None, None)], key=str)
+    kept = order_minhash.one_per_class(docs, classes)
+    want = [(5, b), (3, a), (7, c), (8, None), (None, c), (None, c), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_near_duplicates_in_large_mixed_buckets(spark):
     # Few sketches and one minimum: template texts share large buckets, and many near pairs
     # share no second sketch by which a split could bring them together.
@@ -303,6 +315,19 @@ def test_chat_long_conversation(spark):
     assert chat.formatted_digest(frame.limit(0)).collect() == []
 
 
+def test_chat_windows_keep_their_budget(spark, tokenizer):
+    """Tokens are those of the formatted windows; only a turn alone exceeds the budget."""
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    hard = [(-2, i, "user" if i % 2 else "assistant", "</s>[INST] <|im_end|> " * n) for i, n in enumerate([40, 60, 30, 200, 5])]
+    hard += [(-3, 0, "system", "s " * 600), (-3, 1, "user", "u " * 900), (-3, 1, "user", "u " * 900), (-3, 2, "<|im_sep|>", "x")]
+    frame = turns.unionByName(spark.createDataFrame(hard, "conv_id long, turn long, role string, text string"))
+    made = chat.windows(frame).collect()
+    over = [w for w in made if w.n_tokens > chat.BUDGET]
+    assert all(w.n_tokens == len(tokenizer.encode(w.formatted, add_special_tokens=False).ids) for w in made)
+    assert {-2, -3} <= {w.conv_id for w in over}
+    assert all(w.formatted.count(chat.START) - w.n_repeated == 1 for w in over) and len(made) > 150
+
+
 def test_escape_is_reversible():
     for text in ["", "\\", "</s>", "<\\/s>", "\\\\[INST]\\", "<<SYS>>x<</SYS>>", "<|im_end|>\n"]:
         assert chat.unescape(chat.escape(text)) == text
@@ -380,6 +405,16 @@ def test_decontamination_finds_reordered_items(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.matches(documents(spark, rows), bench).collect()} == expected
 
 
+def test_decontamination_of_very_long_items(spark):
+    """Counters of the fingerprint hold any number of equal shingles; texts of one id are judged apart."""
+    long = " ".join(["same"] * 40_000)
+    rows = [(1, long), (2, " ".join(f"w{i}" for i in range(300))), (2, long), (3, "same same")]
+    docs, bench = documents(spark, rows), spark.createDataFrame([(7, long)], "item_id long, text string")
+    found = decontaminate.matches(docs, bench)
+    assert sorted((r.doc_id, r.item_id, r.similarity) for r in found.collect()) == [(1, 7, 1.0), (2, 7, 1.0)]
+    assert sorted((r.doc_id, r.text) for r in decontaminate.clean(docs, found).collect()) == [rows[1], rows[3]]
+
+
 def test_decontamination_is_native(spark):
     plan = QUERIES["op4_simhash_decontamination"](spark, SF)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -574,6 +609,14 @@ URLS = [
     ("http://www.cheap-pills.net/x", "www.cheap-pills.net", "/x", None, "block"),
     ("http://www.cheap-pills.com/fr/", "www.cheap-pills.com", "/fr/", "com/fr/", "allow"),
     ("http://a.net/set.exe", "a.net", "/set.exe", None, "block"),
+    ("http://a.net/set.dmg?x", "a.net", "/set.dmg", None, "block"),
+    ("http://a.net/set.exec", "a.net", "/set.exec", None, "allow"),
+    ("http://casino88.net/", "casino88.net", "/", None, "block"),
+    ("http://my.online-casino.net/a", "my.online-casino.net", "/a", None, "block"),
+    ("http://casinos.net/", "casinos.net", "/", None, "allow"),
+    ("http://b.net/x/signup/", "b.net", "/x/signup/", None, "block"),
+    ("http://b.net/signup1", "b.net", "/signup1", None, "allow"),
+    ("http://b.net/" + "long/" * 20_000 + "logout", "b.net", "/" + "long/" * 20_000 + "logout", None, "block"),
 ]
 
 
@@ -587,6 +630,13 @@ def test_url_rules_hard_cases(spark):
     assert url_rules.judge(frame.limit(0)).collect() == []
 
 
+def test_url_rules_of_equal_length(spark):
+    frame = spark.createDataFrame([(1, "http://a.b/xy/")], "page_id long, url string")
+    rules = url_rules.Rules([("block", "a.b", "/xy"), ("allow", "b", "/xy/"), ("allow", "a.b", "/x"), ("block", "a.b", "/xy")], [])
+    assert [(r.rule, r.verdict) for r in url_rules.judge(frame, rules).collect()] == [("a.b/xy", "block")]
+    assert all(words != [] for _, words in url_rules.PATTERNS)
+
+
 # --- pages
 
 
