@@ -3,22 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placebook.operators.consensus import view
-from placebook.schema import ALL_ROWS, FILE_ORDER, FORMATS, GROUP, SHEET_ROW_LIMIT, VIEWS
+from placebook.operators.consensus import consensus_of_views, view
+from placebook.schema import ALL_ROWS, FILE_ORDER, FORMATS, GROUP, SHEET_ROW_LIMIT, VIEW_KEYS, VIEWS
 from placebook.session import settle
 from placebook.sinks.delimited import write_csv_groups
 from placebook.sources.tables import GROUP_FOLDER, VIEW_FOLDER, folder_name, folder_value, read_files
 
 
-def _tagged(rows: DataFrame, name: str, group: str) -> DataFrame:
-    """Rows of a view plus the two folder columns. The group column itself stays in
-    the files, so that folder names never have to be read back as values."""
-    tagged = rows.withColumns({VIEW_FOLDER: F.lit(name), GROUP_FOLDER: folder_name(F.col(group))})
-    return tagged.where(F.col(group).isNotNull())
+def tagged_views(df: DataFrame, views: Sequence[str] = tuple(VIEWS), group: str = GROUP) -> DataFrame:
+    """Rows of several views with the two folder columns, out of one scan.
+
+    Rows are rebalanced by group: small groups end up in one task, while a group
+    holding much of the table is split over as many as its size calls for. What
+    that exchange gives is used twice, as it is for the view of all rows and for the
+    others, all of them in one aggregation, whose rows largely meet within their task
+    already. Their results are rebalanced in turn. The group column itself stays, so
+    that folder names never have to be read back as values.
+    """
+    for name in views:
+        _check(name)
+    keys = {v: VIEW_KEYS[v] for v in views if v in VIEW_KEYS}
+    dealt = df.where(F.col(group).isNotNull()).hint("rebalance", group)
+    parts = []
+    if ALL_ROWS in views:
+        parts.append(dealt.withColumn(VIEW_FOLDER, F.lit(ALL_ROWS)))
+    if keys:
+        parts.append(consensus_of_views(dealt, keys, group, VIEW_FOLDER).hint("rebalance", VIEW_FOLDER, group))
+    return reduce(DataFrame.unionByName, parts).withColumn(GROUP_FOLDER, folder_name(F.col(group)))
 
 
 def write_views(
@@ -28,23 +44,9 @@ def write_views(
     group: str = GROUP,
     mode: str = "error",
 ) -> None:
-    """Write views for all groups at once, zstd-compressed.
-
-    Rows are rebalanced by group: small groups end up in one file, while a group
-    holding much of the table is split over as many tasks as its size calls for.
-    """
-    for name in views:
-        _check(name)
-    for name in views:
-        out = _tagged(view(df, name, group), name, group).hint("rebalance", GROUP_FOLDER)
-        writer = out.write.mode(mode if name == views[0] else _following(mode))
-        writer.partitionBy(VIEW_FOLDER, GROUP_FOLDER).options(
-            compression="zstd", partitionOverwriteMode="dynamic"
-        ).parquet(path)
-
-
-def _following(mode: str) -> str:
-    return "append" if mode in ("error", "append") else mode
+    """Write views for all groups at once, zstd-compressed: one scan, one job."""
+    writer = tagged_views(df, views, group).write.mode(mode).partitionBy(VIEW_FOLDER, GROUP_FOLDER)
+    writer.options(compression="zstd", partitionOverwriteMode="dynamic").parquet(path)
 
 
 def _check(view_name: str, fmt: str = "parquet") -> None:

@@ -10,10 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from placebook.operators import catalog as C
+from placebook.operators.consensus import consensus
 from placebook.operators.profile import opening_values
 from placebook.operators.source_profile import source_levels, source_profile
 from placebook.operators.upstream import map_sources
-from placebook.schema import COLUMNS, FILE_ORDER, MASTER, TEXT_COLUMNS
+from placebook.schema import COLUMNS, FILE_ORDER, MASTER, TEXT_COLUMNS, VIEW_KEYS
 from placebook.sinks import views as V
 from placebook.sinks.delimited import write_csv, write_csv_groups
 from placebook.sinks.samples import sample_rows
@@ -391,3 +392,23 @@ def test_pages_are_chained_by_their_tokens(spark, tmp_path):
     assert chain_places(links.limit(0)).count() == 0
     with pytest.raises(ValueError):
         chain_places(links.withColumn("next", F.replace("next", F.lit("gone"), F.lit("a"))))
+
+
+def test_all_views_come_out_of_one_scan(spark, tmp_path):
+    """One aggregation for all key sets, equal to one for each; the exchange below is used twice."""
+    rows = [{"country_iso2": g, "postal_code": c, "region_1_en": r, "region_1_lc": k, "place_name": p, "latitude": x}
+            for g in ("FR", "NA", "") for c in ("1", None, "") for r, k in (("a", None), ("a", "b"), (None, " "), ("", "")) for p, x in (("x", 1.0), ("y", float("nan")), (" ", 1.0))]
+    source = str(tmp_path / "master")
+    canonical(spark, rows * 3).write.parquet(source)
+    df = spark.read.parquet(source)
+    found = V.tagged_views(df)
+    got = [tuple(r) for r in found.collect()]
+    text = found._jdf.queryExecution().executedPlan().toString()
+    final = text[: text.index("Initial Plan")]
+    assert final.count("Scan parquet") == 1 and "ReusedExchange" in final
+    for name, keys in VIEW_KEYS.items():
+        want = sorted(map(str, (tuple(r) for r in consensus(df, keys, ["country_iso2"]).collect())))
+        assert sorted(str(r[:-2]) for r in got if r[-2] == name) == want
+    assert sorted(str(r[:-2]) for r in got if r[-2] == "all_rows") == sorted(str(tuple(r)) for r in df.collect())
+    one = V.tagged_views(df, ["admin_areas"])
+    assert {r["view"] for r in one.collect()} == {"admin_areas"}
