@@ -8,10 +8,10 @@ is a link when an alignment of its k-mers inside a diagonal band keeps enough of
 
 Equal texts are one text here, whatever their number. Texts of a small bucket all meet; in
 a large one all meet the smallest. Where this leaves a large bucket with several
-components, it is split by a further sketch of its members and so on. Whatever the splits
+components, it is split by the next sketches of its members and so on. Whatever the splits
 could not bring together meets in an exact pass over the large buckets that still hold
-several components: two texts similar enough share one of their rarest k-mers, so texts of
-other components that share one are compared. No bucket is capped, and no group of near
+several components: two texts similar enough share one of their rarest k-mers, and early enough in
+the order of rarity, so texts of other components that do are compared. No bucket is capped, and no group of near
 copies becomes all its pairs.
 
 * Words are runs of other than white space, in lower case. A text of fewer than k words
@@ -45,6 +45,8 @@ SKETCHES = 16
 MINIMA = 3
 # Up to so many members a bucket compares all its texts.
 SMALL_BUCKET = 8
+# Sketches by which a level splits a large bucket.
+NEXT = 2
 BATCH_BYTES = 1_500_000
 _FAR = np.uint64(2**64 - 1)
 
@@ -154,9 +156,10 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int = K, similarity: float =
 
 
 def rare_kmers(texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """``id, kmer``: the rarest k-mers of each of ``texts (id, text)``, enough that two texts
-    of the similarity share one: ``ceil(s n)`` of ``n`` are common to both, so of the others
-    and one more the rarest common one is among them on both sides."""
+    """``id, n_kmers, rank, kmer``: the rarest k-mers of each of ``texts (id, text)``, enough
+    that two texts of the similarity share one: ``ceil(s n)`` of ``n`` are common to both, so
+    of the others and one more the rarest common one is among them on both sides. ``rank``
+    counts them from 1, in an order that is the same for all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -174,7 +177,14 @@ def rare_kmers(texts: DataFrame, k: int, similarity: float) -> DataFrame:
     often = stored(each.groupBy("kmer").agg(F.count("*").alias("n")).where("n > 1"), "kmer-counts")
     ranked = each.join(often, "kmer", "left").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("n", F.lit(1)), "kmer")))
     enough = F.col("n_kmers") - F.ceil(F.lit(similarity) * F.col("n_kmers") - 1e-9) + 1
-    return ranked.where((F.col("rank") <= enough) & F.col("n").isNotNull()).select("id", "kmer")
+    return ranked.where((F.col("rank") <= enough) & F.col("n").isNotNull()).select("id", "n_kmers", "rank", "kmer")
+
+
+def may_link(n: str, rank: str, other_n: str, other_rank: str, similarity: float):
+    """Whether two texts whose rarest common k-mer has these ranks can be similar enough:
+    besides it they share at most what comes after it, in the text where that is less."""
+    after = F.least(F.col(n) - F.col(rank), F.col(other_n) - F.col(other_rank)) + 1
+    return after >= F.ceil(similarity / (1 + similarity) * (F.col(n) + F.col(other_n)) - 1e-9)
 
 
 def _mixed(members: DataFrame, labels: DataFrame, key: str) -> DataFrame:
@@ -185,9 +195,11 @@ def _mixed(members: DataFrame, labels: DataFrame, key: str) -> DataFrame:
 
 
 def _split(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Members of a bucket anew, one bucket for each of their later sketches."""
-    later = members.join(sketches, "id").select("id", "key", "j", F.posexplode("sketches").alias("next", "value"))
-    return later.where("next > j").select("id", F.xxhash64("key", "value").alias("key"), F.col("next").alias("j"))
+    """Members of a bucket anew, one bucket for each of their next sketches. Pairs that
+    agree on none of these are left to the exact pass."""
+    following = F.transform(F.slice("sketches", F.col("j") + 2, F.lit(NEXT)), lambda v, i: F.struct((i + F.col("j") + 1).alias("next"), v.alias("value")))
+    later = members.join(sketches, "id").select("id", "key", F.explode(following).alias("s"))
+    return later.select("id", F.xxhash64("key", "s.value").alias("key"), F.col("s.next").alias("j"))
 
 
 def near_links(texts: DataFrame, k: int = K, similarity: float = SIMILARITY, sketches: int = SKETCHES, minima: int = MINIMA, levels: int = 3) -> DataFrame:
@@ -223,8 +235,10 @@ def near_links(texts: DataFrame, k: int = K, similarity: float = SIMILARITY, ske
     # The smaller components of a k-mer meet the rest.
     sizes = apart.groupBy("kmer", "component").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("kmer").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
-    few = apart.join(largest, "kmer").where("component <> largest").select("kmer", F.col("id").alias("x"), F.col("component").alias("own"))
-    meet = few.join(apart.select("kmer", "id", "component"), "kmer").where("own <> component")
+    few = apart.join(largest, "kmer").where("component <> largest")
+    few = few.select("kmer", F.col("id").alias("x"), F.col("component").alias("own"), F.col("n_kmers").alias("n"), F.col("rank").alias("at"))
+    meet = few.join(apart.select("kmer", "id", "component", "n_kmers", "rank"), "kmer").where("own <> component")
+    meet = meet.where(may_link("n", "at", "n_kmers", "rank", similarity))
     found = meet.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
     return _test(found, tested, links, labels, texts, k, similarity)[1]
 
