@@ -41,6 +41,7 @@ from placebook.llm.common import stored
 
 RELABEL, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
 BLOCK = 4
+SEGMENT = 100_000
 WHITE = " \t\n\x0b\x0c\r"
 # Kinds of rows: no row, to be deleted, and role initials, upper case where truncated.
 KINDS = ".xsuaoSUAO"
@@ -138,21 +139,33 @@ def expand(t: Tables, right: int, block: int, state: int) -> tuple[str, int]:
 
 
 def repair(kinds: np.ndarray) -> tuple[int, str]:
-    """Cost and edits of a conversation from the kinds of its rows, places in ``KINDS``."""
+    """Cost and edits of a conversation from the kinds of its rows, places in ``KINDS``.
+
+    Two bytes a row are held besides the edits; lists cover ``SEGMENT`` blocks at a time.
+    """
     t = tables()
-    padded = np.concatenate([np.zeros(-len(kinds) % BLOCK, np.int64), kinds])
-    blocks = (padded.reshape(-1, BLOCK) @ len(KINDS) ** np.arange(BLOCK - 1, -1, -1)).tolist()
+    padded = np.concatenate([np.zeros(-len(kinds) % BLOCK, np.uint8), kinds.astype(np.uint8)])
+    blocks = np.zeros(len(padded) // BLOCK, np.uint16)
+    for column in padded.reshape(-1, BLOCK).T:
+        blocks = blocks * np.uint16(len(KINDS)) + column
+    segments = [slice(i, i + SEGMENT) for i in range(0, len(blocks), SEGMENT)]
     borders = np.empty(len(blocks), np.uint16)
     vector, cost = t.last, 0
-    for i in range(len(blocks) - 1, -1, -1):
-        borders[i] = vector
-        cost += int(t.offset[vector, blocks[i]])
-        vector = t.block[vector, blocks[i]]
-    parts, state = [], 0
-    for right, block in zip(borders.tolist(), blocks, strict=True):
-        letters, state = expand(t, right, block, state)
-        parts.append(letters)
-    return cost + t.vectors[vector][0], "".join(parts) + ENDING[state]
+    for segment in reversed(segments):
+        right = []
+        for block in reversed(blocks[segment].tolist()):
+            right.append(vector)
+            cost += int(t.offset[vector, block])
+            vector = int(t.block[vector, block])
+        borders[segment] = right[::-1]
+    edits, state = [], 0
+    for segment in segments:
+        parts = []
+        for right, block in zip(borders[segment].tolist(), blocks[segment].tolist(), strict=True):
+            letters, state = expand(t, right, block, state)
+            parts.append(letters)
+        edits.append("".join(parts))
+    return cost + t.vectors[vector][0], "".join(edits) + ENDING[state]
 
 
 def damaged(turns: DataFrame) -> DataFrame:
@@ -210,7 +223,7 @@ class _Conversation:
 
     def row(self, conv: int | None) -> tuple:
         gaps = self.last[0] - self.low + 1 - self.turns if self.low is not None else 0
-        cost, audit = repair(np.frombuffer(self.kinds, np.uint8).astype(np.int64))
+        cost, audit = repair(np.frombuffer(self.kinds, np.uint8))
         return conv, gaps, self.blank, self.duplicate, self.truncated, self.illegal, cost, audit
 
 

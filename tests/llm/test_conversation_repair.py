@@ -59,6 +59,15 @@ def test_block_lookups_equal_enumeration():
         assert repairs.repair(places) == cheapest(tuple(map(str, kinds))), kinds
 
 
+def test_segments_of_blocks_change_nothing(monkeypatch):
+    rng = np.random.default_rng(4)
+    places = rng.integers(1, len(repairs.KINDS), 4001)
+    whole = repairs.repair(places)
+    for size in (1, 7, 1001):
+        monkeypatch.setattr(repairs, "SEGMENT", size)
+        assert repairs.repair(places) == whole
+
+
 def test_blocks_are_composed_of_rows():
     t = repairs.tables()
     assert all(min(v) == 0 for v in t.vectors) and len(set(t.vectors)) == len(t.vectors)
