@@ -5,12 +5,18 @@ words; of each run of so many words the first occurrence (smallest document, the
 stays, the others are removed whole, from their first word to their last.
 
 A gear rolling hash runs over the bytes of each text. Of any ``REACH`` neighbouring words
-the one at whose end it is smallest (the last of equals) ends a chunk, so borders depend on
-nearby content alone. A chunk is compared by the ``TAIL`` words before its end, whose hash
-has all the bytes it was chosen by. ``TAIL + REACH - 1`` is ``LEAST_RUN``: every run of so
-many words holds a window of ``REACH`` word ends with all their tails, hence the same chunk
-end and tail in all its copies. Runs whose chunk does not come twice cannot be repeats; the
-others are compared by a 128-bit digest over all texts, one for each word they begin at.
+the one at whose end it is smallest (the last of equals) is a border, so borders depend on
+nearby content alone; what lies between two borders is a chunk of up to ``REACH`` words. A
+run of ``LEAST_RUN`` words holds two windows of ``REACH`` word ends, apart from each other
+and with all the bytes their hashes are of, hence a whole chunk, the same in all copies:
+the one after the border that its first window chooses.
+
+1. Chunks are compared by a digest of their bytes and of the ``LEAD`` words before, up to
+   ``REACH`` words behind their first border, which every run of theirs holds. One row each.
+2. A chunk that comes twice is extended to all the runs it stands for. Where chunks agree
+   so far as well, by a 128-bit digest, all but the first are repeats over their whole length.
+3. Only the first of each such class, and only where classes share a chunk, is extended
+   word by word: its runs are compared by 128-bit digests, which finds the true borders.
 
 Words are what blanks part; a word of more than ``LONG`` bytes, as in scripts without
 blanks, is cut into pieces where the rolling hash says so, which count as words.
@@ -25,20 +31,24 @@ blanks, is cut into pieces where the rolling hash says so, which count as words.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placebook.llm.arrays import joined_bytes, mix, span_hashes
+from placebook.llm.arrays import BASE, joined_bytes, mix, span_hashes
 from placebook.llm.common import if_small, stored, within_arrow
 
 # Words of the shortest repeat: more than fifty.
 LEAST_RUN = 51
-TAIL = 20
-REACH = LEAST_RUN - TAIL + 1
+# Words before the first word end of a run whose hash has no byte from outside the run: the
+# hash is of eight bytes, a word has one at least.
+LEAD = 7
+REACH = (LEAST_RUN - LEAD) // 2
 # Longest word left whole, longest piece of a longer one, and bits that end a piece.
 LONG = 32
 PIECE = 64
@@ -54,10 +64,10 @@ GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint
 def rolling(data: np.ndarray) -> np.ndarray:
     """Gear hash at every byte: ``h = 2 h + gear[byte]`` modulo 2**32.
 
-    Summed over the last 16 bytes, by doubling the reach four times.
+    Summed over the last 8 bytes, by doubling the reach three times.
     """
     h = GEAR[data]
-    for shift in (1, 2, 4, 8):
+    for shift in (1, 2, 4):
         moved = np.zeros_like(h)
         moved[shift:] = h[:-shift] << np.uint32(shift)
         h = h + moved
@@ -107,11 +117,27 @@ def chunk_ends(data: np.ndarray) -> list[int]:
     return own if own and own[-1] == len(data) else [*own, len(data)]
 
 
-def _runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words' starts and ends, and for each run of ``LEAST_RUN`` words its chunk's last word."""
+@dataclass(frozen=True)
+class Chunks:
+    """Chunks of one text that can be in a repeat: the last word before each, its own last
+    word, and the first and last word at which the runs that it stands for begin."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    border: np.ndarray
+    last: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+
+def chunks_in(data: np.ndarray) -> Chunks:
     h = rolling(data)
     starts, ends = word_spans(data, h)
-    return starts, ends, chosen_words(h[ends - 1][TAIL - 1 :]) + TAIL - 1
+    chosen = chosen_words(h[ends - 1][LEAD:]) + LEAD
+    borders, runs = np.unique(chosen), chosen[: max(len(ends) - LEAST_RUN + 1, 0)]
+    border, low, counts = np.unique(runs, return_index=True, return_counts=True)
+    last = borders[np.searchsorted(borders, border, "right")] if len(border) else border
+    return Chunks(starts, ends, border, last, low, low + counts - 1)
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -119,61 +145,86 @@ def _plain(docs: DataFrame) -> DataFrame:
     return plain.where("text <> '' and doc_id is not null")
 
 
-def chunks_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, version, k, tail``: last word of every chunk that can be in a repeat, and a
-    hash of the words before its end."""
-    schema = "doc_id long, version int, k int, tail long"
+def _by_text(texts: DataFrame, schema: str, rows_of: Callable[[np.ndarray, bytes, np.ndarray | None], list[np.ndarray]]) -> DataFrame:
+    """Columns that ``rows_of`` makes of each text and its ``ks``, after ``doc_id, version``."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    types = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+    kinds = [types[f.split()[1]] for f in schema.split(", ")]
+    listed = "ks" in texts.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make(batch: pa.RecordBatch) -> pa.RecordBatch:
             data, begins = joined_bytes(batch.column("text"))
-            counts, places, tails = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            whole, parts = data.tobytes(), []
             for i in range(batch.num_rows):
-                own = data[begins[i] : begins[i + 1] - 1]
-                starts, ends, chosen = _runs(own)
-                k = np.unique(chosen)
-                counts.append(len(k))
-                places.append(k)
-                tails.append(span_hashes(own, starts[k - TAIL + 1], ends[k]) if len(k) else tails[0])
-            rows = pa.array(np.repeat(np.arange(len(counts)), counts))
+                a, b = int(begins[i]), int(begins[i + 1]) - 1
+                parts.append(rows_of(data[a:b], whole[a:b], batch.column("ks")[i].values.to_numpy() if listed else None))
+            rows = pa.array(np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts]))
             columns = [batch.column("doc_id").take(rows), batch.column("version").take(rows)]
-            columns += [pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(tails).view(np.int64))]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "k", "tail"])
+            columns += [pa.array(np.concatenate(x).astype(t.to_pandas_dtype())) for x, t in zip(zip(*parts, strict=True), kinds[2:], strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         yield from within_arrow(batches, make, "text", BATCH_BYTES)
 
-    return _plain(docs).mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
 
 
-def word_runs(texts: DataFrame) -> DataFrame:
-    """``doc_id, version, start, length, d1, d2``: of ``texts (doc_id, version, text, ks)``
-    the runs of ``LEAST_RUN`` words whose chunk is among ``ks``, in bytes."""
-    schema = "doc_id long, version int, start int, length int, d1 long, d2 long"
+def _digests(whole: bytes, starts: np.ndarray, ends: np.ndarray, marks: Iterable[bytes]) -> list[np.ndarray]:
+    found = [hashlib.blake2b(whole[u:v], digest_size=16, person=m).digest() for u, v, m in zip(starts.tolist(), ends.tolist(), marks, strict=True)]
+    d = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+    return [np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1])]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-            data, begins = joined_bytes(batch.column("text"))
-            whole = data.tobytes()
-            counts, starts, lengths, digests = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-            for i, ks in enumerate(batch.column("ks")):
-                a, b = int(begins[i]), int(begins[i + 1]) - 1
-                first, last, chosen = _runs(data[a:b])
-                at = np.flatnonzero(np.isin(chosen, ks.values.to_numpy()))
-                x, y = first[at], last[at + LEAST_RUN - 1]
-                counts.append(len(at))
-                starts.append(x)
-                lengths.append(y - x)
-                digests += [hashlib.blake2b(whole[u:v], digest_size=16).digest() for u, v in zip((x + a).tolist(), (y + a).tolist(), strict=True)]
-            d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            rows = pa.array(np.repeat(np.arange(len(counts)), counts))
-            columns = [batch.column("doc_id").take(rows), batch.column("version").take(rows)]
-            columns += [pa.array(np.concatenate(v).astype(np.int32)) for v in (starts, lengths)]
-            columns += [pa.array(np.ascontiguousarray(d[:, j])) for j in (0, 1)]
-            return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])
 
-        yield from within_arrow(batches, make, "text", BATCH_BYTES)
+def chunks_of(docs: DataFrame) -> DataFrame:
+    """``doc_id, version, k, chunk``: the border before every chunk that can be in a repeat,
+    and a digest of the chunk with the words around that its runs must hold."""
 
-    return texts.select("doc_id", "version", "text", "ks").mapInArrow(run, schema)
+    def rows_of(data: np.ndarray, whole: bytes, ks: np.ndarray | None) -> list[np.ndarray]:
+        c = chunks_in(data)
+        if not len(c.border):
+            return [c.border, c.border]
+        own = span_hashes(data, c.starts[c.border + 1], c.ends[c.last])
+        around = span_hashes(data, c.starts[c.border - LEAD], c.ends[c.border + REACH])
+        return [c.border, mix(own * BASE + around).view(np.int64)]
+
+    return _by_text(_plain(docs), "doc_id long, version int, k int, chunk long", rows_of)
+
+
+def extended(texts: DataFrame) -> DataFrame:
+    """``doc_id, version, k, start, length, d1, d2``: of ``texts (doc_id, version, text, ks)``
+    the chunks after the borders ``ks``, extended to all the runs they stand for, in bytes."""
+
+    def rows_of(data: np.ndarray, whole: bytes, ks: np.ndarray | None) -> list[np.ndarray]:
+        c = chunks_in(data)
+        at = np.searchsorted(c.border, np.sort(ks))
+        a, b = c.starts[c.low[at]], c.ends[c.high[at] + LEAST_RUN - 1]
+        # Where in the stretch the border is belongs to it.
+        marks = (bytes(x) for x in np.column_stack([c.border[at] - c.low[at], c.high[at] - c.low[at]]).tolist())
+        return [c.border[at], a, b - a, *_digests(whole, a, b, marks)]
+
+    return _by_text(texts, "doc_id long, version int, k int, start int, length int, d1 long, d2 long", rows_of)
+
+
+def runs_of(texts: DataFrame) -> DataFrame:
+    """The same columns for each run of ``LEAST_RUN`` words that the chunks stand for."""
+
+    def rows_of(data: np.ndarray, whole: bytes, ks: np.ndarray | None) -> list[np.ndarray]:
+        c = chunks_in(data)
+        at = np.searchsorted(c.border, np.sort(ks))
+        n = c.high[at] - c.low[at] + 1
+        first = np.repeat(c.low[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        a, b = c.starts[first], c.ends[first + LEAST_RUN - 1]
+        return [np.repeat(c.border[at], n), a, b - a, *_digests(whole, a, b, repeat(b"", len(a)))]
+
+    return _by_text(texts, "doc_id long, version int, k int, start int, length int, d1 long, d2 long", rows_of)
+
+
+def _with_borders(docs: DataFrame, borders: DataFrame, label: str) -> DataFrame:
+    """``doc_id, version, text, ks`` of the texts that have any of ``borders (doc_id, version, k)``."""
+    row = ["doc_id", "version"]
+    listed = stored(borders.groupBy(*row).agg(F.collect_set("k").alias("ks")), label)
+    touched = _plain(docs).join(if_small(listed.select(*row), SMALL), row, "left_semi")
+    return touched.join(listed, row).select(*row, "text", "ks")
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -221,18 +272,34 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     row = ["doc_id", "version"]
     chunks = stored(chunks_of(docs), "chunks")
-    # Map-side aggregation holds a hash once per task, so a hot chunk is no hot key. Stored,
+    # Map-side aggregation holds a digest once per task, so a hot chunk is no hot key. Stored,
     # so that both sides of the join are dealt anew and Spark can split a hot chunk.
-    twice = stored(chunks.groupBy("tail").agg(F.count("*").alias("n")).where("n > 1").select("tail"), "repeated-chunks")
-    hits = stored(chunks.join(twice, "tail").groupBy(*row).agg(F.collect_set("k").alias("ks")), "chunk-hits")
-    touched = _plain(docs).join(if_small(hits.select(*row), SMALL), row, "left_semi")
-    runs = stored(word_runs(touched.join(hits, row)), "word-runs")
-
-    place = F.struct("doc_id", "version", "start")
-    seen = runs.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    seen = stored(seen.where("n > 1").select("d1", "d2", "first"), "repeated-runs")
-    found = runs.join(seen, ["d1", "d2"]).select(*row, "start", "length", (place != F.col("first")).alias("later"), F.col("first.doc_id").alias("first_doc_id"))
-    # Rows equal in id and text give the same runs twice.
+    twice = stored(chunks.groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1").select("chunk"), "repeated-chunks")
+    hits = stored(chunks.join(twice, "chunk"), "chunk-hits")
+    longer = stored(extended(_with_borders(docs, hits, "chunk-borders")), "extended-chunks")
+
+    one, place = F.struct("doc_id", "version", "start"), F.struct("doc_id", "version", "start", "k")
+    classes = stored(longer.groupBy("d1", "d2").agg(F.min(place).alias("first"), (F.count("*") > 1).alias("many")), "chunk-classes")
+    # Classes whose chunk others share too: their runs may come there.
+    own = classes.select("many", F.col("first.doc_id").alias("doc_id"), F.col("first.version").alias("version"), F.col("first.k").alias("k"))
+    chunk = hits.select(*row, "k", "chunk").distinct()
+    own = stored(own.join(chunk, [*row, "k"]), "class-chunks")
+    shared = stored(own.groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1").select("chunk"), "shared-chunks")
+    open_ = stored(own.join(shared, "chunk").select(*row, "k", "many"), "open-classes")
+    runs = stored(runs_of(_with_borders(docs, open_, "open-borders")).join(open_, [*row, "k"]), "word-runs")
+    seen = runs.groupBy("d1", "d2").agg(F.min(one).alias("first"), F.count("*").alias("n"), F.max("many").alias("many"))
+    seen = stored(seen.where("n > 1 or many").select("d1", "d2", "first"), "repeated-runs")
+    single = runs.join(seen, ["d1", "d2"]).select(*row, "k", "start", "length", (one != F.col("first")).alias("later"), F.col("first.doc_id").alias("first_doc_id"))
+    single = stored(single, "run-spans")
+
+    # Of a class all but the first are later; the first stays unless its runs were judged alone.
+    judged = single.groupBy(F.struct(*row, "k").alias("head")).agg(F.min("first_doc_id").alias("earliest"))
+    member = longer.join(classes.where("many").select("d1", "d2", "first"), ["d1", "d2"])
+    member = member.withColumn("later", one != F.struct("first.doc_id", "first.version", "first.start"))
+    member = member.withColumn("head", F.struct("first.doc_id", "first.version", "first.k")).join(stored(judged, "judged"), "head", "left")
+    found = member.where("later or earliest is null").select(*row, "start", "length", "later", F.coalesce("earliest", "first.doc_id").alias("first_doc_id"))
+    found = found.unionByName(single.drop("k"))
+    # Rows equal in id and text give the same spans twice.
     listed = found.groupBy(*row).agg(F.collect_set(F.struct("start", "length", "later", "first_doc_id")).alias("runs"))
     schema = "doc_id long, version int, start long, length long, removed boolean, first_doc_id long"
 
