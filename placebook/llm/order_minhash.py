@@ -11,7 +11,8 @@ a large one all meet the smallest. Where this leaves a large bucket with several
 components, it is split by the next sketches of its members and so on. Whatever the splits
 could not bring together meets in an exact pass over the large buckets that still hold
 several components: two texts similar enough share one of their rarest k-mers, and early enough in
-the order of rarity, so texts of other components that do are compared. No bucket is capped, and no group of near
+the order of rarity, so texts of other components that do are compared, first with one in
+eight, then, where that did not connect them, with all. No bucket is capped, and no group of near
 copies becomes all its pairs.
 
 * Words are runs of other than white space, in lower case. A text of fewer than k words
@@ -47,6 +48,8 @@ MINIMA = 3
 SMALL_BUCKET = 8
 # Sketches by which a level splits a large bucket.
 NEXT = 2
+# Of the texts that share a rare k-mer one in so many is met, round by round; in the last, all.
+PARTS = (8, 1)
 BATCH_BYTES = 1_500_000
 _FAR = np.uint64(2**64 - 1)
 
@@ -231,16 +234,19 @@ def near_links(texts: DataFrame, k: int = K, similarity: float = SIMILARITY, ske
     if left.isEmpty():
         return labels
     rare = stored(rare_kmers(texts.join(left, "id", "left_semi"), k, similarity), "rare-kmers")
-    apart = stored(_mixed(rare, labels, "kmer"), "rare-apart")
-    # The smaller components of a k-mer meet the rest.
-    sizes = apart.groupBy("kmer", "component").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("kmer").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
-    few = apart.join(largest, "kmer").where("component <> largest")
-    few = few.select("kmer", F.col("id").alias("x"), F.col("component").alias("own"), F.col("n_kmers").alias("n"), F.col("rank").alias("at"))
-    meet = few.join(apart.select("kmer", "id", "component", "n_kmers", "rank"), "kmer").where("own <> component")
-    meet = meet.where(may_link("n", "at", "n_kmers", "rank", similarity))
-    found = meet.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
-    return _test(found, tested, links, labels, texts, k, similarity)[1]
+    # The smaller components of a k-mer meet the rest: a part of it first, whose links spare
+    # most texts the others, then all.
+    for parts in PARTS:
+        apart = stored(_mixed(rare, labels, "kmer"), "rare-apart")
+        sizes = apart.groupBy("kmer", "component").agg(F.count("*").alias("size"))
+        largest = sizes.groupBy("kmer").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
+        few = apart.join(stored(largest, "rare-largest"), "kmer").where("component <> largest")
+        few = few.select("kmer", F.col("id").alias("x"), F.col("component").alias("own"), F.col("n_kmers").alias("n"), F.col("rank").alias("at"))
+        others = apart.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == 0).select("kmer", "id", "component", "n_kmers", "rank")
+        meet = few.join(others, "kmer").where("own <> component").where(may_link("n", "at", "n_kmers", "rank", similarity))
+        found = meet.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
+        links, labels, tested = _test(found, tested, links, labels, texts, k, similarity)
+    return labels
 
 
 def _test(found, tested, links, labels, texts, k, similarity):
