@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from placebook.operators.profile import opening_values
 from placebook.plans.registry import query
 from placebook.schema import FILE_ORDER, SAMPLE_ROWS
-from placebook.session import fresh_path
+from placebook.session import ROWS_PER_TASK, fresh_path, tasks_for
 from placebook.sinks.delimited import write_csv_groups
 from placebook.sinks.samples import sample_rows
 from placebook.sources.tables import read_in_order
@@ -50,13 +50,16 @@ def file_order_opening(spark, folder):
 )
 def file_order_export(spark, folder):
     """Files per group, and the place of every line in the files of its group."""
-    path = fresh_path(spark, "ordered")
-    write_csv_groups(lines(spark, folder), path, "l_suppkey", FILE_ORDER, ["l_orderkey", "l_linenumber"])
+    path, rows = fresh_path(spark, "ordered"), lines(spark, folder)
+    # By rows, not by bytes: a path beside every line is next to nothing until it is sorted.
+    tasks = tasks_for(rows)
+    write_csv_groups(rows, path, "l_suppkey", FILE_ORDER, ["l_orderkey", "l_linenumber"], rows_per_file=ROWS_PER_TASK if tasks else None)
     found = spark.read.text(path).select(
         F.col("group").cast("long").alias("l_suppkey"), "value",
         F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id")).alias("place"),
     )
     in_group = Window.partitionBy("l_suppkey").orderBy("place")
-    numbered = found.where(~F.startswith("value", F.lit('"'))).withColumn("line", F.row_number().over(in_group).cast("long"))
+    found = found.where(~F.startswith("value", F.lit('"'))).repartition(*tasks, "l_suppkey")
+    numbered = found.withColumn("line", F.row_number().over(in_group).cast("long"))
     field = lambda i: F.get(F.split("value", ","), i).cast("long")
     return numbered.select("l_suppkey", "line", field(0).alias("l_orderkey"), field(1).alias("l_linenumber"))

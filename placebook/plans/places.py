@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placebook.schema import COLUMNS
+from placebook.session import tasks_for
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -66,11 +67,12 @@ def joined(spark: SparkSession, folder: str) -> DataFrame:
 
     No join hints: the sizes of the files decide which sides Spark broadcasts.
     Joining one table after the other keeps those sizes visible to the planner. The
-    facts, few columns of them, are dealt out first: their files may be few and large.
+    facts, few columns of them, are dealt out first: their files may be few and large. They
+    are dealt by their number, because what is a few bytes here is a wide row after the joins.
     """
     t = {n: table(spark, folder, n) for n in ("lineitem", "part", "supplier", "nation", "region")}
     return (
-        t["lineitem"].repartition("l_orderkey", "l_linenumber")
+        t["lineitem"].repartition(*tasks_for(t["lineitem"]), "l_orderkey", "l_linenumber")
         .join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
         .join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey"))
         .join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
