@@ -67,33 +67,6 @@ def view(df: DataFrame, name: str, group: str = GROUP) -> DataFrame:
     return consensus(df, VIEW_KEYS[name], [group]) if name in VIEW_KEYS else df
 
 
-def consensus_of_views(df: DataFrame, key_sets: dict[str, Sequence[str]], scope: str, name: str) -> DataFrame:
-    """The consensus of several key sets in one aggregation, ``name`` telling which.
-
-    Every row is expanded once per key set and meets the others on the set, the scope and
-    its keys, which are text. A column that is a key of one set and a value of another is
-    both here.
-    """
-    keys = {v: [k for k in ks if k != scope] for v, ks in key_sets.items()}
-    fields = [f for f in df.schema if f.name != scope]
-    spoken = df.select(
-        scope,
-        *(opinion(f).alias(f.name) for f in fields),
-        F.explode(F.array(*(F.struct(F.lit(v).alias("view"), F.array(*(F.col(k).cast("string") for k in ks)).alias("key")) for v, ks in keys.items()))).alias("_as"),
-    )
-    tagged = spoken.select(F.xxhash64("_as", scope).alias(HASH), F.col("_as.view").alias(name), scope, F.col("_as.key").alias("_key"), *(f.name for f in fields))
-    agreed = tagged.groupBy(HASH, name, scope, "_key").agg(*(_agreed(f) for f in fields))
-
-    def shown(field: T.StructField) -> Column:
-        own = [(v, ks.index(field.name)) for v, ks in keys.items() if field.name in ks]
-        value = F.col(field.name)
-        for v, i in own:
-            value = F.when(F.col(name) == v, F.get("_key", F.lit(i)).cast(field.dataType)).otherwise(value)
-        return value.alias(field.name)
-
-    return agreed.select(*(F.col(scope) if f.name == scope else shown(f) for f in df.schema), name)
-
-
 def distinct_keys(df: DataFrame, keys: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
     return df.select(*scope, *(k for k in keys if k not in scope)).distinct()
 

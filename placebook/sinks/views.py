@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placebook.operators.consensus import consensus_of_views, view
+from placebook.operators.consensus import view
 from placebook.schema import ALL_ROWS, FILE_ORDER, FORMATS, GROUP, SHEET_ROW_LIMIT, VIEW_KEYS, VIEWS
 from placebook.session import settle
 from placebook.sinks.delimited import write_csv_groups
@@ -20,20 +20,18 @@ def tagged_views(df: DataFrame, views: Sequence[str] = tuple(VIEWS), group: str
 
     Rows are rebalanced by group: small groups end up in one task, while a group
     holding much of the table is split over as many as its size calls for. What
-    that exchange gives is used twice, as it is for the view of all rows and for the
-    others, all of them in one aggregation, whose rows largely meet within their task
-    already. Their results are rebalanced in turn. The group column itself stays, so
-    that folder names never have to be read back as values.
+    that exchange gives is used by every view, as it is by the view of all rows. The
+    others are one aggregation each, whose rows largely meet within their task already;
+    so a task sorts its rows once at a time. Their results are rebalanced in turn. The group
+    column itself stays, so that folder names never have to be read back as values.
     """
     for name in views:
         _check(name)
-    keys = {v: VIEW_KEYS[v] for v in views if v in VIEW_KEYS}
     dealt = df.where(F.col(group).isNotNull()).hint("rebalance", group)
     parts = []
-    if ALL_ROWS in views:
-        parts.append(dealt.withColumn(VIEW_FOLDER, F.lit(ALL_ROWS)))
-    if keys:
-        parts.append(consensus_of_views(dealt, keys, group, VIEW_FOLDER).hint("rebalance", VIEW_FOLDER, group))
+    for name in views:
+        rows = view(dealt, name, group) if name == ALL_ROWS else view(dealt, name, group).hint("rebalance", group)
+        parts.append(rows.withColumn(VIEW_FOLDER, F.lit(name)))
     return reduce(DataFrame.unionByName, parts).withColumn(GROUP_FOLDER, folder_name(F.col(group)))
 
 
@@ -114,14 +112,16 @@ def refresh_views(
     outputs = view_files(spark, path) if _exists(spark, path) else None
     report = settle(staleness(groups, outputs, modified, views), "staleness")
     due = report.where("stale")
-    # At most one round per view; all groups of a view are one job.
-    for name in [r[0] for r in due.select(VIEW_FOLDER).distinct().collect()]:
-        behind = due.where(F.col(VIEW_FOLDER) == name).select(F.col(GROUP_FOLDER).alias(group))
+    # Groups that lack the same views are one job, so that a row is read and dealt once.
+    lacking = settle(due.groupBy(F.col(GROUP_FOLDER).alias(group)).agg(F.sort_array(F.collect_set(VIEW_FOLDER)).alias("_lacking")), "lacking")
+    for names in [r[0] for r in lacking.select("_lacking").distinct().collect()]:
+        behind = lacking.where(F.col("_lacking") == F.array(*map(F.lit, names))).select(group)
         rows = df.join(behind, group, "left_semi").select(*df.columns)
         if fmt == "csv":
-            export_csv(rows, path, name, group, "overwrite")
+            for name in names:
+                export_csv(rows, path, name, group, "overwrite")
         else:
-            write_views(rows, path, [name], group, "overwrite")
+            write_views(rows, path, names, group, "overwrite")
     return report
 
 

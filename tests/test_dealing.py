@@ -2,6 +2,8 @@ from pyspark.sql import functions as F
 
 from placebook import session
 from placebook.plans.places import places
+from placebook.schema import COLUMNS, GROUP
+from placebook.sinks import views as V
 
 
 def small_tables(spark, folder, n):
@@ -22,3 +24,17 @@ def test_facts_are_dealt_by_rows_not_by_bytes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "ROWS_PER_TASK", 200)
     held = [r["count"] for r in places(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(held) == 6000 and len(held) == 30 and max(held) < 400
+
+
+def test_stale_views_of_one_set_of_groups_are_one_job(spark, tmp_path, monkeypatch):
+    rows = [tuple(g if c == GROUP else None for c in COLUMNS) for g in ("A", "A", "B", None)]
+    schema = ", ".join(f"{c} {'double' if c in ('latitude', 'longitude') else 'string'}" for c in COLUMNS)
+    source, path, written = str(tmp_path / "table"), str(tmp_path / "views"), []
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(source)
+    write = V.write_views
+    monkeypatch.setattr(V, "write_views", lambda df, path, views, *more: written.append((df.count(), list(views))) or write(df, path, views, *more))
+    assert V.refresh_views(spark, source, path, ["postal_codes", "admin_areas"]).where("stale").count() == 4
+    assert written == [(3, ["admin_areas", "postal_codes"])]
+    assert V.refresh_views(spark, source, path).where("stale").count() == 2
+    assert written[1:] == [(3, ["all_rows"])]
+    assert V.refresh_views(spark, source, path).where("stale").isEmpty() and len(written) == 2
