@@ -104,29 +104,25 @@ def _shape(headers: DataFrame) -> DataFrame:
 def _fill_counts(source: SourceFiles, shape: DataFrame) -> DataFrame:
     """(file, records, located, filled): counts per file, ``filled`` by level.
 
-    Each record is judged where it lies. What moves is one counter per file and
+    Each record is judged where it lies, once for all counts: its coordinate stands beside
+    its levels as the one that has no number. What moves is one counter per file and
     level from each task, so a file holding much of the data is no hot spot.
     """
     says = lambda ordinal: has_text(F.get("fields", ordinal))
+    mark = lambda level, filled: F.struct(level.cast("int").alias("level"), filled.cast("int").alias("filled"))
+    of_levels = F.transform("levels", lambda x: mark(x.level, F.exists(x.ordinals, says)))
+    located = F.array(mark(F.lit(None), F.coalesce(says(F.col("latitude")), F.lit(False))))
     judged = source.records.join(shape.select("file", "levels", "latitude"), "file").select(
-        "file",
-        F.coalesce(says(F.col("latitude")), F.lit(False)).cast("int").alias("located"),
-        F.transform(
-            "levels",
-            lambda x: F.struct(
-                x.level.alias("level"), F.exists(x.ordinals, says).cast("int").alias("filled")
-            ),
-        ).alias("marks"),
+        "file", F.inline(F.concat(located, F.coalesce(of_levels, F.slice(located, 1, 0))))
     )
-    totals = judged.groupBy("file").agg(F.count("*").alias("records"), F.sum("located").alias("located"))
-    by_level = (
-        judged.select("file", F.inline("marks"))
-        .groupBy("file", "level")
-        .agg(F.sum("filled").alias("filled"))
-        .groupBy("file")
-        .agg(F.map_from_entries(F.collect_list(F.struct("level", "filled"))).alias("filled"))
+    own = F.col("level").isNull()
+    counted = judged.groupBy("file", "level").agg(F.count("*").alias("records"), F.sum("filled").alias("filled"))
+    marked = F.collect_list(F.when(~own, F.struct("level", "filled")))
+    return counted.groupBy("file").agg(
+        F.max(F.when(own, F.col("records"))).alias("records"),
+        F.max(F.when(own, F.col("filled"))).alias("located"),
+        F.when(F.size(marked) > 0, F.map_from_entries(marked)).alias("filled"),
     )
-    return totals.join(by_level, "file", "left")
 
 
 def source_levels(source: SourceFiles) -> DataFrame:

@@ -134,21 +134,28 @@ def read_source_files(
     dialect is one scan, whatever the number of files or templates in it. Records
     with more fields than their header are dropped, short ones are left short.
     """
-    scans = [_heads(spark, paths, encoding, sep, multi_line) for (encoding, sep), paths in dialects.items()]
+    scans = [
+        _heads(spark, paths, encoding, sep, multi_line).withColumn("_dialect", F.lit(i))
+        for i, ((encoding, sep), paths) in enumerate(dialects.items())
+    ]
     heads = settle(reduce(DataFrame.unionByName, scans), "headers")
-    widest = heads.agg(F.max("_size")).first()[0] or 1
+    # As wide as the dialect's widest header, so that records that fit it need no second look.
+    widest = {r["_dialect"]: r["_size"] for r in heads.groupBy("_dialect").agg(F.max("_size").alias("_size")).collect()}
+    # A file's source is made out once, not beside every record.
+    named = source_of or (lambda path: path)
+    heads = heads.drop("_dialect").withColumn("_source", named(F.col("_file")))
     # The reader drops the first record of every file, so no row of this scan has to be
     # recognized by what another scan numbered.
-    scans = [_records(spark, paths, encoding, sep, widest, multi_line) for (encoding, sep), paths in dialects.items()]
+    scans = [
+        _records(spark, paths, encoding, sep, widest.get(i) or 1, multi_line)
+        for i, ((encoding, sep), paths) in enumerate(dialects.items())
+    ]
     records = reduce(DataFrame.unionByName, scans)
     kept = records.join(heads.drop("_headers"), F.col("file") == F.col("_file")).where(F.col("size") <= F.col("_size"))
-    named = source_of or (lambda path: path)
     headers = heads.select(
-        named(F.col("_file")).alias("file"), F.posexplode("_headers").alias("ordinal", "header")
+        F.col("_source").alias("file"), F.posexplode("_headers").alias("ordinal", "header")
     ).withColumn("header", F.ltrim("header", F.lit(BOM)))
-    numbered = kept.select(
-        named(F.col("file")).alias("file"), "block", "row", "fields"
-    )
+    numbered = kept.select(F.col("_source").alias("file"), "block", "row", "fields")
     return SourceFiles(headers.distinct() if source_of else headers, numbered)
 
 

@@ -1,9 +1,12 @@
 from pyspark.sql import functions as F
 
 from placebook import session
+from placebook.functions.scalars import base_name
+from placebook.operators.source_profile import _fill_counts, _shape
 from placebook.plans.places import places
 from placebook.schema import COLUMNS, GROUP
 from placebook.sinks import views as V
+from placebook.sources.delimited import read_source_files
 
 
 def small_tables(spark, folder, n):
@@ -38,3 +41,19 @@ def test_stale_views_of_one_set_of_groups_are_one_job(spark, tmp_path, monkeypat
     assert V.refresh_views(spark, source, path).where("stale").count() == 2
     assert written[1:] == [(3, ["all_rows"])]
     assert V.refresh_views(spark, source, path).where("stale").isEmpty() and len(written) == 2
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_records_of_sources_are_read_once_for_all_counts(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("region_1_en,lat\nx,1\n,2\nz,\n")
+    (tmp_path / "b.csv").write_text("plain\nx\n\ny\n")
+    (tmp_path / "c.csv").write_text("region_2_lc;q;r;lat\nx;;;\n;1;2;3;4\ny\n")
+    paths = {("UTF-8", ","): [str(tmp_path / f"{n}.csv") for n in "ab"], ("UTF-8", ";"): [str(tmp_path / "c.csv")]}
+    source = read_source_files(spark, paths, source_of=base_name)
+    shape = _shape(source.headers)
+    counted = _fill_counts(source, shape)
+    assert plan_of(counted).count("FileScan csv") == 2
+    assert sorted(map(tuple, counted.collect())) == [("a.csv", 3, 2, {1: 2}), ("b.csv", 2, 0, None), ("c.csv", 2, 0, {2: 2})]
