@@ -207,18 +207,29 @@ def differences(
     return sides.groupBy(*columns).agg(F.sum("_side").alias("surplus")).where("surplus <> 0")
 
 
+def row_digest(columns: Sequence[str]) -> list[Column]:
+    """128 bits of a row, null being a value of its own, as two numbers."""
+    told = [*(F.col(c).isNull() for c in columns), *(F.col(c) for c in columns)]
+    return [F.xxhash64(F.lit(seed), *told).alias(f"_digest{seed}") for seed in (0, 1)]
+
+
 def audit(
     source: DataFrame,
     delivered: DataFrame,
     group: str = GROUP,
     columns: Sequence[str] = tuple(COLUMNS),
 ) -> DataFrame:
-    """(group, source_rows, delivered_rows, lost, added). Reads only."""
+    """(group, source_rows, delivered_rows, lost, added). Reads only.
+
+    Only numbers of rows are asked for, so rows meet as their digests, which are narrow: no
+    text is sorted, held or moved.
+    """
     one, none = F.lit(1), F.lit(0)
-    both = source.select(*columns, one.alias("_s"), none.alias("_d")).unionByName(
-        delivered.select(*columns, none.alias("_s"), one.alias("_d"))
+    digest = row_digest(columns)
+    both = source.select(group, *digest, one.alias("_s"), none.alias("_d")).unionByName(
+        delivered.select(group, *digest, none.alias("_s"), one.alias("_d"))
     )
-    rows = both.groupBy(*columns).agg(F.sum("_s").alias("_s"), F.sum("_d").alias("_d"))
+    rows = both.groupBy(group, "_digest0", "_digest1").agg(F.sum("_s").alias("_s"), F.sum("_d").alias("_d"))
     surplus = F.col("_d") - F.col("_s")
     return rows.groupBy(group).agg(
         F.sum("_s").alias("source_rows"),

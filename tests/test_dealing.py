@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from placebook import session
 from placebook.functions.scalars import base_name
 from placebook.operators.source_profile import _fill_counts, _shape
+from placebook.operators.upstream import audit
 from placebook.plans.places import places
 from placebook.schema import COLUMNS, GROUP
 from placebook.sinks import views as V
@@ -57,3 +58,13 @@ def test_records_of_sources_are_read_once_for_all_counts(spark, tmp_path):
     counted = _fill_counts(source, shape)
     assert plan_of(counted).count("FileScan csv") == 2
     assert sorted(map(tuple, counted.collect())) == [("a.csv", 3, 2, {1: 2}), ("b.csv", 2, 0, None), ("c.csv", 2, 0, {2: 2})]
+
+
+def test_audit_moves_no_text_and_tells_nulls_apart(spark):
+    schema = "g string, a string, b string, n double"
+    one = spark.createDataFrame([("x", "u", None, 0.0), ("x", "u", None, 0.0), ("x", None, "u", None), (None, "", "", 1.0)], schema)
+    two = spark.createDataFrame([("x", None, "u", None), ("x", None, "u", None), ("x", "u", None, -0.0), (None, None, "", 1.0)], schema)
+    found = audit(one, two, "g", ["g", "a", "b", "n"])
+    assert {tuple(r) for r in found.collect()} == {("x", 3, 3, 1, 1), (None, 1, 1, 1, 1)}
+    moved = [line for line in plan_of(found).split("\n") if "hashpartitioning" in line]
+    assert moved and not any(f"{c}#" in line for line in moved for c in ("a", "b", "n"))
