@@ -4,6 +4,7 @@ from placebook import session
 from placebook.functions.scalars import base_name
 from placebook.operators.source_profile import _fill_counts, _shape
 from placebook.operators.upstream import audit
+from placebook.plans import order_queries
 from placebook.plans.places import places
 from placebook.schema import COLUMNS, GROUP
 from placebook.sinks import views as V
@@ -30,6 +31,18 @@ def test_facts_are_dealt_by_rows_not_by_bytes(spark, tmp_path, monkeypatch):
     assert sum(held) == 6000 and len(held) == 30 and max(held) < 400
 
 
+def test_ordered_lines_are_dealt_by_rows_and_stay_in_order(spark, tmp_path, monkeypatch):
+    rows = spark.range(6000).selectExpr("id % 3 AS l_suppkey", "9000 - id AS l_orderkey", "cast(id % 7 AS int) AS l_linenumber", "1.0D AS l_quantity")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    asked, write = [], order_queries.write_csv_groups
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 200)
+    monkeypatch.setattr(order_queries, "ROWS_PER_TASK", 200)
+    monkeypatch.setattr(order_queries, "write_csv_groups", lambda *a, **k: asked.append(k) or write(*a, **k))
+    found = {tuple(r) for r in order_queries.file_order_export(spark, str(tmp_path)).collect()}
+    assert found == {(i % 3, i // 3 + 1, 9000 - i, i % 7) for i in range(6000)}
+    assert asked == [{"rows_per_file": 200}]
+
+
 def test_stale_views_of_one_set_of_groups_are_one_job(spark, tmp_path, monkeypatch):
     rows = [tuple(g if c == GROUP else None for c in COLUMNS) for g in ("A", "A", "B", None)]
     schema = ", ".join(f"{c} {'double' if c in ('latitude', 'longitude') else 'string'}" for c in COLUMNS)
