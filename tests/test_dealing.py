@@ -31,6 +31,18 @@ def test_facts_are_dealt_by_rows_not_by_bytes(spark, tmp_path, monkeypatch):
     assert sum(held) == 6000 and len(held) == 30 and max(held) < 400
 
 
+def test_facts_stay_dealt_by_rows_after_joins_that_shuffle(spark, tmp_path, monkeypatch):
+    small_tables(spark, tmp_path, 6000)
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 200)
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        held = [r["count"] for r in places(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert sum(held) == 6000 and len(held) == 30 and max(held) < 400
+
+
 def test_ordered_lines_are_dealt_by_rows_and_stay_in_order(spark, tmp_path, monkeypatch):
     rows = spark.range(6000).selectExpr("id % 3 AS l_suppkey", "9000 - id AS l_orderkey", "cast(id % 7 AS int) AS l_linenumber", "1.0D AS l_quantity")
     rows.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
