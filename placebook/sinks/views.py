@@ -10,24 +10,29 @@ from pyspark.sql import functions as F
 
 from placebook.operators.consensus import view
 from placebook.schema import ALL_ROWS, FILE_ORDER, FORMATS, GROUP, SHEET_ROW_LIMIT, VIEW_KEYS, VIEWS
-from placebook.session import settle
+from placebook.session import settle, tasks_for
 from placebook.sinks.delimited import write_csv_groups
 from placebook.sources.tables import GROUP_FOLDER, VIEW_FOLDER, folder_name, folder_value, read_files
 
+PLACE = "_place"
+
 
 def tagged_views(df: DataFrame, views: Sequence[str] = tuple(VIEWS), group: str = GROUP) -> DataFrame:
     """Rows of several views with the two folder columns, out of one scan.
 
-    Rows are rebalanced by group: small groups end up in one task, while a group
-    holding much of the table is split over as many as its size calls for. What
-    that exchange gives is used by every view, as it is by the view of all rows. The
-    others are one aggregation each, whose rows largely meet within their task already;
-    so a task sorts its rows once at a time. Their results are rebalanced in turn. The group
-    column itself stays, so that folder names never have to be read back as values.
+    Rows are ranged by group and dealt by their number: a small group lies in one task or
+    two, while a group holding much of the table is split over as many as its rows call
+    for. What that exchange gives is used by every view, as it is by the view of all rows. The
+    others are one aggregation each, whose rows largely meet within their task already; the
+    place of a row in the range keeps Spark from taking a group's rows for brought together,
+    which would leave a whole group to one task. Their results are rebalanced in turn. The
+    group column itself stays, so that folder names never have to be read back as values.
     """
     for name in views:
         _check(name)
-    dealt = df.where(F.col(group).isNotNull()).hint("rebalance", group)
+    rows = df.where(F.col(group).isNotNull())
+    placed = rows.withColumn(PLACE, F.monotonically_increasing_id())
+    dealt = placed.repartitionByRange(*tasks_for(rows), group, PLACE).drop(PLACE)
     parts = []
     for name in views:
         rows = view(dealt, name, group) if name == ALL_ROWS else view(dealt, name, group).hint("rebalance", group)

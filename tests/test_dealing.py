@@ -69,6 +69,20 @@ def test_stale_views_of_one_set_of_groups_are_one_job(spark, tmp_path, monkeypat
     assert V.refresh_views(spark, source, path).where("stale").isEmpty() and len(written) == 2
 
 
+def test_views_of_one_large_group_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    columns = [F.lit(None).cast("double" if c in ("latitude", "longitude") else "string").alias(c) for c in COLUMNS if c not in (GROUP, "postal_code")]
+    rows = spark.range(6000).select(F.when(F.col("id") < 20, "B").otherwise("A").alias(GROUP), (F.col("id") % 3000).cast("string").alias("postal_code"), *columns)
+    rows.select(*COLUMNS).write.parquet(str(tmp_path / "table"))
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 200)
+    tagged = V.tagged_views(spark.read.parquet(str(tmp_path / "table")))
+    held = [r["count"] for r in tagged.where("view = 'all_rows'").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 6000 and len(held) == 30 and max(held) < 400
+    counted = {tuple(r) for r in tagged.groupBy("view", "group").count().collect()}
+    assert counted == {("all_rows", "A", 5980), ("all_rows", "B", 20), ("postal_codes", "A", 3000), ("postal_codes", "B", 20), ("admin_areas", "A", 1), ("admin_areas", "B", 1)}
+    # Each view meets by its keys beyond the exchange that deals.
+    assert plan_of(tagged).count("hashpartitioning(_hash") == 2
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
