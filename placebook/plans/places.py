@@ -66,19 +66,20 @@ def joined(spark: SparkSession, folder: str) -> DataFrame:
     """Every line item with its part, supplier, nation and region.
 
     No join hints: the sizes of the files decide which sides Spark broadcasts.
-    Joining one table after the other keeps those sizes visible to the planner. What is
-    left of the columns is dealt out last: the files may be few and large, and a join with a
-    table too large to broadcast deals by bytes. Rows are dealt by their number instead,
-    because what is a few bytes here is a wide row to whoever sorts it.
+    Joining one table after the other keeps those sizes visible to the planner. What the
+    tables that grow leave is dealt out then: the files may be few and large, and a join with
+    a table too large to broadcast deals by bytes. Rows are dealt by their number instead,
+    because what is a few bytes here is a wide row to whoever sorts it. Nations and regions
+    are a handful and need not travel with the rows.
     """
     t = {n: table(spark, folder, n) for n in ("lineitem", "part", "supplier", "nation", "region")}
     return (
         t["lineitem"]
+        .join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
         .join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
+        .repartition(*tasks_for(t["lineitem"]), "l_orderkey", "l_linenumber")
         .join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey"))
         .join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-        .join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
-        .repartition(*tasks_for(t["lineitem"]), "l_orderkey", "l_linenumber")
     )
 
 

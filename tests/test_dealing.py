@@ -33,9 +33,11 @@ def test_facts_are_dealt_by_rows_not_by_bytes(spark, tmp_path, monkeypatch):
 
 def test_facts_stay_dealt_by_rows_after_joins_that_shuffle(spark, tmp_path, monkeypatch):
     small_tables(spark, tmp_path, 6000)
+    parts = spark.range(2000).selectExpr("id AS p_partkey", "sha2(string(id), 512) AS p_name", "'Brand#11' AS p_brand", "'t' AS p_type")
+    parts.write.mode("overwrite").parquet(f"{tmp_path}/part.parquet")
     monkeypatch.setattr(session, "ROWS_PER_TASK", 200)
     most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
     try:
         held = [r["count"] for r in places(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
     finally:
