@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placebook.llm.common import if_small, stored, text_or_empty, within_arrow
-from placebook.llm.token_store import BATCH_BYTES, END_ID, crc32
+from placebook.llm.token_store import BATCH_BYTES, END_ID, crc32, id_lists
 from placebook.llm.tokens import default_tokenizer, encoder
 
 WINDOW = 1024
@@ -179,15 +179,13 @@ def _encode(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFr
     or tails of one length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, block = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        encode, block = encoder(tokenizer).encode_all, TaskContext.get().partitionId()
         seen = np.zeros(window, np.int64)
-        end = np.asarray([end_id], "<u4").tobytes()
 
         def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-            data = [x + end for x in encode(batch.column("text").to_pylist())]
-            sizes = np.asarray([len(x) // 4 for x in data], np.int64)
+            every, sizes = encode(batch.column("text"), end_id)
             n = -(-sizes // window)
-            row = np.repeat(np.arange(len(data)), n)
+            row = np.repeat(np.arange(len(sizes)), n)
             k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             lengths = np.minimum(sizes[row] - k * window, window)
             tails = lengths % window
@@ -196,8 +194,7 @@ def _encode(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFr
             ranks = np.empty(len(row), np.int64)
             ranks[order] = seen[ordered] + np.arange(len(row)) - np.searchsorted(ordered, ordered)
             seen[:] += np.bincount(tails, minlength=window)
-            values = pa.array(np.frombuffer(b"".join(data), "<i4"))
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), values)
+            ids = id_lists(every, lengths)
             columns = [batch.column("doc_id").take(pa.array(row)), *map(pa.array, (np.full(len(row), block, np.int32), k.astype(np.int32), sizes[row], tails.astype(np.int32), ranks)), ids]
             return pa.RecordBatch.from_arrays(columns, _names(ENCODED))
 

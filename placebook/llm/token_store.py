@@ -40,11 +40,9 @@ WRITE_OPTIONS = {
 SCHEMA = "doc_id long, block int, local_start long, n_tokens long, ids array<int>"
 
 
-def id_lists(data: list[bytes]) -> pa.Array:
-    """Arrow lists of 32-bit integers over the joined bytes."""
-    ends = np.cumsum([0, *(len(x) // 4 for x in data)])
-    values = pa.array(np.frombuffer(b"".join(data), "<i4"))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+def id_lists(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Arrow lists of 32-bit integers, so many of the ids in each."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids.view("<i4")))
 
 
 def crc32(lists: pa.Array) -> pa.Array:
@@ -62,16 +60,14 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """One row per document in the order and partitions they come in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, block, start = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
-        end = np.asarray([end_id], "<u4").tobytes()
+        encode, block, start = encoder(tokenizer).encode_all, TaskContext.get().partitionId(), 0
 
         def make(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal start
-            data = [x + end for x in encode(batch.column("text").to_pylist())]
-            sizes = np.asarray([len(x) // 4 for x in data], np.int64)
+            ids, sizes = encode(batch.column("text"), end_id)
             starts = start + np.cumsum(sizes) - sizes
             start += int(sizes.sum())
-            columns = [batch.column("doc_id"), pa.array(np.full(len(data), block, np.int32)), pa.array(starts), pa.array(sizes), id_lists(data)]
+            columns = [batch.column("doc_id"), pa.array(np.full(len(sizes), block, np.int32)), pa.array(starts), pa.array(sizes), id_lists(ids, sizes)]
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "block", "local_start", "n_tokens", "ids"])
 
         yield from within_arrow(batches, make, "text", BATCH_BYTES)

@@ -81,6 +81,30 @@ def test_encoder_equals_whole_texts(corpus, tokenizer):
         assert np.frombuffer(data, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_remembers_and_forgets(monkeypatch, tokenizer):
+    """Ids are those of whole texts whatever is forgotten; what comes in every call is learned once."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 60)
+    own, learned = tokens.Encoder(tokens.default_tokenizer()), []
+    learn = own._learn
+    own._learn = lambda words: (learned.extend(words), learn(words))
+    for i in range(40):
+        texts = [f"always the same\nsame. words{i}, {chr(97 + i % 26) * (i + 1)} é{i}!\n\nnew \n x{i}", f" {i}", "", f"a{i}  b\n c"]
+        ids, sizes = own.encode_all(pa.array(texts), 0)
+        assert ids.tolist() == [x for t in texts for x in ids_of(tokenizer, t).tolist()]
+        assert sizes.tolist() == [len(ids_of(tokenizer, t)) for t in texts]
+        assert len(own.chunks) < 100
+    assert learned.count(" the") == 1 and learned.count(".") == 1
+
+
+def test_encoder_cuts_where_the_pattern_does(tokenizer):
+    own, draw = tokens.Encoder(tokens.default_tokenizer()), np.random.default_rng(7)
+    parts = ["a", "Word", "é", "ß", "7", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u2028", "\u3000", "'", "'s", "'ll", ".", ",!!", "$$$", "<|endoftext|>", "<|", "|>", "end", "中文", "🙂", "\x1c", "\u0301", "_", "-"]
+    for _ in range(60):
+        texts = ["".join(draw.choice(parts, draw.integers(0, 12))) for _ in range(50)]
+        for text, data in zip(texts, own.encode(texts), strict=True):
+            assert np.frombuffer(data, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def check_store(result, rows, tokenizer):
     start = 0
     for got, (doc_id, text) in zip(result, rows, strict=True):
