@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from placebook.llm.common import stored
 
+# Links up to which a round is one task's work: a distributed round is seven shuffles, and
+# each costs as many tasks as there are shuffle partitions, however few the links.
+FEW = 50_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` for every node of ``links (a, b)``: the smallest id it reaches.
@@ -21,15 +25,16 @@ def components(links: DataFrame) -> DataFrame:
     half a round.
     """
     links = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    together = (lambda df: df.coalesce(1)) if links.limit(FEW + 1).count() <= FEW else (lambda df: df)
     before = None
     while True:
-        both = links.union(links.select("b", "a"))
+        both = together(links.union(links.select("b", "a")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = stored(large, "large-star")
+        large = together(stored(large, "large-star"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        small = together(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))))
         small = stored(small.where("a <> b").distinct(), "small-star")
         links = small
         after = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
