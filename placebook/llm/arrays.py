@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-KEPT_POWERS = 4_000_000
+KEPT_POWERS = 100_000
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -30,7 +30,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def forget() -> None:
-    """Let go of powers that a very long text has asked for."""
+    """Let go of the powers, as many as bytes in the longest batch: 28 MB for 1.5 MB of texts."""
     if len(_POWERS["up"]) > KEPT_POWERS:
         _POWERS.update({name: np.ones(1, np.uint64) for name in _POWERS})
 
