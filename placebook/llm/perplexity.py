@@ -1,15 +1,26 @@
-"""Quality by perplexity under a modified Kneser-Ney model of each language.
-
-The model is over an alphabet of 64 symbol classes: letters, blank, digit, groups of signs
-and of the bytes of other characters. Spark counts the four-grams of all texts of a
-language; raw counts serve the highest order, continuation counts the lower ones. Keys and
-probabilities of each order lie in sorted arrays that a task searches. With 64 classes an
-order has at most 64**4 keys (64 MB of keys), whatever the size of the corpus.
-
-A document is rejected when its mean log probability leaves its language's band: the
-median over all documents that pass the base rules, plus and minus ``WIDTH`` robust
+"""Quality by two perplexities of each language: of words and of their spelling.
+
+The model of words (``word_model``) grows with the corpus. A word ``w`` after ``v`` has the
+probability ``(c(v, w) + STRENGTH / N) / (c(v) + STRENGTH)``, ``N`` the words of the language,
+counts taken over all texts but the one that is judged: a text does not vouch for itself.
+Every pair of neighbours of every text counts. Both counts lie with different tasks, and a
+text's log probability is the sum of what these tasks say of its pairs and of its words.
+
+The model of spelling is a modified Kneser-Ney model over an alphabet of 64 symbol classes:
+letters, blank, digit, groups of signs and of the bytes of other characters. Spark counts
+the four-grams of all texts of a language; raw counts serve the highest order, continuation
+counts the lower ones. Keys and probabilities of each order lie in sorted arrays that a task
+searches. With 64 classes an order has at most 64**4 keys (64 MB of keys), whatever the size
+of the corpus.
+
+A document is rejected when its mean log probability by symbol leaves its language's band:
+the median over all documents that pass the base rules, plus and minus ``WIDTH`` robust
 deviations. The deviation is the larger of the usual one between documents and the one a
-text of its length has by chance.
+text of its length has by chance. It is also rejected when its mean log probability by word
+lies more than ``WORD_WIDTH`` deviations below its language's lower quartile: its words do
+not follow each other as they do elsewhere. That deviation is taken from the texts below the
+quartile only, and nothing is rejected for words that are all too expected: these are
+copies, which are no fault of this kind and, however many, do not narrow the band.
 
 * Null text: no words; every count 0, base rules fail. Empty text likewise.
 * Null language: a language of its own. A language without documents that pass the base
@@ -29,13 +40,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placebook.llm.arrays import joined_bytes, shingles_of, words_of
+from placebook.llm import word_model
+from placebook.llm.arrays import Words, joined_bytes, shingles_of, words_of
 from placebook.llm.common import if_small, stored, within_arrow
 from placebook.llm.grams import BATCH_BYTES, four_grams, gram_counts
 
 BITS = 6
 ORDER = 4
 WIDTH = 8.0
+WORD_WIDTH = 3.0
 LEAST_WORDS = 50
 # Languages up to which the table of bands may be broadcast.
 LANGUAGES = 100_000
@@ -127,10 +140,9 @@ def log_probabilities(model: Model, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
+def text_counts(words: Words) -> dict[str, np.ndarray]:
     """Words, their characters, symbols, repeated lines and repeated words of each text."""
-    words = words_of(texts)
-    begins, n = words.begins, len(texts)
+    begins, n = words.begins, len(words.counts)
     sums = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[begins])
     data = words.data
     first_bytes = (data & 0xC0) != 0x80
@@ -178,48 +190,54 @@ def learn(docs: DataFrame) -> dict[str, Model]:
 
 
 def score(docs: DataFrame, models: dict[str, Model]) -> DataFrame:
-    """``doc_id, lang``, the base counts, ``n_grams`` and ``log_probability`` (mean) of every row."""
+    """``doc_id, lang``, the base counts, ``n_grams`` and the mean ``log_probability`` (by
+    symbol) and ``word_log`` (by word) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_grams"]
     schema = "doc_id long, lang string, " + ", ".join(f"{x} long" for x in names) + ", log_probability double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts, langs = batch.column("text"), np.asarray(batch.column("lang").to_pylist(), object)
-            counts = text_counts(texts)
-            total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            for name in set(langs.tolist()):
-                own = np.flatnonzero(langs == name)
-                keys, borders = text_grams(texts.take(pa.array(own)))
-                n[own] = np.diff(borders)
-                if name in shared.value:
-                    logs = log_probabilities(shared.value[name], keys).astype(np.float64)
-                    total[own] = np.diff(np.concatenate([[0], np.cumsum(logs)])[borders])
-            columns = [batch.column("doc_id"), batch.column("lang"), *(pa.array(counts[x]) for x in names[:-1]), pa.array(n), pa.array(total / np.maximum(n, 1))]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", *names, "log_probability"])
-
-        yield from within_arrow(batches, make, "text", BATCH_BYTES)
+    def judge(batch: pa.RecordBatch, name: str) -> tuple[pa.RecordBatch, Words]:
+        texts = batch.column("text")
+        words = words_of(texts)
+        counts = text_counts(words)
+        keys, borders = text_grams(texts)
+        total, n = np.zeros(len(texts)), np.diff(borders)
+        if name in shared.value:
+            logs = log_probabilities(shared.value[name], keys).astype(np.float64)
+            total = np.diff(np.concatenate([[0], np.cumsum(logs)])[borders])
+        columns = [batch.column("doc_id"), batch.column("lang"), *(pa.array(counts[x]) for x in names[:-1]), pa.array(n), pa.array(total / np.maximum(n, 1))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", *names, "log_probability"]), words
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    summed = word_model.with_logs(rows, judge, schema)
+    return summed.withColumn("word_log", F.col("word_log") / F.greatest("n_words", F.lit(1)))
 
 
 def quality(docs: DataFrame, width: float = WIDTH) -> DataFrame:
-    """One row per document: base counts, ``base_failed``, ``perplexity``, band, ``kept``."""
+    """One row per document: base counts, ``base_failed``, both perplexities and bounds, ``kept``."""
     rows = stored(score(docs, learn(docs)), "perplexities")
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumn("base_failed", base)
     sound = rows.where("not base_failed")
-    middle = lambda c: F.percentile_approx(c, 0.5, 10000)
+    middle = lambda c, part=0.5: F.percentile_approx(c, part, 10000)
     # One row a language: broadcast after a check, so a frequent language is no hot key.
-    medians = if_small(sound.groupBy("lang").agg(middle("log_probability").alias("median")), LANGUAGES)
-    away = F.abs(F.col("log_probability") - F.col("median"))
-    spread = sound.join(medians, "lang").groupBy("lang", "median").agg(
-        middle(away).alias("between"), middle(away * F.sqrt("n_grams")).alias("by_chance")
+    medians = if_small(sound.groupBy("lang").agg(middle("log_probability").alias("median"), middle("word_log", 0.25).alias("quartile")), LANGUAGES)
+    away, below = F.abs(F.col("log_probability") - F.col("median")), F.col("quartile") - F.col("word_log")
+    below = F.when(below > 0, below)
+    spread = sound.join(medians, "lang").groupBy("lang", "median", "quartile").agg(
+        middle(away).alias("between"),
+        middle(away * F.sqrt("n_grams")).alias("by_chance"),
+        middle(below).alias("word_between"),
+        middle(below * F.sqrt("n_words")).alias("word_by_chance"),
+    )
+    usual = lambda between, chance, size: 1.4826 * F.greatest(F.col(between), F.col(chance) / F.sqrt(F.greatest(size, F.lit(1))))
+    judged = (
+        rows.join(if_small(spread, LANGUAGES), "lang", "left")
+        .withColumn("deviation", usual("between", "by_chance", "n_grams"))
+        .withColumn("word_least", F.col("quartile") - WORD_WIDTH * usual("word_between", "word_by_chance", "n_words"))
     )
-    deviation = 1.4826 * F.greatest(F.col("between"), F.col("by_chance") / F.sqrt(F.greatest("n_grams", F.lit(1))))
-    judged = rows.join(if_small(spread, LANGUAGES), "lang", "left").withColumn("deviation", deviation)
     inside = F.coalesce(F.abs(F.col("log_probability") - F.col("median")) <= width * F.col("deviation"), F.lit(True))
+    inside &= F.coalesce(F.col("word_log") >= F.col("word_least"), F.lit(True))
     bound = lambda sign: F.exp(-F.col("median") + sign * width * F.col("deviation"))
     return judged.select(
         "doc_id",
@@ -232,5 +250,7 @@ def quality(docs: DataFrame, width: float = WIDTH) -> DataFrame:
         F.exp(-F.col("log_probability")).alias("perplexity"),
         bound(-1).alias("lower_perplexity"),
         bound(1).alias("upper_perplexity"),
+        F.exp(-F.col("word_log")).alias("word_perplexity"),
+        F.exp(-F.col("word_least")).alias("upper_word_perplexity"),
         (~F.col("base_failed") & inside).alias("kept"),
     )

@@ -25,6 +25,7 @@ from placebook.llm import (
     token_store,
     tokens,
     url_rules,
+    word_model,
 )
 from placebook.llm.queries import ORACLES, QUERIES
 from placebook.session import fresh_path
@@ -569,6 +570,64 @@ def test_kneser_ney_sums_to_one():
         assert np.exp(perplexity.log_probabilities(model, following)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def left_out(texts):
+    """Mean log probability of each text's words after those before, counted over all others."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    pairs = [Counter(zip([None, *w], w, strict=False)) for w in words]
+    n, every, after = sum(map(len, words)), sum(pairs, Counter()), [Counter() for _ in words]
+    for own, p in zip(after, pairs, strict=True):
+        for (v, _), k in p.items():
+            own[v] += k
+    ahead = sum(after, Counter())
+    logs = []
+    for w, p, own in zip(words, pairs, after, strict=True):
+        total = sum(k * (np.log(every[x] - k + 1 / n) - np.log(ahead[x[0]] - own[x[0]] + 1)) for x, k in p.items())
+        logs.append(total / max(len(w), 1))
+    return logs
+
+
+def test_word_perplexity_is_that_of_all_other_texts(spark, corpus, monkeypatch):
+    own = corpus[corpus.lang == "en"].text.tolist()[:60]
+    texts = [*own, own[0], None, "", " \n", "one", "one", "é 漢字\tone\none  one"]
+    expected = left_out(texts)
+    german = [(1000 + i, t, "de") for i, t in enumerate(own)]
+    rows = [*((i, t, "en") for i, t in enumerate(texts)), *german, (5000, own[0], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    whole = {r.doc_id: r for r in perplexity.quality(docs).collect()}
+    assert len(whole) == len(rows)
+    for i, log in enumerate(expected):
+        assert np.log(whole[i].word_perplexity) == pytest.approx(-log, abs=2 / word_model.UNIT)
+    # Many ranges, blocks and rounds of sums.
+    for name, most in (("BLOCK_WORDS", 2000), ("RANGE_WORDS", 500), ("HELD_TEXTS", 20), ("RANGES_PER_TASK", 4)):
+        monkeypatch.setattr(word_model, name, most)
+    cut = {r.doc_id: r for r in perplexity.quality(docs).collect()}
+    assert cut == whole
+
+
+def test_quality_rejects_words_in_no_order(spark):
+    """The letters and words of the language, shuffled: the model of symbols kept them."""
+    rng = np.random.default_rng(1)
+    names = ["".join(rng.choice(list("etaoinshr"), rng.integers(2, 8))) for _ in range(300)]
+    following = rng.integers(0, 300, (300, 4))
+
+    def text(n):
+        at, out = int(rng.integers(300)), []
+        for _ in range(n):
+            out.append(names[at])
+            at = int(following[at, rng.integers(4)])
+        return out
+
+    texts = [text(int(n)) for n in rng.integers(60, 300, 200)]
+    mixed = [list(rng.permutation(t)) for t in texts[:5]]
+    copies = [[*texts[9], f"x{i}"] for i in range(100)]
+    rows = [(i, " ".join(t)) for i, t in enumerate([*texts, *copies, *mixed])]
+    got = {r.doc_id: r for r in perplexity.quality(documents(spark, rows)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert not any(got[i].kept for i in range(300, 305))
+    assert sum(got[i].kept for i in range(300)) > 290
+    assert all(r.lower_perplexity <= r.perplexity <= r.upper_perplexity for i, r in got.items() if i >= 300)
+
+
 # --- language
 
 
