@@ -27,7 +27,7 @@ from placebook.plans.catalog_queries import (
     master,
 )
 from placebook.plans.dimensions import dimension_sql, dimensions
-from placebook.plans.places import CODE, ORDER, delivered, places, table
+from placebook.plans.places import CODE, ORDER, delivered, places, table, write_places
 from placebook.plans.registry import query, says
 from placebook.plans.table_queries import consensus_sql, percent_sql
 from placebook.schema import COLUMNS, GROUP, NUMERIC_COLUMNS, TEXT_COLUMNS, VIEW_KEYS, VIEWS
@@ -374,11 +374,10 @@ def stored_view_rows(spark, folder):
 def view_refresh(spark, folder):
     """What is stale at first, right after, with a view nobody has written, and after a change."""
     source, path = fresh_path(spark, "table"), fresh_path(spark, "views")
-    rows = settle(places(spark, folder).select(*COLUMNS), "places")
-    rows.write.parquet(source)
+    write_places(spark, folder, source, COLUMNS)
     rounds = [("new", list(VIEW_KEYS)), ("again", list(VIEW_KEYS)), ("one view more", VIEWS)]
     reports = [(name, V.refresh_views(spark, source, path, views)) for name, views in rounds]
-    rows.limit(1).write.mode("append").parquet(source)
+    spark.read.parquet(source).limit(1).write.mode("append").parquet(source)
     reports.append(("changed", V.refresh_views(spark, source, path)))
     return reduce(DataFrame.unionByName, (r.select(F.lit(name).alias("round"), "view", "group", "stale") for name, r in reports))
 

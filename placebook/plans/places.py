@@ -6,11 +6,13 @@ checks after replacing the type name STRING.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placebook.schema import COLUMNS
-from placebook.session import tasks_for
+from placebook.session import freeing, rows_per_job, tasks_for
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -62,8 +64,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def joined(spark: SparkSession, folder: str) -> DataFrame:
-    """Every line item with its part, supplier, nation and region.
+def joined(spark: SparkSession, folder: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """Every line item, or those given, with its part, supplier, nation and region.
 
     No join hints: the sizes of the files decide which sides Spark broadcasts.
     Joining one table after the other keeps those sizes visible to the planner. What the
@@ -73,6 +75,8 @@ def joined(spark: SparkSession, folder: str) -> DataFrame:
     are a handful and need not travel with the rows.
     """
     t = {n: table(spark, folder, n) for n in ("lineitem", "part", "supplier", "nation", "region")}
+    if lineitem is not None:
+        t["lineitem"] = lineitem
     return (
         t["lineitem"]
         .join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
@@ -83,12 +87,24 @@ def joined(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def places(spark: SparkSession, folder: str) -> DataFrame:
-    return joined(spark, folder).selectExpr(
+def places(spark: SparkSession, folder: str, lineitem: DataFrame | None = None) -> DataFrame:
+    return joined(spark, folder, lineitem).selectExpr(
         *(f"{EXPRESSIONS[c]} AS {c}" for c in COLUMNS), *ORDER
     )
 
 
+def write_places(spark: SparkSession, folder: str, path: str, columns: Sequence[str]) -> None:
+    """Store the table; line items too many for one job are joined share by share."""
+    lineitem = table(spark, folder, "lineitem")
+    rows = lineitem.count()
+    shares = -(-rows // rows_per_job(rows)) or 1
+    share = F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(shares))
+    with freeing(spark):
+        for k in range(shares):
+            part = lineitem.where(share == k) if shares > 1 else lineitem
+            places(spark, folder, part).select(*columns).write.mode("append").parquet(path)
+
+
 def delivered(spark: SparkSession, folder: str) -> DataFrame:
     expressions = {**EXPRESSIONS, "postal_code": DELIVERED_CODE}
     return joined(spark, folder).selectExpr(

@@ -5,19 +5,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placebook.operators.consensus import view
 from placebook.schema import ALL_ROWS, FILE_ORDER, FORMATS, GROUP, SHEET_ROW_LIMIT, VIEW_KEYS, VIEWS
-from placebook.session import settle, tasks_for
+from placebook.session import freeing, rows_per_job, settle, tasks_for
 from placebook.sinks.delimited import write_csv_groups
 from placebook.sources.tables import GROUP_FOLDER, VIEW_FOLDER, folder_name, folder_value, read_files
 
 PLACE = "_place"
 
 
-def tagged_views(df: DataFrame, views: Sequence[str] = tuple(VIEWS), group: str = GROUP) -> DataFrame:
+def tagged_views(
+    df: DataFrame, views: Sequence[str] = tuple(VIEWS), group: str = GROUP, count: int | None = None
+) -> DataFrame:
     """Rows of several views with the two folder columns, out of one scan.
 
     Rows are ranged by group and dealt by their number: a small group lies in one task or
@@ -27,12 +29,13 @@ def tagged_views(df: DataFrame, views: Sequence[str] = tuple(VIEWS), group: str
     place of a row in the range keeps Spark from taking a group's rows for brought together,
     which would leave a whole group to one task. Their results are rebalanced in turn. The
     group column itself stays, so that folder names never have to be read back as values.
+    ``count`` is the number of rows of groups, where it is known.
     """
     for name in views:
         _check(name)
     rows = df.where(F.col(group).isNotNull())
     placed = rows.withColumn(PLACE, F.monotonically_increasing_id())
-    dealt = placed.repartitionByRange(*tasks_for(rows), group, PLACE).drop(PLACE)
+    dealt = placed.repartitionByRange(*tasks_for(rows, count), group, PLACE).drop(PLACE)
     parts = []
     for name in views:
         rows = view(dealt, name, group) if name == ALL_ROWS else view(dealt, name, group).hint("rebalance", group)
@@ -46,9 +49,10 @@ def write_views(
     views: Sequence[str] = tuple(VIEWS),
     group: str = GROUP,
     mode: str = "error",
+    count: int | None = None,
 ) -> None:
     """Write views for all groups at once, zstd-compressed: one scan, one job."""
-    writer = tagged_views(df, views, group).write.mode(mode).partitionBy(VIEW_FOLDER, GROUP_FOLDER)
+    writer = tagged_views(df, views, group, count).write.mode(mode).partitionBy(VIEW_FOLDER, GROUP_FOLDER)
     writer.options(compression="zstd", partitionOverwriteMode="dynamic").parquet(path)
 
 
@@ -106,27 +110,40 @@ def refresh_views(
     ``fmt`` is parquet or csv; sheets have no writer here, see :func:`sheet_rows`.
     Only stale groups are read and only their folders are replaced; the commit of
     each write is atomic for its reader. Pairs already up to date stay untouched.
+
+    Groups too many for one job are written some after the others, each whole, and what a
+    job shuffled is deleted before the next begins.
     """
     for name in views:
         _check(name, fmt)
     if fmt == "xlsx":
         raise ValueError("sheets are not written; see sheet_rows")
+    with freeing(spark):
+        return _refresh(spark, source, path, views, fmt, group)
+
+
+def _refresh(spark: SparkSession, source: str, path: str, views: Sequence[str], fmt: str, group: str) -> DataFrame:
     df = spark.read.parquet(source)
     modified = read_files(spark, source, "*.parquet").agg(F.max("modified")).first()[0]
-    groups = df.select(group).where(F.col(group).isNotNull()).distinct()
+    sizes = settle(df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("_rows")), "sizes")
     outputs = view_files(spark, path) if _exists(spark, path) else None
-    report = settle(staleness(groups, outputs, modified, views), "staleness")
-    due = report.where("stale")
-    # Groups that lack the same views are one job, so that a row is read and dealt once.
-    lacking = settle(due.groupBy(F.col(GROUP_FOLDER).alias(group)).agg(F.sort_array(F.collect_set(VIEW_FOLDER)).alias("_lacking")), "lacking")
-    for names in [r[0] for r in lacking.select("_lacking").distinct().collect()]:
-        behind = lacking.where(F.col("_lacking") == F.array(*map(F.lit, names))).select(group)
+    report = settle(staleness(sizes.select(group), outputs, modified, views), "staleness")
+    due = report.where("stale").groupBy(F.col(GROUP_FOLDER).alias(group)).agg(F.sort_array(F.collect_set(VIEW_FOLDER)).alias("_lacking"))
+    # Groups that lack the same views are one job, so that a row is read and dealt once, or
+    # as many jobs as their rows call for.
+    due = settle(due.join(sizes, group), "due")
+    share = rows_per_job(due.agg(F.sum("_rows")).first()[0] or 0)
+    before = F.sum("_rows").over(Window.partitionBy("_lacking").orderBy(group).rowsBetween(Window.unboundedPreceding, -1))
+    lacking = settle(due.withColumn("_job", F.floor(F.coalesce(before, F.lit(0)) / share)), "lacking")
+    jobs = lacking.groupBy("_lacking", "_job").agg(F.sum("_rows")).sort("_lacking", "_job")
+    for names, job, count in jobs.collect():
+        behind = lacking.where((F.col("_lacking") == F.array(*map(F.lit, names))) & (F.col("_job") == job)).select(group)
         rows = df.join(behind, group, "left_semi").select(*df.columns)
         if fmt == "csv":
             for name in names:
                 export_csv(rows, path, name, group, "overwrite")
         else:
-            write_views(rows, path, names, group, "overwrite")
+            write_views(rows, path, names, group, "overwrite", count)
     return report
 
 

@@ -1,14 +1,19 @@
+import os
+import time
+
 from pyspark.sql import functions as F
 
 from placebook import session
 from placebook.functions.scalars import base_name
 from placebook.operators.source_profile import _fill_counts, _shape
 from placebook.operators.upstream import audit
-from placebook.plans import order_queries
+from placebook.plans import file_queries, order_queries
+from placebook.plans import places as P
 from placebook.plans.places import places
 from placebook.schema import COLUMNS, GROUP
 from placebook.sinks import views as V
 from placebook.sources.delimited import read_source_files
+from placebook.sources.tables import read_views
 
 
 def small_tables(spark, folder, n):
@@ -71,6 +76,61 @@ def test_stale_views_of_one_set_of_groups_are_one_job(spark, tmp_path, monkeypat
     assert V.refresh_views(spark, source, path).where("stale").isEmpty() and len(written) == 2
 
 
+def grouped(spark, path, sizes):
+    """A stored table with so many rows of each group, of two codes each."""
+    columns = [F.lit(None).cast("double" if c in ("latitude", "longitude") else "string").alias(c) for c in COLUMNS if c not in (GROUP, "postal_code")]
+    rows = spark.createDataFrame([(g, str(i % 2)) for g, n in sizes for i in range(n)], f"{GROUP} string, postal_code string")
+    rows.select("*", *columns).select(*COLUMNS).write.parquet(path)
+
+
+def test_a_large_refresh_is_shared_out_over_jobs_by_whole_groups(spark, tmp_path, monkeypatch):
+    source, path, written = str(tmp_path / "table"), str(tmp_path / "views"), []
+    sizes = [("", 8), ("A", 10), ("B", 2), ("C", 30), ("D", 9), ("E", 1), ("_", 20)]
+    grouped(spark, source, [*sizes, (None, 5)])
+    write = V.write_views
+    monkeypatch.setattr(V, "write_views", lambda df, *more: written.append({r[0]: r[1] for r in df.groupBy(GROUP).count().collect()}) or write(df, *more))
+    monkeypatch.setattr(session, "ROWS_PER_JOB", 1, raising=False)
+    assert V.refresh_views(spark, source, path).where("stale").count() == 21
+    # A quarter of 80 rows, and the rest of the group that a job begins last.
+    assert written == [{"": 8, "A": 10, "B": 2}, {"C": 30}, {"D": 9, "E": 1}, {"_": 20}]
+    counted = {tuple(r) for r in read_views(spark, path).groupBy("view", "group").count().collect()}
+    rows = {v: 2 if v == "postal_codes" else 1 for v in ("postal_codes", "admin_areas")}
+    assert counted == {("all_rows", g, n) for g, n in sizes} | {(v, g, min(n, m)) for v, m in rows.items() for g, n in sizes}
+    assert V.refresh_views(spark, source, path).where("stale").isEmpty() and len(written) == 4
+    V.refresh_views(spark, source, str(tmp_path / "csv"), fmt="csv")
+    assert V.refresh_views(spark, source, str(tmp_path / "csv"), fmt="csv").where("stale").isEmpty()
+
+
+def test_line_items_of_a_large_table_are_joined_in_shares(spark, tmp_path, monkeypatch):
+    small_tables(spark, tmp_path, 6000)
+    held, whole = [], P.places
+    monkeypatch.setattr(session, "ROWS_PER_JOB", 1, raising=False)
+    monkeypatch.setattr(P, "places", lambda spark, folder, part=None: held.append(part.count()) or whole(spark, folder, part))
+    P.write_places(spark, str(tmp_path), str(tmp_path / "table"), [*COLUMNS, *P.ORDER])
+    assert len(held) == 4 and sum(held) == 6000 and max(held) < 1800
+    stored, rows = spark.read.parquet(str(tmp_path / "table")), places(spark, str(tmp_path))
+    assert stored.columns == rows.columns and stored.count() == 6000
+    assert stored.exceptAll(rows).isEmpty()
+
+
+def shuffled(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f for top in folders for _, _, names in os.walk(top.getPath()) for f in names if f.startswith("shuffle_")}
+
+
+def test_a_refresh_leaves_no_shuffled_rows_behind(spark, tmp_path):
+    small_tables(spark, tmp_path, 6000)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, asked = shuffled(spark), spark.conf.get(key, None)
+    report = file_queries.view_refresh(spark, str(tmp_path))
+    for _ in range(50):
+        if not (left := shuffled(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(key, None) == asked
+    assert {tuple(r) for r in report.where("view = 'all_rows'").select("round", "stale").distinct().collect()} == {("one view more", True), ("changed", True)}
+
+
 def test_views_of_one_large_group_are_dealt_by_rows(spark, tmp_path, monkeypatch):
     columns = [F.lit(None).cast("double" if c in ("latitude", "longitude") else "string").alias(c) for c in COLUMNS if c not in (GROUP, "postal_code")]
     rows = spark.range(6000).select(F.when(F.col("id") < 20, "B").otherwise("A").alias(GROUP), (F.col("id") % 3000).cast("string").alias("postal_code"), *columns)
